@@ -1,8 +1,8 @@
 """Document fingerprints by one-permutation MinHash, in DataFrame functions only.
 
 Each shingle is hashed once; the top bits of the hash name one of BINS bins and each bin
-keeps its least hash. An empty bin borrows from the first full bin in its own fixed
-random order of all bins (optimal densification). The low BITS bits of each bin are
+keeps its least hash. An empty bin borrows from the first full bin among the bins that
+its own fixed random sequence names (optimal densification). The low BITS bits of each bin are
 packed; two fingerprints' share of equal entries, corrected for chance agreement,
 estimates the Jaccard likeness of the shingle sets.
 """
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 BIN_BITS, BITS, SIZE = 7, 4, 5
 BINS = 1 << BIN_BITS
+#: Bins that an empty bin tries one by one before it takes the full bin that comes first in its own order of all bins.
+TRIES = 8
 #: Neighbouring documents meet in cells of ids: about so many documents each, and at most so many cells.
 CELL_ROWS, CELLS = 1000, 100_000
 
@@ -30,15 +32,17 @@ def with_fingerprint(df: DataFrame, text: str, into: str) -> DataFrame:
     bin_of = lambda x: F.shiftright(x, 63 - BIN_BITS)
     plan = df.withColumn("__w", F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[ \\t-\\r]+"), lambda w: w != ""))
     plan = plan.withColumn("__h", F.transform("__w", lambda w: F.xxhash64(w))).drop("__w")
-    one = lambda i: F.shiftrightunsigned(F.xxhash64(*(F.get("__h", i + j) for j in range(SIZE))), 1)
-    many = F.transform(F.sequence(F.lit(0), F.size("__h") - SIZE), one)
+    at = lambda _, i: F.shiftrightunsigned(F.xxhash64(F.slice("__h", i + 1, SIZE)), 1)
+    many = F.transform(F.slice("__h", 1, F.greatest(F.size("__h") - (SIZE - 1), F.lit(0))), at)
     whole = F.array(F.shiftrightunsigned(F.xxhash64("__h"), 1))
     plan = plan.withColumn("__s", F.sort_array(F.when(F.size("__h") >= SIZE, many).otherwise(whole)))
     first = lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get("__s", i - 1)))
     plan = plan.withColumn("__m", F.filter("__s", first)).withColumn("__k", F.size("__h")).drop("__s", "__h")
-    plan = plan.withColumn("__b", F.map_from_arrays(F.transform("__m", bin_of), F.col("__m")))
+    plan = plan.withColumn("__b", F.transform("__m", bin_of))
+    full = lambda b: F.get("__m", F.array_position("__b", b).cast("int") - 1)
+    tried = lambda b: [full(F.pmod(F.xxhash64(b, F.lit(k)), F.lit(BINS))) for k in range(TRIES)]
     nearest = lambda b: F.array_min(F.transform("__m", lambda x: F.struct(F.xxhash64(b, bin_of(x)).alias("order"), x.alias("x"))))["x"]
-    filled = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(BINS - 1).cast("long")), lambda b: F.coalesce(F.try_element_at("__b", b), nearest(b)))
+    filled = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(BINS - 1).cast("long")), lambda b: F.coalesce(full(b), *tried(b), nearest(b)))
     digits = F.array_join(F.transform(filled, lambda x: F.substr(F.lit("0123456789abcdef"), (x.bitwiseAND(F.lit(15)) + 1).cast("int"), F.lit(1))), "")
     return plan.withColumn(into, F.when(F.col("__k") == 0, "").otherwise(digits)).drop("__m", "__b", "__k")
 
