@@ -14,7 +14,8 @@ ORACLE_SQL = None
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the learned list keep."""
-    return quality_rules.judged(docs, table(spark, sf_dir, "labels"), docs.columns).where("kept").select(docs.columns)
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__doc"))
+    return quality_rules.judged(rows, table(spark, sf_dir, "labels"), ["doc_id", "__doc"]).where("kept").select("__doc.*")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +28,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    mixed = mixing.mix(docs, keep=docs.columns)
-    return mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(docs.columns)
+    return mixing.take(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -120,23 +120,33 @@ def rounded(rows: DataFrame, by: str, seed: int, group_rows: int = GROUP_ROWS) -
         level = rest.withColumn("grp", F.floor(F.col("grp") / group_rows)).withColumn("groups", F.ceil(F.col("groups") / group_rows))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 29, keep: list[str] | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """`keep` columns of docs with size, source_size, target, copies and taken (size * copies) of every row.
-
-    Size is the number of words, 0 for a null text; a row without words is never taken.
-    Rows of equal doc_id and text are rounded each on their own, by their order. An empty
-    table gives no rows. The draws come from hashes of doc_id, so reruns agree whatever
-    the partitions.
-    """
-    keep = keep or ["doc_id"]
-    narrow = docs.select(*keep, *([] if "source" in keep else ["source"]), n_words().alias("size"), F.xxhash64("doc_id", "source", "text").alias("key"))
+def _copies(docs: DataFrame, keep: Column, weights: tuple[int, ...], seed: int, group_rows: int) -> DataFrame:
+    """(kept, size, source_size, target, copies) of every row."""
+    narrow = docs.select(keep.alias("kept"), "source", n_words().alias("size"), F.xxhash64("doc_id", "source", "text").alias("key"))
     narrow = saved(narrow.withColumn("row", F.monotonically_increasing_id()), "sized")
-    per = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumnRenamed("source", "__source")
+    per = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights).withColumnRenamed("source", "__source")
     per = saved(per, "targets")
     all_ = narrow.join(per, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     mean = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     all_ = all_.withColumn("whole", F.floor(mean + 1e-12)).withColumn("share", F.greatest(mean - F.floor(mean + 1e-12), F.lit(0.0)))
     extra = rounded(all_.where("share > 0").select("row", "key", "source", "size", "share"), "source", seed, group_rows)
-    out = all_.join(extra, "row", "left").withColumn("copies", F.col("whole") + F.coalesce("extra", F.lit(0)))
-    names = [*keep, "size", "source_size", "target", "copies"]
-    return out.select(*names, (F.col("size") * F.col("copies")).alias("taken"))
+    out = all_.join(extra, "row", "left")
+    return out.select("kept", "size", "source_size", "target", (F.col("whole") + F.coalesce("extra", F.lit(0))).alias("copies"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 29, keep: list[str] | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """`keep` columns of docs (doc_id, source, text) with size, source_size, target and taken (size * copies) of every row.
+
+    Size is the number of words, 0 for a null text; a row without words is never taken.
+    Rows of equal doc_id and text are rounded each on their own, by their order. An empty
+    table gives no rows. The draws come from hashes of what a row holds, so reruns agree
+    whatever the partitions.
+    """
+    out = _copies(docs, F.struct(*(keep or ["doc_id"])), weights, seed, group_rows)
+    return out.select("kept.*", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def take(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 29, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """The mix itself: each row of docs, with all of its columns, as often as it is taken."""
+    out = _copies(docs, F.struct(*docs.columns), weights, seed, group_rows)
+    return out.select("kept", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("kept.*")

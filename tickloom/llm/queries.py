@@ -31,7 +31,7 @@ def op3_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
+    return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op5_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
