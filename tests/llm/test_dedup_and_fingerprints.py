@@ -108,7 +108,7 @@ def test_edited_pairs(documents):
 def test_cells_join_neighbours_at_any_cell_size(spark, odd_docs):
     rows = [(i * i, f"t{i}") for i in range(200)] + [(None, "none")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.text: r.next_text for r in fingerprints.with_next(docs, "doc_id", ["text"], cell_rows=7).collect()}
+    got = {r.text: r.next_text for r in fingerprints.with_next(docs, "doc_id", ["text"], ["text"], cell_rows=7).collect()}
     order = [f"t{i}" for i in range(199, -1, -1)] + ["none"]
     assert got == {a: b for a, b in zip(order, order[1:] + order[:1], strict=True)}
     found = fingerprints.edited_pairs(odd_docs).collect()

@@ -55,20 +55,20 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((a == "") & (b == ""), 1.0).when((a == "") | (b == ""), 0.0).otherwise(estimate)
 
 
-def with_next(docs: DataFrame, key: str, columns: list[str], cell_rows: int = CELL_ROWS) -> DataFrame:
+def with_next(docs: DataFrame, key: str, columns: list[str], tie: list[str], cell_rows: int = CELL_ROWS) -> DataFrame:
     """Adds next_<column> from the next row in descending order of key; after the last row comes the first.
 
     Rows meet in cells of neighbouring keys; each cell also gets a copy of the first row
     of the cell that follows, found in a table of at most CELLS rows. So each row moves
     once, and a cell is one window's work. Null keys come last; equal keys follow each
-    other by a hash of their columns, equal rows in any order.
+    other by a hash of the columns `tie`, equal rows in any order.
     """
     low, high, n = docs.agg(F.min(key), F.max(key), F.count("*")).first()
     low, high = low or 0, high or 0
     cells = max(1, min(CELLS, n // cell_rows))
     width = (high - low) // cells + 1
     cell = F.coalesce(F.expr(f"cast(({key} - {low}L) div {width}L as long)"), F.lit(-1).cast("long"))
-    placed = docs.withColumn("__cell", cell).withColumn("__tie", F.xxhash64(*columns))
+    placed = docs.withColumn("__cell", cell).withColumn("__tie", F.xxhash64(*tie))
     lead = placed.groupBy("__cell").agg(F.max(F.struct(key, "__tie")).alias("top"))
     down = W.orderBy(F.col("__cell").desc())
     lead = lead.withColumn("to", F.coalesce(F.lag("__cell").over(down), F.min("__cell").over(W.partitionBy())))
@@ -83,7 +83,7 @@ def with_next(docs: DataFrame, key: str, columns: list[str], cell_rows: int = CE
 def edited_pairs(docs: DataFrame) -> DataFrame:
     """Fingerprints of every whole text and of its edited text, with their likeness, and that of the next document's."""
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    marked = with_next(with_fingerprint(base, "text", "fingerprint"), "doc_id", ["text", "fingerprint"])
+    marked = with_next(with_fingerprint(base, "text", "fingerprint"), "doc_id", ["text", "fingerprint"], ["text"])
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr("next_text", F.lit(1), half))
