@@ -11,12 +11,12 @@ import heapq
 
 import numpy as np
 
-CLASS_WORDS, HEAD_CLASSES, TAIL_CLASSES, HIDDEN = 48, 48, 32, 24
+CLASS_WORDS, HEAD_CLASSES, TAIL_CLASSES, HIDDEN = 64, 32, 32, 24
 HEAD = CLASS_WORDS * HEAD_CLASSES
 CLASSES = HEAD_CLASSES + TAIL_CLASSES
 INPUTS = HEAD + TAIL_CLASSES
-#: Steps of one window of backpropagation, lanes at most, and updates that a small corpus gets at least.
-STEPS, LANES, UPDATES = 32, 256, 150
+#: Steps of one window of backpropagation and of scoring, lanes at most, and updates that a small corpus gets at least.
+STEPS, SCORE_STEPS, LANES, UPDATES = 32, 128, 256, 150
 SHAPES = {"Wx": (INPUTS, 3 * HIDDEN), "U": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "Wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "Wo": (HEAD_CLASSES, HIDDEN, CLASS_WORDS), "bo": (HEAD_CLASSES, CLASS_WORDS)}
 Params = dict[str, np.ndarray]
 
@@ -48,8 +48,13 @@ def unflat(v: np.ndarray) -> Params:
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    x -= np.log(np.exp(x).sum(1, keepdims=True))
+    """Of rows whose values lie within 80 of the greatest of all, which scores of small weights do; else row by row."""
+    x -= x.max()
+    sums = np.exp(x) @ np.ones(x.shape[1], x.dtype)
+    if not sums.min() > 1e-30:
+        x -= x.max(1, keepdims=True)
+        sums = np.exp(x).sum(1)
+    x -= np.log(sums)[:, None]
     return x
 
 
@@ -186,19 +191,25 @@ class Network:
         previous = np.vstack((np.full((1, width), self.end, np.int32), lanes.target[:-1]))
         previous[lanes.first] = self.end
         h, out = np.zeros((width, HIDDEN), np.float32), np.zeros(len(docs))
-        for t in range(0, length, STEPS):
-            x, doc = previous[t : t + STEPS], lanes.doc[t : t + STEPS]
-            keep = (~lanes.first[t : t + STEPS]).astype(np.float32)
-            live = np.flatnonzero(doc.ravel() >= 0)
+        steps = SCORE_STEPS if rate is None else STEPS
+        for t in range(0, length, steps):
+            x, doc = previous[t : t + steps], lanes.doc[t : t + steps].ravel()
+            keep = (~lanes.first[t : t + steps]).astype(np.float32)
+            live = np.flatnonzero(doc >= 0)
             if not len(live):
                 break
             s = self._run(x, keep, h)
             grads: Params | None = None if rate is None else {}
-            logs, dh = self._outputs(s["h"].reshape(-1, HIDDEN)[live], lanes.target[t : t + STEPS].ravel()[live], grads)
-            out += np.bincount(doc.ravel()[live], logs, len(docs))
+            states, target = s["h"].reshape(-1, HIDDEN), lanes.target[t : t + steps].ravel()
+            if len(live) < len(doc):
+                states, target, doc = states[live], target[live], doc[live]
+            logs, dh = self._outputs(states, target, grads)
+            out += np.bincount(doc, logs, len(docs))
             if grads is not None:
-                dh_all = np.zeros((x.size, HIDDEN), np.float32)
-                dh_all[live] = dh
+                dh_all = dh
+                if len(live) < x.size:
+                    dh_all = np.zeros((x.size, HIDDEN), np.float32)
+                    dh_all[live] = dh
                 self._back(s, x, keep, dh_all.reshape(*x.shape, HIDDEN), grads)
                 self._update(grads, len(live), rate)
             h = s["h"][-1].copy()

@@ -10,9 +10,10 @@ their counts by a join, so no task holds all words.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from itertools import repeat
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -30,14 +31,18 @@ LISTED = 200_000
 HELD_WORDS, STREAM_TOKENS = 300_000, 2_000_000
 RATES = (0.01, 0.006, 0.003)
 SLICES, FANS = 32, 64
+_KIND = np.full(256, 3)  # of a last byte: letter 0, mark 1, digit 2, other 3
+_KIND[128:], _KIND[97:123], _KIND[48:58], _KIND[list(b",.;:!?")] = 0, 0, 2, 1
 _vocabularies: dict[int, Vocabulary] = {}
 
 
-def shape_class(word: bytes) -> int:
-    """The tail class of a word: kind of its last byte, length, and whether it is all ASCII."""
-    last, n = word[-1], len(word)
-    kind = 1 if last in b",.;:!?" else 2 if 48 <= last <= 57 else 0 if last >= 128 or 97 <= last <= 122 else 3
-    return (kind * 4 + (0 if n <= 4 else 1 if n <= 7 else 2 if n <= 10 else 3)) * 2 + (not word.isascii())
+def shape_classes(words: Sequence[bytes]) -> np.ndarray:
+    """The tail class of each word: kind of its last byte, length, and whether it is all ASCII."""
+    n = len(words)
+    last = np.fromiter(map(itemgetter(-1), words), np.uint8, n)
+    size = np.fromiter(map(len, words), np.int64, n)
+    ascii_ = np.fromiter(map(bytes.isascii, words), bool, n)
+    return ((_KIND[last] * 4 + np.searchsorted([4, 7, 10], size)) * 2 + ~ascii_).astype(np.int32)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -52,7 +57,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
         def rows() -> pa.RecordBatch:
             words = list(counts)
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(map(shape_class, words), pa.int32()), pa.array(counts.values(), pa.int64())], ["word", "cls", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(shape_classes(words)), pa.array(counts.values(), pa.int64())], ["word", "cls", "n"])
 
         for batch in batches:
             for text in as_bytes(batch.column(0)):
@@ -87,7 +92,7 @@ class Vocabulary:
         n = len(listing.words)
         self.symbol = np.zeros(n + 1, np.int32)
         self.symbol[1 : len(head) + 1] = np.arange(1, len(head) + 1)
-        self.symbol[len(head) + 1 :] = [gated.HEAD + shape_class(w) for w in listing.words[len(head) :]]
+        self.symbol[len(head) + 1 :] = gated.HEAD + shape_classes(listing.words[len(head) :])
         self.log_count = np.log10(np.concatenate(([listing.ends], listing.counts)) + 0.1)
         self.log_tail = np.log10(listing.tail_masses)
         self.log_base = float(np.log10(listing.tokens + 0.1 * (listing.distinct + 1)))
@@ -97,10 +102,9 @@ class Vocabulary:
         words = text.lower().split()
         numbers = np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
         numbers = np.append(numbers, np.int32(0))
-        symbols, rare = self.symbol[numbers], []
-        for i in np.flatnonzero(numbers < 0).tolist():
-            rare.append(words[i])
-            symbols[i] = gated.HEAD + shape_class(words[i])
+        symbols, at = self.symbol[numbers], np.flatnonzero(numbers < 0)
+        rare = [words[i] for i in at.tolist()]
+        symbols[at] = gated.HEAD + shape_classes(rare)
         return numbers, symbols, rare
 
 
@@ -127,8 +131,8 @@ def list_words(counts: DataFrame, ends: int) -> Listing:
     masses = np.full(gated.TAIL_CLASSES, 0.1)
     for row in counts.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         masses[row.cls] += row.n + 0.1 * row.v
-    for w, n in zip(words[: gated.HEAD - 1], top["n"], strict=False):
-        masses[shape_class(w)] -= n + 0.1
+    head = words[: gated.HEAD - 1]
+    np.subtract.at(masses, shape_classes(head), top["n"].to_numpy(float)[: len(head)] + 0.1)
     return Listing(words, top["n"].to_numpy(np.int64), ends, (sums[0] or 0) + ends, sums[1] + (ends > 0), np.maximum(masses, 0.1))
 
 
