@@ -56,7 +56,7 @@ def test_near_duplicates_odd_rows(odd_docs, no_docs):
 
 
 def test_chains_and_large_groups_of_near_copies(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "PAIRS_PER_MEMBER", 2)
+    monkeypatch.setattr(near_dedup, "BUCKET_MEMBERS", 20)
     rng = random.Random(4)
     base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
     rows, text = [], list(base)
