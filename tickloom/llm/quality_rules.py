@@ -27,7 +27,7 @@ MEASURES: dict[str, str] = {
     "dup_lines_per_word": "coalesce(try_divide(n_dup_lines, n_words), 0D)",
     "repeat_share": "coalesce(try_divide(n_repeat_words, n_words), 0D)",
 }
-#: Labelled rows that the list is learned from, at most: those whose id's hash is smallest.
+#: Labelled rows that the list is learned from, about, where there are more: those whose id's hash lies under the cut that leaves so many.
 LABELLED_ROWS = 60_000
 
 
@@ -192,11 +192,12 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def labelled_rows(stats: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-    """Measures, labels and keys of at most `rows` labelled documents for the driver; a null label does not count."""
+    """Measures, labels and keys of about `rows` labelled documents at most for the driver; a null label does not count."""
     names = list(MEASURES)
     joined = stats.join(labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id")
     joined = joined.select("quality", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("key"), *(F.expr(MEASURES[m]).alias(m) for m in names))
-    got = joined.orderBy("key", *names).limit(rows).toPandas()
+    cut = int((1 << 40) * min(1.0, rows / max(1, joined.count())))
+    got = joined.where(F.col("key") < cut).toPandas().sort_values(["key", *names], kind="stable")
     return {m: got[m].to_numpy(float) for m in names}, got["quality"].to_numpy() > 0, got["key"].to_numpy(np.int64)
 
 
