@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.common import saved
 
 #: Rows that one ranking task sorts, on average.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 
 
 def seeded(seed: int, *columns: str) -> Column:
