@@ -73,5 +73,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in dealt}
 
 
+OP9_SQL = r"""WITH RECURSIVE own AS (SELECT DISTINCT url, html FROM pages WHERE url IS NOT NULL),
+bare AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '([?&])(?:(?:utm_[a-z]+|ref|fbclid|gclid)=[^&]*(?:&|$))+', '\1', 'g'), '[?&]$', ''), '^(?i:https?)://(?i:www\.|m\.)?', 'https://'), '(?:/index)?(?:\.html?)?/?(\?|$)', '\1', 'g') AS canonical,
+  regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel=["'']?canonical\b[^>]*>'), '(?is)\bhref=["'']?([a-z]+://[^"''\s>]+)', 1) AS link, regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv=["'']?refresh\b[^>]*>'), '(?is)\burl=["'']?([a-z]+://[^"''\s>]+)', 1) AS refresh FROM own WHERE contains(url, '://')),
+edge AS (SELECT DISTINCT url AS a, b FROM (SELECT url, unnest([canonical, link, refresh]) AS b FROM bare) WHERE b <> '' AND b <> url),
+sides AS MATERIALIZED (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
+reach(url, node) AS (SELECT DISTINCT a, a FROM sides UNION SELECT r.url, s.b FROM reach r JOIN sides s ON s.a = r.node),
+node AS (SELECT url FROM own UNION SELECT b FROM edge),
+split AS (SELECT url, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM node),
+rules(h, p, action) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+fit AS (SELECT url, h || p AS rule, action FROM split JOIN rules ON host <> '' AND (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) QUALIFY row_number() OVER (PARTITION BY url ORDER BY length(h || p) DESC, action) = 1),
+hit AS (SELECT DISTINCT r.url FROM reach r JOIN fit f ON f.url = r.node AND f.action = 'block')
+SELECT page_id, coalesce(s.host, '') AS host, coalesce(s.path, '') AS path, f.rule, coalesce(f.action, CASE WHEN h.url IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM pages p LEFT JOIN split s ON s.url = p.url LEFT JOIN fit f ON f.url = p.url LEFT JOIN hit h ON h.url = p.url"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_redirect_equivalence": OP9_SQL}
