@@ -75,6 +75,27 @@ def test_chains_and_large_groups_of_near_copies(spark, monkeypatch):
     assert result(docs) == brute(rows)
 
 
+def one_bucket(spark, texts, comps, bands):
+    """Inputs of the last comparison: classes of texts that share the bucket 7."""
+    rows = []
+    for d, text in enumerate(texts):
+        hashes, _ = near_dedup.shingle_sets([text.encode()])
+        rows.append((d, int(near_dedup.mix(hashes).sum(dtype=np.uint64).astype(np.int64)), len(hashes), text, comps[d], bands(d)))
+    at = {r[0]: r[1] for r in rows}
+    df = spark.createDataFrame([(7, (d, s), (c, at[c]), n, text, b) for d, s, n, text, c, b in rows], "key long, node struct<d: long, s: long>, comp struct<d: long, s: long>, n long, text string, bands array<long>")
+    return df.select("key", "node", "comp"), df.select("node", "n", "bands"), df.select("node", "text")
+
+
+def test_a_large_bucket_loses_no_pair_that_shares_only_it(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BUCKET_MEMBERS", 8)
+    rng = random.Random(6)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(100)] for _ in range(30)]
+    texts = [" ".join(x) for x in base] + [" ".join([*x[:-1], "changed"]) for x in base]
+    inputs = one_bucket(spark, texts, range(60), lambda d: [7, *(1000 * d + k for k in range(39))])
+    got = {frozenset((r.hub.d, r.member.d)) for r in near_dedup._rest(*inputs).collect()}
+    assert got == {frozenset((d, d + 30)) for d in range(30)}
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)] + [(7, 7), (None, 3)]

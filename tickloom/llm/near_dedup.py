@@ -26,7 +26,7 @@ from tickloom.llm.words import mix, shingle_sets
 BANDS, ROWS = 40, 5
 #: Members that one verification unit compares with a hub, on average.
 UNIT_MEMBERS = 64
-#: Members that a bucket compares inside one task; a larger one is split by further bands first.
+#: Members that one task compares, on average; a larger bucket is cut into blocks, and each two of them meet in a task.
 BUCKET_MEMBERS = 4096
 #: Coordinates of the signatures compared there, and the share of equal low bytes from which a pair is verified. At likeness
 #: 0.75 the share is 0.75 +- 0.0137, so a pair falls short with probability 6e-6.
@@ -196,17 +196,19 @@ def _long_signatures(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     return map_batches(rows, make, "d long, s long, low binary").select(F.struct("d", "s").alias("node"), "low")
 
 
-def _close(key: int, bucket: list[tuple], comps: np.ndarray) -> Iterator[tuple]:
-    """(a, b, d, s) of bucket rows (d, s, n, low, bands) in different components whose sizes and signatures are close.
+def _close(key: int, bucket: list[tuple], comps: np.ndarray, left: int, inside: bool) -> Iterator[tuple]:
+    """(a, b, d, s) of rows (d, s, n, low, bands) in different components whose sizes and signatures are close.
 
-    Rows that share an earlier band meet there and not here.
+    The first `left` rows are compared with the others, and with each other too if
+    `inside`. Rows that share an earlier band meet there and not here.
     """
     n = np.array([x[2] for x in bucket], np.int64)
     low = np.frombuffer(b"".join(x[3] for x in bucket), np.uint8).reshape(len(bucket), -1)
     bands = np.array([x[4] for x in bucket], np.int64)
     here = np.flatnonzero(bands[0] == key)
-    for i in range(len(bucket) - 1):
-        j = i + 1 + np.flatnonzero((comps[i + 1 :] != comps[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= 75 * np.maximum(n[i + 1 :], n[i])))
+    for i in range(left):
+        at = i + 1 if inside else left
+        j = at + np.flatnonzero((comps[at:] != comps[i]) & (100 * np.minimum(n[at:], n[i]) >= 75 * np.maximum(n[at:], n[i])))
         if len(j) and len(here):
             j = j[~(bands[j, : here[0]] == bands[i, : here[0]]).any(1)]
         if len(j):
@@ -215,46 +217,50 @@ def _close(key: int, bucket: list[tuple], comps: np.ndarray) -> Iterator[tuple]:
             yield *bucket[i][:2], *bucket[k][:2]
 
 
-def _rest(rows: DataFrame, classes: DataFrame, texts: DataFrame, depth: int = 4) -> DataFrame:
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Bucket rows (key, node, comp) dealt to comparing tasks (key, i, j), with their side there.
+
+    A bucket of more than BUCKET_MEMBERS is cut by hash into blocks of about half as many;
+    blocks i and j meet in one task, i on side 0 and j on side 1, and every block meets
+    itself, so every pair of a bucket meets once.
+    """
+    per = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most")
+    blocks = F.when(F.col("m") <= BUCKET_MEMBERS, F.lit(1)).otherwise(F.ceil(F.col("m") / (BUCKET_MEMBERS / 2))).cast("int")
+    cut = rows.join(per.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("block", x).alias("i"), F.greatest("block", x).alias("j"), (x < F.col("block")).cast("int").alias("side")))
+    return cut.select("key", "node", "comp", F.explode(met).alias("t")).select("key", "t.i", "t.j", "t.side", "node", "comp")
+
+
+def _rest(rows: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (hub, member) of bucket rows (key, node, comp) in different components that look alike.
 
-    classes has (node, n, bands). The members of a bucket stream through one task, which
-    compares their signatures and hands on what is close. A bucket of more than
-    BUCKET_MEMBERS is first split into buckets of rows that agree in a further band too,
-    up to `depth` times; what no split makes smaller is compared as it is.
+    classes has (node, n, bands). The rows of a comparing task stream through it; it
+    compares their signatures and hands on what is close.
     """
-    made, n = None, parts(rows.sparkSession)
+    n = parts(rows.sparkSession)
     classes = saved(classes.join(_long_signatures(texts, rows.select("node")), "node"), "signed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, comps = None, [], []
+        task, held, comps, left = None, [], [], 0
 
         def close() -> Iterator[pa.RecordBatch]:
             codes = {c: i for i, c in enumerate(dict.fromkeys(comps))}
-            found = list(_close(key, held, np.array([codes[c] for c in comps]))) if len(codes) > 1 else []
+            found = list(_close(task[0], held, np.array([codes[c] for c in comps]), left, task[1] == task[2])) if len(codes) > 1 else []
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b", "d", "s"])
 
         for batch in batches:
-            for k, d, s, cd, cs, m, low, bands in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
-                if k != key:
+            for k, i, j, side, d, s, cd, cs, m, low, bands in zip(*(batch.column(i).to_pylist() for i in range(11)), strict=True):
+                if (k, i, j) != task:
                     yield from close()
-                    key, held, comps = k, [], []
+                    task, held, comps, left = (k, i, j), [], [], 0
                 held.append((d, s, m, low, bands))
                 comps.append((cd, cs))
+                left += side == 0
         yield from close()
 
-    for level in range(depth):
-        per = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("key", "m")
-        sized = saved(rows.join(per, "key"), "sized")
-        now = sized if level == depth - 1 else sized.where(F.col("m") <= BUCKET_MEMBERS)
-        full = now.join(classes, "node").select("key", F.col("node.d").alias("d"), F.col("node.s").alias("s"), F.col("comp.d").alias("cd"), F.col("comp.s").alias("cs"), "n", "low", "bands")
-        found = full.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, d long, s long")
-        made = found if made is None else made.unionByName(found)
-        far = sized.where(F.col("m") > BUCKET_MEMBERS)
-        if level == depth - 1 or far.isEmpty():
-            break
-        rows = far.join(classes.select("node", "bands"), "node").select(F.col("key").alias("old"), "node", "comp", F.explode("bands").alias("band")).where("old <> band").select(F.xxhash64("old", "band").alias("key"), "node", "comp")
+    full = _dealt(rows).join(classes, "node").select("key", "i", "j", "side", F.col("node.d").alias("d"), F.col("node.s").alias("s"), F.col("comp.d").alias("cd"), F.col("comp.s").alias("cs"), "n", "low", "bands")
+    made = full.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(run, "a long, b long, d long, s long")
     pairs = made.distinct().select(F.struct(F.col("a").alias("d"), F.col("b").alias("s")).alias("hub"), F.struct("d", "s").alias("member"))
     return saved(pairs, "pairs")
 
