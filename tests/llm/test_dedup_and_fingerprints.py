@@ -96,6 +96,23 @@ def test_a_large_bucket_loses_no_pair_that_shares_only_it(spark, monkeypatch):
     assert got == {frozenset((d, d + 30)) for d in range(30)}
 
 
+def test_a_large_group_with_outsiders_ends_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BUCKET_MEMBERS", 40)
+    comp = {(k, d): 0 if d < size else d if d % 2 else size for k, size, n in ((1, 300, 301), (2, 100, 170), (3, 20, 30), (4, 90, 90)) for d in range(n)}
+    rows = spark.createDataFrame([(k, (d, d), (c, c)) for (k, d), c in comp.items()], "key long, node struct<d: long, s: long>, comp struct<d: long, s: long>")
+    tasks = {}
+    for r in near_dedup._dealt(rows).collect():
+        tasks.setdefault((r.key, r.i, r.j), ([], []))[r.side].append(r.node.d)
+    assert max(len(a) + len(b) for a, b in tasks.values()) <= 80
+    assert sum(len(a) + len(b) for (k, _, _), (a, b) in tasks.items() if k == 1) <= 300 + 20
+    met = []
+    for (k, i, j), (a, b) in tasks.items():
+        met += [(k, *sorted((x, y))) for x in a for y in b]
+        met += [(k, x, y) for x in a for y in a if x < y] if i == j else []
+    met = [m for m in met if comp[m[0], m[1]] != comp[m[0], m[2]]]
+    assert sorted(met) == sorted((k, x, y) for k, x in comp for q, y in comp if q == k and x < y and comp[k, x] != comp[k, y])
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)] + [(7, 7), (None, 3)]

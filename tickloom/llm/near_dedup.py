@@ -220,14 +220,24 @@ def _close(key: int, bucket: list[tuple], comps: np.ndarray, left: int, inside:
 def _dealt(rows: DataFrame) -> DataFrame:
     """Bucket rows (key, node, comp) dealt to comparing tasks (key, i, j), with their side there.
 
-    A bucket of more than BUCKET_MEMBERS is cut by hash into blocks of about half as many;
-    blocks i and j meet in one task, i on side 0 and j on side 1, and every block meets
-    itself, so every pair of a bucket meets once.
+    Rows of a bucket's largest component are linked already; only the others, the
+    outsiders, are compared, with each other and with those. A bucket of more than
+    BUCKET_MEMBERS is cut by hash into blocks of about half as many, outsiders and largest
+    component apart. An outsiders' block i meets itself and each other block j in one task,
+    i on side 0 and j on side 1, so every pair of an outsider meets once.
     """
-    per = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most")
-    blocks = F.when(F.col("m") <= BUCKET_MEMBERS, F.lit(1)).otherwise(F.ceil(F.col("m") / (BUCKET_MEMBERS / 2))).cast("int")
-    cut = rows.join(per.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("block", x).alias("i"), F.greatest("block", x).alias("j"), (x < F.col("block")).cast("int").alias("side")))
+    half, comps = BUCKET_MEMBERS / 2, rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    per = comps.groupBy("key").agg(F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("most")).where("m > most.c")
+    blocks = F.ceil((F.col("m") - F.col("most.c")) / half).cast("int").alias("outer"), F.ceil(F.col("most.c") / half).cast("int").alias("inner")
+    cut = rows.join(per.select("key", (F.col("m") <= BUCKET_MEMBERS).alias("whole"), F.col("most.comp").alias("main"), *blocks), "key").withColumn("linked", F.col("comp") == F.col("main"))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("linked"), F.col("inner")).otherwise(F.col("outer"))).cast("int"))
+
+    def task(i: Column, j: Column, side: Column) -> Column:
+        return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+
+    block, outer = F.col("block"), F.sequence(F.lit(0), F.col("outer") - 1)
+    own = F.concat(F.transform(outer, lambda x: task(F.least(block, x), F.greatest(block, x), x < block)), F.transform(F.sequence(F.lit(0), F.col("inner") - 1), lambda x: task(block, F.col("outer") + x, F.lit(0))))
+    met = F.when(F.col("whole"), F.array(task(F.lit(0), F.lit(0), F.col("linked")))).when(F.col("linked"), F.transform(outer, lambda x: task(x, F.col("outer") + block, F.lit(1)))).otherwise(own)
     return cut.select("key", "node", "comp", F.explode(met).alias("t")).select("key", "t.i", "t.j", "t.side", "node", "comp")
 
 
