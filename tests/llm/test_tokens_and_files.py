@@ -70,6 +70,18 @@ def test_separator_scan_finds_every_document(spark, request, which):
         by_file[r.file] = (ordinal + 1, start + r.n_tokens)
 
 
+def test_separator_scan_keeps_documents_that_hold_the_end_marker(spark, odd_docs):
+    marked = [(20, "<|endoftext|>"), (21, "one two"), (22, "a <|endoftext|> b<|endoftext|>"), (23, "three"), (24, None)]
+    docs = odd_docs.select("doc_id", "text").unionByName(spark.createDataFrame(marked, "doc_id long, text string"))
+    for size in (5, 1 << 18):
+        folder = new_folder(spark, "t")
+        separator_scan.write_flat(docs.coalesce(1), folder, block_ids=size)
+        got = separator_scan.named(spark, folder, separator_scan.token_counts(spark, folder)).collect()
+        assert sorted((r.doc_id, r.n_tokens) for r in got) == sorted((r.doc_id, len(whole_ids(r.text, 0))) for r in docs.collect())
+    with pytest.raises(Exception, match="in the vocabulary"):
+        separator_scan.write_flat(docs, new_folder(spark, "t"), end_id=49407)
+
+
 def check_packing(docs, got, capacity=2048):
     want = {}
     for r in docs.collect():

@@ -14,14 +14,16 @@ from tickloom.llm.common import as_bytes, map_batches
 from tickloom.llm.tokens import vocabulary, word_tokenizer
 
 BLOCK_IDS = 1 << 18
+#: No id of the vocabulary: its own end marker can stand in a text, so it ends no document.
+END_ID = 0xFFFF
 
 
-def write_flat(docs: DataFrame, to: str, path: str | None = None, end_id: int = 49407, block_ids: int = BLOCK_IDS) -> None:
+def write_flat(docs: DataFrame, to: str, path: str | None = None, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> None:
     """Writes flat token files: each task's texts one after another, each followed by end_id, as blocks of 16-bit ids.
 
     Blocks are cut at every block_ids ids wherever that falls in a document. A null text
     is empty. `doc_ids` is the writer's manifest, the documents whose end id lies in the
-    block; a scan does not read it.
+    block; a scan does not read it. An end_id of the vocabulary is refused.
     """
     path = path or vocabulary()
     kept = docs.select(F.spark_partition_id().cast("long").alias("file"), F.col("doc_id").cast("long"), "text")
@@ -29,6 +31,8 @@ def write_flat(docs: DataFrame, to: str, path: str | None = None, end_id: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, end = word_tokenizer(path), np.array([end_id], "<u2").tobytes()
+        if tokenizer.tokenizer.id_to_token(end_id) is not None:
+            raise ValueError(f"id {end_id} is in the vocabulary, so a text can hold it")
         size, file, block, held, pending = 2 * block_ids, 0, 0, bytearray(), []  # pending: (end in held, doc_id)
 
         def cut(n: int) -> pa.RecordBatch:
@@ -51,7 +55,7 @@ def write_flat(docs: DataFrame, to: str, path: str | None = None, end_id: int =
     kept.mapInArrow(run, "file long, block long, ids binary, doc_ids array<long>").write.option("compression", "zstd").parquet(to)
 
 
-def scan(spark: SparkSession, folder: str, end_id: int = 49407) -> DataFrame:
+def scan(spark: SparkSession, folder: str, end_id: int = END_ID) -> DataFrame:
     """(file, block, n_ids, ends) of each block: how many ids it holds and where its end ids stand, found by one vector comparison."""
 
     def make() -> Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]:
@@ -65,7 +69,7 @@ def scan(spark: SparkSession, folder: str, end_id: int = 49407) -> DataFrame:
     return map_batches(spark.read.parquet(folder).select("file", "block", "ids"), make, "file long, block long, n_ids long, ends array<long>")
 
 
-def token_counts(spark: SparkSession, folder: str, end_id: int = 49407) -> DataFrame:
+def token_counts(spark: SparkSession, folder: str, end_id: int = END_ID) -> DataFrame:
     """One row for each document in the files: file, ordinal and start in the file, n_tokens with the end id, block of its end.
 
     Blocks are scanned alone. What crosses their edges is stitched by a prefix scan over
