@@ -82,6 +82,23 @@ def test_page_verdicts(spark, sf):
         assert g.verdict == (action or "allow")
 
 
+def test_targets_are_resolved_and_meet_their_canonical_form(spark):
+    link, fresh = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    rules = spark.createDataFrame([("bad.net", "/", "block")], "host string, path string, action string")
+    bad, pages = "https://bad.net/", [(0, "https://far.net/z", None)]
+    for k, (page, html, target) in enumerate([
+        ("https://v0.net/x", link.format("http://www.t0.net/p/"), "https://t0.net/p"), ("https://v1.net/x", fresh.format("http://m.t1.net/p.html"), "https://t1.net/p"),
+        ("https://v2.net/a/b?q", link.format("/p"), "https://v2.net/p"), ("https://v3.net/a/b", fresh.format("c"), "https://v3.net/a/c"), ("https://v4.net/a/b/c", link.format("../d?x=1"), "https://v4.net/a/d?x=1"),
+        ("https://v5.net/a", link.format("//t5.net/p"), "https://t5.net/p"), ("https://v6.net", link.format("p"), "https://v6.net/p"), ("https://v7.net/a?b=1", link.format("?c=2"), "https://v7.net/a?c=2"),
+    ]):
+        pages += [(10 * k + 1, page, html), (10 * k + 2, target, link.format(f"{bad}{k}"))]
+    pages += [(91, "https://v9.net/a", link.format("mailto:x@bad.net")), (92, "https://v9.net/b", "<p>")]
+    more = spark.createDataFrame([("https://far.net/z", "http://www.t0.net/p.html")], "a string, b string")
+    docs = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.judge_pages(docs, rules, more).collect()}
+    assert got == {k: "allow" if k > 90 else "block" for k, _, _ in pages}
+
+
 def test_blocks_reach_aliases_but_not_explicit_allows(spark):
     html = '<html><head><LINK href="https://b.example.org/es/x" rel="canonical"></head>'
     refresh = '<meta http-equiv="refresh" content="0; url=https://www.a.net/p.html#z">'

@@ -32,12 +32,37 @@ def canonical(url: Column) -> Column:
     return F.regexp_replace(bare, "(?:/index)?(?:\\.html?)?/?(\\?|$)", "$1")
 
 
+def absolute(target: Column, base: Column) -> Column:
+    """A link's target as a URL, resolved against its page's; empty for one of another kind, such as mailto:."""
+    site, tail = F.regexp_extract(base, "(?s)^(.*?://[^/?#]*)", 1), F.regexp_extract(target, "(?s)([?#].*)$", 1)
+    own, given = path(base), F.regexp_extract(target, "(?s)^([^?#]*)", 1)
+    full = F.when(given.startswith("/"), given).otherwise(F.concat(F.regexp_extract(own, "(?s)^(.*/)", 1), given))
+    full = F.concat(full, F.when(full.rlike("(^|/)[.][.]?$"), "/").otherwise(""))  # a final dot is a folder
+
+    def step(done: Column, x: Column) -> Column:
+        up = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(x == ".", done).when(x == "..", up).otherwise(F.concat(done, F.array(x)))
+
+    steps = F.aggregate(F.split(F.regexp_replace(full, "^/", ""), "/"), F.array().cast("array<string>"), step)
+    query = F.regexp_extract(base, "(?s)^[^?#]*([?][^#]*)", 1)
+    same = F.concat(site, own, F.when(target.startswith("?"), "").otherwise(query), tail)
+    found = F.when(target.rlike("^(?i:[a-z]+)://"), target).when(target.startswith("//"), F.concat(F.regexp_extract(base, "(?s)^(.*?:)//", 1), target))
+    found = found.when((target == "") | target.rlike("^(?i:[a-z][a-z0-9+.-]*):"), "").when(given == "", same)
+    return found.otherwise(F.concat(site, F.lit("/"), F.array_join(steps, "/"), tail))
+
+
+def with_canonical(edges: DataFrame) -> DataFrame:
+    """Distinct edges (a, b), with one more from each end that is a URL to its canonical form."""
+    ends = edges.select(F.explode(F.array("a", "b")).alias("a")).where(F.col("a").contains("://"))
+    return edges.select("a", "b").unionByName(ends.select("a", canonical(F.col("a")).alias("b"))).where("b <> '' and a <> b").distinct()
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(a, b) from pages (url, html): each URL with its canonical form, its canonical link and the target of its refresh."""
+    """(a, b) from pages (url, html): each URL with its canonical form, its canonical link and the target of its refresh, and these with theirs."""
     u, html = F.col("url"), F.col("html")
-    link = F.regexp_extract(F.regexp_extract(html, "(?is)<link\\b[^>]*\\brel=[\"']?canonical\\b[^>]*>", 0), "(?is)\\bhref=[\"']?([a-z]+://[^\"'\\s>]+)", 1)
-    refresh = F.regexp_extract(F.regexp_extract(html, "(?is)<meta\\b[^>]*\\bhttp-equiv=[\"']?refresh\\b[^>]*>", 0), "(?is)\\burl=[\"']?([a-z]+://[^\"'\\s>]+)", 1)
-    return pages.where(u.contains("://")).select(u.alias("a"), F.explode(F.array(canonical(u), link, refresh)).alias("b")).where("b <> '' and a <> b").distinct()
+    link = F.regexp_extract(F.regexp_extract(html, "(?is)<link\\b[^>]*\\brel=[\"']?canonical\\b[^>]*>", 0), "(?is)\\bhref=[\"']?([^\"'\\s>]+)", 1)
+    refresh = F.regexp_extract(F.regexp_extract(html, "(?is)<meta\\b[^>]*\\bhttp-equiv=[\"']?refresh\\b[^>]*>", 0), "(?is)\\burl=[\"']?([^\"'\\s>]+)", 1)
+    return with_canonical(pages.where(u.contains("://")).select(u.alias("a"), F.explode(F.array(u, absolute(link, u), absolute(refresh, u))).alias("b")).where("b <> ''"))
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -76,7 +101,7 @@ def judge_pages(pages: DataFrame, rules: DataFrame, more_edges: DataFrame | None
     """(page_id, host, path, rule, verdict) of every page; more_edges (a, b) adds known redirects to what the pages tell."""
     edges = page_edges(pages)
     if more_edges is not None:
-        edges = edges.unionByName(more_edges.select("a", "b"))
+        edges = edges.unionByName(with_canonical(more_edges)).distinct()
     found = url_verdicts(pages.select("url"), saved(edges, "edges"), rules)
     out = pages.select("page_id", "url").join(found, "url", "left")
     return out.select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
