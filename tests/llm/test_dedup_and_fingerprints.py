@@ -5,10 +5,15 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import Row
+from pyspark.sql import functions as F
 
-from tickloom.llm import fingerprints, near_dedup
+from tickloom.llm import common, fingerprints, near_dedup
+from tickloom.llm.common import Scratch, file_row
 from tickloom.llm.components import connected_components
 
 
@@ -42,8 +47,8 @@ def brute(rows):
     return sorted((d, len(s), least[find(i)], d == least[find(i)]) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True)))
 
 
-def result(docs):
-    return sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect())
+def result(docs, row=None):
+    return sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs, row).collect())
 
 
 def test_near_duplicates_equal_brute_force(documents):
@@ -77,13 +82,13 @@ def test_chains_and_large_groups_of_near_copies(spark, monkeypatch):
 
 def one_bucket(spark, texts, comps, bands):
     """Inputs of the last comparison: classes of texts that share the bucket 7."""
-    rows = []
-    for d, text in enumerate(texts):
-        hashes, _ = near_dedup.shingle_sets([text.encode()])
-        rows.append((d, int(near_dedup.mix(hashes).sum(dtype=np.uint64).astype(np.int64)), len(hashes), text, comps[d], bands(d)))
-    at = {r[0]: r[1] for r in rows}
-    df = spark.createDataFrame([(7, (d, s), (c, at[c]), n, text, b) for d, s, n, text, c, b in rows], "key long, node struct<d: long, s: long>, comp struct<d: long, s: long>, n long, text string, bands array<long>")
-    return df.select("key", "node", "comp"), df.select("node", "n", "bands"), df.select("node", "text")
+    nodes = []
+    for text in texts:
+        s, t = near_dedup.set_hashes(*near_dedup.shingle_sets([text.encode()]))
+        nodes.append((int(s[0]), int(t[0])))
+    rows = [(7, nodes[d], nodes[comps[d]], len(shingles(text)), text, bands(d)) for d, text in enumerate(texts)]
+    df = spark.createDataFrame(rows, "key long, node struct<s: long, t: long>, comp struct<s: long, t: long>, n long, text string, bands array<long>")
+    return nodes, (df.select("key", "node", "comp"), df.select("node", "n", "bands"), df.select("node", "text"))
 
 
 def test_a_large_bucket_loses_no_pair_that_shares_only_it(spark, monkeypatch):
@@ -91,9 +96,58 @@ def test_a_large_bucket_loses_no_pair_that_shares_only_it(spark, monkeypatch):
     rng = random.Random(6)
     base = [[f"w{rng.randrange(10**6)}" for _ in range(100)] for _ in range(30)]
     texts = [" ".join(x) for x in base] + [" ".join([*x[:-1], "changed"]) for x in base]
-    inputs = one_bucket(spark, texts, range(60), lambda d: [7, *(1000 * d + k for k in range(39))])
-    got = {frozenset((r.hub.d, r.member.d)) for r in near_dedup._rest(*inputs).collect()}
-    assert got == {frozenset((d, d + 30)) for d in range(30)}
+    nodes, inputs = one_bucket(spark, texts, range(60), lambda d: [7, *(1000 * d + k for k in range(39))])
+    with Scratch(spark) as scratch:
+        rest = near_dedup._rest(*inputs, scratch)
+        got = {frozenset((tuple(r.hub), tuple(r.member))) for r in rest.collect()}
+        links = near_dedup.verify(near_dedup.star_units(rest), inputs[2]).collect()
+    assert got == {frozenset((nodes[d], nodes[d + 30])) for d in range(30)} == {frozenset((tuple(r.a), tuple(r.b))) for r in links}
+
+
+def test_a_hub_is_spread_over_units_and_no_pair_is_lost(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "UNIT_MEMBERS", 4)
+    rows = [((h, h), (100 + i, i), m) for h, m in ((1, 3), (2, 1000), (3, 60)) for i in range(m)]
+    pairs = spark.createDataFrame(rows, "hub struct<s: long, t: long>, member struct<s: long, t: long>, m long")
+    units = near_dedup.star_units(pairs).collect()
+    assert sorted((tuple(r.hub), tuple(r.member)) for r in units) == sorted(r[:2] for r in rows)
+    assert max(Counter(r.unit for r in units).values()) <= 20
+    assert all(len({r.hub for r in units if r.unit == u}) == 1 for u in {r.unit for r in units})
+
+
+def test_null_and_repeated_ids(spark):
+    t = " ".join(f"w{i}" for i in range(60))
+    near = t.replace("w59", "other")
+    u = " ".join(f"u{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, t), (2, u), (2, t), (None, near), (None, u + " x"), (None, "alone " * 3), (None, "alone " * 3), (7, "\n\t"), (7, t), (None, None)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(1, 56, 1, True), (2, 56, 2, True), (2, 56, 1, False), (None, 56, 1, False), (None, 57, 2, False), (None, 1, None, True), (None, 1, None, True), (7, 0, 7, True), (7, 56, 1, False), (None, 0, None, True)], key=str)
+    one = near_dedup.one_of_each(docs).collect()
+    assert sorted(map(str, one)) == sorted(map(str, [Row(doc_id=d, text=x) for d, x in ((1, t), (2, u), (None, "alone " * 3), (7, "\n\t"), (None, None))]))
+
+
+def test_rows_of_a_file_are_told_apart(spark, documents):
+    row = file_row(documents)
+    assert documents.select(row).distinct().count() == documents.count()
+    assert result(documents, row) == result(documents.repartition(3))
+    assert file_row(spark.createDataFrame([(1,)], "a int")) is None
+
+
+def test_scratch_tables_are_deleted(spark, odd_docs):
+    with Scratch(spark) as scratch:
+        held = scratch.saved(odd_docs)
+        assert held.count() == odd_docs.count()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
+        spark.read.parquet(scratch.paths[0]).count()
+
+
+def test_spread_join_cuts_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "PIECES", 10)
+    rows = spark.createDataFrame([(None if i % 7 == 0 else min(i % 50, 3), i) for i in range(1000)], "k int, i int")
+    small = rows.where("k < 3 or k is null").groupBy("k").agg(F.count("*").alias("n"), F.max("i").alias("most"))
+    for how in ("inner", "left"):
+        want = rows.join(small.drop("n"), "k", how)
+        assert sorted(map(str, common.spread_join(rows, small, "k", "n", how).collect())) == sorted(map(str, want.collect()))
+    assert common.spread_join(rows.limit(0), small.limit(0), "k", "n").count() == 0
 
 
 def test_a_large_group_with_outsiders_ends_in_tasks_of_bounded_size(spark, monkeypatch):
@@ -101,7 +155,9 @@ def test_a_large_group_with_outsiders_ends_in_tasks_of_bounded_size(spark, monke
     comp = {(k, d): 0 if d < size else d if d % 2 else size for k, size, n in ((1, 300, 301), (2, 100, 170), (3, 20, 30), (4, 90, 90)) for d in range(n)}
     rows = spark.createDataFrame([(k, (d, d), (c, c)) for (k, d), c in comp.items()], "key long, node struct<d: long, s: long>, comp struct<d: long, s: long>")
     tasks = {}
-    for r in near_dedup._dealt(rows).collect():
+    with Scratch(spark) as scratch:
+        dealt = near_dedup._dealt(rows, scratch).collect()
+    for r in dealt:
         tasks.setdefault((r.key, r.i, r.j), ([], []))[r.side].append(r.node.d)
     assert max(len(a) + len(b) for a, b in tasks.values()) <= 80
     assert sum(len(a) + len(b) for (k, _, _), (a, b) in tasks.items() if k == 1) <= 300 + 20

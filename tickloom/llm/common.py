@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a new one where that is unset and one machine runs all (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -27,12 +33,83 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, what: str = "step", compression: str = "zstd") -> DataFrame:
-    """Writes df as a table in the shared folder and returns the table: lineage ends there, and a lost executor costs nothing that was written."""
-    spark = df.sparkSession
-    path = new_folder(spark, what)
+def written(df: DataFrame, path: str, compression: str = "zstd") -> DataFrame:
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def saved(df: DataFrame, what: str = "step") -> DataFrame:
+    """Writes df as a table in the shared folder and returns the table: lineage ends there, and a lost executor costs nothing that was written."""
+    return written(df, new_folder(df.sparkSession, what))
+
+
+class Scratch:
+    """Tables that an operator needs while it runs; they are deleted when the block ends.
+
+    What leaves the block must rest on no table of it: an operator hands on a table that
+    it has written with saved().
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def saved(self, df: DataFrame, what: str = "step") -> DataFrame:
+        self.paths.append(new_folder(self.spark, what))
+        return written(df, self.paths[-1])
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for path in self.paths:
+            at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Name of the column that tells rows apart inside the operators, and of others that they add for a while.
+ROW, AT = "__tickloom_row", "__tickloom_at"
+
+
+def file_row(docs: DataFrame) -> Column | None:
+    """A column that tells the rows of a Parquet table apart and is the same on every reading: file and index in it.
+
+    None for a frame that has no such column. A join or explode of a table repeats its
+    rows' values, so it is of use for a table as it was read, filtered or not.
+    """
+    try:
+        meta = docs.metadataColumn("_metadata")
+        row = F.struct(F.xxhash64(meta["file_path"]).alias("f"), meta["row_index"].alias("i"))
+        docs.select(row)
+    except AnalysisException:
+        return None
+    return row
+
+
+def with_row(docs: DataFrame, row: Column | None) -> DataFrame:
+    """docs with ROW, from `row` where the caller has such a column; else docs is written first, with numbers."""
+    if row is None:
+        return saved(docs.withColumn(ROW, F.struct(F.lit(0).cast("long").alias("f"), F.monotonically_increasing_id().alias("i"))), "rows")
+    return docs.withColumn(ROW, row)
+
+
+#: A key with more than one in so many of all rows is cut into pieces of about so many by hash before a join.
+PIECES = 1000
+
+
+def spread_join(rows: DataFrame, small: DataFrame, on: str, n: str, how: str = "inner", total: int | None = None) -> DataFrame:
+    """Joins rows with small by the column `on`; column n of small says how many of `rows` have the key, `total` how many have any.
+
+    A key of more than 1 / PIECES of all rows is cut into pieces by hash, and its row of
+    small is copied to each, so that no task gets a whole hot key. Such keys are fewer
+    than PIECES, which bounds what is broadcast here. Without a total small must have
+    one row for each key. n does not come back.
+    """
+    total = max(1, total or small.agg(F.sum(n)).first()[0] or 0)
+    pieces = F.ceil(F.col(n) * PIECES / F.lit(total)).cast("int")
+    hot = small.where(F.col(n) * PIECES > total).select(F.col(on).alias("__on"), pieces.alias("__pieces")).distinct()
+    left = rows.join(F.broadcast(hot), F.col(on) == F.col("__on"), "left").withColumn("__piece", F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("__pieces")), F.lit(0)).cast("int")).drop("__on", "__pieces")
+    right = small.withColumn("__piece", F.explode(F.sequence(F.lit(0), F.greatest(pieces, F.lit(1)) - 1))).drop(n)
+    return left.join(right, [on, "__piece"], how).drop("__piece")
 
 
 def parts(spark: SparkSession) -> int:
@@ -58,7 +135,7 @@ def chunked(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, list
         yield begin, texts[begin:]
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], schema: str | StructType) -> DataFrame:
     """mapInArrow with a state for each task: make() is called once in a task and its result for each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import as_bytes, chunked, map_batches, parts, saved
+from tickloom.llm.common import ROW, Scratch, as_bytes, chunked, map_batches, parts, saved, spread_join, with_row
 from tickloom.llm.components import connected_components
 from tickloom.llm.words import mix, shingle_sets
 
@@ -26,6 +26,8 @@ from tickloom.llm.words import mix, shingle_sets
 BANDS, ROWS = 40, 5
 #: Members that one verification unit compares with a hub, on average.
 UNIT_MEMBERS = 64
+#: Units over which the pairs of one class spread that the last comparison finds, at most.
+REST_UNITS = 64
 #: Members that one task compares, on average; a larger bucket is cut into blocks, and each two of them meet in a task.
 BUCKET_MEMBERS = 4096
 #: Coordinates of the signatures compared there, and the share of equal low bytes from which a pair is verified. At likeness
@@ -65,27 +67,35 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def with_bands(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit hash of the set (s, t) and the band keys of every row's whole text."""
+    """ROW, doc_id, n_shingles, a 128-bit hash of the set (s, t) and the band keys of every row's whole text."""
 
     def make() -> Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]:
         def each(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-            texts = as_bytes(batch.column(1))
+            texts = as_bytes(batch.column(2))
             for begin, some in chunked(texts, 1 << 18):
                 hashes, counts = shingle_sets(some)
                 n = len(some)
-                s, t, bands = np.zeros(n, np.uint64), np.zeros(n, np.uint64), [[]] * n
+                bands, (s, t) = [[]] * n, set_hashes(hashes, counts)
                 full = np.flatnonzero(counts)
                 if len(full):
-                    starts = (np.cumsum(counts) - counts)[full]
-                    s[full] = np.add.reduceat(mix(hashes), starts)
-                    t[full] = np.add.reduceat(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), starts)
-                    for i, keys in zip(full.tolist(), band_keys(signatures(hashes, starts)), strict=True):
+                    for i, keys in zip(full.tolist(), band_keys(signatures(hashes, (np.cumsum(counts) - counts)[full])), strict=True):
                         bands[i] = keys
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, n), pa.array(counts, pa.int64()), pa.array(s.view(np.int64)), pa.array(t.view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "s", "t", "bands"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(begin, n) for i in range(2)), pa.array(counts, pa.int64()), pa.array(s), pa.array(t), pa.array(bands, pa.list_(pa.int64()))], ["row", "doc_id", "n_shingles", "s", "t", "bands"])
 
         return each
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), make, "doc_id long, n_shingles long, s long, t long, bands array<long>")
+    schema = "row struct<f: long, i: long>, doc_id long, n_shingles long, s long, t long, bands array<long>"
+    return map_batches(docs.select(F.col(ROW).alias("row"), F.col("doc_id").cast("long"), "text"), make, schema)
+
+
+def set_hashes(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set, 0 for an empty one."""
+    s, t, full = np.zeros(len(counts), np.uint64), np.zeros(len(counts), np.uint64), np.flatnonzero(counts)
+    if len(full):
+        starts = (np.cumsum(counts) - counts)[full]
+        s[full] = np.add.reduceat(mix(hashes), starts)
+        t[full] = np.add.reduceat(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), starts)
+    return s.view(np.int64), t.view(np.int64)
 
 
 def _alike(a: Column, b: Column) -> Column:
@@ -94,81 +104,75 @@ def _alike(a: Column, b: Column) -> Column:
 
 
 def star_units(pairs: DataFrame) -> DataFrame:
-    """Verification units of distinct pairs (hub, member): a hub's members spread over as many units as it takes."""
-    units = pairs.groupBy("hub").agg(F.ceil(F.count("*") / UNIT_MEMBERS).alias("units"))
-    unit = F.xxhash64("hub", F.pmod(F.xxhash64("member"), "units"))
-    return pairs.join(units, "hub").select(unit.alias("unit"), "hub", F.array("member").alias("members"))
+    """Verification units (unit, hub, member) of distinct pairs (hub, member, m), m being the size of the largest bucket that they share.
+
+    Members go to as many units as their bucket takes, told from the pair alone, so a hub
+    with any number of members is never gathered: pairs of buckets of up to 2^k times
+    UNIT_MEMBERS spread over 2^k units, and a hub has at most BANDS such buckets.
+    """
+    level = F.greatest(F.ceil(F.log2(F.col("m") / UNIT_MEMBERS)), F.lit(0))
+    return pairs.select(F.xxhash64("hub", level, F.pmod(F.xxhash64("member"), F.pow(F.lit(2), level).cast("long"))).alias("unit"), "hub", "member")
 
 
 def verify(units: DataFrame, texts: DataFrame) -> DataFrame:
-    """The links among units (unit, hub, members): pairs (a, b) whose full sets have 100 * intersection >= 75 * union.
+    """The links among units (unit, hub, member), one hub in each: pairs (a, b) whose full sets have 100 * intersection >= 75 * union.
 
-    A class is struct (d, s): its smallest doc_id and its set's hash; texts has (node,
-    text). A unit's texts come to its task once each, whatever the number of its pairs;
-    a task holds the sets of one unit.
+    A class is the two hashes of its set; texts has (node, text). In a unit's task the
+    hub comes first and each member is compared as it comes, so a task holds two sets.
     """
-    need = units.select("unit", F.explode(F.array_union(F.array("hub"), "members")).alias("node")).distinct()
-    none = F.lit(None).cast("array<long>")
-    own = need.join(texts, "node").select("unit", F.lit(0).alias("role"), F.col("node.d").alias("d"), F.col("node.s").alias("s"), "text", none.alias("md"), none.alias("ms"))
-    rows = own.unionByName(units.select("unit", F.lit(1).alias("role"), F.col("hub.d").alias("d"), F.col("hub.s").alias("s"), F.lit(None).cast("string").alias("text"), F.col("members.d").alias("md"), F.col("members.s").alias("ms")))
+    hubs = units.select("unit", F.col("hub").alias("node"), F.lit(0).alias("role")).distinct()
+    rows = hubs.unionByName(units.select("unit", F.col("member").alias("node"), F.lit(1).alias("role"))).join(texts, "node")
+    rows = rows.select("unit", "role", F.col("node.s").alias("s"), F.col("node.t").alias("t"), "text")
     rows = rows.repartition(parts(units.sparkSession), "unit").sortWithinPartitions("unit", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, {}
+        at, hub, who = None, np.zeros(0, np.uint64), (0, 0)
         for batch in batches:
-            unit, role, d, s = (batch.column(i).to_pylist() for i in range(4))
-            md, ms = batch.column(5).to_pylist(), batch.column(6).to_pylist()
+            unit, role, s, t = (batch.column(i).to_pylist() for i in range(4))
             out = []
             for begin, some in chunked(as_bytes(batch.column(4))):
                 hashes, counts = shingle_sets(some)
-                sums, ends = mix(hashes), np.cumsum(counts).tolist()
+                ends = np.cumsum(counts).tolist()
                 for i, end in enumerate(ends, begin):
-                    if unit[i] != at:
-                        at, held = unit[i], {}
+                    mine = hashes[end - counts[i - begin] : end]
                     if role[i] == 0:
-                        span = slice(end - counts[i - begin], end)
-                        if int(sums[span].sum(dtype=np.uint64).astype(np.int64)) == s[i]:  # else another text under the same doc_id
-                            held[d[i], s[i]] = hashes[span]
-                        continue
-                    hub = held.get((d[i], s[i]))
-                    for other in zip(md[i], ms[i], strict=True):
-                        mine = held.get(other)
-                        if hub is None or mine is None:
-                            continue
+                        at, hub, who = unit[i], mine, (s[i], t[i])
+                    elif unit[i] == at:
                         both = int((hub[np.minimum(np.searchsorted(hub, mine), len(hub) - 1)] == mine).sum())
                         if 100 * both >= 75 * (len(hub) + len(mine) - both):
-                            out.append((d[i], s[i], *other))
+                            out.append((*who, s[i], t[i]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b", "d", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b", "s", "t"])
 
-    found = rows.mapInArrow(run, "a long, b long, d long, s long")
-    return found.select(F.struct(F.col("a").alias("d"), F.col("b").alias("s")).alias("a"), F.struct("d", "s").alias("b"))
+    found = rows.mapInArrow(run, "a long, b long, s long, t long")
+    return found.select(F.struct(F.col("a").alias("s"), F.col("b").alias("t")).alias("a"), F.struct("s", "t").alias("b"))
 
 
-def _labels(links: DataFrame) -> DataFrame:
+def _labels(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) of linked classes after three steps towards the smallest node reachable: all that deciding what to compare next needs."""
     both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    one = saved(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("component")), "labels")
+    one = scratch.saved(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("component")), "labels")
     for _ in range(2):
         up = one.select(F.col("node").alias("component"), F.col("component").alias("up"))
         one = one.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
     return one
 
 
-def _mixed(rows: DataFrame, comps: DataFrame) -> DataFrame:
+def _mixed(rows: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFrame:
     """Bucket rows with their component, of buckets that hold more than one."""
     held = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    per = held.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("key")
-    return saved(held.join(per, "key", "left_semi"), "mixed")
+    held = scratch.saved(held, "held")
+    per = held.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("c")).where("least <> most").select("key", "c")
+    return scratch.saved(spread_join(held, scratch.saved(per, "per"), "key", "c"), "mixed")
 
 
-def _further_star(mixed: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs of each bucket's most linked class with the bucket's classes in other components."""
+def _further_star(mixed: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (hub, member, m) of each bucket's most linked class with the bucket's classes in other components."""
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
     known = mixed.join(ends.groupBy("node").agg(F.count("*").alias("degree")), "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    hub = known.groupBy("key").agg(F.max_by(F.struct("node", "n", "comp"), F.struct("degree", "node")).alias("hub"))
-    pairs = mixed.join(hub, "key").where((F.col("comp") != F.col("hub.comp")) & _alike(F.col("hub.n"), F.col("n")))
-    return pairs.select(F.col("hub.node").alias("hub"), F.col("node").alias("member")).distinct()
+    hub = known.groupBy("key").agg(F.max_by(F.struct("node", "n", "comp"), F.struct("degree", "node")).alias("hub"), F.count("*").alias("m"), F.count("*").alias("c"))
+    pairs = spread_join(mixed, scratch.saved(hub, "hubs"), "key", "c").where((F.col("comp") != F.col("hub.comp")) & _alike(F.col("hub.n"), F.col("n")))
+    return pairs.groupBy(F.col("hub.node").alias("hub"), F.col("node").alias("member")).agg(F.max("m").alias("m"))
 
 
 def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
@@ -181,23 +185,18 @@ def _long_signatures(texts: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def make() -> Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]:
         def each(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-            known = batch.column(1).to_pylist()
-            for begin, some in chunked(as_bytes(batch.column(2)), 1 << 18):
+            for begin, some in chunked(as_bytes(batch.column(1)), 1 << 18):
                 hashes, counts = shingle_sets(some)
-                starts = np.cumsum(counts) - counts
-                right = np.flatnonzero(np.add.reduceat(mix(hashes), starts).astype(np.int64) == np.array(known[begin : begin + len(some)]))
-                low = signatures(hashes, starts, LONG).astype(np.uint8)
-                columns = [batch.column(i).slice(begin, len(some)).take(pa.array(right)) for i in range(2)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([low[i].tobytes() for i in right.tolist()], pa.binary())], ["d", "s", "low"])
+                low = signatures(hashes, np.cumsum(counts) - counts, LONG).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(some)), pa.array([x.tobytes() for x in low], pa.binary())], ["node", "low"])
 
         return each
 
-    rows = texts.where("trim(text) <> ''").join(nodes.distinct(), "node").select("node.d", "node.s", "text")
-    return map_batches(rows, make, "d long, s long, low binary").select(F.struct("d", "s").alias("node"), "low")
+    return map_batches(texts.join(nodes.distinct(), "node").select("node", "text"), make, "node struct<s: long, t: long>, low binary")
 
 
 def _close(key: int, bucket: list[tuple], comps: np.ndarray, left: int, inside: bool) -> Iterator[tuple]:
-    """(a, b, d, s) of rows (d, s, n, low, bands) in different components whose sizes and signatures are close.
+    """(a, b, s, t) of rows (s, t, n, low, bands) in different components whose sizes and signatures are close.
 
     The first `left` rows are compared with the others, and with each other too if
     `inside`. Rows that share an earlier band meet there and not here.
@@ -217,7 +216,7 @@ def _close(key: int, bucket: list[tuple], comps: np.ndarray, left: int, inside:
             yield *bucket[i][:2], *bucket[k][:2]
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
+def _dealt(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """Bucket rows (key, node, comp) dealt to comparing tasks (key, i, j), with their side there.
 
     Rows of a bucket's largest component are linked already; only the others, the
@@ -229,7 +228,8 @@ def _dealt(rows: DataFrame) -> DataFrame:
     half, comps = BUCKET_MEMBERS / 2, rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
     per = comps.groupBy("key").agg(F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("most")).where("m > most.c")
     blocks = F.ceil((F.col("m") - F.col("most.c")) / half).cast("int").alias("outer"), F.ceil(F.col("most.c") / half).cast("int").alias("inner")
-    cut = rows.join(per.select("key", (F.col("m") <= BUCKET_MEMBERS).alias("whole"), F.col("most.comp").alias("main"), *blocks), "key").withColumn("linked", F.col("comp") == F.col("main"))
+    per = scratch.saved(per.select("key", (F.col("m") <= BUCKET_MEMBERS).alias("whole"), F.col("most.comp").alias("main"), *blocks, "m"), "per")
+    cut = spread_join(rows, per, "key", "m").withColumn("linked", F.col("comp") == F.col("main"))
     cut = cut.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("linked"), F.col("inner")).otherwise(F.col("outer"))).cast("int"))
 
     def task(i: Column, j: Column, side: Column) -> Column:
@@ -241,14 +241,14 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return cut.select("key", "node", "comp", F.explode(met).alias("t")).select("key", "t.i", "t.j", "t.side", "node", "comp")
 
 
-def _rest(rows: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (hub, member) of bucket rows (key, node, comp) in different components that look alike.
+def _rest(rows: DataFrame, classes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (hub, member, m) of bucket rows (key, node, comp) in different components that look alike.
 
     classes has (node, n, bands). The rows of a comparing task stream through it; it
     compares their signatures and hands on what is close.
     """
     n = parts(rows.sparkSession)
-    classes = saved(classes.join(_long_signatures(texts, rows.select("node")), "node"), "signed")
+    classes = scratch.saved(classes.join(_long_signatures(texts, rows.select("node")), "node"), "signed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, held, comps, left = None, [], [], 0
@@ -257,51 +257,79 @@ def _rest(rows: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
             codes = {c: i for i, c in enumerate(dict.fromkeys(comps))}
             found = list(_close(task[0], held, np.array([codes[c] for c in comps]), left, task[1] == task[2])) if len(codes) > 1 else []
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b", "d", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b", "s", "t"])
 
         for batch in batches:
-            for k, i, j, side, d, s, cd, cs, m, low, bands in zip(*(batch.column(i).to_pylist() for i in range(11)), strict=True):
+            for k, i, j, side, s, t, cs, ct, m, low, bands in zip(*(batch.column(i).to_pylist() for i in range(11)), strict=True):
                 if (k, i, j) != task:
                     yield from close()
                     task, held, comps, left = (k, i, j), [], [], 0
-                held.append((d, s, m, low, bands))
-                comps.append((cd, cs))
+                held.append((s, t, m, low, bands))
+                comps.append((cs, ct))
                 left += side == 0
         yield from close()
 
-    full = _dealt(rows).join(classes, "node").select("key", "i", "j", "side", F.col("node.d").alias("d"), F.col("node.s").alias("s"), F.col("comp.d").alias("cd"), F.col("comp.s").alias("cs"), "n", "low", "bands")
-    made = full.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(run, "a long, b long, d long, s long")
-    pairs = made.distinct().select(F.struct(F.col("a").alias("d"), F.col("b").alias("s")).alias("hub"), F.struct("d", "s").alias("member"))
-    return saved(pairs, "pairs")
+    full = _dealt(rows, scratch).join(classes, "node").select("key", "i", "j", "side", F.col("node.s").alias("s"), F.col("node.t").alias("t"), F.col("comp.s").alias("cs"), F.col("comp.t").alias("ct"), "n", "low", "bands")
+    made = full.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(run, "a long, b long, s long, t long")
+    pairs = made.distinct().select(F.struct(F.col("a").alias("s"), F.col("b").alias("t")).alias("hub"), F.struct("s", "t").alias("member"), F.lit(REST_UNITS * UNIT_MEMBERS).alias("m"))
+    return scratch.saved(pairs, "pairs")
+
 
+def judged(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """ROW, doc_id, n_shingles, component_id, kept and first of every row of docs (doc_id, text), as a table.
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+    first marks one row of each component: the one of the smallest doc_id, the first of
+    those if it repeats. Other columns are as near_duplicates says.
+    """
+    docs = (with_row(docs.select("doc_id", "text"), None) if row is None else with_row(docs, row)).select(ROW, "doc_id", "text")
+    with Scratch(docs.sparkSession) as scratch:
+        sets = scratch.saved(with_bands(docs), "sets")
+        best = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row")
+        node = F.struct("s", "t").alias("node")
+        classes = scratch.saved(sets.where("n_shingles > 0").groupBy("s", "t").agg(F.min(best).alias("best"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")).select(node, "best", "n", "bands"), "classes")
+        rows = classes.select("node", "n", F.explode("bands").alias("key"))
+        hubs = rows.groupBy("key").agg(F.count("*").alias("m"), F.count("*").alias("c"), F.min(F.struct("node", "n")).alias("hub")).where("m > 1")
+        multi = scratch.saved(spread_join(rows, scratch.saved(hubs, "hubs"), "key", "c"), "buckets")
+        star = multi.where((F.col("hub.node") != F.col("node")) & _alike(F.col("hub.n"), F.col("n"))).groupBy(F.col("hub.node").alias("hub"), F.col("node").alias("member")).agg(F.max("m").alias("m"))
+        star = scratch.saved(star, "star")
+        wanted = multi.select("node").distinct().join(classes, "node").select("node", F.col("best.row").alias(ROW))
+        texts = scratch.saved(docs.select(ROW, "text").hint("merge").join(wanted, ROW).select("node", "text"), "texts")
+        links = scratch.saved(verify(star_units(star), texts), "links")
+        rows = multi.select("key", "node", "n")
+        second = scratch.saved(_untried(_further_star(_mixed(rows, _labels(links, scratch), scratch), links, scratch), star), "star")
+        links = links.unionByName(scratch.saved(verify(star_units(second), texts), "links"))
+        rest = _rest(_mixed(rows, _labels(links, scratch), scratch).select("key", "node", "comp"), classes.select("node", "n", "bands"), texts, scratch)
+        links = links.unionByName(scratch.saved(verify(star_units(rest), texts), "links"))
+        comps = connected_components(links, scratch)
+        linked = classes.select("node", "best").join(comps, "node")
+        least = linked.groupBy("component").agg(F.min("best").alias("least"), F.count("*").alias("n"))
+        of = spread_join(linked.select("node", "component"), scratch.saved(least, "least"), "component", "n").select("node", "least")
+        of = classes.select("node", "best").join(of, "node", "left").select("node.s", "node.t", F.coalesce("least", "best").alias("least"))
+        out = sets.select("row", "doc_id", "n_shingles", "s", "t").join(of, ["s", "t"], "left").withColumn("least", F.coalesce("least", best))
+        component = F.col("least.doc_id").alias("component_id")
+        return saved(out.select(F.col("row").alias(ROW), "doc_id", "n_shingles", component, F.col("doc_id").eqNullSafe(F.col("least.doc_id")).alias("kept"), (F.col("row") == F.col("least.row")).alias("first")), "judged")
+
+
+def near_duplicates(docs: DataFrame, row: Column | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text).
 
     Lower-case A-Z; a set is the distinct shingles of five words, or the whole sequence
     of fewer; a null, empty or blank text has none and is linked with nothing. Links join
     sets with 100 * intersection >= 75 * union; component_id is the smallest doc_id
     reachable, and kept says that it is the row's own. Rows of equal doc_id are judged
-    each by its own text. An empty table gives no rows.
+    each by its own text. A row of null doc_id is linked like any other; component_id is
+    null only where all rows of a component have none. An empty table gives no rows.
+    `row` tells rows apart (see file_row); without it docs is written first.
+    """
+    return judged(docs, row).drop(ROW, "first")
+
+
+def one_of_each(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """The rows of docs (doc_id, text and any other columns) without near copies: one row of each component stays.
+
+    That is the row of the smallest doc_id, null ids last; of equal ids one. Rows without
+    words are linked with nothing, so all of them stay. An empty table gives no rows.
     """
-    sets = saved(with_bands(docs), "sets")
-    classes = sets.where("n_shingles > 0").groupBy("s", "t").agg(F.min("doc_id").alias("d"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    classes = saved(classes, "classes")
-    node = F.struct("d", "s").alias("node")
-    rows = classes.select(node, "n", F.explode("bands").alias("key"))
-    hubs = rows.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("node", "n")).alias("hub")).where("m > 1")
-    multi = saved(rows.join(hubs, "key").drop("m"), "buckets")
-    star = multi.where((F.col("hub.node") != F.col("node")) & _alike(F.col("hub.n"), F.col("n"))).select(F.col("hub.node").alias("hub"), F.col("node").alias("member")).distinct()
-    star = saved(star, "star")
-    wanted = multi.select("node").distinct().select("node", F.col("node.d").alias("doc_id"))
-    texts = saved(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id").select("node", "text"), "texts")
-    links = saved(verify(star_units(star), texts), "links")
-    rows = multi.select("key", "node", "n")
-    second = saved(_untried(_further_star(_mixed(rows, _labels(links)), links), star), "star")
-    links = links.unionByName(saved(verify(star_units(second), texts), "links"))
-    rest = _rest(_mixed(rows, _labels(links)).select("key", "node", "comp"), classes.select(node, "n", "bands"), texts)
-    comps = connected_components(links.unionByName(verify(star_units(rest), texts)))
-    final = classes.select("s", "t", "d", node).join(comps, "node", "left").select("s", "t", F.coalesce("component.d", "d").alias("c"))
-    out = sets.select("doc_id", "n_shingles", "s", "t").join(final, ["s", "t"], "left")
-    component = F.coalesce("c", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    own = with_row(docs, row)
+    keep = judged(own, F.col(ROW)).where("first").select(ROW)
+    return own.hint("merge").join(keep, ROW, "left_semi").select(docs.columns)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import fingerprints, language_model, mixing, near_dedup, packing, quality_rules, rans, separator_scan, sharding, url_filter
-from tickloom.llm.common import new_folder, table
+from tickloom.llm.common import file_row, new_folder, table
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -35,7 +35,8 @@ def op4_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return near_dedup.near_duplicates(docs, file_row(docs))
 
 
 def op6_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +60,7 @@ def op9_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
-    return out.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
+    return out.select("doc_id", "judged.*")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,8 +75,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 OP9_SQL = r"""WITH RECURSIVE own AS (SELECT DISTINCT url, html FROM pages WHERE url IS NOT NULL),
-bare AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '([?&])(?:(?:utm_[a-z]+|ref|fbclid|gclid)=[^&]*(?:&|$))+', '\1', 'g'), '[?&]$', ''), '^(?i:https?)://(?i:www\.|m\.)?', 'https://'), '(?:/index)?(?:\.html?)?/?(\?|$)', '\1', 'g') AS canonical,
-  regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel=["'']?canonical\b[^>]*>'), '(?is)\bhref=["'']?([a-z]+://[^"''\s>]+)', 1) AS link, regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv=["'']?refresh\b[^>]*>'), '(?is)\burl=["'']?([a-z]+://[^"''\s>]+)', 1) AS refresh FROM own WHERE contains(url, '://')),
+bare AS (SELECT *, translate(regexp_extract(short, '(?s)^.*?://[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || substr(short, length(regexp_extract(short, '(?s)^.*?://[^/?#]*')) + 1) AS canonical FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '([?&])(?:(?:utm_[a-z]+|ref|fbclid|gclid)=[^&]*(?:&|$))+', '\1', 'g'), '[?&]$', ''), '^(?i:https?)://(?i:www\.|m\.)?', 'https://'), '(?:/index)?(?:\.html?)?/?(\?|$)', '\1', 'g') AS short,
+  regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel=["'']?canonical\b[^>]*>'), '(?is)\bhref=["'']?([a-z]+://[^"''\s>]+)', 1) AS link, regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv=["'']?refresh\b[^>]*>'), '(?is)\burl=["'']?([a-z]+://[^"''\s>]+)', 1) AS refresh FROM own WHERE contains(url, '://'))),
 edge AS (SELECT DISTINCT url AS a, b FROM (SELECT url, unnest([canonical, link, refresh]) AS b FROM bare) WHERE b <> '' AND b <> url),
 sides AS MATERIALIZED (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
 reach(url, node) AS (SELECT DISTINCT a, a FROM sides UNION SELECT r.url, s.b FROM reach r JOIN sides s ON s.a = r.node),
