@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import saved
+from tickloom.llm.common import AT, ROW, Scratch, saved, with_row
 
 #: Fractional documents that one group rounds, on average, and survivors that meet in one node of the tree.
 GROUP_ROWS = 8192
@@ -85,7 +85,7 @@ def pivot(keys: np.ndarray, sizes: np.ndarray, shares: np.ndarray, seed: int) ->
     return out, open_
 
 
-def rounded(rows: DataFrame, by: str, seed: int, group_rows: int = GROUP_ROWS) -> DataFrame:
+def rounded(rows: DataFrame, by: str, seed: int, scratch: Scratch, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(row, extra) with extra 0 or 1 for rows of (row, key, by, size, share) with 0 < share < 1 and size > 0.
 
     row tells rows apart; key, a hash of what a row holds, settles order and draws.
@@ -111,7 +111,7 @@ def rounded(rows: DataFrame, by: str, seed: int, group_rows: int = GROUP_ROWS) -
 
     while True:
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in level.schema) + ", open boolean"
-        done = saved(level.groupBy(by, "grp").applyInPandas(work, schema), "rounded")
+        done = scratch.saved(level.groupBy(by, "grp").applyInPandas(work, schema), "rounded")
         final = done.where("not open").select("row", F.col("share").cast("int").alias("extra"))
         made = final if made is None else made.unionByName(final)
         rest = done.where("open").drop("open")
@@ -121,17 +121,18 @@ def rounded(rows: DataFrame, by: str, seed: int, group_rows: int = GROUP_ROWS) -
 
 
 def _copies(docs: DataFrame, keep: Column, weights: tuple[int, ...], seed: int, group_rows: int) -> DataFrame:
-    """(kept, size, source_size, target, copies) of every row."""
-    narrow = docs.select(keep.alias("kept"), "source", n_words().alias("size"), F.xxhash64("doc_id", "source", "text").alias("key"))
-    narrow = saved(narrow.withColumn("row", F.monotonically_increasing_id()), "sized")
-    per = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights).withColumnRenamed("source", "__source")
-    per = saved(per, "targets")
-    all_ = narrow.join(per, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    mean = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    all_ = all_.withColumn("whole", F.floor(mean + 1e-12)).withColumn("share", F.greatest(mean - F.floor(mean + 1e-12), F.lit(0.0)))
-    extra = rounded(all_.where("share > 0").select("row", "key", "source", "size", "share"), "source", seed, group_rows)
-    out = all_.join(extra, "row", "left")
-    return out.select("kept", "size", "source_size", "target", (F.col("whole") + F.coalesce("extra", F.lit(0))).alias("copies"))
+    """(kept, size, source_size, target, copies) of every row, as a table."""
+    with Scratch(docs.sparkSession) as scratch:
+        narrow = docs.select(keep.alias("kept"), "source", n_words().alias("size"), F.xxhash64("doc_id", "source", "text").alias("key"))
+        narrow = scratch.saved(narrow.withColumn("row", F.monotonically_increasing_id()), "sized")
+        per = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights).withColumnRenamed("source", "__source")
+        per = scratch.saved(per, "targets")
+        all_ = narrow.join(per, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+        mean = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+        all_ = all_.withColumn("whole", F.floor(mean + 1e-12)).withColumn("share", F.greatest(mean - F.floor(mean + 1e-12), F.lit(0.0)))
+        extra = rounded(all_.where("share > 0").select("row", "key", "source", "size", "share"), "source", seed, scratch, group_rows)
+        out = all_.join(extra, "row", "left")
+        return saved(out.select("kept", "size", "source_size", "target", (F.col("whole") + F.coalesce("extra", F.lit(0))).alias("copies")), "copies")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 29, keep: list[str] | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -140,13 +141,24 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 29, k
     Size is the number of words, 0 for a null text; a row without words is never taken.
     Rows of equal doc_id and text are rounded each on their own, by their order. An empty
     table gives no rows. The draws come from hashes of what a row holds, so reruns agree
-    whatever the partitions.
+    whatever the partitions. A kept column that is named like one of these four is
+    refused.
     """
-    out = _copies(docs, F.struct(*(keep or ["doc_id"])), weights, seed, group_rows)
+    keep = keep or ["doc_id"]
+    if clash := {"size", "source_size", "target", "taken"}.intersection(c.lower() for c in keep):
+        raise ValueError(f"columns of the result cannot be kept too: {sorted(clash)}")
+    out = _copies(docs, F.struct(*keep), weights, seed, group_rows)
     return out.select("kept.*", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def take(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 29, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """The mix itself: each row of docs, with all of its columns, as often as it is taken."""
-    out = _copies(docs, F.struct(*docs.columns), weights, seed, group_rows)
-    return out.select("kept", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("kept.*")
+def take(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 29, group_rows: int = GROUP_ROWS, row: Column | None = None) -> DataFrame:
+    """The mix itself: each row of docs, with all of its columns whatever their names, as often as it is taken.
+
+    Nulls, repeated rows and empty tables as in mix. Only row keys, sizes and sources are
+    drawn upon; the documents move once, to their copies. `row` tells rows apart (see
+    file_row); without it docs is written first.
+    """
+    own = with_row(docs, row)
+    copies = _copies(own, F.struct(ROW), weights, seed, group_rows).where("copies > 0").select(F.col(f"kept.{ROW}").alias(ROW), F.col("copies").alias(AT))
+    taken = own.hint("merge").join(copies, ROW)
+    return taken.withColumn(AT, F.explode(F.array_repeat(F.lit(0), F.col(AT).cast("int")))).select(docs.columns)
