@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom.llm import mixing, quality_rules, sharding, url_filter
 from tickloom.llm.queries import URL_RULES
@@ -27,7 +28,7 @@ def plain_counts(text):
 @pytest.mark.parametrize("which", ["documents", "odd_docs"])
 def test_counts(request, which):
     docs = request.getfixturevalue(which)
-    got = sorted(tuple(r) for r in quality_rules.with_counts(docs, ["doc_id"]).collect())
+    got = sorted((r.doc_id, *r.counts) for r in quality_rules.with_counts(docs, ["doc_id"]).collect())
     assert got == sorted((r.doc_id, *plain_counts(r.text)) for r in docs.collect())
 
 
@@ -45,7 +46,7 @@ def test_list_learns_planted_rules():
 
 def test_verdicts_on_documents_keep_clean_text(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    got = quality_rules.judged(docs, labels, ["doc_id"]).join(labels.where("doc_id % 2 = 0"), "doc_id").toPandas()
+    got = quality_rules.judged(docs, labels, ["doc_id"]).select("doc_id", "judged.*").join(labels.where("doc_id % 2 = 0"), "doc_id").toPandas()
     sound = got[~got.base_failed]
     assert sound[sound.quality == 1].kept.mean() > 0.97
     assert sound[sound.quality == 0].kept.mean() < 0.5
@@ -55,11 +56,38 @@ def test_quality_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(0, 1, 0), (3, 0, None), (9, None, 1)], "doc_id long, quality int, toxic int")
     rows = quality_rules.judged(odd_docs, labels, odd_docs.columns).collect()
     assert len(rows) == odd_docs.count()
-    assert not any(r.kept for r in rows if r.text is None or not r.text.strip())
+    assert not any(r.judged.kept for r in rows if r.text is None or not r.text.strip())
+    named = odd_docs.select("doc_id", "text", F.lit("x").alias("n_words"), F.lit(1).alias("kept"), F.lit(2).alias("c0"), F.struct(F.lit(3).alias("base failed")).alias("base_failed"))
+    assert sorted(map(str, quality_rules.judged(named, labels, named.columns, into="out").select("out.*").collect())) == sorted(str(r.judged) for r in rows)
+    assert quality_rules.judged(named, labels, named.columns, into="out").columns == [*named.columns, "out"]
     assert quality_rules.judged(no_docs, labels, ["doc_id"]).count() == 0
     assert quality_rules.judged(odd_docs, labels.limit(0), ["doc_id"]).count() == len(rows)
 
 
+def test_the_conditional_expression_equals_the_rules(spark, documents):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rules = quality_rules.learn_rules(*quality_rules.labelled_rows(docs, labels))
+    assert rules
+    measured = quality_rules.with_counts(docs, ["doc_id"]).select("doc_id", "counts.*")
+    got = measured.select("n_words", "n_repeat_words", *(F.expr(x).alias(f"m_{m}") for m, x in quality_rules.MEASURES.items()), quality_rules.verdict(rules).alias("kept")).toPandas()
+    rejected = np.zeros(len(got), bool)
+    for rule in rules:
+        rejected |= rule.holds({m: got[f"m_{m}"].to_numpy() for m in quality_rules.MEASURES})
+    assert rejected.any() and (rejected == ~got.kept).all()
+    judged = quality_rules.judged(docs, labels, ["doc_id"]).select("doc_id", "judged.*").toPandas()
+    failed = (got.n_words < 50) | (100 * got.n_repeat_words > 50 * got.n_words)
+    assert judged.kept.sum() == (got.kept & ~failed).sum() and judged.base_failed.sum() == failed.sum()
+
+
+def test_one_id_on_many_labelled_rows_counts_once(spark, odd_docs):
+    labels = spark.createDataFrame([(0, 1), (0, 0), (6, 1), (None, 1), (9, None)], "doc_id long, quality int")
+    many = odd_docs.unionByName(odd_docs.where("doc_id = 0")).unionByName(odd_docs.where("doc_id = 6"))
+    values, good, keys = quality_rules.labelled_rows(many, labels)
+    assert sorted(zip(values["n_words"], good, strict=True)) == [(2, True), (60, False)]
+    assert len(keys) == 2
+
+
 def plain_url(url):
     m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
     return (re.sub("[A-Z]", lambda x: x[0].lower(), m[1]), m[2]) if m else ("", "")
@@ -173,6 +201,14 @@ def test_mix_meets_targets(request, which):
         assert all(r.size == len(WORD.findall(r.text or "")) and 0 <= r.taken <= 3 * r.size for r in own)
         assert abs(sum(r.taken for r in own) - want[source]) <= max(r.size for r in own)
     assert mixing.mix(docs.limit(0)).count() == 0
+    if which == "odd_docs":
+        with pytest.raises(ValueError, match="size"):
+            mixing.mix(docs, keep=["doc_id", "SIZE"])
+        taken = mixing.take(docs, group_rows=5)
+        assert taken.columns == docs.columns
+        copies = Counter(r.text for r in taken.collect())
+        assert copies == {t: n for t, n in sum((Counter({r.text: r.taken // r.size}) for r in got if r.size), Counter()).items() if n}
+        assert mixing.take(docs.limit(0)).count() == 0
 
 
 def test_targets_with_stopped_sources(spark):

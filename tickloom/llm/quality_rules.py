@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tickloom.llm.common import as_bytes, chunked, map_batches, saved
+from tickloom.llm.common import as_bytes, chunked, map_batches
 from tickloom.llm.words import mix, windows, words_of
 
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
@@ -62,21 +63,27 @@ def text_counts(texts: list[bytes]) -> list[np.ndarray]:
     return [w.count, chars, symbols, lines, repeats]
 
 
-def with_counts(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns `keep` of docs and the counts of each row's whole text; a null text has no words."""
-    kept = docs.select(*keep, F.col(text).alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__text"), *(f"{c} long" for c in COUNTS)])
+def _counted(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns `keep` of docs (text, ...) under the names c0, c1, ..., which no count has, and the counts of each row's whole text."""
+    kept = docs.select(*keep, *([] if "text" in keep else ["text"]))
+    at = kept.columns.index("text")
+    schema = StructType([*(StructField(f"c{i}", f.dataType) for i, f in enumerate(kept.schema.fields[: len(keep)])), *(StructField(c, LongType()) for c in COUNTS)])
 
     def make() -> Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]:
         def each(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-            texts = as_bytes(batch.column(len(keep)))
-            for begin, some in chunked(texts):
+            for begin, some in chunked(as_bytes(batch.column(at))):
                 sums = [pa.array(x, pa.int64()) for x in text_counts(some)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(begin, len(some)) for i in range(len(keep))), *sums], [*keep, *COUNTS])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(begin, len(some)) for i in range(len(keep))), *sums], schema.names)
 
         return each
 
-    return map_batches(kept, make, schema)
+    return map_batches(kept.toDF(*(f"c{i}" for i in range(len(kept.columns)))), make, schema)
+
+
+def with_counts(docs: DataFrame, keep: list[str], into: str = "counts") -> DataFrame:
+    """The columns `keep` of docs (text, ...) and, in one column `into`, the counts of each row's whole text; a null text has no words."""
+    found = _counted(docs, keep)
+    return found.select(*found.columns[: len(keep)], F.struct(*COUNTS)).toDF(*keep, into)
 
 
 @dataclass
@@ -191,24 +198,32 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(True) if out is None else out.otherwise(True)
 
 
-def labelled_rows(stats: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-    """Measures, labels and keys of about `rows` labelled documents at most for the driver; a null label does not count."""
-    names = list(MEASURES)
-    joined = stats.join(labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id")
-    joined = joined.select("quality", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("key"), *(F.expr(MEASURES[m]).alias(m) for m in names))
-    cut = int((1 << 40) * min(1.0, rows / max(1, joined.count())))
-    got = joined.where(F.col("key") < cut).toPandas().sort_values(["key", *names], kind="stable")
-    return {m: got[m].to_numpy(float) for m in names}, got["quality"].to_numpy() > 0, got["key"].to_numpy(np.int64)
-
+def labelled_rows(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Measures, labels and keys of documents of about `rows` labelled ids at most, for the driver.
 
-def judged(docs: DataFrame, labels: DataFrame, keep: list[str], rows: int = LABELLED_ROWS) -> DataFrame:
-    """Counts, base_failed and kept of every document, the list being learned from labels (doc_id, quality).
-
-    A null or empty text has no words and fails the base rule. Without labels the list
-    is empty and the base rule alone decides. Rows of equal doc_id are judged each by
-    its own text. `keep` names the columns of docs to carry, doc_id among them.
+    A null label or id does not count; of repeated labels the least counts, and of rows
+    that repeat an id the one of the least measures. The ids drawn are so few that they
+    can be broadcast, so no text moves.
+    """
+    own = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).withColumn("key", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
+    cut = int((1 << 40) * min(1.0, rows / max(1, own.count())))
+    drawn = docs.select("doc_id", "text").join(F.broadcast(own.where(F.col("key") < cut)), "doc_id")
+    measured = with_counts(drawn, ["doc_id", "quality", "key"]).select("quality", "key", "counts.*")
+    got = measured.groupBy("key", "quality").agg(F.min(F.struct(*(F.expr(x).alias(m) for m, x in MEASURES.items()))).alias("m")).select("key", "quality", "m.*").toPandas().sort_values("key", kind="stable")
+    return {m: got[m].to_numpy(float) for m in MEASURES}, got["quality"].to_numpy() > 0, got["key"].to_numpy(np.int64)
+
+
+def judged(docs: DataFrame, labels: DataFrame, keep: list[str], rows: int = LABELLED_ROWS, into: str = "judged") -> DataFrame:
+    """The columns `keep` of docs (doc_id, text, ...) and, in one column `into`, its counts, base_failed and kept.
+
+    The list is learned from labels (doc_id, quality). A null or empty text has no words
+    and fails the base rule. Without labels the list is empty and the base rule alone
+    decides. Rows of equal doc_id, and repeated rows, are judged each by its own text;
+    `into` must be another name than those of `keep`, which are free. An empty table
+    gives no rows.
     """
-    stats = saved(with_counts(docs, keep), "counts")
-    rules = learn_rules(*labelled_rows(stats, labels, rows))
+    rules = learn_rules(*labelled_rows(docs, labels, rows))
     failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
-    return stats.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+    found = _counted(docs, keep)
+    result = F.struct(*COUNTS, failed.alias("base_failed"), (~failed & verdict(rules)).alias("kept"))
+    return found.select(*found.columns[: len(keep)], result).toDF(*keep, into)
