@@ -13,12 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickloom.llm.common import saved
+
 BIN_BITS, BITS, SIZE = 7, 4, 5
 BINS = 1 << BIN_BITS
 #: Bins that an empty bin tries one by one before it takes the full bin that comes first in its own order of all bins.
 TRIES = 8
-#: Neighbouring documents meet in cells of ids: about so many documents each, and at most so many cells.
-CELL_ROWS, CELLS = 1000, 100_000
+#: Neighbouring documents meet in cells of ids: about so many documents each, and about so many cells at most.
+CELL_ROWS, CELLS = 1000, 65_536
 
 
 def with_fingerprint(df: DataFrame, text: str, into: str) -> DataFrame:
@@ -55,20 +57,40 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((a == "") & (b == ""), 1.0).when((a == "") | (b == ""), 0.0).otherwise(estimate)
 
 
+def with_cell(rows: DataFrame, key: str, tie: str, cell_rows: int) -> DataFrame:
+    """Adds __cell, a number that ascends with key and then tie, both 64-bit integers, null keys first; about cell_rows rows have the same.
+
+    Cells that hold more are cut by equal width between their own least and greatest key
+    (or tie, where all keys are equal) again and again, so it does not matter how keys
+    are spread; only rows that are equal in both stay together. A round's table of cells
+    has a few times CELLS rows at most.
+    """
+    goal = max(cell_rows, rows.count() // CELLS)
+    out = rows.withColumn("__cell", F.col(key).isNotNull().cast("long"))
+    for column in (key, tie):
+        while True:
+            stats = out.groupBy("__cell").agg(F.count("*").alias("n"), F.min(column).alias("__low"), F.max(column).alias("high"))
+            stats = stats.withColumn("__parts", F.when((F.col("n") > goal) & (F.col("__low") < F.col("high")), F.ceil(F.col("n") / goal)).otherwise(F.lit(1)).cast("long"))
+            stats = stats.withColumn("__base", F.sum("__parts").over(W.orderBy("__cell")) - F.col("__parts")).withColumn("__span", F.try_subtract("high", "__low"))
+            stats = saved(stats, "cells")
+            if stats.where("__parts > 1").isEmpty():
+                break
+            rough = (F.col(column).cast("double") - F.col("__low").cast("double")) / (F.col("high").cast("double") - F.col("__low").cast("double"))
+            share = F.when(F.col("__parts") == 1, 0.0).when(F.col("__span").isNull(), rough).otherwise(F.try_subtract(column, "__low") / F.col("__span"))
+            out = out.join(F.broadcast(stats.drop("n")), "__cell")
+            out = out.withColumn("__cell", F.col("__base") + F.least(F.floor(share * F.col("__parts")), F.col("__parts") - 1)).drop("__low", "high", "__parts", "__base", "__span")
+    return out
+
+
 def with_next(docs: DataFrame, key: str, columns: list[str], tie: list[str], cell_rows: int = CELL_ROWS) -> DataFrame:
     """Adds next_<column> from the next row in descending order of key; after the last row comes the first.
 
     Rows meet in cells of neighbouring keys; each cell also gets a copy of the first row
-    of the cell that follows, found in a table of at most CELLS rows. So each row moves
-    once, and a cell is one window's work. Null keys come last; equal keys follow each
-    other by a hash of the columns `tie`, equal rows in any order.
+    of the cell that follows, found in a table of all cells. So each row moves once, and
+    a cell is one window's work. Null keys come last; equal keys follow each other by a
+    hash of the columns `tie`, equal rows in any order. An empty table gives no rows.
     """
-    low, high, n = docs.agg(F.min(key), F.max(key), F.count("*")).first()
-    low, high = low or 0, high or 0
-    cells = max(1, min(CELLS, n // cell_rows))
-    width = (high - low) // cells + 1
-    cell = F.coalesce(F.expr(f"cast(({key} - {low}L) div {width}L as long)"), F.lit(-1).cast("long"))
-    placed = docs.withColumn("__cell", cell).withColumn("__tie", F.xxhash64(*tie))
+    placed = with_cell(docs.withColumn("__tie", F.xxhash64(*tie)), key, "__tie", cell_rows)
     lead = placed.groupBy("__cell").agg(F.max(F.struct(key, "__tie")).alias("top"))
     down = W.orderBy(F.col("__cell").desc())
     lead = lead.withColumn("to", F.coalesce(F.lag("__cell").over(down), F.min("__cell").over(W.partitionBy())))
@@ -81,8 +103,13 @@ def with_next(docs: DataFrame, key: str, columns: list[str], tie: list[str], cel
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every whole text and of its edited text, with their likeness, and that of the next document's."""
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """Fingerprints of every whole text of docs (doc_id, text) and of its edited text, with their likeness, and that of the next document's.
+
+    A null text is empty. Null ids come last, rows of equal id in order of a hash of
+    their texts; a repeated row has its copy as the next document. A single row is its
+    own next one; an empty table gives no rows. Other columns of docs do not matter.
+    """
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     marked = with_next(with_fingerprint(base, "text", "fingerprint"), "doc_id", ["text", "fingerprint"], ["text"])
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
