@@ -16,6 +16,8 @@ from tickloom.llm.common import saved
 
 #: Rows that one ranking task sorts, on average.
 BUCKET_ROWS = 1024
+#: Buckets of one run of prefix sums.
+RUN = 1024
 
 
 def seeded(seed: int, *columns: str) -> Column:
@@ -28,12 +30,17 @@ def ranked(rows: DataFrame, by: list[str], order: list[str], bucket: Column, int
 
     bucket must ascend with `order` inside equal `by`. Bucket counts are summed first and
     their prefix sums give each bucket's first rank, so a window sorts one bucket only,
-    however many rows share `by`.
+    however many rows share `by`. The prefix sums have two levels, runs of RUN buckets
+    and the buckets of a run, so no task gets all buckets either.
     """
     placed = rows.withColumn("__bucket", bucket)
     counts = placed.groupBy(*by, "__bucket").agg(F.count("*").alias("__n"))
-    before = W.partitionBy(*by).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
-    bases = counts.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("__bucket").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    counts = counts.withColumn("__run", F.floor(F.col("__bucket") / RUN))
+    runs = counts.groupBy(*(F.col(c).alias(f"__{c}") for c in by), F.col("__run").alias("__at_run")).agg(F.sum("__n").alias("__held"))
+    runs = runs.withColumn("__first", F.coalesce(F.sum("__held").over(W.partitionBy(*(f"__{c}" for c in by)).orderBy("__at_run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    met = counts.join(runs, [F.col("__run") == F.col("__at_run"), *(F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by)]).select(*counts.columns, "__first")
+    inner = F.coalesce(F.sum("__n").over(W.partitionBy(*by, "__run").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bases = met.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("__bucket").alias("__b"), (F.col("__first") + inner).alias("__base"))
     inside = placed.withColumn("__r", F.row_number().over(W.partitionBy(*by, "__bucket").orderBy(*order)))
     on = [F.col("__bucket") == F.col("__b"), *(F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by)]
     return inside.join(bases, on).withColumn(into, F.col("__base") + F.col("__r")).drop("__bucket", "__b", "__base", "__r", *(f"__{c}" for c in by))
@@ -45,9 +52,12 @@ def interleave(rows: DataFrame, key: list[str], stratum: str = "source", shards:
     Shards' counts are at most one apart, and each holds every stratum in proportion to
     its rows. key orders rows of equal hash; rows equal in all of key are interchangeable.
     A null stratum is a stratum of its own; an empty table gives no rows; with fewer rows
-    than shards some shards are empty.
+    than shards some shards are empty. Other columns are kept; one named shard or slot is
+    refused.
     """
-    hashed = saved(rows.withColumn("__h", seeded(seed, *key)), "hashed")
+    if clash := {"shard", "slot"}.intersection(c.lower() for c in rows.columns):
+        raise ValueError(f"columns of the result exist already: {sorted(clash)}")
+    hashed = saved(rows.withColumn("__h", seeded(seed, *key)), "hashed")  # the result rests on it
     sizes = hashed.groupBy(stratum).agg(F.count("*").alias("__size"))
     n = hashed.count()
     buckets = max(1, n // bucket_rows)
