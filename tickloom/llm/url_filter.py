@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import saved
+from tickloom.llm.common import Scratch, saved, spread_join
 from tickloom.llm.components import connected_components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -24,12 +24,14 @@ def path(url: Column) -> Column:
 
 
 def canonical(url: Column) -> Column:
-    """The URL under which a page's variants meet: https, no www. or m., no fragment, tracking parameter, .html or final slash."""
+    """The URL under which a page's variants meet: https, host in lower case, no www. or m., no fragment, tracking parameter, .html or final slash."""
     bare = F.regexp_replace(url, "#.*$", "")
     bare = F.regexp_replace(bare, f"([?&])(?:(?:{TRACKING})=[^&]*(?:&|$))+", "$1")
     bare = F.regexp_replace(bare, "[?&]$", "")
     bare = F.regexp_replace(bare, "^(?i:https?)://(?i:www\\.|m\\.)?", "https://")
-    return F.regexp_replace(bare, "(?:/index)?(?:\\.html?)?/?(\\?|$)", "$1")
+    bare = F.regexp_replace(bare, "(?:/index)?(?:\\.html?)?/?(\\?|$)", "$1")
+    site = F.regexp_extract(bare, "(?s)^.*?://[^/?#]*", 0)
+    return F.concat(F.translate(site, UPPER, LOWER), F.substring(bare, F.length(site) + 1, F.length(bare)))
 
 
 def absolute(target: Column, base: Column) -> Column:
@@ -65,17 +67,22 @@ def page_edges(pages: DataFrame) -> DataFrame:
     return with_canonical(pages.where(u.contains("://")).select(u.alias("a"), F.explode(F.array(u, absolute(link, u), absolute(refresh, u))).alias("b")).where("b <> ''"))
 
 
-def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
+def matched(urls: DataFrame, rules: DataFrame, scratch: Scratch) -> DataFrame:
     """Adds host, path, rule and action to distinct urls (url): the longest rule (host, path, action) that fits, allow first among equals.
 
     A rule fits its host and all subdomains where the path starts with the rule's. Each
-    URL meets only the rules of its own host suffixes.
+    URL meets only the rules of its own host suffixes, and a suffix that many URLs have,
+    such as com, is cut into pieces.
     """
     at = urls.withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url")))
     labels = F.split("host", "\\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     r = rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "action", F.concat("host", "path").alias("rule"))
-    each = at.where("host <> ''").select("url", "path", F.explode(suffixes).alias("rule_host")).join(r, "rule_host").where(F.expr("startswith(path, rule_path)"))
+    own = at.where("host <> ''").select("url", "path", F.explode(suffixes).alias("rule_host"))
+    held = own.join(r.select("rule_host").distinct(), "rule_host", "left_semi").groupBy("rule_host").agg(F.count("*").alias("n"))
+    held = scratch.saved(r.join(held, "rule_host"), "rules")
+    total = held.select("rule_host", "n").distinct().agg(F.sum("n")).first()[0]
+    each = spread_join(own, held, "rule_host", "n", total=total or 1).where(F.expr("startswith(path, rule_path)"))
     best = each.groupBy("url").agg(F.max(F.struct(F.length("rule").alias("n"), (F.col("action") == "allow").alias("allows"), "rule", "action")).alias("best"))
     return at.join(best, "url", "left").select("url", "host", "path", F.col("best.rule").alias("rule"), F.col("best.action").alias("action"))
 
@@ -88,13 +95,15 @@ def url_verdicts(urls: DataFrame, edges: DataFrame, rules: DataFrame) -> DataFra
     also across an alias that is allowed, but never overrides an explicit allow. A null
     URL has an empty host and is allowed.
     """
-    nodes = urls.select("url").unionByName(edges.select(F.explode(F.array("a", "b")).alias("url"))).where("url is not null").distinct()
-    known = saved(matched(nodes, rules), "urls")
-    of = connected_components(edges).withColumnRenamed("node", "url")
-    blocked = known.where("action = 'block'").join(of, "url").select("component").distinct()
-    hit = of.join(blocked, "component").select("url", F.lit(True).alias("hit"))
-    decided = known.join(hit, "url", "left")
-    return decided.select("url", "host", "path", "rule", F.when(F.col("action").isNotNull(), F.col("action")).when(F.col("hit"), "block").otherwise("allow").alias("verdict"))
+    with Scratch(urls.sparkSession) as scratch:
+        nodes = urls.select("url").unionByName(edges.select(F.explode(F.array("a", "b")).alias("url"))).where("url is not null").distinct()
+        known = scratch.saved(matched(nodes, rules, scratch), "urls")
+        of = connected_components(edges, scratch).withColumnRenamed("node", "url")
+        blocked = known.where("action = 'block'").join(of, "url").select("component").distinct()
+        held = scratch.saved(of.groupBy("component").agg(F.count("*").alias("n")).join(blocked, "component"), "blocked")
+        hit = spread_join(of, held, "component", "n").select("url", F.lit(True).alias("hit"))
+        decided = known.join(hit, "url", "left")
+        return saved(decided.select("url", "host", "path", "rule", F.when(F.col("action").isNotNull(), F.col("action")).when(F.col("hit"), "block").otherwise("allow").alias("verdict")), "verdicts")
 
 
 def judge_pages(pages: DataFrame, rules: DataFrame, more_edges: DataFrame | None = None) -> DataFrame:
@@ -102,6 +111,7 @@ def judge_pages(pages: DataFrame, rules: DataFrame, more_edges: DataFrame | None
     edges = page_edges(pages)
     if more_edges is not None:
         edges = edges.unionByName(with_canonical(more_edges)).distinct()
-    found = url_verdicts(pages.select("url"), saved(edges, "edges"), rules)
+    with Scratch(pages.sparkSession) as scratch:
+        found = url_verdicts(pages.select("url"), scratch.saved(edges, "edges"), rules)
     out = pages.select("page_id", "url").join(found, "url", "left")
     return out.select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
