@@ -16,8 +16,12 @@ HEAD = CLASS_WORDS * HEAD_CLASSES
 CLASSES = HEAD_CLASSES + TAIL_CLASSES
 INPUTS = HEAD + TAIL_CLASSES
 #: Steps of one window of backpropagation and of scoring, lanes at most, and updates that a small corpus gets at least.
-STEPS, SCORE_STEPS, LANES, UPDATES = 32, 128, 256, 150
-SHAPES = {"Wx": (INPUTS, 3 * HIDDEN), "U": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "Wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "Wo": (HEAD_CLASSES, HIDDEN, CLASS_WORDS), "bo": (HEAD_CLASSES, CLASS_WORDS)}
+STEPS, SCORE_STEPS, LANES, UPDATES = 32, 32, 256, 150
+#: Weights by name; the last input row of Wc and Wo is the bias.
+SHAPES = {"Wx": (3 * HIDDEN, INPUTS), "U": (3 * HIDDEN, HIDDEN), "b": (3 * HIDDEN,), "Wc": (HIDDEN + 1, CLASSES), "Wo": (HEAD_CLASSES, HIDDEN + 1, CLASS_WORDS)}
+#: Scores of greater size than this are shifted before they are exponentiated.
+SAFE = 80
+PAD = 16
 Params = dict[str, np.ndarray]
 
 
@@ -27,10 +31,10 @@ def initial(head_counts: np.ndarray, tail_masses: np.ndarray, seed: int = 5) ->
     p = {k: (rng.standard_normal(s) * 0.08).astype(np.float32) for k, s in SHAPES.items()}
     masses = np.where(head_counts > 0, head_counts + 0.1, 1e-6).reshape(HEAD_CLASSES, CLASS_WORDS)
     p["b"][:] = 0
-    p["bo"][:] = np.log(masses / masses.sum(1, keepdims=True))
-    p["bc"][:] = np.log(np.concatenate((masses.sum(1), tail_masses)) / (masses.sum() + tail_masses.sum()))
     p["Wc"] *= 0.3
     p["Wo"] *= 0.3
+    p["Wo"][:, -1] = np.log(masses / masses.sum(1, keepdims=True))
+    p["Wc"][-1] = np.log(np.concatenate((masses.sum(1), tail_masses)) / (masses.sum() + tail_masses.sum()))
     return p
 
 
@@ -47,17 +51,6 @@ def unflat(v: np.ndarray) -> Params:
     return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    """Of rows whose values lie within 80 of the greatest of all, which scores of small weights do; else row by row."""
-    x -= x.max()
-    sums = np.exp(x) @ np.ones(x.shape[1], x.dtype)
-    if not sums.min() > 1e-30:
-        x -= x.max(1, keepdims=True)
-        sums = np.exp(x).sum(1)
-    x -= np.log(sums)[:, None]
-    return x
-
-
 class Lanes:
     """Documents dealt to parallel lanes, longest first to the lane that is shortest; each lane is one stream in time."""
 
@@ -83,101 +76,181 @@ class Lanes:
 
 
 class Network:
+    """Weights and the passes over windows. Arrays hold features by row and lanes, or steps and lanes, by column, so that every operation runs over long rows."""
+
     def __init__(self, p: Params, end: int) -> None:
-        self.p, self.end = p, end
-        self.moments: dict[str, tuple[np.ndarray, np.ndarray]] = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
-        self.updates = 0
+        self.end, self.updates = end, 0
+        self.theta = flat(p)
+        self.p, at = {}, 0
+        for k, shape in SHAPES.items():
+            n = int(np.prod(shape))
+            self.p[k] = self.theta[at : at + n].reshape(shape)
+            at += n
+        self.first, self.second = np.zeros_like(self.theta), np.zeros_like(self.theta)
+        self.buffers: dict[str, np.ndarray] = {}
+
+    def _buffer(self, name: str, rows: int, columns: int) -> np.ndarray:
+        """Memory for one array of a window, used again by the next. Rows are PAD apart, so that their starts do not share cache lines' places."""
+        n, held = rows * (columns + PAD), self.buffers.get(name)
+        if held is None or len(held) < n:
+            held = self.buffers[name] = np.empty(n, self.theta.dtype)
+        return held[:n].reshape(rows, -1)[:, :columns]
 
-    def _run(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray) -> dict[str, np.ndarray]:
+    def _steps(self, name: str, steps: int, rows: int, lanes: int) -> np.ndarray:
+        return self._buffer(name, 1, steps * rows * lanes)[0].reshape(steps, rows, lanes)
+
+    def _run(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray, learn: bool) -> dict[str, np.ndarray]:
+        """States h after each step of a window of inputs x (steps, lanes) from the state h, as (step, feature, lane); what backpropagation needs too if asked."""
         p, (steps, lanes), n = self.p, x.shape, HIDDEN
-        inputs = p["Wx"][x]
-        inputs += p["b"]
-        s = {k: np.empty((steps, lanes, n), np.float32) for k in ("h", "hp", "n", "q")}
-        s["zr"] = np.empty((steps, lanes, 2 * n), np.float32)
-        u = p["U"]
+        inputs = self._buffer("inputs", 3 * n, steps * lanes)
+        np.take(p["Wx"] + p["b"][:, None], x.ravel(), axis=1, out=inputs, mode="clip")
+        out, kept = self._steps("h", steps, n, lanes), steps if learn else 1
+        s = {"h": out, "gates": self._steps("gates", kept, 2 * n, lanes), **{k: self._steps(k, kept, n, lanes) for k in ("hp", "c")}, "g": self._steps("g", kept, 3 * n, lanes)}
+        u, whole = p["U"], keep.min(1) == 1
         for t in range(steps):
-            hp = np.multiply(h, keep[t][:, None], out=s["hp"][t])
-            g = hp @ u
-            zr = s["zr"][t]
-            np.add(inputs[t, :, : 2 * n], g[:, : 2 * n], out=zr)
-            np.negative(zr, out=zr)
-            np.exp(zr, out=zr)
-            zr += 1
-            np.reciprocal(zr, out=zr)
-            s["q"][t] = g[:, 2 * n :]
-            c = s["n"][t]
-            np.multiply(zr[:, n:], s["q"][t], out=c)
-            c += inputs[t, :, 2 * n :]
+            i, here = t if learn else 0, slice(t * lanes, (t + 1) * lanes)
+            hp, gates, c, g = s["hp"][i], s["gates"][i], s["c"][i], s["g"][i]
+            if not whole[t]:
+                h = np.multiply(h, keep[t], out=hp)
+            elif learn:
+                hp[...] = h
+            np.matmul(u, h, out=g)
+            np.add(inputs[: 2 * n, here], g[: 2 * n], out=gates)
+            with np.errstate(over="ignore"):  # a closed gate
+                np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            np.multiply(gates[n:], g[2 * n :], out=c)
+            c += inputs[2 * n :, here]
             np.tanh(c, out=c)
-            h = s["h"][t]
-            np.subtract(hp, c, out=h)
-            h *= zr[:, :n]
-            h += c
+            new = out[t]
+            np.subtract(h, c, out=new)
+            new *= gates[:n]
+            new += c
+            h = new
         return s
 
-    def _outputs(self, h: np.ndarray, target: np.ndarray, grads: Params | None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log probability of each target's class and head word; with grads, also the loss's gradient at h."""
-        p = self.p
-        head = target < HEAD
-        cls = np.where(head, target // CLASS_WORDS, target - HEAD + HEAD_CLASSES)
-        rows = np.arange(len(h))
-        logs = _log_softmax(h @ p["Wc"] + p["bc"])
-        out = logs[rows, cls].astype(np.float64)
-        dh = None
+    @staticmethod
+    def _normalised(scores: np.ndarray, bound: float, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """exp(scores), in place, and its sums by column; the first result is each column's log probability of row at."""
+        if bound > SAFE:
+            scores -= scores.max(0)
+        own = scores[at, np.arange(scores.shape[1])]
+        np.exp(scores, out=scores)
+        sums = np.ones(len(scores), scores.dtype) @ scores
+        return own - np.log(sums), sums
+
+    def _outputs(self, states: np.ndarray, target: np.ndarray, live: np.ndarray | None, grads: Params | None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Natural log probability of each target's class and head word; with grads, also the loss's gradient at the states. Columns outside live are no targets."""
+        p, n, columns = self.p, HIDDEN, len(target)
+        h = self._buffer("states", n + 1, columns)
+        h[:n] = states.transpose(1, 0, 2).reshape(n, columns)
+        h[n] = 1
+        cls = np.where(target < HEAD, target // CLASS_WORDS, target - HEAD + HEAD_CLASSES)
+        scores = np.matmul(p["Wc"].T, h, out=self._buffer("classes", CLASSES, columns))
+        logs, sums = self._normalised(scores, np.abs(p["Wc"]).sum(0).max(), cls)
+        out, dh = logs.astype(np.float64), None
+        if live is not None:
+            out *= live
         if grads is not None:
-            d = np.exp(logs, out=logs)
-            d[rows, cls] -= 1
-            grads["Wc"], grads["bc"], dh = h.T @ d, d.sum(0), d @ p["Wc"].T
-            grads["Wo"], grads["bo"] = np.zeros_like(p["Wo"]), np.zeros_like(p["bo"])
-        at = np.flatnonzero(head)
-        at = at[np.argsort(cls[at], kind="stable")]
+            scores *= 1 / sums if live is None else live / sums
+            scores[cls, np.arange(columns)] -= 1 if live is None else live
+            np.matmul(h, scores.T, out=grads["Wc"])
+            dh = np.matmul(p["Wc"][:n], scores, out=self._buffer("dh", n, columns))
+        at = np.flatnonzero(target < HEAD if live is None else (target < HEAD) & (live > 0))
+        at = at[np.argsort(cls[at].astype(np.uint8), kind="stable")]
+        if not len(at):
+            return out, dh
         ends = np.searchsorted(cls[at], np.arange(HEAD_CLASSES + 1))
-        for k in np.flatnonzero(np.diff(ends)):
-            i = at[ends[k] : ends[k + 1]]
-            hk, w, own = h[i], target[i] - k * CLASS_WORDS, np.arange(len(i))
-            logs = _log_softmax(hk @ p["Wo"][k] + p["bo"][k])
-            out[i] += logs[own, w]
-            if grads is not None:
-                d = np.exp(logs, out=logs)
-                d[own, w] -= 1
-                grads["Wo"][k], grads["bo"][k] = hk.T @ d, d.sum(0)
-                dh[i] += d @ p["Wo"][k].T
+        own = np.take(h, at, axis=1, out=self._buffer("own", n + 1, len(at)), mode="clip")
+        words, runs = self._buffer("words", CLASS_WORDS, len(at)), [(k, slice(ends[k], ends[k + 1])) for k in range(HEAD_CLASSES) if ends[k] < ends[k + 1]]
+        for k, run in runs:
+            np.matmul(p["Wo"][k].T, own[:, run], out=words[:, run])
+        row = target[at] % CLASS_WORDS
+        logs, sums = self._normalised(words, np.abs(p["Wo"]).sum(1).max(), row)
+        out[at] += logs
+        if grads is not None:
+            words *= 1 / sums
+            words[row, np.arange(len(at))] -= 1
+            back = self._buffer("back", n, len(at) + 1)
+            for k, run in runs:
+                np.matmul(own[:, run], words[:, run].T, out=grads["Wo"][k])
+                np.matmul(p["Wo"][k, :n], words[:, run], out=back[:, run])
+            back[:, -1] = 0
+            place = np.full(columns, len(at))
+            place[at] = np.arange(len(at))
+            dh += np.take(back, place, axis=1, out=self._buffer("spread", n, columns), mode="clip")
         return out, dh
 
     def _back(self, s: dict[str, np.ndarray], x: np.ndarray, keep: np.ndarray, dh_all: np.ndarray, grads: Params) -> None:
+        """Gradients of the recurrent weights and inputs, from the gradient at each step's state."""
         p, n, (steps, lanes) = self.p, HIDDEN, x.shape
-        dg, dx = np.empty((steps, lanes, 3 * n), np.float32), np.empty((steps, lanes, 3 * n), np.float32)
-        carried = np.zeros((lanes, n), np.float32)
-        ut = np.ascontiguousarray(p["U"].T)
+        z, r, c, hp, q = s["gates"][:, :n], s["gates"][:, n:], s["c"], s["hp"], s["g"][:, 2 * n :]
+        dx, dq = self._buffer("dx", 3 * n, steps * lanes), self._steps("dq", steps, n, lanes)
+        # What a step's gradient at h is multiplied with: at the candidate, at the update gate, and the candidate's at the reset gate.
+        to_c = np.multiply(c, c, out=self._steps("to_c", steps, n, lanes))
+        np.subtract(1, to_c, out=to_c)
+        to_c *= np.subtract(1, z, out=dq)
+        to_z = np.subtract(c, hp, out=self._steps("to_z", steps, n, lanes))
+        dq *= z
+        to_z *= dq
+        to_r = np.subtract(r, 1, out=self._steps("to_r", steps, n, lanes))
+        to_r *= r
+        to_r *= q
+        dh, d, whole = np.zeros((n, lanes), dx.dtype), np.empty((3 * n, lanes), dx.dtype), keep.min(1) == 1
+        ut, gu = np.ascontiguousarray(p["U"].T), grads["U"]
+        gu[:] = 0
         for t in range(steps - 1, -1, -1):
-            dh = dh_all[t] + carried
-            z, r, c, hp = s["zr"][t, :, :n], s["zr"][t, :, n:], s["n"][t], s["hp"][t]
-            dc = dh * (1 - z) * (1 - c * c)
-            dx[t, :, :n] = dh * (hp - c) * z * (1 - z)
-            dx[t, :, n : 2 * n] = dc * s["q"][t] * r * (1 - r)
-            dx[t, :, 2 * n :] = dc
-            dg[t] = dx[t]
-            dg[t, :, 2 * n :] *= r
-            carried = (dh * z + dg[t] @ ut) * keep[t][:, None]
-        flat_dx, ids = dx.reshape(-1, 3 * n), x.ravel()
-        grads["U"] = s["hp"].reshape(-1, n).T @ dg.reshape(-1, 3 * n)
-        grads["b"] = flat_dx.sum(0)
+            at = slice(t * lanes, (t + 1) * lanes)
+            dh += dh_all[:, at]
+            dc = np.multiply(dh, to_c[t], out=d[2 * n :])
+            np.multiply(dh, to_z[t], out=d[:n])
+            np.multiply(dc, to_r[t], out=d[n : 2 * n])
+            dx[:, at] = d
+            dc *= r[t]
+            gu += d @ hp[t].T
+            if t:
+                dh *= z[t]
+                dh += ut @ d
+                if not whole[t]:
+                    dh *= keep[t]
+        dx.sum(1, out=grads["b"])
+        ids = x.ravel().astype(np.uint16)
         order = np.argsort(ids, kind="stable")
-        begins = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        grads["Wx"] = np.zeros_like(p["Wx"])
-        grads["Wx"][ids[order][begins]] = np.add.reduceat(flat_dx[order], begins, axis=0)
+        begins = np.flatnonzero(np.diff(ids[order].astype(np.int32), prepend=-1))
+        grads["Wx"][:] = 0
+        sorted_ = np.take(dx, order, axis=1, out=self._buffer("inputs", 3 * n, steps * lanes), mode="clip")
+        grads["Wx"][:, ids[order][begins]] = np.add.reduceat(sorted_, begins, axis=1)
 
-    def _update(self, grads: Params, tokens: int, rate: float) -> None:
+    def _update(self, g: np.ndarray, tokens: int, rate: float) -> None:
         self.updates += 1
-        norm = float(np.sqrt(sum(float((g * g).sum()) for g in grads.values()))) / tokens
-        scale = np.float32(min(1.0, 1.0 / max(norm, 1e-12)) / tokens)
+        norm = float(np.sqrt(g @ g)) / tokens
+        g *= np.float32(min(1.0, 1.0 / max(norm, 1e-12)) / tokens)
         step = rate * np.sqrt(1 - 0.999**self.updates) / (1 - 0.9**self.updates)
-        for k, g in grads.items():
-            g *= scale
-            m, v = self.moments[k]
-            m += np.float32(0.1) * (g - m)
-            v += np.float32(0.001) * (g * g - v)
-            self.p[k] -= np.float32(step) * m / (np.sqrt(v) + np.float32(1e-7))
+        work = self._buffer("work", 1, len(g))[0]
+        self.first *= np.float32(0.9)
+        self.first += np.multiply(g, np.float32(0.1), out=work)
+        g *= g
+        self.second *= np.float32(0.999)
+        self.second += np.multiply(g, np.float32(0.001), out=work)
+        np.sqrt(self.second, out=work)
+        work += np.float32(1e-7)
+        np.divide(self.first, work, out=work)
+        work *= np.float32(step)
+        self.theta -= work
+
+    def gradients(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray, target: np.ndarray, live: np.ndarray | None, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log probabilities of a window's targets and the states after it; the gradient of their negative sum goes to g, which is flat like theta."""
+        grads, at = {}, 0
+        for k, shape in SHAPES.items():
+            n = int(np.prod(shape))
+            grads[k] = g[at : at + n].reshape(shape)
+            at += n
+        grads["Wo"][:] = 0
+        s = self._run(x, keep, h, learn=True)
+        logs, dh = self._outputs(s["h"], target, live, grads)
+        self._back(s, x, keep, dh, grads)
+        return logs, s["h"][-1]
 
     def stream(self, docs: list[np.ndarray], rate: float | None = None) -> np.ndarray:
         """Natural log probability of each document; with a rate, the network learns from each window after it has read it.
@@ -190,27 +263,18 @@ class Network:
         length, width = lanes.target.shape
         previous = np.vstack((np.full((1, width), self.end, np.int32), lanes.target[:-1]))
         previous[lanes.first] = self.end
-        h, out = np.zeros((width, HIDDEN), np.float32), np.zeros(len(docs))
-        steps = SCORE_STEPS if rate is None else STEPS
+        h, out = np.zeros((HIDDEN, width), self.theta.dtype), np.zeros(len(docs))
+        steps, g = SCORE_STEPS if rate is None else STEPS, np.zeros_like(self.theta)
         for t in range(0, length, steps):
             x, doc = previous[t : t + steps], lanes.doc[t : t + steps].ravel()
-            keep = (~lanes.first[t : t + steps]).astype(np.float32)
-            live = np.flatnonzero(doc >= 0)
-            if not len(live):
-                break
-            s = self._run(x, keep, h)
-            grads: Params | None = None if rate is None else {}
-            states, target = s["h"].reshape(-1, HIDDEN), lanes.target[t : t + steps].ravel()
-            if len(live) < len(doc):
-                states, target, doc = states[live], target[live], doc[live]
-            logs, dh = self._outputs(states, target, grads)
-            out += np.bincount(doc, logs, len(docs))
-            if grads is not None:
-                dh_all = dh
-                if len(live) < x.size:
-                    dh_all = np.zeros((x.size, HIDDEN), np.float32)
-                    dh_all[live] = dh
-                self._back(s, x, keep, dh_all.reshape(*x.shape, HIDDEN), grads)
-                self._update(grads, len(live), rate)
-            h = s["h"][-1].copy()
+            keep, target = (~lanes.first[t : t + steps]).astype(self.theta.dtype), lanes.target[t : t + steps].ravel()
+            live = None if doc.min() >= 0 else (doc >= 0).astype(self.theta.dtype)
+            if rate is None:
+                states = self._run(x, keep, h, learn=False)["h"]
+                (logs, _), h = self._outputs(states, target, live, None), states[-1]
+            else:
+                logs, h = self.gradients(x, keep, h, target, live, g)
+                self._update(g, len(doc) if live is None else int(live.sum()), rate)
+            out += np.bincount(np.maximum(doc, 0), logs, len(docs))
+            h = h.copy()
         return out

@@ -1,7 +1,8 @@
 """Scoring of whole documents by a gated recurrent language model that is trained on the corpus itself.
 
-Counts of all training tokens come first. Training runs in rounds over disjoint parts of
-all training documents: every task trains a copy of the network on its documents, copies
+Counts of all training tokens come first; then every text is read once more and kept as
+16-bit symbols, from which the network is trained and scores. Training runs in rounds
+over disjoint parts of all training documents: every task trains a copy of the network on its documents, copies
 are averaged by weight of their tokens, and the mean starts the next round. Scoring
 carries the state through each whole text. Words outside the listed vocabulary get
 their counts by a join, so no task holds all words.
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import gated
-from tickloom.llm.common import as_bytes, map_batches, saved
+from tickloom.llm.common import Scratch, as_bytes, chunked, map_batches, saved
 
 #: Words whose counts every task holds, at most: the most frequent ones.
 LISTED = 200_000
@@ -148,14 +149,14 @@ def _streams(read: Iterator[tuple[object, np.ndarray]]) -> Iterator[list[tuple[o
         yield held
 
 
-def train_round(texts: DataFrame, listing: Broadcast, params: np.ndarray, rate: float) -> np.ndarray:
-    """The token-weighted mean of the networks that the tasks of texts (text) trained from params."""
-    start = texts.sparkSession.sparkContext.broadcast(params)
+def train_round(streams: DataFrame, params: np.ndarray, rate: float) -> np.ndarray:
+    """The token-weighted mean of the networks that the tasks of streams (symbols) trained from params."""
+    start = streams.sparkSession.sparkContext.broadcast(params)
     size = -(-len(params) // SLICES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, network, tokens = vocabulary(listing), gated.Network(gated.unflat(start.value), 0), 0
-        read = ((None, words.read(t)[1]) for batch in batches for t in as_bytes(batch.column(0)))
+        network, tokens = gated.Network(gated.unflat(start.value), 0), 0
+        read = ((None, symbols) for batch in batches for symbols in _symbols(batch.column(0)))
         for docs in _streams(read):
             network.stream([d for _, d in docs], rate)
             tokens += sum(len(d) for _, d in docs)
@@ -171,37 +172,46 @@ def train_round(texts: DataFrame, listing: Broadcast, params: np.ndarray, rate:
         return pd.DataFrame({"slice": rows["slice"].iloc[:1], "who": rows["who"].iloc[:1], "tokens": [int(weights.sum())], "v": [v.astype(np.float32).tobytes()]})
 
     schema = "slice int, who int, tokens long, v binary"
-    made = texts.select("text").mapInArrow(run, schema)
+    made = streams.select("symbols").mapInArrow(run, schema)
     made = made.groupBy("slice", F.pmod("who", F.lit(FANS)).alias("fan")).applyInPandas(mean, schema).groupBy("slice").applyInPandas(mean, schema)
     found = {row.slice: row.v for row in made.collect()}
     start.unpersist()
     return np.concatenate([np.frombuffer(found[k], np.float32) for k in range(SLICES)]) if found else params
 
 
-def _partial_scores(docs: DataFrame, listing: Broadcast, params: Broadcast) -> DataFrame:
-    ddl = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<string>"
+def _symbols(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u2").astype(np.int32) for x in column.to_pylist()]
+
+
+def encoded(docs: DataFrame, listing: Broadcast) -> DataFrame:
+    """row, doc_id, held_out, n_tokens, n_known, base, inside, symbols and rare of every row of docs.
+
+    base is the log10 probability of the listed tokens under the counts, inside what the
+    listed tail words have inside their classes; rare holds the other words, each once
+    with its number in the text.
+    """
+    ddl = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, inside double, symbols binary, rare array<struct<word string, times long>>"
+    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "inside", "symbols", "rare"]
+    pairs = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())]))
 
     def make() -> Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]:
-        words, network = vocabulary(listing), gated.Network(gated.unflat(params.value), 0)
+        words = vocabulary(listing)
 
         def each(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-            read = ((i, *words.read(t)) for i, t in enumerate(as_bytes(batch.column(3))))
-            for docs_ in _streams((x, x[2]) for x in read):
-                items = [x for x, _ in docs_]
-                logs = network.stream([x[2] for x in items]) / np.log(10)
-                n = np.array([len(x[1]) for x in items])
-                numbers, symbols = np.concatenate([x[1] for x in items]), np.concatenate([x[2] for x in items])
+            for begin, some in chunked(as_bytes(batch.column(3))):
+                items = [words.read(t) for t in some]
+                n = np.array([len(x[0]) for x in items])
+                numbers, symbols = np.concatenate([x[0] for x in items]), np.concatenate([x[1] for x in items])
                 doc = np.repeat(np.arange(len(items)), n)
                 listed, tail = numbers >= 0, symbols >= gated.HEAD
                 log_count = np.where(listed, words.log_count[numbers], 0.0)
                 known = listed & ((numbers > 0) | (words.listing.ends > 0))
                 base = np.bincount(doc, log_count, len(items)) - n * words.log_base
-                inside = np.where(tail, log_count - words.log_tail[np.where(tail, symbols - gated.HEAD, 0)], 0.0)
-                score = logs + np.bincount(doc, inside, len(items))
-                at = slice(items[0][0], items[-1][0] + 1)
-                own = [batch.column(k).slice(at.start, at.stop - at.start) for k in range(3)]
-                rare = pa.array([[w.decode() for w in x[3]] for x in items], pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array(np.bincount(doc, known, len(items)).astype(np.int64)), pa.array(base), pa.array(score), rare], [x.split()[0] for x in ddl.split(", ")])
+                inside = np.bincount(doc, np.where(tail, log_count - words.log_tail[np.where(tail, symbols - gated.HEAD, 0)], 0.0), len(items))
+                own = [batch.column(k).slice(begin, len(some)) for k in range(3)]
+                rare = pa.array([[{"word": w.decode(), "times": k} for w, k in Counter(x[2]).items()] for x in items], pairs)
+                held = pa.array([x[1].astype("<u2").tobytes() for x in items], pa.binary())
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array(np.bincount(doc, known, len(items)).astype(np.int64)), pa.array(base), pa.array(inside), held, rare], names)
 
         return each
 
@@ -209,27 +219,50 @@ def _partial_scores(docs: DataFrame, listing: Broadcast, params: Broadcast) -> D
     return map_batches(kept, make, ddl)
 
 
+def network_scores(streams: DataFrame, params: Broadcast) -> DataFrame:
+    """(row, logs): log10 probability of each row's symbols under the network, its state carried through the whole text."""
+
+    def make() -> Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]:
+        network = gated.Network(gated.unflat(params.value), 0)
+
+        def each(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
+            for docs in _streams(zip(batch.column(0).to_pylist(), _symbols(batch.column(1)), strict=True)):
+                logs = network.stream([x for _, x in docs]) / np.log(10)
+                yield pa.RecordBatch.from_arrays([pa.array([row for row, _ in docs], pa.int64()), pa.array(logs)], ["row", "logs"])
+
+        return each
+
+    return map_batches(streams.select("row", "symbols"), make, "row long, logs double")
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, text).
 
     A null or empty text is its end symbol alone. A null doc_id counts as held out. Rows
-    of equal doc_id are scored each by its own text; without training documents the model
-    stays as it started. score is the log10 probability of the whole text under the model.
+    of equal doc_id, and repeated rows, are scored each by its own text; without training
+    documents the model stays as it started; an empty table gives no rows; other columns
+    do not matter. score is the log10 probability of the whole text under the model.
+
+    Each task trains a replica on the rows that it reads, so another split of the input
+    into tasks gives a slightly different model; counts and base_score do not depend on
+    it. A lane learns from whole documents one after another; small tasks take fewer
+    lanes, so that a small corpus gets enough updates.
     """
     context = docs.sparkSession.sparkContext
-    train = docs.where(~held_out(F.col("doc_id")))
-    counts = saved(word_counts(train), "counts")
-    listing = list_words(counts, train.count())
-    head = np.zeros(gated.HEAD)
-    head[0] = listing.ends
-    head[1 : len(listing.counts[: gated.HEAD - 1]) + 1] = listing.counts[: gated.HEAD - 1]
-    params = gated.flat(gated.initial(head, listing.tail_masses))
-    shared = context.broadcast(listing)
-    for k, rate in enumerate(RATES):
-        part = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(len(RATES))) == k)
-        params = train_round(part, shared, params, rate)
-    rows = saved(_partial_scores(docs, shared, context.broadcast(params)), "scores")
-    rare = rows.select("row", F.explode("rare").alias("word")).join(counts.select("word", "n"), "word", "left")
-    rare = rare.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("more"), F.count("n").alias("known"))
-    out, more = rows.drop("rare").join(rare, "row", "left"), F.coalesce("more", F.lit(0.0))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(listing.tokens).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+    with Scratch(docs.sparkSession) as scratch:
+        train = docs.where(~held_out(F.col("doc_id")))
+        counts = scratch.saved(word_counts(train), "counts")
+        listing = list_words(counts, train.count())
+        head = np.zeros(gated.HEAD)
+        head[0] = listing.ends
+        head[1 : len(listing.counts[: gated.HEAD - 1]) + 1] = listing.counts[: gated.HEAD - 1]
+        params = gated.flat(gated.initial(head, listing.tail_masses))
+        rows = scratch.saved(encoded(docs, context.broadcast(listing)), "symbols")
+        for k, rate in enumerate(RATES):
+            part = rows.where(~F.col("held_out") & (F.pmod(F.xxhash64("doc_id"), F.lit(len(RATES))) == k))
+            params = train_round(part, params, rate)
+        logs = network_scores(rows, context.broadcast(params))
+        rare = rows.select("row", F.explode("rare").alias("x")).select("row", "x.*").join(counts.select("word", "n"), "word", "left")
+        rare = rare.groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("known"))
+        out, more = rows.drop("rare", "symbols").join(logs, "row").join(rare, "row", "left"), F.coalesce("more", F.lit(0.0))
+        return saved(out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(listing.tokens).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("logs") + F.col("inside") + more).alias("score")), "scores")
