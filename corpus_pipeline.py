@@ -6,33 +6,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import mixing, near_dedup, packing, quality_rules
-from tickloom.llm.common import new_folder, saved, table
+from tickloom.llm.common import AT, Scratch, file_row, saved, table
 
 #: Learned rules, verified MinHash links, seeded draws and tokenizer ids have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule and the learned list keep."""
-    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("__doc"))
-    return quality_rules.judged(rows, table(spark, sf_dir, "labels"), ["doc_id", "__doc"]).where("kept").select("__doc.*")
+    """Documents that the base rule and the learned list keep.
+
+    Null, empty and blank texts fail the base rule; repeated rows and ids are judged each
+    by its own text; an empty table gives no rows.
+    """
+    return quality_rules.judged(docs, table(spark, sf_dir, "labels"), docs.columns, into=AT).where(F.col(f"{AT}.kept")).select(docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest doc_id; of rows that repeat a doc_id one stays."""
-    found = saved(near_dedup.near_duplicates(docs), "found")
-    kept = found.where("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
-    once = docs.join(kept.select("__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(docs.columns)
-    return once if kept.where("__n > 1").isEmpty() else once.dropDuplicates(["doc_id", "text"])
+    """One row of each group of near copies: that of the smallest doc_id, null ids last, and one of those if that id repeats.
+
+    The decision is by row, so an exact copy goes even if its id is that of another
+    text that stays. Texts without words are no copies of each other and stay; an empty
+    table gives no rows.
+    """
+    return near_dedup.one_of_each(docs, file_row(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    return mixing.take(docs)
+    """Each row as often as the mix takes it, 0 to 3 times.
+
+    A null source is a source of its own; a text without words is never taken; repeated
+    rows are drawn each on its own; an empty table gives no rows.
+    """
+    return mixing.take(docs, row=file_row(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 2048 ids."""
+    """Pieces of all rows in sequences of at most 2048 ids.
+
+    A null or empty text is its end id alone; repeated rows are packed each on its own;
+    an empty table gives no rows.
+    """
     return packing.pack(docs)
 
 
@@ -41,6 +54,7 @@ STAGES = [("quality rules", quality), ("minhash near-dedup", near_dedup_stage),
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with Scratch(spark) as scratch:
+        for name, stage in STAGES[:-1]:
+            docs = scratch.saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        return saved(STAGES[-1][1](spark, docs, sf_dir), "pipeline")
