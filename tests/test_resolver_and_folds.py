@@ -46,6 +46,38 @@ def test_first_touch(spark, later, alert, status, pnl):
     assert r.pnl_pct == pytest.approx(pnl, abs=0.011) if pnl is not None else r.pnl_pct is None
 
 
+@pytest.mark.parametrize(("later", "status"), [([], "open"), ([(100, 101, 99, 100)], "open"), ([(100, 101, 97, 98)], "sl_hit"), ([(100, 107, 99, 106), (106, 110, 104, 109)], "t2_hit"), ([(100, 107, 99, 106), (106, 106, 99, 100)], "t1_then_breakeven")])
+def test_swing_outcomes(spark, later, status):
+    days = frame(spark, [(100, 100, 100, 100), *later], start=dt.datetime(2026, 1, 30), step=24 * 60)
+    a = spark.createDataFrame([(1, "TEST", "long", dt.datetime(2026, 1, 30, 11), 100.0, 98.0, 106.0, 109.0)], "alert_id long, symbol string, direction string, generated_at timestamp_ntz, entry double, stop_loss double, target1 double, target2 double")
+    assert [r.status for r in outcomes.resolve_swing(a, days).collect()] == [status]
+    late = outcomes.resolve_swing(a, days.withColumn("session", F.date_add("session", 61)))
+    assert late.first().status == "open"
+
+
+def test_walk_forward_takes_the_best_parameter_of_the_folds_before(spark, sf):
+    from tickloom.config import Gates
+    from tickloom.operators.features import features
+    from tickloom.plans.queries import ALL_DAY, TIME_STOP
+
+    feat = features(br.intraday(spark, "/root/testdata/sf0.01")).persist()
+    bands = [(0, 0.002, 0.02), (1, 0.004, 0.015), (2, 0.003, 0.012)]
+    fold = {r.session: r.fold for r in history.folds(feat, 4).collect()}
+    nets = {}
+    for param, lo, hi in bands:
+        for t in history.setup_history(feat, Gates(atr_low=lo, atr_high=hi), ALL_DAY, TIME_STOP).collect():
+            nets.setdefault((fold[t.generated_at.date()], param), []).append(t.pnl_pct - 0.13)
+    trades, log = history.walk_forward(feat, spark.createDataFrame(bands, "param int, lo double, hi double"), session=ALL_DAY, time_stop=TIME_STOP)
+    got = {r.fold: r for r in log.collect()}
+    for test in (2, 3):
+        means = {p: (sum(x) / len(x), len(x)) for p, _, _ in bands if (x := nets.get((test - 2, p), []) + nets.get((test - 1, p), []))}
+        best = max(means, key=lambda p: (means[p][0], -p))
+        assert got[test].param == best
+        assert (got[test].train_mean, got[test].n_train) == pytest.approx(means[best])
+    assert trades.count() == sum(len(nets.get((f, r.param), [])) for f, r in got.items())
+    feat.unpersist()
+
+
 def test_folds_are_contiguous_and_round_half_to_even(spark):
     days = spark.range(10).select(F.date_add(F.lit("2026-01-05").cast("date"), F.col("id").cast("int")).alias("session"))
     got = [r.fold for r in history.folds(days, 4).orderBy("session").collect()]
@@ -91,11 +123,11 @@ def test_round_numbers(spark):
 
 
 def test_tips(spark):
-    m = [("c", 1, "BUY RELIANCE @ 1247, SL 1235, TGT 1260"), ("c", 2, "BUY or SELL RELIANCE"), ("c", 3, "RELIANCE results"), ("c", 4, "go short NIFTY TCS cmp 3500.5 T2 3300")]
+    m = [("c", 1, "Buy ACME at 412.5 stop 405 target: 430"), ("c", 2, "BUY or SELL ACME"), ("c", 3, "ACME results"), ("c", 4, "go short NIFTY TCS cmp 3500.5 T2 3300")]
     messages = spark.createDataFrame([(*x, START) for x in m], "channel string, msg_id long, text string, ts timestamp_ntz")
-    universe = spark.createDataFrame([("RELIANCE",), ("TCS",)], "symbol string")
+    universe = spark.createDataFrame([("ACME",), ("TCS",)], "symbol string")
     got = {r.msg_id: (r.symbol, r.action, r.entry, r.target, r.target2, r.stop_loss) for r in tips.extract_tips(messages, universe).collect()}
-    assert got == {1: ("RELIANCE", "BUY", 1247.0, 1260.0, None, 1235.0), 4: ("TCS", "SELL", 3500.5, None, 3300.0, None)}
+    assert got == {1: ("ACME", "BUY", 412.5, 430.0, None, 405.0), 4: ("TCS", "SELL", 3500.5, None, 3300.0, None)}
 
 
 def test_risk_of_equal_returns_is_unknown(spark):

@@ -2,25 +2,77 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import json
+
 from pyspark.sql import functions as F
 
 from tickloom.config import Gates
 from tickloom.operators import score as sc
+from tickloom.operators.alerts import append
 from tickloom.plans.queries import _gated
 from tickloom.sources import bars as br
+from tickloom.sources import files
 from tickloom.streaming import live
 
 
+def run(stream, name, path, mode="append"):
+    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(path)).trigger(availableNow=True).start().awaitTermination(120)
+    return stream.sparkSession.table(name)
+
+
 def test_bars_of_a_stream_equal_the_batch(spark, sf, tmp_path):
     ticks = br.event_ticks(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
     ticks.orderBy("ts").coalesce(1).write.parquet(str(tmp_path / "ticks"))
-    stream = live.stream_bars(spark.readStream.schema(ticks.schema).parquet(str(tmp_path / "ticks")))
-    q = stream.writeStream.format("memory").queryName("bars_out").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = spark.table("bars_out")
+    end = ticks.orderBy(F.desc("ts")).limit(1).withColumn("ts", F.col("ts") + F.expr("interval 2 days")).withColumn("symbol", F.lit("end"))
+    end.write.mode("append").parquet(str(tmp_path / "ticks"))  # closes all windows before it
+    stream = live.stream_bars(spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "ticks")))
+    got = run(stream, "bars_out", tmp_path / "c").where("symbol <> 'end'")
     batch = br.bars_from_ticks(br.event_ticks(spark, sf)).withColumn("ts", F.col("ts").cast("timestamp")).select(*got.columns)
-    assert got.count() >= batch.count() - 6  # windows that the watermark has not passed stay open
-    assert got.exceptAll(batch).count() == 0
+    assert got.count() == batch.count()
+    assert got.exceptAll(batch).count() == batch.exceptAll(got).count() == 0
+
+
+def test_a_signal_counts_once_a_day(spark, tmp_path):
+    rows = [("A", "s", "long", "2026-01-05", "2026-01-05 10:00:00"), ("A", "s", "long", "2026-01-05", "2026-01-05 11:00:00"), ("A", "s", "short", "2026-01-05", "2026-01-05 11:00:00"), ("A", "s", "long", "2026-01-06", "2026-01-06 10:00:00")]
+    df = spark.createDataFrame(rows, "symbol string, setup string, direction string, session string, ts string").withColumns({"session": F.to_date("session"), "ts": F.to_timestamp("ts")})
+    for k in range(2):  # the same rows come twice
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = run(live.once_a_day(stream), "once_out", tmp_path / "c")
+    assert sorted((r.direction, str(r.session)) for r in got.collect()) == [("long", "2026-01-05"), ("long", "2026-01-06"), ("short", "2026-01-05")]
+
+
+def test_counters_of_a_stream_equal_the_batch(spark, tmp_path):
+    rows = [(f"2026-01-0{5 + i % 2}", ("volume_low", "slope_flat", None)[i % 3]) for i in range(20)]
+    log = spark.createDataFrame(rows, "session string, reject_code string")
+    log.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = run(live.counters(stream), "counts_out", tmp_path / "c", "complete")
+    assert sorted(map(str, got.collect())) == sorted(map(str, log.groupBy("session", "reject_code").count().collect()))
+
+
+def test_resolver_settles_what_its_bars_decide_and_only_once(spark, tmp_path):
+    at = lambda h, d=5: dt.datetime(2026, 1, d, h)
+    kind = "alert_id long, symbol string, direction string, category string, setup string, user_id long, entry double, stop_loss double, target1 double, target2 double, generated_at timestamp_ntz"
+    base = [(1, "A", "BUY", "scan"), (2, "B", "SELL", "scan"), (3, "A", "BUY", "swing_auto"), (4, "B", "BUY", "swing_auto")]
+    alerts = spark.createDataFrame([(*x, "s", 1, 100.0, 98.0 if x[2] == "BUY" else 102.0, 103.0 if x[2] == "BUY" else 97.0, 104.0 if x[2] == "BUY" else 96.0, dt.datetime(2026, 1, 5, 10, 30)) for x in base], kind).withColumns({"signal_key": F.lit("k"), "trade_date": F.to_date("generated_at")})
+    root, done = str(tmp_path / "alerts"), str(tmp_path / "outcomes")
+    append(alerts, root)
+    bars = spark.createDataFrame([("A", at(11), 100.0, 105.0, 99.0, 104.0), ("B", at(11), 100.0, 103.0, 99.0, 102.0), ("A", at(10, 6), 100.0, 101.0, 97.0, 98.0), ("B", at(10, 6), 100.0, 101.0, 99.0, 100.0)], "symbol string, ts timestamp_ntz, open double, high double, low double, close double").withColumns({"session": F.to_date("ts"), "volume": F.lit(1.0)})
+    for d in (5, 6):
+        bars.where(f"day(ts) = {d}").coalesce(1).write.mode("append").parquet(str(tmp_path / "bars"))
+
+    def history(batch):
+        known = bars.join(batch.agg(F.max("ts").alias("now")), F.col("ts") <= F.col("now")).drop("now")
+        days = known.groupBy("symbol", "session").agg(F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"))
+        return br.numbered(known), days.withColumn("ts", F.col("session").cast("timestamp_ntz"))
+
+    for k in range(2):  # the second run sees the same bars again
+        stream = spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "bars"))
+        live.run_resolver(spark, stream, root, done, history, str(tmp_path / f"c{k}")).awaitTermination(120)
+    got = sorted((r.alert_id, r.status) for r in spark.read.parquet(done).collect())
+    assert got == [(1, "t2_hit"), (2, "sl_hit"), (3, "sl_hit")]  # 4 is still open
 
 
 def test_scan_fires_once_and_keeps_the_daily_cap(spark, sf, tmp_path):
@@ -28,19 +80,29 @@ def test_scan_fires_once_and_keeps_the_daily_cap(spark, sf, tmp_path):
     scored = _gated(spark, sf).where("session < date'2024-01-12'").select("symbol", "session", "ts", "score", "direction", "entry", "stop_loss", "target1", "target2", "regime_ok", "event_ok")
     scored.write.parquet(str(tmp_path / "in"))
     root = str(tmp_path / "alerts")
+    other = scored.limit(3).selectExpr("'manual_intraday' category", "1L user_id", "symbol", "'A' setup", "direction", "0D entry", "0D stop_loss", "0D target1", "0D target2", "ts generated_at", "session trade_date", "1L alert_id", "concat(symbol, session) signal_key")
+    append(other, root)  # alerts of other categories do not count towards the cap
     for k in range(2):  # the second run sees the same bars again
         stream = spark.readStream.schema(scored.schema).parquet(str(tmp_path / "in"))
         live.run_scan(spark, stream, lambda b: b, root, str(tmp_path / f"c{k}"), g, {"availableNow": True}).awaitTermination(120)
-    got = spark.read.parquet(root)
+    got = spark.read.parquet(root).where("category = 'scan'")
     assert got.count() > 0
     assert got.groupBy("trade_date").count().agg(F.max("count")).first()[0] <= 2
     assert got.count() == got.select("signal_key").distinct().count()
     assert scored.where(sc.gate_reason(g).isNull()).count() >= got.count()
 
 
-def test_tip_stream_appends(spark, tmp_path):
-    m = spark.createDataFrame([("c", 1, "buy ABC @ 100 SL 95 TGT 110")], "channel string, msg_id long, text string").withColumn("ts", F.lit("2026-01-05 10:00:00").cast("timestamp_ntz"))
-    m.write.parquet(str(tmp_path / "m"))
-    universe = spark.createDataFrame([("ABC",)], "symbol string")
-    live.run_tips(spark.readStream.schema(m.schema).parquet(str(tmp_path / "m")), universe, str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination(60)
-    assert [r.symbol for r in spark.read.parquet(str(tmp_path / "t")).collect()] == ["ABC"]
+def test_tip_stream_appends_with_the_gate(spark, tmp_path):
+    texts = ["buy ABC @ 100 SL 95 TGT 110 " + "x" * 1500, "sell XYZ at 50", "go short LOW cmp 20", "buy BAD @ 70", "ABC is fine"]
+    lines = [json.dumps({"channel": "c", "msg_id": i, "ts": "2026-01-05 10:00:00", "text": t}) for i, t in enumerate(texts)]
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "a.json").write_text("\n".join([*lines, lines[0]]))
+    universe = spark.createDataFrame([("ABC",), ("XYZ",), ("LOW",), ("BAD",)], "symbol string")
+    voted = spark.createDataFrame([("ABC", "BUY", 100.0), ("LOW", "SELL", 50.0), ("BAD", "BUY", 100.0)], "symbol string, signal string, confidence double")
+    rejected = spark.createDataFrame([("BAD", "long", "volume_low")], "symbol string, direction string, code string")
+    for k in range(2):
+        live.run_tips(files.messages(spark, str(tmp_path / "m"), stream=True), universe, str(tmp_path / "t"), str(tmp_path / f"c{k}"), lambda _: (voted, rejected)).awaitTermination(60)
+    got = {r.symbol: r for r in spark.read.parquet(str(tmp_path / "t")).collect()}
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 4
+    assert {s: r.outcome for s, r in got.items()} == {"ABC": "passed", "XYZ": "error", "LOW": "low_confidence", "BAD": "failed_filter"}
+    assert got["ABC"].agreement == "Agreement" and len(got["ABC"].raw_text) == 1000 and got["ABC"].received_at is not None

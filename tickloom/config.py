@@ -11,6 +11,9 @@ INTERVALS = {"1m": "1 minute", "3m": "3 minutes", "5m": "5 minutes", "10m": "10
 PERIOD_DAYS = {"1d": 1, "5d": 5, "1mo": 30, "3mo": 90, "6mo": 180, "1y": 365, "2y": 730}
 OTHER_PERIOD_DAYS = 180
 
+#: The market's time zone. Fixed value.
+MARKET_ZONE = "Asia/Kolkata"
+
 
 def interval_of(name: str) -> str:
     """The length of a named interval; an unknown name is an error."""
@@ -26,6 +29,9 @@ PASS = ("t2_hit", "t1_then_squareoff", "t1_then_breakeven")
 FAIL = ("sl_hit",)
 
 
+# The defaults of the three classes below are fixed values.
+
+
 @dataclass(frozen=True)
 class Session:
     """Minutes of the day between which the market is open and entries are allowed; minutes after which a trade is timed out."""

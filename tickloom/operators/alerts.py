@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tickloom.config import GATES, Gates
 from tickloom.operators.score import gate_reason
+from tickloom.operators.sizes import small
 
 KEY = ["category", "user_id", "symbol", "setup", "direction", "generated_at"]
 
@@ -98,6 +99,16 @@ def resolved_alerts(alerts: DataFrame, outcomes: DataFrame, categories: tuple[st
     return rows.join(outcomes, "alert_id")
 
 
+def journal_order(rows: DataFrame, by: str = "generated_at") -> DataFrame:
+    """Journal rows as they are read: alerts by when they were made, or outcomes by when they were settled; then by id."""
+    return rows.orderBy(by, "alert_id")
+
+
+def mark_notified(rows: DataFrame, root: str) -> None:
+    """Appends the ids of alerts whose users have been told, which unnotified() then leaves out."""
+    rows.select("alert_id", F.current_timestamp().alias("notified_at")).write.mode("append").parquet(root)
+
+
 def unnotified(alerts: DataFrame, outcomes: DataFrame, notified: DataFrame, categories: tuple[str, ...], statuses: tuple[str, ...]) -> DataFrame:
     rows = resolved_alerts(alerts.where("user_id is not null"), outcomes.where(F.col("status").isin(*statuses)), categories)
     return rows.join(notified.select("alert_id"), "alert_id", "left_anti")
@@ -111,8 +122,8 @@ def watchlists(events: DataFrame) -> DataFrame:
 
 
 def watched_or_default(users: DataFrame, watchlist: DataFrame, universe: DataFrame) -> DataFrame:
-    """(user_id, symbol): each user's watchlist, or the whole universe for a user without one; the universe is a short list."""
-    bare = users.select("user_id").join(watchlist, "user_id", "left_anti").crossJoin(F.broadcast(universe.select("symbol")))
+    """(user_id, symbol): each user's watchlist, or the whole universe for a user without one."""
+    bare = users.select("user_id").join(watchlist, "user_id", "left_anti").crossJoin(small(universe.select("symbol")))
     own = watchlist.join(users.select("user_id"), "user_id", "left_semi").select("user_id", "symbol")
     return own.unionByName(bare)
 
@@ -128,8 +139,8 @@ def swing_shortlist(watched: DataFrame, planned: DataFrame, g: Gates = GATES) ->
 
 
 def outbox(alerts: DataFrame, subscribers: DataFrame) -> DataFrame:
-    """One row for each alert and subscriber; alerts are those of a pass, a handful."""
-    return subscribers.select("user_id").crossJoin(F.broadcast(alerts.select("alert_id", "symbol", "direction")))
+    """One row for each alert and subscriber."""
+    return subscribers.select("user_id").crossJoin(small(alerts.select("alert_id", "symbol", "direction")))
 
 
 def completions(pending: DataFrame, record: DataFrame) -> DataFrame:

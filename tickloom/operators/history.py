@@ -7,9 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.config import GATES, Gates, Session
-from tickloom.operators.filters import in_entry_window, reject_code
+from tickloom.operators.filters import atr_code, in_entry_window, reject_code
 from tickloom.operators.outcomes import resolve_intraday
 from tickloom.operators.signals import DETECTORS
+from tickloom.operators.sizes import small
 
 
 def candidates(feat: DataFrame, g: Gates = GATES, warm_up: int = 30, session: Session = Session(), low: Column | None = None, high: Column | None = None) -> DataFrame:
@@ -57,20 +58,20 @@ def folds(sessions: DataFrame, n: int) -> DataFrame:
 def walk_forward(feat: DataFrame, grid: DataFrame, n_folds: int = 4, train_folds: int = 2, g: Gates = GATES, session: Session = Session(), time_stop: str = "45 minutes", anchored: bool = False) -> tuple[DataFrame, DataFrame]:
     """Trades out of sample and the log of folds (fold, param, train_mean, n_train), param being the row (param, lo, hi) of grid chosen on the folds before.
 
-    All parameters' trades are made once: the grid, a few rows, is joined to the bars that
-    its widest band lets through. A fold takes the parameter of the best mean net return
+    All parameters' trades are made once: bars are gated by the widest band of the grid and
+    detected, and only those signals meet the grid's rows. A fold takes the parameter of the best mean net return
     on its training folds, the first in grid order among equals, none where none traded.
     """
-    wide = feat.crossJoin(F.broadcast(grid))
-    found = candidates(wide, g, session=session, low=F.col("lo"), high=F.col("hi"))
+    least, most = grid.agg(F.min("lo"), F.max("hi")).first()
+    found = candidates(feat, g, session=session, low=F.lit(least), high=F.lit(most)).crossJoin(small(grid)).where(atr_code(F.col("lo"), F.col("hi")).isNull())
     first = first_signals(found, ["param", "symbol", "setup", "session"])
     named = first.withColumn("alert_id", F.concat_ws(":", F.col("param").cast("string"), "symbol", "setup", F.col("rn").cast("string")))
     trades = _trades(named, feat, time_stop).withColumn("pnl_pct", F.coalesce("pnl_pct", F.lit(0.0))).withColumn("session", F.to_date("generated_at"))
     trades = trades.join(folds(feat, n_folds), "session").withColumn("net", F.col("pnl_pct") - F.lit(0.13))
     tests = grid.sparkSession.range(train_folds, n_folds).select(F.col("id").cast("int").alias("test"))
     low = F.lit(0) if anchored else F.col("test") - train_folds
-    train = trades.join(F.broadcast(tests), (F.col("fold") >= low) & (F.col("fold") < F.col("test")))
+    train = trades.join(small(tests), (F.col("fold") >= low) & (F.col("fold") < F.col("test")))
     means = train.groupBy("test", "param").agg(F.avg("net").alias("train_mean"), F.count("*").alias("n_train"))
     best = means.withColumn("place", F.row_number().over(W.partitionBy("test").orderBy(F.desc("train_mean"), "param"))).where("place = 1")
     log = best.select(F.col("test").alias("fold"), "param", "train_mean", "n_train")
-    return trades.join(F.broadcast(log.select("fold", "param")), ["fold", "param"]), log
+    return trades.join(log.select("fold", "param"), ["fold", "param"]), log

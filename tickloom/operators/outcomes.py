@@ -23,8 +23,8 @@ def status_class(status: Column) -> Column:
     return F.when(status.isin(*PASS), "pass").when(status.isin(*FAIL), "fail").otherwise("neutral")
 
 
-def _first_touch(pairs: DataFrame, alerts: DataFrame, time_stop: str | None, unfinished: Column | None) -> DataFrame:
-    """Outcome of each alert from its pairs with later bars.
+def _first_touch(pairs: DataFrame, alerts: DataFrame, time_stop: str | None, unfinished: Column | None, without_bars: str = "no_data") -> DataFrame:
+    """Outcome of each alert from its pairs with later bars; without_bars is the status of one that has none.
 
     On one bar the stop comes before the first target, the second target before a return
     to the entry, and a time stop before all. Each touch is a conditional minimum of
@@ -42,7 +42,7 @@ def _first_touch(pairs: DataFrame, alerts: DataFrame, time_stop: str | None, unf
         first((c("ts") >= c("t_t1")) & over("target2")).alias("t_t2"), first((c("ts") > c("t_t1")) & under("entry")).alias("t_be"), F.max("ts").alias("t_end"), F.max_by("close", "ts").alias("c_end"))
     before = lambda a, b: c(a).isNotNull() & (c(b).isNull() | (c(a) <= c(b)))
     out = alerts.join(got, "alert_id", "left")
-    status = F.when(c("t_end").isNull(), "no_data").when(before("t_late", "t_sl") & before("t_late", "t_t1"), "time_stop").when(before("t_sl", "t_t1"), "sl_hit").when(c("t_t1").isNull(), "squareoff_no_t1")
+    status = F.when(c("t_end").isNull(), without_bars).when(before("t_late", "t_sl") & before("t_late", "t_t1"), "time_stop").when(before("t_sl", "t_t1"), "sl_hit").when(c("t_t1").isNull(), "squareoff_no_t1")
     status = status.when(before("t_t2", "t_be"), "t2_hit").when(c("t_be").isNotNull(), "t1_then_breakeven").otherwise("t1_then_squareoff")
     out = out.withColumn("status", status)
     if unfinished is not None:
@@ -68,11 +68,16 @@ def resolve_intraday(alerts: DataFrame, bars: DataFrame, time_stop: str = "45 mi
 
 
 def resolve_swing(alerts: DataFrame, days: DataFrame, horizon: int = 60) -> DataFrame:
-    """Outcomes over the daily bars of the `horizon` days after the alert's date; no time stop, and what is not decided stays open."""
+    """Outcomes over the daily bars of the `horizon` days after the alert's date; no time stop, and what is not decided, or has no later bars, stays open.
+
+    An alert meets the bars of the calendar months that its horizon touches, by an
+    equi-join on symbol and month, so it never meets a symbol's whole history.
+    """
     a = alerts.withColumn("gen_date", F.to_date("generated_at"))
-    b = days.select("symbol", "session", "ts", "high", "low", "close")
-    pairs = a.join(b, "symbol").where(f"session > gen_date and session <= date_add(gen_date, {horizon})")
-    return _first_touch(pairs, a, None, F.lit(True)).drop("gen_date")
+    months = F.sequence(F.trunc(F.date_add("gen_date", 1), "month"), F.date_add("gen_date", horizon), F.expr("interval 1 month"))
+    b = days.select("symbol", F.trunc("session", "month").alias("month"), "session", "ts", "high", "low", "close")
+    pairs = a.withColumn("month", F.explode(months)).join(b, ["symbol", "month"]).where(f"session > gen_date and session <= date_add(gen_date, {horizon})")
+    return _first_touch(pairs.drop("month"), a, None, F.lit(True), "open").drop("gen_date")
 
 
 def resolve_pending(alerts: DataFrame, outcomes: DataFrame, bars: DataFrame, days: DataFrame, as_of: Column, max_age: int = 60, time_stop: str = "45 minutes") -> DataFrame:

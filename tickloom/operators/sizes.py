@@ -1,0 +1,14 @@
+"""Which side of a product may be sent to every task."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows of a table that is sent to every task, at most.
+SMALL = 20_000
+
+
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """df with a broadcast hint if it has no more than `most` rows; else as it is, and Spark cuts a product with it into tasks."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -17,9 +17,11 @@ TARGET_LABELS = "\\btarget\\b|\\btgt\\b|\\bt1\\b|\\btp\\b|\\btarget\\s*1\\b"
 TARGET2_LABELS = "\\bt2\\b|\\btarget\\s*2\\b|\\btp2\\b"
 STOP_LABELS = "\\bsl\\b|\\bstop\\s*loss\\b|\\bstoploss\\b|\\bstop\\b"
 NO_TICKERS = (
-    "BUY SELL SHORT LONG TGT TARGET SL STOP LOSS CMP ENTRY EXIT BULLISH BEARISH BREAKOUT BREAKDOWN NIFTY BANKNIFTY SENSEX INTRADAY SWING BUYING SELLING "
-    "AT ABOVE BELOW GO ENTER BOOK PROFIT VOL VOLUME QTY RSI MACD EMA SMA ATR VWAP CALL PUT PE CE STRIKE EXPIRY OI FII DII IPO PSU NEWS RESULTS Q1 Q2 Q3 Q4 FY25 FY26"
-).split()
+    "BUY", "SELL", "SHORT", "LONG", "TGT", "TARGET", "SL", "STOP", "LOSS", "CMP", "ENTRY", "EXIT", "BULLISH", "BEARISH", "BREAKOUT", "BREAKDOWN",
+    "NIFTY", "BANKNIFTY", "SENSEX", "INTRADAY", "SWING", "BUYING", "SELLING", "AT", "ABOVE", "BELOW", "GO", "ENTER", "BOOK", "PROFIT", "VOL",
+    "VOLUME", "QTY", "RSI", "MACD", "EMA", "SMA", "ATR", "VWAP", "CALL", "PUT", "PE", "CE", "STRIKE", "EXPIRY", "OI", "FII", "DII", "IPO", "PSU",
+    "NEWS", "RESULTS", "Q1", "Q2", "Q3", "Q4", "FY25", "FY26",
+)
 
 
 def price_after(text: Column, labels: str) -> Column:
@@ -27,20 +29,21 @@ def price_after(text: Column, labels: str) -> Column:
     return F.regexp_extract(text, f"(?i)(?:{labels})\\s*:?\\s*₹?\\s*([0-9]{{2,6}}(?:\\.[0-9]{{1,2}})?)", 1).try_cast("double")
 
 
-def extract_tips(messages: DataFrame, universe: DataFrame) -> DataFrame:
+def extract_tips(messages: DataFrame, universe: DataFrame, text_chars: int = 500) -> DataFrame:
     """One tip for each message (channel, msg_id, ts, text) with a known ticker and words of one side only.
 
     The first upper-case token that is a symbol of universe (symbol) is the tip's; tokens
-    meet the universe by a join, so it may be of any size.
+    meet the universe by a join, so it may be of any size. Prices are read once, before
+    tokens are taken apart, and go along with them.
     """
     text = F.col("text")
     side = F.when(text.rlike(f"(?i)\\b(?:{BUY_WORDS})\\b"), 1).otherwise(0) + F.when(text.rlike(f"(?i)\\b(?:{SELL_WORDS})\\b"), 2).otherwise(0)
-    rows = messages.withColumn("action", F.when(side == 1, "BUY").when(side == 2, "SELL")).where("action is not null")
-    tokens = rows.select("channel", "msg_id", F.posexplode(F.regexp_extract_all("text", F.lit("\\b[A-Z][A-Z0-9-]{1,14}\\b"), F.lit(0))).alias("pos", "symbol")).where(~F.col("symbol").isin(NO_TICKERS))
-    known = tokens.join(universe.select("symbol").distinct(), "symbol").groupBy("channel", "msg_id").agg(F.min_by("symbol", "pos").alias("symbol"))
     prices = {"entry": ENTRY_LABELS, "target": TARGET_LABELS, "target2": TARGET2_LABELS, "stop_loss": STOP_LABELS}
-    out = rows.join(known, ["channel", "msg_id"]).withColumns({k: price_after(text, v) for k, v in prices.items()})
-    return out.select("channel", "msg_id", "ts", "symbol", "action", *prices, F.substring(F.trim("text"), 1, 500).alias("raw_text"))
+    named = F.array_except(F.regexp_extract_all("text", F.lit("\\b[A-Z][A-Z0-9-]{1,14}\\b"), F.lit(0)), F.array(*map(F.lit, NO_TICKERS)))
+    rows = messages.withColumn("action", F.when(side == 1, "BUY").when(side == 2, "SELL")).where("action is not null")
+    rows = rows.select("channel", "msg_id", F.struct("ts", "action", *(price_after(text, v).alias(k) for k, v in prices.items()), F.substring(F.trim("text"), 1, text_chars).alias("raw_text")).alias("tip"), F.posexplode(named).alias("pos", "symbol"))
+    first = rows.join(universe.select("symbol").distinct(), "symbol").groupBy("channel", "msg_id").agg(F.min_by(F.struct("symbol", "tip"), "pos").alias("x"))
+    return first.select("channel", "msg_id", "x.tip.ts", "x.symbol", "x.tip.action", *(f"x.tip.{k}" for k in prices), "x.tip.raw_text")
 
 
 def agreement(action: Column, signal: Column) -> Column:
@@ -64,8 +67,17 @@ def gate(tips: DataFrame, voted: DataFrame, rejected: DataFrame | None = None, l
 
 
 def digest(gated: DataFrame, every: int = 10) -> DataFrame:
-    """Counts by outcome of each run of `every` tips of a channel."""
-    n = F.row_number().over(W.partitionBy("channel").orderBy("ts", "msg_id"))
+    """Counts by outcome of each run of `every` tips of a channel.
+
+    Tips are ranked inside their channel's days, on top of prefix sums of the days'
+    counts, so no task sorts a whole channel.
+    """
+    day = F.to_date("ts")
+    counts = gated.groupBy("channel", day.alias("day")).agg(F.count("*").alias("held"))
+    before = F.coalesce(F.sum("held").over(W.partitionBy("channel").orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bases = counts.select(F.col("channel").alias("__channel"), F.col("day").alias("__day"), before.alias("__before"))
+    gated = gated.withColumn("day", day).join(bases, (F.col("channel") == F.col("__channel")) & F.col("day").eqNullSafe(F.col("__day")))
+    n = F.col("__before") + F.row_number().over(W.partitionBy("channel", "day").orderBy("ts", "msg_id"))
     return gated.withColumn("run", F.floor((n - 1) / every)).groupBy("channel", "run", "outcome").agg(F.count("*").alias("n"))
 
 

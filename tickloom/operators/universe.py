@@ -34,6 +34,12 @@ def instruments(symbols: DataFrame, master: DataFrame) -> tuple[DataFrame, DataF
     return out.where("token is not null"), out.where("token is null").select("symbol", "exch", "target")
 
 
+def index_candles(names: DataFrame, aliases: DataFrame, bars: DataFrame) -> DataFrame:
+    """Bars of the indices that names (symbol) mean, by the alias table (alias, ticker, display), under their display names; other names have none."""
+    known = normalize_symbols(names.select("symbol").distinct(), aliases).where(F.col("ticker").startswith("^"))
+    return known.select(F.col("ticker").alias("__ticker"), F.col("display").alias("index_name")).join(bars, F.col("__ticker") == F.col("symbol")).drop("__ticker")
+
+
 def tradable(master: DataFrame) -> DataFrame:
     """Cash symbols that are underlyings of stock futures, without test and indicative names."""
     cash = master.where("exch_seg = 'NSE' and symbol like '%-EQ' and symbol not like '%INAV%'").select(F.regexp_replace("symbol", "-EQ$", "").alias("symbol")).distinct()
@@ -67,8 +73,10 @@ def write_snapshot(snap: DataFrame, root: str) -> None:
 def as_of(snapshots: DataFrame, dates: DataFrame) -> DataFrame:
     """(d, as_of, symbol, survivorship_biased) of each date asked for: the latest snapshot up to it, or NULLs and true without one.
 
-    Only the distinct snapshot dates, a few, meet the dates asked for.
+    Distinct calendar days of both sides, which are few whatever the data, lie in one
+    order; each day asked for takes the last snapshot day before it there.
     """
-    days = F.broadcast(snapshots.select("as_of").distinct())
-    best = dates.select("d").distinct().join(days, F.col("as_of") <= F.col("d"), "left").groupBy("d").agg(F.max("as_of").alias("as_of"))
+    none = F.lit(None).cast("date")
+    days = snapshots.select(F.col("as_of").alias("at"), "as_of", none.alias("d")).distinct().unionByName(dates.select(F.col("d").alias("at"), none.alias("as_of"), "d").distinct())
+    best = days.withColumn("as_of", F.last("as_of", ignorenulls=True).over(W.orderBy("at", F.col("as_of").desc_nulls_last()))).where("d is not null").select("d", "as_of")
     return best.join(snapshots, "as_of", "left").select("d", "as_of", "symbol", F.col("as_of").isNull().alias("survivorship_biased"))

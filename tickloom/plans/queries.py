@@ -42,9 +42,9 @@ def _voted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _alerts(spark: SparkSession, sf: str) -> DataFrame:
-    """Alerts at every seventh bar after the warm-up, of each category in turn."""
-    rn, turn = F.col("rn"), F.floor(F.col("rn") / 7)
-    rows = _feat(spark, sf).where("rn > 30 and rn % 7 = 0").withColumn("direction", F.when(rn % 14 == 0, "long").otherwise("short"))
+    """Alerts at every bar after the warm-up, of each direction and category in turn."""
+    rn, turn = F.col("rn"), F.floor(F.col("rn") / 2)
+    rows = _feat(spark, sf).where("rn > 30").withColumn("direction", F.when(rn % 2 == 0, "long").otherwise("short"))
     rows = sg.with_levels(rows).withColumn("category", F.element_at(F.array(*map(F.lit, CATEGORIES)), (turn % 6 + 1).cast("int")))
     setup = F.when(turn % 6 == 0, F.concat(F.lit("score"), (75 + rn % 25).cast("string"))).when(turn % 6 == 5, F.concat(F.lit("@ch"), (rn % 3).cast("string"))).otherwise("A")
     return rows.select(F.concat_ws(":", "symbol", rn.cast("string")).alias("alert_id"), "symbol", F.col("session").alias("trade_date"), F.col("ts").alias("generated_at"), "entry", "stop_loss", "target1", "target2", "direction", "category", F.when(turn % 5 != 0, rn % 3).cast("long").alias("user_id"), setup.alias("setup"))
@@ -163,6 +163,21 @@ def index_snapshot(spark, sf):
     return s.select("symbol", "last", "prev", r("change").alias("change"), r("change_pct").alias("change_pct"), "day_high", "day_low")
 
 
+@query("SELECT event_id, ts + INTERVAL 330 MINUTE AS ts, CAST(ts + INTERVAL 330 MINUTE AS DATE) AS session FROM events")
+def market_zone(spark, sf):
+    rows = spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.to_date("ts").alias("session"))
+    return br.in_market_zone(rows)
+
+
+@query("SELECT n_name AS index_name, symbol, session, rn, close FROM nation JOIN day ON symbol = n_nationkey")
+def index_candles(spark, sf):
+    n = spark.read.parquet(f"{sf}/nation.parquet").select(F.concat(F.lit("NATION"), F.col("n_nationkey").cast("string")).alias("alias"), F.concat(F.lit("^"), F.col("n_nationkey").cast("string")).alias("ticker"), F.col("n_name").alias("display"))
+    names = n.select(F.lower("alias").alias("symbol")).unionByName(n.select(F.concat(F.lit("SUP"), "alias").alias("symbol")))
+    bars = br.daily(spark, sf).withColumn("symbol", F.concat(F.lit("^"), F.col("symbol").cast("string")))
+    out = un.index_candles(names, n, bars)
+    return out.select("index_name", F.substring("symbol", 2, 20).cast("long").alias("symbol"), "session", "rn", "close")
+
+
 @query("SELECT symbol, session, rn, close FROM bar QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY rn DESC) = 1")
 def last_bar(spark, sf):
     return ind.latest(br.intraday(spark, sf)).select(*KEY, "close")
@@ -318,11 +333,11 @@ def delivery_lookup(spark, sf):
     return sc.with_delivery(_scored(spark, sf), _delivery(spark, sf)).select(*KEY, "delivery_pct")
 
 
-@query(f"SELECT s.symbol, s.session, s.rn, CASE WHEN d.delivery_pct >= 60 THEN 1 ELSE 0 END AS n_context, (NOT s.regime_ok)::INT + coalesce((d.delivery_pct < 25)::INT, 0) + (NOT s.event_ok)::INT AS n_notes FROM ({EVENTS}) s LEFT JOIN (SELECT b.symbol, b.session, arg_max(delivery_pct, as_of) AS delivery_pct FROM (SELECT DISTINCT symbol, session FROM sc) b JOIN ({DELIVERY}) d ON d.symbol = b.symbol AND as_of <= b.session AND as_of >= b.session-5 GROUP BY b.symbol, b.session) d ON d.symbol = s.symbol AND d.session = s.session")
+@query(f"SELECT s.symbol, s.session, s.rn, CASE WHEN d.delivery_pct >= 60 THEN 'strong delivery' ELSE '' END AS context, array_to_string(list_filter([CASE WHEN NOT s.regime_ok THEN 'counter-trend' END, CASE WHEN d.delivery_pct < 25 THEN 'low delivery' END, CASE WHEN NOT s.event_ok THEN 'results near' END], lambda x: x IS NOT NULL), '; ') AS notes FROM ({EVENTS}) s LEFT JOIN (SELECT b.symbol, b.session, arg_max(delivery_pct, as_of) AS delivery_pct FROM (SELECT DISTINCT symbol, session FROM sc) b JOIN ({DELIVERY}) d ON d.symbol = b.symbol AND as_of <= b.session AND as_of >= b.session-5 GROUP BY b.symbol, b.session) d ON d.symbol = s.symbol AND d.session = s.session")
 def context_notes(spark, sf):
     rows = sc.with_delivery(sc.with_events(_regime(spark, sf), _results(spark, sf)), _delivery(spark, sf))
     rows = sc.context_notes(rows)
-    return rows.select(*KEY, F.size("context").alias("n_context"), F.size("notes").alias("n_notes"))
+    return rows.select(*KEY, F.array_join("context", "; ").alias("context"), F.array_join("notes", "; ").alias("notes"))
 
 
 # --- selection, journal ----------------------------------------------------------------------------------------
@@ -360,17 +375,17 @@ def dedup_first_per_session(spark, sf):
 
 
 def _watch(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Users, their watchlists (for two of three) and the universe, from customer, orders and supplier."""
+    """Users, their watchlists and the universe, from customers, the suppliers of their orders, and rich suppliers; many users watch nothing."""
     users = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("user_id"))
-    o = spark.read.parquet(f"{sf}/orders.parquet").where("o_custkey % 3 <> 0")
-    n = 10
-    ev = o.select(F.col("o_custkey").alias("user_id"), (F.col("o_orderkey") % n).alias("symbol"), F.col("o_orderdate").alias("at"), F.when(F.col("o_orderpriority") == "5-LOW", "remove").otherwise("add").alias("action"))
-    universe = spark.read.parquet(f"{sf}/supplier.parquet").where("s_nationkey % 5 = 0").select(F.col("s_suppkey").alias("symbol"))
+    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("at"), F.when(F.col("o_orderpriority") == "5-LOW", "remove").when(F.col("o_orderpriority") == "1-URGENT", "add").alias("action"))
+    ev = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", F.col("l_suppkey").alias("symbol")).join(o.where("action is not null"), "l_orderkey").drop("l_orderkey")
+    universe = spark.read.parquet(f"{sf}/supplier.parquet").where("s_acctbal > 8000").select(F.col("s_suppkey").alias("symbol"))
     return users, al.watchlists(ev), universe
 
 
-WATCH = "SELECT a.user_id, a.symbol, min(a.at) AS added_at FROM (SELECT o_custkey AS user_id, o_orderkey % 10 AS symbol, o_orderdate AS at FROM orders WHERE o_custkey % 3 <> 0 AND o_orderpriority <> '5-LOW') a LEFT JOIN (SELECT o_custkey AS user_id, o_orderkey % 10 AS symbol, max(o_orderdate) AS gone FROM orders WHERE o_custkey % 3 <> 0 AND o_orderpriority = '5-LOW' GROUP BY ALL) g ON g.user_id = a.user_id AND g.symbol = a.symbol WHERE gone IS NULL OR a.at > gone GROUP BY a.user_id, a.symbol"
-WATCHED = f"SELECT user_id, symbol FROM ({WATCH}) UNION ALL SELECT c_custkey, s_suppkey FROM customer CROSS JOIN supplier WHERE s_nationkey % 5 = 0 AND c_custkey NOT IN (SELECT user_id FROM ({WATCH}))"
+WATCH_EVENTS = "SELECT o_custkey AS user_id, l_suppkey AS symbol, o_orderdate AS seen, o_orderpriority AS p FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderpriority IN ('1-URGENT', '5-LOW')"
+WATCH = f"SELECT a.user_id, a.symbol, min(a.seen) AS added_at FROM (SELECT * FROM ({WATCH_EVENTS}) WHERE p = '1-URGENT') a LEFT JOIN (SELECT user_id, symbol, max(seen) AS gone FROM ({WATCH_EVENTS}) WHERE p = '5-LOW' GROUP BY ALL) g ON g.user_id = a.user_id AND g.symbol = a.symbol WHERE gone IS NULL OR a.seen > gone GROUP BY a.user_id, a.symbol"
+WATCHED = f"SELECT user_id, symbol FROM ({WATCH}) UNION ALL SELECT c_custkey, s_suppkey FROM customer CROSS JOIN supplier WHERE s_acctbal > 8000 AND c_custkey NOT IN (SELECT user_id FROM ({WATCH}))"
 
 
 @query(WATCH)
@@ -394,9 +409,9 @@ def swing_summary(spark, sf):
     return al.swing_shortlist(al.watched_or_default(*_watch(spark, sf)), ind.latest(_voted(spark, sf)), Gates(swing_confidence=75))[1]
 
 
-@query("SELECT c_custkey AS user_id, alert_id, symbol, direction FROM customer CROSS JOIN (SELECT * FROM al WHERE trade_date = DATE '2024-01-10' AND category = 'scan') WHERE c_custkey % 10 = 0")
+@query("SELECT c_custkey AS user_id, alert_id, symbol, direction FROM customer CROSS JOIN (SELECT * FROM al WHERE trade_date = DATE '2024-01-10' AND category = 'scan')")
 def fanout(spark, sf):
-    subs = spark.read.parquet(f"{sf}/customer.parquet").where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("user_id"))
+    subs = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("user_id"))
     return al.outbox(_alerts(spark, sf).where("trade_date = date'2024-01-10' and category = 'scan'"), subs)
 
 
@@ -450,24 +465,30 @@ def resolve_intraday(spark, sf):
     return rounded(_outcomes(spark, sf), keep=["alert_id", "status", "exit_time"], values=["exit_price", "pnl_pct"], digits=4)
 
 
-SWING_AL = "SELECT symbol || ':' || rn AS alert_id, symbol, session AS gen, close AS entry, close*0.99 AS sl, close*1.02 AS t1, close*1.03 AS t2 FROM day WHERE rn > 60 AND rn % 50 = 0"
-SWING_OC = f"""SELECT alert_id, CASE WHEN tend IS NULL THEN 'no_data' WHEN tsl <= coalesce(tt1, tsl) THEN 'sl_hit' WHEN tt1 IS NULL THEN 'open' WHEN tt2 <= coalesce(tbe, tt2) THEN 't2_hit' WHEN tbe IS NOT NULL THEN 't1_then_breakeven' ELSE 'open' END AS status FROM ({SWING_AL}) a LEFT JOIN
-  (SELECT alert_id, any_value(tt1) AS tt1, min(session) FILTER (low <= sl) AS tsl, min(session) FILTER (session >= tt1 AND high >= t2) AS tt2, min(session) FILTER (session > tt1 AND low <= entry) AS tbe, max(session) AS tend FROM (SELECT a.*, d.session, d.high, d.low, min(CASE WHEN d.high >= a.t1 THEN d.session END) OVER (PARTITION BY alert_id) AS tt1 FROM ({SWING_AL}) a JOIN day d ON d.symbol = a.symbol AND d.session > a.gen AND d.session <= a.gen+60) GROUP BY alert_id) g USING (alert_id)"""
+SWING_AL = "SELECT symbol || ':' || rn AS alert_id, symbol, session AS gen, close AS entry, close*0.99 AS sl, close*1.02 AS t1, close*1.03 AS t2 FROM day WHERE rn > 60"
+SWING_OC = f"""SELECT alert_id, status, CAST(exit_time AS TIMESTAMP) AS exit_time, round(exit_price, 4)+0.0 AS exit_price, round(CASE WHEN status IN ('t2_hit','t1_then_breakeven') THEN ((exit_price-entry)/entry*100+(t1-entry)/entry*100)/2 ELSE (exit_price-entry)/entry*100 END, 4)+0.0 AS pnl_pct FROM (
+  SELECT *, CASE status WHEN 'sl_hit' THEN sl WHEN 't2_hit' THEN t2 WHEN 't1_then_breakeven' THEN entry END AS exit_price, CASE status WHEN 'sl_hit' THEN tsl WHEN 't2_hit' THEN tt2 WHEN 't1_then_breakeven' THEN tbe END AS exit_time FROM (
+  SELECT a.*, g.* EXCLUDE (alert_id), CASE WHEN tsl <= coalesce(tt1, tsl) THEN 'sl_hit' WHEN tt1 IS NULL THEN 'open' WHEN tt2 <= coalesce(tbe, tt2) THEN 't2_hit' WHEN tbe IS NOT NULL THEN 't1_then_breakeven' ELSE 'open' END AS status FROM ({SWING_AL}) a LEFT JOIN
+  (SELECT alert_id, any_value(tt1) AS tt1, min(session) FILTER (low <= sl) AS tsl, min(session) FILTER (session >= tt1 AND high >= t2) AS tt2, min(session) FILTER (session > tt1 AND low <= entry) AS tbe FROM (SELECT a.*, d.session, d.high, d.low, min(CASE WHEN d.high >= a.t1 THEN d.session END) OVER (PARTITION BY alert_id) AS tt1 FROM ({SWING_AL}) a JOIN day d ON d.symbol = a.symbol AND d.session > a.gen AND d.session <= a.gen+60) GROUP BY alert_id) g USING (alert_id)))"""
+
+
+def _swing_alerts(days: DataFrame) -> DataFrame:
+    c = F.col("close")
+    return days.where("rn > 60").select(F.concat_ws(":", F.col("symbol").cast("string"), F.col("rn").cast("string")).alias("alert_id"), "symbol", F.lit("long").alias("direction"), F.col("ts").alias("generated_at"), c.alias("entry"), (c * 0.99).alias("stop_loss"), (c * 1.02).alias("target1"), (c * 1.03).alias("target2"))
 
 
 @query(SWING_OC)
 def resolve_swing(spark, sf):
     days = br.daily(spark, sf)
-    c = F.col("close")
-    a = days.where("rn > 60 and rn % 50 = 0").select(F.concat_ws(":", F.col("symbol").cast("string"), F.col("rn").cast("string")).alias("alert_id"), "symbol", F.lit("long").alias("direction"), F.col("ts").alias("generated_at"), c.alias("entry"), (c * 0.99).alias("stop_loss"), (c * 1.02).alias("target1"), (c * 1.03).alias("target2"))
-    return oc.resolve_swing(a, days, 60).select("alert_id", "status")
+    return rounded(oc.resolve_swing(_swing_alerts(days), days, 60), keep=["alert_id", "status", "exit_time"], values=["exit_price", "pnl_pct"], digits=4)
 
 
-@query("SELECT al.alert_id, status FROM al JOIN oc ON oc.alert_id = al.alert_id WHERE al.category IN ('scan','manual_intraday') AND al.trade_date >= DATE '2024-02-05' - 15 AND al.alert_id NOT IN (SELECT alert_id FROM oc WHERE status = 'sl_hit')")
+@query("SELECT alert_id, category, status FROM (SELECT alert_id, category, trade_date, status FROM oc WHERE category IN ('scan','manual_intraday') UNION ALL SELECT alert_id, category, trade_date, status FROM swo WHERE category NOT IN ('scan','manual_intraday')) WHERE trade_date >= DATE '2024-02-05' - 15 AND alert_id NOT IN (SELECT alert_id FROM oc WHERE status = 'sl_hit')")
 def resolve_pending(spark, sf):
-    a = _alerts(spark, sf).where("category in ('scan', 'manual_intraday')").withColumn("direction", F.when(F.col("direction") == "long", "BUY").otherwise("SELL"))
-    days = br.daily(spark, sf).withColumn("symbol", F.col("symbol").cast("string"))
-    return oc.resolve_pending(a, _results_of(spark, sf, "status = 'sl_hit'"), br.intraday(spark, sf), days, F.lit("2024-02-05").cast("date"), 15, TIME_STOP).select("alert_id", "status")
+    a = _alerts(spark, sf).withColumn("direction", F.when(F.col("direction") == "long", "BUY").otherwise("SELL"))
+    days = br.numbered(br.bars_from_ticks(br.event_ticks(spark, sf), "1d"))
+    out = oc.resolve_pending(a, _results_of(spark, sf, "status = 'sl_hit'"), br.intraday(spark, sf), days, F.lit("2024-02-05").cast("date"), 15, TIME_STOP)
+    return out.select("alert_id", "status").join(a.select("alert_id", "category"), "alert_id")
 
 
 AGG = "count(pnl_pct) AS n, count(*) FILTER (pnl_pct IS NOT NULL AND ok) AS wins, count(*) FILTER (pnl_pct IS NOT NULL AND status='sl_hit') AS losses, count(*) FILTER (pnl_pct IS NOT NULL AND NOT ok AND status<>'sl_hit') AS neutral, round(coalesce(sum(pnl_pct),0)-0.13*count(pnl_pct), 4)+0.0 AS net, round(coalesce(count(*) FILTER (pnl_pct IS NOT NULL AND ok)*100.0/nullif(count(*) FILTER (pnl_pct IS NOT NULL AND (ok OR status='sl_hit')),0),0), 4)+0.0 AS win_rate, round(avg(CASE WHEN pnl_pct IS NOT NULL THEN date_diff('day', CAST(generated_at AS DATE), CAST(exit_time AS DATE)) END), 4)+0.0 AS avg_hold"
@@ -482,10 +503,10 @@ def perf_grouping_sets(spark, sf):
 
 
 @query("""SELECT category, count(net) AS trades, round(avg(net), 6)+0.0 AS mean, round(coalesce(stddev_samp(net), 0), 6)+0.0 AS std, round(avg(net)/nullif(stddev_samp(net), 0), 6)+0.0 AS sharpe, round(CASE WHEN count(net) >= 2 THEN avg(net)/nullif(sqrt(avg(least(net, 0)*least(net, 0))), 0) END, 6)+0.0 AS sortino,
-  round(avg(net)-1.96*stddev_samp(net)/sqrt(count(net)), 6)+0.0 AS ci_low, round(avg(net)/nullif(stddev_samp(net)/sqrt(count(net)), 0), 6)+0.0 AS t_stat, coalesce(avg(net)-1.96*stddev_samp(net)/sqrt(count(net)) > 0 OR avg(net)+1.96*stddev_samp(net)/sqrt(count(net)) < 0, false) AS edge FROM (SELECT *, pnl_pct-0.13 AS net FROM oc) GROUP BY category""")
+  round(avg(net)-1.96*stddev_samp(net)/sqrt(count(net)), 6)+0.0 AS ci_low, round(avg(net)+1.96*stddev_samp(net)/sqrt(count(net)), 6)+0.0 AS ci_high, round(avg(net)/nullif(stddev_samp(net)/sqrt(count(net)), 0), 6)+0.0 AS t_stat, coalesce(avg(net)-1.96*stddev_samp(net)/sqrt(count(net)) > 0 OR avg(net)+1.96*stddev_samp(net)/sqrt(count(net)) < 0, false) AS edge FROM (SELECT *, pnl_pct-0.13 AS net FROM oc) GROUP BY category""")
 def risk_metrics(spark, sf):
     out = _outcomes(spark, sf).withColumn("net", me.net()).groupBy("category").agg(*me.risk())
-    return rounded(out, keep=["category", "trades", "edge"], values=["mean", "std", "sharpe", "sortino", "ci_low", "t_stat"])
+    return rounded(out, keep=["category", "trades", "edge"], values=["mean", "std", "sharpe", "sortino", "ci_low", "ci_high", "t_stat"])
 
 
 @query("SELECT symbol, round(max(greatest(0, peak)-equity), 4)+0.0 AS max_drawdown FROM (SELECT *, max(equity) OVER (PARTITION BY symbol ORDER BY generated_at, alert_id ROWS UNBOUNDED PRECEDING) AS peak FROM (SELECT *, sum(pnl_pct-0.13) OVER (PARTITION BY symbol ORDER BY generated_at, alert_id ROWS UNBOUNDED PRECEDING) AS equity FROM oc WHERE pnl_pct IS NOT NULL)) GROUP BY symbol")
@@ -503,15 +524,15 @@ def status_counts(spark, sf):
     return _outcomes(spark, sf).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("SELECT symbol, grouping(symbol)::INT AS is_total, count(pnl_pct) AS n, count(*) FILTER (pnl_pct > 0) AS wins, count(*) FILTER (pnl_pct < 0) AS losses, count(*) FILTER (pnl_pct = 0) AS break_even, round(sum(pnl_pct), 4)+0.0 AS gross_total, round(sum(pnl_pct)-0.13*count(pnl_pct), 4)+0.0 AS net_total, round(coalesce(avg(pnl_pct) FILTER (pnl_pct > 0), 0), 4)+0.0 AS avg_win, round(coalesce(avg(pnl_pct) FILTER (pnl_pct < 0), 0), 4)+0.0 AS avg_loss FROM oc GROUP BY ROLLUP (symbol)")
+@query("SELECT symbol, grouping(symbol)::INT AS is_total, count(pnl_pct) AS n, count(*) FILTER (pnl_pct > 0) AS wins, count(*) FILTER (pnl_pct < 0) AS losses, count(*) FILTER (pnl_pct = 0) AS break_even, round(coalesce(count(*) FILTER (pnl_pct > 0)*100.0/nullif(count(pnl_pct), 0), 0), 4)+0.0 AS hit_rate, round(coalesce(avg(pnl_pct), 0), 4)+0.0 AS gross_avg, round(coalesce(avg(pnl_pct), 0)-0.13, 4)+0.0 AS net_avg, round(sum(pnl_pct), 4)+0.0 AS gross_total, round(sum(pnl_pct)-0.13*count(pnl_pct), 4)+0.0 AS net_total, round(coalesce(avg(pnl_pct) FILTER (pnl_pct > 0), 0), 4)+0.0 AS avg_win, round(coalesce(avg(pnl_pct) FILTER (pnl_pct < 0), 0), 4)+0.0 AS avg_loss FROM oc GROUP BY ROLLUP (symbol)")
 def symbol_summary(spark, sf):
     out = me.symbol_summary(_outcomes(spark, sf))
-    return rounded(out, keep=["symbol", "is_total", "n", "wins", "losses", "break_even"], values=["gross_total", "net_total", "avg_win", "avg_loss"], digits=4).orderBy(F.desc("net_total"))
+    return rounded(out, keep=["symbol", "is_total", "n", "wins", "losses", "break_even"], values=["hit_rate", "gross_total", "gross_avg", "net_total", "net_avg", "avg_win", "avg_loss"], digits=4).orderBy(F.desc("net_total"))
 
 
-@query(f"SELECT user_id, count(*) FILTER ({OK}) AS wins, count(*) FILTER (status='sl_hit') AS losses, count(*) FILTER (NOT {OK} AND status<>'sl_hit') AS neutral, round(count(*) FILTER ({OK})*100.0/count(*), 4)+0.0 AS win_rate, round(sum(pnl_pct-0.13), 4)+0.0 AS net FROM oc WHERE pnl_pct IS NOT NULL GROUP BY user_id")
+@query(f"SELECT user_id, count(*) FILTER ({OK}) AS wins, count(*) FILTER (status='sl_hit') AS losses, count(*) FILTER (NOT {OK} AND status<>'sl_hit') AS neutral, round(count(*) FILTER ({OK})*100.0/count(*), 4)+0.0 AS win_rate, round(sum(pnl_pct-0.13), 4)+0.0 AS net, round(avg(date_diff('day', CAST(generated_at AS DATE), CAST(exit_time AS DATE))), 4)+0.0 AS avg_hold FROM oc WHERE pnl_pct IS NOT NULL GROUP BY user_id")
 def swing_record(spark, sf):
-    return rounded(me.swing_record(_outcomes(spark, sf)), keep=["user_id", "wins", "losses", "neutral"], values=["win_rate", "net"], digits=4)
+    return rounded(me.swing_record(_outcomes(spark, sf)), keep=["user_id", "wins", "losses", "neutral"], values=["win_rate", "net", "avg_hold"], digits=4)
 
 
 @query(f"SELECT trade_date, category, count(*) AS total, count(*) FILTER ({OK}) AS passed, count(*) FILTER (status='sl_hit') AS failed, count(*) FILTER (NOT {OK} AND status<>'sl_hit') AS neutral, round(coalesce(sum(pnl_pct), 0), 4)+0.0 AS pnl_sum, round(avg(pnl_pct), 4)+0.0 AS pnl_avg FROM oc GROUP BY trade_date, category")
@@ -533,19 +554,27 @@ def benchmark_return(spark, sf):
 
 # --- history and walk-forward ----------------------------------------------------------------------------------
 
-CAND = "SELECT * FROM seta WHERE rn >= 30 AND isodow(ts) < 6 AND long_code IS NULL AND CASE direction WHEN 'long' THEN long_code ELSE short_code END IS NULL"
+TRADE = f"status, exit_time, {rsql('stop_loss', 'exit_price', digits=4)}, round(coalesce(pnl_pct, 0), 4)+0.0 AS pnl_pct"
+
 
+def _history(trades: DataFrame, *more: str) -> DataFrame:
+    kept = trades.withColumn("pnl_pct", F.coalesce("pnl_pct", F.lit(0.0)))
+    return rounded(kept, keep=["alert_id", "symbol", "direction", *more, "status", "exit_time"], values=["stop_loss", "exit_price", "pnl_pct"], digits=4)
 
-@query(f"SELECT symbol, rn, direction FROM ({CAND}) QUALIFY row_number() OVER (PARTITION BY symbol, session ORDER BY ts) = 1")
+
+@query(f"SELECT alert_id, symbol, direction, {TRADE} FROM hoc")
 def signal_history(spark, sf):
-    out = hi.setup_history(_feat(spark, sf), session=ALL_DAY, time_stop=TIME_STOP)
-    return out.select("symbol", F.split_part("alert_id", F.lit(":"), F.lit(3)).cast("long").alias("rn"), "direction")
+    return _history(hi.setup_history(_feat(spark, sf), session=ALL_DAY, time_stop=TIME_STOP))
+
 
+@query(f"SELECT alert_id, symbol, direction, {TRADE} FROM doc")
+def signal_history_usual_hours(spark, sf):
+    return _history(hi.setup_history(_feat(spark, sf)))
 
-@query("SELECT symbol, rn, score FROM sc s JOIN (SELECT symbol, session, max(bar_no) AS n FROM bar GROUP BY ALL) b USING (symbol, session) WHERE score >= 60 AND direction <> 'none' AND bar_no < n AND isodow(ts) < 6 QUALIFY row_number() OVER (PARTITION BY symbol, session ORDER BY ts) = 1")
+
+@query(f"SELECT alert_id, symbol, direction, score, {TRADE} FROM soc")
 def score_history(spark, sf):
-    out = hi.score_history(_scored(spark, sf), br.intraday(spark, sf), 60, ALL_DAY, TIME_STOP)
-    return out.select("symbol", F.split_part("alert_id", F.lit(":"), F.lit(2)).cast("long").alias("rn"), "score")
+    return _history(hi.score_history(_scored(spark, sf), br.intraday(spark, sf), 60, ALL_DAY, TIME_STOP), "score")
 
 
 @query("SELECT session, (i >= round_even(m/4.0, 0))::INT + (i >= round_even(2*m/4.0, 0))::INT + (i >= round_even(3*m/4.0, 0))::INT AS fold FROM (SELECT session, row_number() OVER (ORDER BY session)-1 AS i, count(*) OVER () AS m FROM (SELECT DISTINCT session FROM bar))")
@@ -553,12 +582,16 @@ def folds(spark, sf):
     return hi.folds(br.intraday(spark, sf), 4)
 
 
-@query(None)
+FOLDS = "SELECT session, (i >= round_even(m/4.0, 0))::INT + (i >= round_even(2*m/4.0, 0))::INT + (i >= round_even(3*m/4.0, 0))::INT AS fold FROM (SELECT session, row_number() OVER (ORDER BY session)-1 AS i, count(*) OVER () AS m FROM (SELECT DISTINCT session FROM bar))"
+PARAM_TRADES = f"SELECT fold, param, coalesce(pnl_pct, 0)-0.13 AS net FROM woc JOIN ({FOLDS}) f ON f.session = woc.trade_date"
+
+
+@query(f"SELECT l.fold, l.param, round(train_mean, 6)+0.0 AS train_mean, n_train, n_test, round(test_mean, 6)+0.0 AS test_mean FROM (SELECT test AS fold, param, avg(net) AS train_mean, count(*) AS n_train FROM ({PARAM_TRADES}) JOIN (VALUES (2), (3)) v(test) ON fold >= test-2 AND fold < test GROUP BY test, param QUALIFY row_number() OVER (PARTITION BY test ORDER BY avg(net) DESC, param) = 1) l LEFT JOIN (SELECT fold, param, count(*) AS n_test, avg(net) AS test_mean FROM ({PARAM_TRADES}) GROUP BY fold, param) t ON t.fold = l.fold AND t.param = l.param")
 def walk_forward(spark, sf):
     grid = spark.createDataFrame([(0, 0.002, 0.02), (1, 0.004, 0.015), (2, 0.003, 0.012)], "param int, lo double, hi double")
     trades, log = hi.walk_forward(_feat(spark, sf), grid, session=ALL_DAY, time_stop=TIME_STOP)
     per = trades.groupBy("fold", "param").agg(F.count("*").alias("n_test"), F.avg("net").alias("test_mean"))
-    return log.join(per, ["fold", "param"], "left")
+    return rounded(log.join(per, ["fold", "param"], "left"), keep=["fold", "param", "n_train", "n_test"], values=["train_mean", "test_mean"])
 
 
 # --- universe --------------------------------------------------------------------------------------------------
@@ -571,9 +604,9 @@ def _snapshots(spark: SparkSession, sf: str) -> DataFrame:
 SNAP = "SELECT DISTINCT CAST(date_trunc('month', session) AS DATE) AS as_of, symbol FROM day"
 
 
-@query(f"SELECT d, best AS as_of, s.symbol, best IS NULL AS survivorship_biased FROM (SELECT d, max(as_of) AS best FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) - 400 AS d FROM orders WHERE o_orderkey % 20 = 0) LEFT JOIN (SELECT DISTINCT as_of FROM ({SNAP})) ON as_of <= d GROUP BY d) LEFT JOIN ({SNAP}) s ON s.as_of = best")
+@query(f"SELECT d, best AS as_of, s.symbol, best IS NULL AS survivorship_biased FROM (SELECT d, max(as_of) AS best FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) - 400 AS d FROM orders) LEFT JOIN (SELECT DISTINCT as_of FROM ({SNAP})) ON as_of <= d GROUP BY d) LEFT JOIN ({SNAP}) s ON s.as_of = best")
 def asof_universe(spark, sf):
-    dates = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey % 20 = 0").select(F.date_sub(F.to_date("o_orderdate"), 400).alias("d"))
+    dates = spark.read.parquet(f"{sf}/orders.parquet").select(F.date_sub(F.to_date("o_orderdate"), 400).alias("d"))
     return un.as_of(_snapshots(spark, sf), dates)
 
 

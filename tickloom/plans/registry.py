@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,8 +47,8 @@ PARTS: dict[str, str] = {
     "seta": """SELECT *, CASE WHEN direction = 'long' THEN 1 ELSE -1 END AS side FROM (SELECT *, CASE WHEN bar_no >= 4 AND (orb3_high-orb3_low)/orb3_low <= 0.012 THEN CASE WHEN close > orb3_high THEN 'long' WHEN close < orb3_low THEN 'short' END END AS direction FROM codes)
       WHERE (direction = 'long' AND close > vwap AND ema9 > ema20 AND rsi14 BETWEEN 55 AND 70) OR (direction = 'short' AND close < vwap AND ema9 < ema20 AND rsi14 BETWEEN 30 AND 45)""",
     "al": """SELECT symbol || ':' || rn AS alert_id, symbol, session AS trade_date, ts AS generated_at, close AS entry, close-side*unit AS stop_loss, close+2*side*unit AS target1, close+3*side*unit AS target2, CASE WHEN side = 1 THEN 'long' ELSE 'short' END AS direction,
-      ['scan','manual_intraday','swing_auto','manual_swing','channel_tip','channel_call'][CAST((rn//7)%6+1 AS BIGINT)] AS category, CASE WHEN (rn//7)%5 <> 0 THEN rn%3 END AS user_id,
-      CASE (rn//7)%6 WHEN 0 THEN 'score' || (75+rn%25) WHEN 5 THEN '@ch' || (rn%3) ELSE 'A' END AS setup FROM (SELECT *, CASE WHEN rn%14 = 0 THEN 1 ELSE -1 END AS side FROM lvl WHERE rn > 30 AND rn%7 = 0)""",
+      ['scan','manual_intraday','swing_auto','manual_swing','channel_tip','channel_call'][CAST((rn//2)%6+1 AS BIGINT)] AS category, CASE WHEN (rn//2)%5 <> 0 THEN rn%3 END AS user_id,
+      CASE (rn//2)%6 WHEN 0 THEN 'score' || (75+rn%25) WHEN 5 THEN '@ch' || (rn%3) ELSE 'A' END AS setup FROM (SELECT *, CASE WHEN rn%2 = 0 THEN 1 ELSE -1 END AS side FROM lvl WHERE rn > 30)""",
     "tch": """SELECT *, (direction='long' AND high>=target1) OR (direction='short' AND low<=target1) AS i1, (direction='long' AND high>=target2) OR (direction='short' AND low<=target2) AS i2, (direction='long' AND low<=stop_loss) OR (direction='short' AND high>=stop_loss) AS isl,
       (direction='long' AND low<=entry) OR (direction='short' AND high>=entry) AS ibe, min(CASE WHEN (direction='long' AND high>=target1) OR (direction='short' AND low<=target1) THEN ts END) OVER (PARTITION BY alert_id) AS t1
       FROM (SELECT al.*, b.ts, b.high, b.low, b.close FROM al JOIN bar b ON b.symbol = al.symbol AND b.session = al.trade_date AND b.ts > al.generated_at)""",
@@ -56,6 +57,11 @@ PARTS: dict[str, str] = {
       FROM al LEFT JOIN tg USING (alert_id)""",
     "oc1": """SELECT *, CASE status WHEN 'time_stop' THEN cl WHEN 'sl_hit' THEN stop_loss WHEN 't2_hit' THEN target2 WHEN 't1_then_breakeven' THEN entry WHEN 'no_data' THEN NULL ELSE cend END AS exit_price, CASE status WHEN 'time_stop' THEN tl WHEN 'sl_hit' THEN tsl WHEN 't2_hit' THEN t2 WHEN 't1_then_breakeven' THEN tbe WHEN 'no_data' THEN NULL ELSE tend END AS exit_time FROM oc0""",
     "oc": """SELECT *, CASE WHEN status IN ('t2_hit','t1_then_squareoff','t1_then_breakeven') THEN (w+h)/2 ELSE w END AS pnl_pct FROM (SELECT *, CASE WHEN direction='long' THEN 1 ELSE -1 END*(exit_price-entry)/nullif(entry,0)*100 AS w, CASE WHEN direction='long' THEN 1 ELSE -1 END*(target1-entry)/nullif(entry,0)*100 AS h FROM oc1)""",
+    "eday": """SELECT symbol, session, max(high) AS high, min(low) AS low FROM bar GROUP BY symbol, session""",
+    "swt": """SELECT *, (direction='long' AND high>=target1) OR (direction='short' AND low<=target1) AS i1, (direction='long' AND high>=target2) OR (direction='short' AND low<=target2) AS i2, (direction='long' AND low<=stop_loss) OR (direction='short' AND high>=stop_loss) AS isl,
+      (direction='long' AND low<=entry) OR (direction='short' AND high>=entry) AS ibe, min(CASE WHEN (direction='long' AND high>=target1) OR (direction='short' AND low<=target1) THEN session END) OVER (PARTITION BY alert_id) AS t1 FROM (SELECT al.*, d.session, d.high, d.low FROM al JOIN eday d ON d.symbol = al.symbol AND d.session > al.trade_date AND d.session <= al.trade_date+60)""",
+    "swo": """SELECT al.*, CASE WHEN tsl <= coalesce(t1, tsl) THEN 'sl_hit' WHEN t1 IS NULL THEN 'open' WHEN t2 <= coalesce(tbe, t2) THEN 't2_hit' WHEN tbe IS NOT NULL THEN 't1_then_breakeven' ELSE 'open' END AS status
+      FROM al LEFT JOIN (SELECT alert_id, any_value(t1) AS t1, min(session) FILTER (isl) AS tsl, min(session) FILTER (session >= t1 AND i2) AS t2, min(session) FILTER (session > t1 AND ibe) AS tbe FROM swt GROUP BY alert_id) g USING (alert_id)""",
     "rv": """SELECT c.symbol, c.session_no, c.bar_no, CASE WHEN avg(p.so_far) FILTER (p.so_far > 0) > 0 THEN any_value(c.so_far)/avg(p.so_far) FILTER (p.so_far > 0) END AS rvol
       FROM (SELECT symbol, session_no, bar_no, sum(volume) OVER (PARTITION BY symbol, session_no ORDER BY bar_no ROWS UNBOUNDED PRECEDING) AS so_far FROM bar) c JOIN (SELECT symbol, session_no, bar_no, max(bar_no) OVER (PARTITION BY symbol, session_no) AS n, sum(volume) OVER (PARTITION BY symbol, session_no ORDER BY bar_no ROWS UNBOUNDED PRECEDING) AS so_far FROM bar) p
       ON p.symbol = c.symbol AND p.session_no BETWEEN c.session_no-4 AND c.session_no-1 AND p.bar_no = least(c.bar_no, p.n) GROUP BY c.symbol, c.session_no, c.bar_no""",
@@ -84,6 +90,22 @@ PARTS: dict[str, str] = {
     "plan": """SELECT *, side*(close-stop) AS risk FROM plan0""",
 }
 
+#: Alerts of the histories: the first signal of each symbol and session (hal: any time of a working day; dal: the usual entry window), of the score, and of each parameter of a grid.
+_FIRST = "SELECT {id} AS alert_id, symbol, session AS trade_date, ts AS generated_at, close AS entry, close-s*unit AS stop_loss, close+2*s*unit AS target1, close+3*s*unit AS target2, direction{more} FROM (SELECT *, CASE WHEN direction = 'long' THEN 1 ELSE -1 END AS s FROM ({rows}) QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY ts) = 1)"
+_GATED = "rn >= 30 AND isodow(ts) < 6 AND coalesce(c_vol, c_slope) IS NULL AND NOT near_long AND NOT (direction = 'short' AND near_short)"
+_USUAL = "hour(ts)*60+minute(ts) BETWEEN 570 AND 869 AND NOT hour(ts)*60+minute(ts) BETWEEN 720 AND 809"
+_MORE = {
+    "h": _FIRST.format(id="symbol || ':A:' || rn", more="", rows=f"SELECT * FROM seta WHERE {_GATED} AND c_atr IS NULL", by="symbol, session"),
+    "d": _FIRST.format(id="symbol || ':A:' || rn", more="", rows=f"SELECT * FROM seta WHERE {_GATED} AND c_atr IS NULL AND {_USUAL}", by="symbol, session"),
+    "s": _FIRST.format(id="symbol || ':' || rn", more=", score", rows="SELECT sc.* FROM sc JOIN (SELECT symbol, session, max(bar_no) AS n FROM bar GROUP BY ALL) b USING (symbol, session) WHERE score >= 60 AND direction <> 'none' AND bar_no < n AND isodow(ts) < 6", by="symbol, session"),
+    "w": _FIRST.format(id="param || ':' || symbol || ':A:' || rn", more=", param", rows=f"SELECT seta.*, param FROM seta CROSS JOIN (VALUES (0, 0.002, 0.02), (1, 0.004, 0.015), (2, 0.003, 0.012)) g(param, lo, hi) WHERE {_GATED} AND atr_share BETWEEN lo AND hi", by="param, symbol, session"),
+}
+for _k, _alerts in _MORE.items():
+    PARTS[f"{_k}al"] = _alerts
+    for _name in ("tch", "tg", "oc0", "oc1", "oc"):
+        _text = re.sub(r"\b(al|tch|tg|oc0|oc1)\b", rf"{_k}\1", PARTS[_name])
+        PARTS[f"{_k}{_name}"] = _text.replace("INTERVAL 180 MINUTE", "INTERVAL 45 MINUTE") if _k == "d" else _text
+
 
 def _names() -> list[str]:
     return [k.split("(")[0] for k in PARTS]
@@ -91,8 +113,6 @@ def _names() -> list[str]:
 
 def sql(select: str) -> str:
     """The select with the parts that it needs in front."""
-    import re
-
     need, names = set(), dict(zip(_names(), PARTS, strict=True))
 
     def add(text: str) -> None:

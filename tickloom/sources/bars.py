@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickloom.config import OTHER_PERIOD_DAYS, PERIOD_DAYS, interval_of
+from tickloom.config import MARKET_ZONE, OTHER_PERIOD_DAYS, PERIOD_DAYS, interval_of
 
 BARS = "symbol string, ts timestamp_ntz, session date, open double, high double, low double, close double, volume double"
 
@@ -29,6 +29,19 @@ def in_period(bars: DataFrame, period: str, as_of: object) -> DataFrame:
     return bars.where((F.col("session") >= F.date_sub(to, days)) & (F.col("session") <= to))
 
 
+def in_market_zone(rows: DataFrame, column: str = "ts", source: str = "UTC", zone: str = MARKET_ZONE) -> DataFrame:
+    """rows with the wall-clock times of `column` turned from the zone `source` to the market's.
+
+    A column of instants (timestamp) needs no source: its session's zone is taken. The
+    session date, the entry window and the market's hours are those of the market's
+    clock, so times of other zones pass here before bars are numbered.
+    """
+    c, kind = F.col(column), rows.schema[column].dataType.typeName()
+    at = F.convert_timezone(F.current_timezone(), F.lit(zone), c.cast("timestamp_ntz")) if kind == "timestamp" else F.convert_timezone(F.lit(source), F.lit(zone), c)
+    out = rows.withColumn(column, at)
+    return out.withColumn("session", F.to_date(column)) if "session" in rows.columns else out
+
+
 def numbered(bars: DataFrame) -> DataFrame:
     """Adds bar_no in the session, rn in the symbol's history and session_no, all from 1."""
     by_session, by_symbol = W.partitionBy("symbol", "session").orderBy("ts"), W.partitionBy("symbol").orderBy("session", "ts")
@@ -48,9 +61,16 @@ def bars_from_ticks(ticks: DataFrame, name: str = "1h") -> DataFrame:
 
 
 def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ticks of the events table: a symbol for each event type, whose price drifts with the sum of values."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    run = F.sum((F.round(F.col("value") * 100)).cast("long") - 4963).over(W.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0))
+    """Ticks of the events table: a symbol for each event type, whose price drifts with the sum of values.
+
+    Sums run inside an hour, on top of prefix sums of the hours' totals, so no task sorts
+    all events of a type.
+    """
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("hour", F.date_trunc("hour", "ts")).withColumn("step", F.round(F.col("value") * 100).cast("long") - 4963)
+    hours = e.groupBy("event_type", "hour").agg(F.sum("step").alias("total"))
+    before = F.coalesce(F.sum("total").over(W.partitionBy("event_type").orderBy("hour").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    e = e.join(hours.select("event_type", "hour", before.alias("before")), ["event_type", "hour"])
+    run = F.col("before") + F.sum("step").over(W.partitionBy("event_type", "hour").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0))
     volume = F.get_json_object("props", "$.k").cast("long") + 1
     return e.select(F.col("event_type").alias("symbol"), "ts", "event_id", F.round(100 * F.exp(5e-7 * run), 2).alias("px"), volume.alias("volume"))
 

@@ -54,5 +54,12 @@ def newest_news(news: DataFrame, k: int = 3, title_chars: int = 110) -> DataFram
     return out.withColumn("title", F.substring("title", 1, title_chars))
 
 
+def messages(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """Channel messages (channel, msg_id, ts, text) that were landed as JSON lines, as a table or as a stream; those without text are left out."""
+    source = spark.readStream if stream else spark.read
+    return source.schema(MESSAGES).json(path).where("trim(text) <> ''")
+
+
 def raw_tips(tips: DataFrame, text_chars: int = 1000) -> DataFrame:
+    """Tips as they are stored: with the time of their arrival, and text of bounded length."""
     return tips.withColumn("raw_text", F.substring("raw_text", 1, text_chars)).withColumn("received_at", F.current_timestamp())

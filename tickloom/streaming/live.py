@@ -11,7 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from tickloom.config import GATES, Gates, interval_of
 from tickloom.operators.alerts import ALERTS, OUTCOMES, append, autoscan
 from tickloom.operators.outcomes import resolve_pending
-from tickloom.operators.tips import extract_tips
+from tickloom.operators.tips import extract_tips, gate
+from tickloom.sources.files import raw_tips
 
 
 def stream_bars(ticks: DataFrame, name: str = "1h", late: str = "10 minutes") -> DataFrame:
@@ -45,7 +46,7 @@ def run_scan(spark: SparkSession, bars: DataFrame, score_batch: Callable[[DataFr
         stored = _stored(spark, alerts_root, ALERTS)
         fired = already = None
         if stored is not None:
-            days = stored.join(scored.select(F.col("session").alias("trade_date")).distinct(), "trade_date", "left_semi")
+            days = stored.where("category = 'scan'").join(scored.select(F.col("session").alias("trade_date")).distinct(), "trade_date", "left_semi")
             fired = days.select("signal_key")
             already = days.groupBy(F.col("trade_date").alias("session")).agg(F.count("*").alias("fired"))
         append(autoscan(scored, g, fired, already), alerts_root)
@@ -60,11 +61,23 @@ def _stored(spark: SparkSession, root: str, schema: str) -> DataFrame | None:
     return spark.read.schema(schema).parquet(root) if there else None
 
 
-def run_tips(messages: DataFrame, universe: DataFrame, root: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Starts the tip audit: every message batch's tips are appended with their text cut to 1000 characters."""
+def run_tips(messages: DataFrame, universe: DataFrame, root: str, checkpoint: str, analysis: Callable[[DataFrame], tuple[DataFrame, DataFrame | None]] | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """Starts the tip audit: every message batch's tips are appended with their time of arrival and text cut to 1000 characters.
+
+    analysis gives, for a batch's tips, our votes (symbol, signal, confidence) and gate
+    codes (symbol, direction, code) or None; with it each tip is stored with its outcome
+    at the gate and its agreement with our vote. A message seen before adds nothing.
+    """
 
     def each(batch: DataFrame, _: int) -> None:
-        extract_tips(batch, universe).withColumn("raw_text", F.substring("raw_text", 1, 1000)).write.mode("append").parquet(root)
+        tips = extract_tips(batch, universe, text_chars=1000)
+        stored = _stored(batch.sparkSession, root, f"channel {batch.schema['channel'].dataType.simpleString()}, msg_id {batch.schema['msg_id'].dataType.simpleString()}")
+        if stored is not None:
+            tips = tips.join(stored.select("channel", "msg_id").distinct(), ["channel", "msg_id"], "left_anti")
+        if analysis is not None:
+            voted, rejected = analysis(tips)
+            tips = gate(tips, voted, rejected)
+        raw_tips(tips).write.mode("append").parquet(root)
 
     return messages.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
