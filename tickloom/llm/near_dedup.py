@@ -12,6 +12,7 @@ compared with each other by their signatures, and the close ones on their texts.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -255,9 +256,9 @@ def _rest(rows: DataFrame, classes: DataFrame, texts: DataFrame, scratch: Scratc
 
         def close() -> Iterator[pa.RecordBatch]:
             codes = {c: i for i, c in enumerate(dict.fromkeys(comps))}
-            found = list(_close(task[0], held, np.array([codes[c] for c in comps]), left, task[1] == task[2])) if len(codes) > 1 else []
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b", "s", "t"])
+            found = _close(task[0], held, np.array([codes[c] for c in comps]), left, task[1] == task[2]) if len(codes) > 1 else iter(())
+            while some := list(islice(found, 10_000)):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*some, strict=True)], ["a", "b", "s", "t"])
 
         for batch in batches:
             for k, i, j, side, s, t, cs, ct, m, low, bands in zip(*(batch.column(i).to_pylist() for i in range(11)), strict=True):
@@ -287,9 +288,10 @@ def judged(docs: DataFrame, row: Column | None = None) -> DataFrame:
         best = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row")
         node = F.struct("s", "t").alias("node")
         classes = scratch.saved(sets.where("n_shingles > 0").groupBy("s", "t").agg(F.min(best).alias("best"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")).select(node, "best", "n", "bands"), "classes")
-        rows = classes.select("node", "n", F.explode("bands").alias("key"))
-        hubs = rows.groupBy("key").agg(F.count("*").alias("m"), F.count("*").alias("c"), F.min(F.struct("node", "n")).alias("hub")).where("m > 1")
-        multi = scratch.saved(spread_join(rows, scratch.saved(hubs, "hubs"), "key", "c"), "buckets")
+        # A bucket's hub is its class of the smallest doc_id: what others were copied from is mostly the oldest.
+        rows = classes.select("node", "n", F.col("best.doc_id").alias("d"), F.explode("bands").alias("key"))
+        hubs = rows.groupBy("key").agg(F.count("*").alias("m"), F.count("*").alias("c"), F.min(F.struct(F.col("d").isNull(), "d", "node", "n")).alias("hub")).where("m > 1")
+        multi = scratch.saved(spread_join(rows.drop("d"), scratch.saved(hubs, "hubs"), "key", "c"), "buckets")
         star = multi.where((F.col("hub.node") != F.col("node")) & _alike(F.col("hub.n"), F.col("n"))).groupBy(F.col("hub.node").alias("hub"), F.col("node").alias("member")).agg(F.max("m").alias("m"))
         star = scratch.saved(star, "star")
         wanted = multi.select("node").distinct().join(classes, "node").select("node", F.col("best.row").alias(ROW))
