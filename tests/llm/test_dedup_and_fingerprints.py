@@ -88,7 +88,7 @@ def one_bucket(spark, texts, comps, bands):
         nodes.append((int(s[0]), int(t[0])))
     rows = [(7, nodes[d], nodes[comps[d]], len(shingles(text)), text, bands(d)) for d, text in enumerate(texts)]
     df = spark.createDataFrame(rows, "key long, node struct<s: long, t: long>, comp struct<s: long, t: long>, n long, text string, bands array<long>")
-    return nodes, (df.select("key", "node", "comp"), df.select("node", "n", "bands"), df.select("node", "text"))
+    return nodes, (df.select("key", "node", "comp", F.lit(len(texts)).cast("long").alias("m")), df.select("node", "n", "bands"), df.select("node", "text"))
 
 
 def test_a_large_bucket_loses_no_pair_that_shares_only_it(spark, monkeypatch):
@@ -98,7 +98,7 @@ def test_a_large_bucket_loses_no_pair_that_shares_only_it(spark, monkeypatch):
     texts = [" ".join(x) for x in base] + [" ".join([*x[:-1], "changed"]) for x in base]
     nodes, inputs = one_bucket(spark, texts, range(60), lambda d: [7, *(1000 * d + k for k in range(39))])
     with Scratch(spark) as scratch:
-        rest = near_dedup._rest(*inputs, scratch)
+        rest = near_dedup._rest(*inputs, len(texts), scratch)
         got = {frozenset((tuple(r.hub), tuple(r.member))) for r in rest.collect()}
         links = near_dedup.verify(near_dedup.star_units(rest), inputs[2]).collect()
     assert got == {frozenset((nodes[d], nodes[d + 30])) for d in range(30)} == {frozenset((tuple(r.a), tuple(r.b))) for r in links}
@@ -144,10 +144,13 @@ def test_spread_join_cuts_hot_keys(spark, monkeypatch):
     monkeypatch.setattr(common, "PIECES", 10)
     rows = spark.createDataFrame([(None if i % 7 == 0 else min(i % 50, 3), i) for i in range(1000)], "k int, i int")
     small = rows.where("k < 3 or k is null").groupBy("k").agg(F.count("*").alias("n"), F.max("i").alias("most"))
-    for how in ("inner", "left"):
-        want = rows.join(small.drop("n"), "k", how)
-        assert sorted(map(str, common.spread_join(rows, small, "k", "n", how).collect())) == sorted(map(str, want.collect()))
-    assert common.spread_join(rows.limit(0), small.limit(0), "k", "n").count() == 0
+    every = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("i").alias("most"))
+    for side in (small, every, small.unionByName(small.withColumn("most", F.lit(-1)))):
+        want = sorted(map(str, rows.join(side.drop("n"), "k").collect()))
+        assert sorted(map(str, common.spread_join(rows, side, "k", "n", 1000).collect())) == want
+    known = rows.join(every.select("k", "n"), "k")
+    assert sorted(map(str, common.spread_join(known, every, "k", "n", 1000).select("k", "i", "most").collect())) == sorted(map(str, rows.join(every.drop("n"), "k").collect()))
+    assert common.spread_join(rows.limit(0), small.limit(0), "k", "n", 0).count() == 0
 
 
 def test_a_large_group_with_outsiders_ends_in_tasks_of_bounded_size(spark, monkeypatch):
@@ -155,8 +158,7 @@ def test_a_large_group_with_outsiders_ends_in_tasks_of_bounded_size(spark, monke
     comp = {(k, d): 0 if d < size else d if d % 2 else size for k, size, n in ((1, 300, 301), (2, 100, 170), (3, 20, 30), (4, 90, 90)) for d in range(n)}
     rows = spark.createDataFrame([(k, (d, d), (c, c)) for (k, d), c in comp.items()], "key long, node struct<d: long, s: long>, comp struct<d: long, s: long>")
     tasks = {}
-    with Scratch(spark) as scratch:
-        dealt = near_dedup._dealt(rows, scratch).collect()
+    dealt = near_dedup._dealt(rows.join(rows.groupBy("key").agg(F.count("*").alias("m")), "key"), rows.count()).collect()
     for r in dealt:
         tasks.setdefault((r.key, r.i, r.j), ([], []))[r.side].append(r.node.d)
     assert max(len(a) + len(b) for a, b in tasks.values()) <= 80
@@ -199,21 +201,26 @@ def test_edited_pairs(documents):
     assert np.std(errors) < 0.05
 
 
-def test_cells_join_neighbours_at_any_cell_size(spark, odd_docs):
-    rows = [(i * i, f"t{i}") for i in range(200)] + [(None, "none")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+@pytest.mark.parametrize("ids", [
+    [i * i for i in range(200)], [*range(-(2**63), -(2**63) + 40), 0, *range(2**63 - 40, 2**63)], [*range(60), 2**62], [7] * 50 + [8, 9, 2**60], [None] * 30 + [1, 2**63 - 1, -(2**63)], [5], [2**60 + i for i in range(100)] + [-3],
+], ids=["squares", "both ends of 64 bits", "one far away", "one id for most", "nulls", "one row", "large and near"])
+def test_cells_join_neighbours_however_ids_are_spread(spark, ids):
+    docs = spark.createDataFrame([(d, f"t{k}") for k, d in enumerate(ids)], "doc_id long, text string")
+    with_tie = docs.withColumn("h", F.xxhash64("text"))
     got = {r.text: r.next_text for r in fingerprints.with_next(docs, "doc_id", ["text"], ["text"], cell_rows=7).collect()}
-    order = [f"t{i}" for i in range(199, -1, -1)] + ["none"]
+    order = [r.text for r in sorted(with_tie.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h), reverse=True)]
     assert got == {a: b for a, b in zip(order, order[1:] + order[:1], strict=True)}
+    cells = fingerprints.with_cell(with_tie, "doc_id", "h", 7).groupBy("__cell").count().collect()
+    assert max(r["count"] for r in cells) <= 3 * 7
+
+
+def test_fingerprints_of_odd_rows(odd_docs, no_docs):
     found = fingerprints.edited_pairs(odd_docs).collect()
     assert len(found) == odd_docs.count()
     by_text = {}
-    for r, f in zip(sorted(odd_docs.collect(), key=lambda r: (-r.doc_id)), sorted(found, key=lambda r: -r.doc_id), strict=True):
+    for r, f in zip(sorted(odd_docs.collect(), key=lambda r: -r.doc_id), sorted(found, key=lambda r: -r.doc_id), strict=True):
         if r.doc_id != 6:
             by_text.setdefault((r.text or "").strip(), set()).add(f.fingerprint)
     assert by_text[""] == {""}
     assert all(len(v) == 1 for v in by_text.values())
-
-
-def test_fingerprints_of_nothing(no_docs):
     assert fingerprints.edited_pairs(no_docs).count() == 0

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tickloom.llm import gated, language_model
 
@@ -103,11 +104,36 @@ def test_stages(spark, sf):
     assert starts == mixed.count()
 
 
-def test_pipeline_odd_rows(spark, odd_docs, no_docs, sf):
+def test_near_dedup_stage_decides_by_row(spark, sf):
     import corpus_pipeline as cp
 
-    docs = odd_docs.select("doc_id", "text", "lang", "source", "n_chars", "row", "size", "hub", "key")
-    for start in (docs, no_docs):
-        for _, stage in cp.STAGES:
-            start = stage(spark, start, sf)
-        start.count()
+    t, u = " ".join(f"w{i}" for i in range(60)), " ".join(f"u{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, t, "x"), (2, u, "y"), (2, t, "z"), (2, t, "z"), (None, u + " v", "n"), (None, "", "n")], "doc_id long, text string, row string")
+    got = cp.near_dedup_stage(spark, docs, sf)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text, r.row) for r in got.collect()) == [(0, "", "n"), (1, t, "x"), (2, u, "y")]
+
+
+def test_pipeline_odd_rows(spark, odd_docs, no_docs, sf, tmp_path):
+    import corpus_pipeline as cp
+
+    long = odd_docs.where("doc_id in (0, 1, 2)").withColumn("text", F.concat_ws(" ", "text", F.concat(F.lit("end"), "doc_id")))
+    docs = odd_docs.unionByName(long).unionByName(long.where("doc_id = 2"))
+    for named in (docs, docs.withColumnsRenamed({"row": "Counts", "size": "kept", "hub": "f", "key": "__row"})):
+        named.write.parquet(str(tmp_path / f"d{named.columns[-1]}"))
+        rows, sizes = spark.read.parquet(str(tmp_path / f"d{named.columns[-1]}")), []
+        for k, (_, stage) in enumerate(cp.STAGES):
+            out = stage(spark, rows, sf)
+            assert k == 3 or out.columns == rows.columns
+            out.write.parquet(str(tmp_path / f"{named.columns[-1]}{k}"))
+            rows = spark.read.parquet(str(tmp_path / f"{named.columns[-1]}{k}"))
+            sizes.append(sorted(r.doc_id for r in rows.collect()))
+        # Texts of under 50 words and repeated words fail; all others are near copies of document 0, but for the long one.
+        assert sizes[0] == [0, 0, 1, 1, 2, 2, 2, 9] and sizes[1] == [0, 9]
+        assert set(sizes[2]) <= {0, 9} and set(sizes[3]) == set(sizes[2])
+        whole = rows.where("start = 0").count()
+        assert whole == len(sizes[2])
+    start = no_docs
+    for _, stage in cp.STAGES:
+        start = stage(spark, start, sf)
+    assert start.count() == 0

@@ -128,6 +128,7 @@ def test_targets_are_resolved_and_meet_their_canonical_form(spark):
 
 
 def test_blocks_reach_aliases_but_not_explicit_allows(spark):
+    link = '<link rel="canonical" href="https://b.example.org/es/x">'
     html = '<html><head><LINK href="https://b.example.org/es/x" rel="canonical"></head>'
     refresh = '<meta http-equiv="refresh" content="0; url=https://www.a.net/p.html#z">'
     pages = [
@@ -142,6 +143,11 @@ def test_blocks_reach_aliases_but_not_explicit_allows(spark):
         1: ("a.net", "/p", None, "block"), 2: ("m.a.net", "/p/", None, "block"), 3: ("c.org", "/q", "org/", "allow"), 4: ("other.net", "/", None, "allow"), 5: ("", "", None, "allow"), 6: ("", "", None, "allow"),
         7: ("b.example.org", "/es/x", "example.org/es/", "block"), 8: ("other.net", "/", None, "allow"), 9: ("x.com", "/de/1", "com/de/", "block"), 10: ("evilexample.org", "", None, "allow"), 11: ("far.net", "/z", None, "block"),
     }
+    long = "x" * 200_000
+    far = spark.createDataFrame([(1, f"https://Big.net/{long}", f"<p>{long}</p>" + link), (2, "https://www.big.NET/" + long + "/", None), (2, "https://www.big.NET/" + long + "/", None), (3, "ftp://x", "<link rel=canonical href=>" + long)], "page_id long, url string, html string")
+    bad = spark.createDataFrame([("b.example.org", "/es/", "block")], "host string, path string, action string")
+    assert sorted((r.page_id, r.verdict) for r in url_filter.judge_pages(far, bad.unionByName(rules)).collect()) == [(1, "block"), (2, "block"), (2, "block"), (3, "allow")]
+    assert {r.verdict for r in url_filter.judge_pages(far, rules.limit(0)).collect()} == {"allow"}
     empty = docs.limit(0)
     assert url_filter.judge_pages(empty, rules).count() == 0
 
@@ -166,6 +172,16 @@ def test_shards_equal_plain_interleaving(documents, odd_docs, no_docs):
         order = sorted(((f, r.source is None, r.source or "", h(r), r.doc_id), r) for r, fs in frac.items() for f in fs)
         assert sorted((i * 8 // n, r.doc_id) for i, (_, r) in enumerate(order)) == sorted((r.shard, r.doc_id) for r in rows)
     assert sharding.interleave(no_docs.select("doc_id", "source"), ["doc_id"]).count() == 0
+    with pytest.raises(ValueError, match="slot"):
+        sharding.interleave(documents.withColumn("Slot", F.lit(1)), ["doc_id"])
+
+
+def test_ranks_over_many_runs_of_buckets(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 3)
+    rows = spark.range(500).select(F.when(F.col("id") % 3 > 0, "a").alias("s"), ((F.col("id") * 37) % 500).alias("v"))
+    got = sharding.ranked(rows, ["s"], ["v"], F.floor(F.col("v") / 8), "rank").collect()
+    for s in ("a", None):
+        assert [r.rank for r in sorted((r for r in got if r.s == s), key=lambda r: r.v)] == list(range(1, 1 + sum(r.s == s for r in got)))
 
 
 def plain_targets(sizes, weights=(1, 2, 3)):

@@ -96,20 +96,27 @@ def with_row(docs: DataFrame, row: Column | None) -> DataFrame:
 PIECES = 1000
 
 
-def spread_join(rows: DataFrame, small: DataFrame, on: str, n: str, how: str = "inner", total: int | None = None) -> DataFrame:
-    """Joins rows with small by the column `on`; column n of small says how many of `rows` have the key, `total` how many have any.
+def spread_join(rows: DataFrame, small: DataFrame, on: str, n: str, total: int) -> DataFrame:
+    """Joins rows with small by the column `on`; n says how many of about `total` rows have the key, in small and, if it is known there, in rows.
 
     A key of more than 1 / PIECES of all rows is cut into pieces by hash, and its row of
-    small is copied to each, so that no task gets a whole hot key. Such keys are fewer
-    than PIECES, which bounds what is broadcast here. Without a total small must have
-    one row for each key. n does not come back.
+    small is copied to each, so that no task gets a whole hot key. Where rows do not know
+    n, the hot keys are listed first; they are fewer than PIECES, however many rows there
+    are. n comes back from rows only.
     """
-    total = max(1, total or small.agg(F.sum(n)).first()[0] or 0)
-    pieces = F.ceil(F.col(n) * PIECES / F.lit(total)).cast("int")
-    hot = small.where(F.col(n) * PIECES > total).select(F.col(on).alias("__on"), pieces.alias("__pieces")).distinct()
-    left = rows.join(F.broadcast(hot), F.col(on) == F.col("__on"), "left").withColumn("__piece", F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("__pieces")), F.lit(0)).cast("int")).drop("__on", "__pieces")
-    right = small.withColumn("__piece", F.explode(F.sequence(F.lit(0), F.greatest(pieces, F.lit(1)) - 1))).drop(n)
-    return left.join(right, [on, "__piece"], how).drop("__piece")
+    pieces = F.greatest(F.ceil(F.col(n) * PIECES / F.lit(max(1, total))), F.lit(1)).cast("int")
+    place = F.xxhash64(*rows.columns)
+    if n in rows.columns:
+        left = rows.withColumn("__piece", F.pmod(place, pieces).cast("int"))
+    else:
+        hot = small.where((F.col(n) * PIECES > total) & F.col(on).isNotNull()).select(F.col(on).alias("__on"), pieces.alias("__pieces")).distinct()
+        listed = hot.collect()
+        if not listed:
+            return rows.join(small.drop(n), on)
+        known = rows.sparkSession.createDataFrame(listed, hot.schema)
+        left = rows.join(F.broadcast(known), F.col(on) == F.col("__on"), "left").withColumn("__piece", F.coalesce(F.pmod(place, F.col("__pieces")), F.lit(0)).cast("int")).drop("__on", "__pieces")
+    right = small.withColumn("__piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop(n)
+    return left.join(right, [on, "__piece"]).drop("__piece")
 
 
 def parts(spark: SparkSession) -> int:

@@ -21,11 +21,11 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> Da
         e = own.saved(e, "edges")
         while True:
             both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            least = own.saved(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
-            large = spread_join(both, least, "u", "n").where("v > u").select("v", F.col("m").alias("u")).where("u < v").distinct()
+            least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+            large = spread_join(both, least, "u", "n", 2 * e.count()).where("v > u").select("v", F.col("m").alias("u")).where("u < v").distinct()
             large = own.saved(large, "large")
-            low = own.saved(large.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n")), "low")
-            stars = spread_join(large, low, "v", "n").select(F.explode(F.array(F.struct(F.col("v").alias("v"), F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("x"))
+            low = large.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"))
+            stars = spread_join(large, low, "v", "n", large.count()).select(F.explode(F.array(F.struct(F.col("v").alias("v"), F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("x"))
             e = own.saved(stars.select("x.v", "x.u").where("u < v").distinct(), "edges")
             # Stars are the end: each node has one root, and no root has one.
             ends = e.groupBy("v").agg(F.count("*").alias("roots")).unionByName(e.select(F.col("u").alias("v"), F.lit(-1).cast("long").alias("roots")).distinct())

@@ -159,20 +159,19 @@ def _labels(links: DataFrame, scratch: Scratch) -> DataFrame:
     return one
 
 
-def _mixed(rows: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFrame:
-    """Bucket rows with their component, of buckets that hold more than one."""
+def _mixed(rows: DataFrame, comps: DataFrame, total: int, scratch: Scratch) -> DataFrame:
+    """Bucket rows (key, node, n, m) with their component, of buckets that hold more than one."""
     held = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    held = scratch.saved(held, "held")
-    per = held.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("c")).where("least <> most").select("key", "c")
-    return scratch.saved(spread_join(held, scratch.saved(per, "per"), "key", "c"), "mixed")
+    per = held.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.first("m").alias("m")).where("least <> most").select("key", "m")
+    return scratch.saved(spread_join(held, per, "key", "m", total), "mixed")
 
 
-def _further_star(mixed: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+def _further_star(mixed: DataFrame, links: DataFrame, total: int) -> DataFrame:
     """Pairs (hub, member, m) of each bucket's most linked class with the bucket's classes in other components."""
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
     known = mixed.join(ends.groupBy("node").agg(F.count("*").alias("degree")), "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    hub = known.groupBy("key").agg(F.max_by(F.struct("node", "n", "comp"), F.struct("degree", "node")).alias("hub"), F.count("*").alias("m"), F.count("*").alias("c"))
-    pairs = spread_join(mixed, scratch.saved(hub, "hubs"), "key", "c").where((F.col("comp") != F.col("hub.comp")) & _alike(F.col("hub.n"), F.col("n")))
+    hub = known.groupBy("key").agg(F.max_by(F.struct("node", "n", "comp"), F.struct("degree", "node")).alias("hub"), F.first("m").alias("m"))
+    pairs = spread_join(mixed, hub, "key", "m", total).where((F.col("comp") != F.col("hub.comp")) & _alike(F.col("hub.n"), F.col("n")))
     return pairs.groupBy(F.col("hub.node").alias("hub"), F.col("node").alias("member")).agg(F.max("m").alias("m"))
 
 
@@ -217,8 +216,8 @@ def _close(key: int, bucket: list[tuple], comps: np.ndarray, left: int, inside:
             yield *bucket[i][:2], *bucket[k][:2]
 
 
-def _dealt(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """Bucket rows (key, node, comp) dealt to comparing tasks (key, i, j), with their side there.
+def _dealt(rows: DataFrame, total: int) -> DataFrame:
+    """Bucket rows (key, node, comp, m) dealt to comparing tasks (key, i, j), with their side there.
 
     Rows of a bucket's largest component are linked already; only the others, the
     outsiders, are compared, with each other and with those. A bucket of more than
@@ -226,11 +225,11 @@ def _dealt(rows: DataFrame, scratch: Scratch) -> DataFrame:
     component apart. An outsiders' block i meets itself and each other block j in one task,
     i on side 0 and j on side 1, so every pair of an outsider meets once.
     """
-    half, comps = BUCKET_MEMBERS / 2, rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    per = comps.groupBy("key").agg(F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("most")).where("m > most.c")
-    blocks = F.ceil((F.col("m") - F.col("most.c")) / half).cast("int").alias("outer"), F.ceil(F.col("most.c") / half).cast("int").alias("inner")
-    per = scratch.saved(per.select("key", (F.col("m") <= BUCKET_MEMBERS).alias("whole"), F.col("most.comp").alias("main"), *blocks, "m"), "per")
-    cut = spread_join(rows, per, "key", "m").withColumn("linked", F.col("comp") == F.col("main"))
+    half, comps = BUCKET_MEMBERS / 2, rows.groupBy("key", "comp").agg(F.count("*").alias("c"), F.first("m").alias("m"))
+    per = comps.groupBy("key").agg(F.sum("c").alias("held"), F.max(F.struct("c", "comp")).alias("most"), F.first("m").alias("m")).where("held > most.c")
+    blocks = F.ceil((F.col("held") - F.col("most.c")) / half).cast("int").alias("outer"), F.ceil(F.col("most.c") / half).cast("int").alias("inner")
+    per = per.select("key", (F.col("held") <= BUCKET_MEMBERS).alias("whole"), F.col("most.comp").alias("main"), *blocks, "m")
+    cut = spread_join(rows, per, "key", "m", total).withColumn("linked", F.col("comp") == F.col("main"))
     cut = cut.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("linked"), F.col("inner")).otherwise(F.col("outer"))).cast("int"))
 
     def task(i: Column, j: Column, side: Column) -> Column:
@@ -242,8 +241,8 @@ def _dealt(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return cut.select("key", "node", "comp", F.explode(met).alias("t")).select("key", "t.i", "t.j", "t.side", "node", "comp")
 
 
-def _rest(rows: DataFrame, classes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs (hub, member, m) of bucket rows (key, node, comp) in different components that look alike.
+def _rest(rows: DataFrame, classes: DataFrame, texts: DataFrame, total: int, scratch: Scratch) -> DataFrame:
+    """Pairs (hub, member, m) of bucket rows (key, node, comp, m) in different components that look alike.
 
     classes has (node, n, bands). The rows of a comparing task stream through it; it
     compares their signatures and hands on what is close.
@@ -270,7 +269,7 @@ def _rest(rows: DataFrame, classes: DataFrame, texts: DataFrame, scratch: Scratc
                 left += side == 0
         yield from close()
 
-    full = _dealt(rows, scratch).join(classes, "node").select("key", "i", "j", "side", F.col("node.s").alias("s"), F.col("node.t").alias("t"), F.col("comp.s").alias("cs"), F.col("comp.t").alias("ct"), "n", "low", "bands")
+    full = _dealt(rows, total).join(classes, "node").select("key", "i", "j", "side", F.col("node.s").alias("s"), F.col("node.t").alias("t"), F.col("comp.s").alias("cs"), F.col("comp.t").alias("ct"), "n", "low", "bands")
     made = full.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(run, "a long, b long, s long, t long")
     pairs = made.distinct().select(F.struct(F.col("a").alias("s"), F.col("b").alias("t")).alias("hub"), F.struct("s", "t").alias("member"), F.lit(REST_UNITS * UNIT_MEMBERS).alias("m"))
     return scratch.saved(pairs, "pairs")
@@ -290,22 +289,23 @@ def judged(docs: DataFrame, row: Column | None = None) -> DataFrame:
         classes = scratch.saved(sets.where("n_shingles > 0").groupBy("s", "t").agg(F.min(best).alias("best"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")).select(node, "best", "n", "bands"), "classes")
         # A bucket's hub is its class of the smallest doc_id: what others were copied from is mostly the oldest.
         rows = classes.select("node", "n", F.col("best.doc_id").alias("d"), F.explode("bands").alias("key"))
-        hubs = rows.groupBy("key").agg(F.count("*").alias("m"), F.count("*").alias("c"), F.min(F.struct(F.col("d").isNull(), "d", "node", "n")).alias("hub")).where("m > 1")
-        multi = scratch.saved(spread_join(rows.drop("d"), scratch.saved(hubs, "hubs"), "key", "c"), "buckets")
+        total = classes.count() * BANDS
+        hubs = rows.groupBy("key").agg(F.count("*").alias("m"), F.count("*").alias("bucket"), F.min(F.struct(F.col("d").isNull(), "d", "node", "n")).alias("hub")).where("m > 1")
+        multi = scratch.saved(spread_join(rows.drop("d"), hubs, "key", "m", total).withColumnRenamed("bucket", "m"), "buckets")
         star = multi.where((F.col("hub.node") != F.col("node")) & _alike(F.col("hub.n"), F.col("n"))).groupBy(F.col("hub.node").alias("hub"), F.col("node").alias("member")).agg(F.max("m").alias("m"))
         star = scratch.saved(star, "star")
         wanted = multi.select("node").distinct().join(classes, "node").select("node", F.col("best.row").alias(ROW))
         texts = scratch.saved(docs.select(ROW, "text").hint("merge").join(wanted, ROW).select("node", "text"), "texts")
         links = scratch.saved(verify(star_units(star), texts), "links")
-        rows = multi.select("key", "node", "n")
-        second = scratch.saved(_untried(_further_star(_mixed(rows, _labels(links, scratch), scratch), links, scratch), star), "star")
+        rows = multi.select("key", "node", "n", "m")
+        second = scratch.saved(_untried(_further_star(_mixed(rows, _labels(links, scratch), total, scratch), links, total), star), "star")
         links = links.unionByName(scratch.saved(verify(star_units(second), texts), "links"))
-        rest = _rest(_mixed(rows, _labels(links, scratch), scratch).select("key", "node", "comp"), classes.select("node", "n", "bands"), texts, scratch)
+        rest = _rest(_mixed(rows, _labels(links, scratch), total, scratch).select("key", "node", "comp", "m"), classes.select("node", "n", "bands"), texts, total, scratch)
         links = links.unionByName(scratch.saved(verify(star_units(rest), texts), "links"))
         comps = connected_components(links, scratch)
         linked = classes.select("node", "best").join(comps, "node")
         least = linked.groupBy("component").agg(F.min("best").alias("least"), F.count("*").alias("n"))
-        of = spread_join(linked.select("node", "component"), scratch.saved(least, "least"), "component", "n").select("node", "least")
+        of = spread_join(linked.select("node", "component"), least, "component", "n", comps.count()).select("node", "least")
         of = classes.select("node", "best").join(of, "node", "left").select("node.s", "node.t", F.coalesce("least", "best").alias("least"))
         out = sets.select("row", "doc_id", "n_shingles", "s", "t").join(of, ["s", "t"], "left").withColumn("least", F.coalesce("least", best))
         component = F.col("least.doc_id").alias("component_id")

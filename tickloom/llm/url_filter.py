@@ -80,9 +80,7 @@ def matched(urls: DataFrame, rules: DataFrame, scratch: Scratch) -> DataFrame:
     r = rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), "action", F.concat("host", "path").alias("rule"))
     own = at.where("host <> ''").select("url", "path", F.explode(suffixes).alias("rule_host"))
     held = own.join(r.select("rule_host").distinct(), "rule_host", "left_semi").groupBy("rule_host").agg(F.count("*").alias("n"))
-    held = scratch.saved(r.join(held, "rule_host"), "rules")
-    total = held.select("rule_host", "n").distinct().agg(F.sum("n")).first()[0]
-    each = spread_join(own, held, "rule_host", "n", total=total or 1).where(F.expr("startswith(path, rule_path)"))
+    each = spread_join(own, scratch.saved(r.join(held, "rule_host"), "rules"), "rule_host", "n", urls.count()).where(F.expr("startswith(path, rule_path)"))
     best = each.groupBy("url").agg(F.max(F.struct(F.length("rule").alias("n"), (F.col("action") == "allow").alias("allows"), "rule", "action")).alias("best"))
     return at.join(best, "url", "left").select("url", "host", "path", F.col("best.rule").alias("rule"), F.col("best.action").alias("action"))
 
@@ -97,11 +95,12 @@ def url_verdicts(urls: DataFrame, edges: DataFrame, rules: DataFrame) -> DataFra
     """
     with Scratch(urls.sparkSession) as scratch:
         nodes = urls.select("url").unionByName(edges.select(F.explode(F.array("a", "b")).alias("url"))).where("url is not null").distinct()
+        nodes = scratch.saved(nodes, "nodes")
         known = scratch.saved(matched(nodes, rules, scratch), "urls")
         of = connected_components(edges, scratch).withColumnRenamed("node", "url")
         blocked = known.where("action = 'block'").join(of, "url").select("component").distinct()
-        held = scratch.saved(of.groupBy("component").agg(F.count("*").alias("n")).join(blocked, "component"), "blocked")
-        hit = spread_join(of, held, "component", "n").select("url", F.lit(True).alias("hit"))
+        held = of.groupBy("component").agg(F.count("*").alias("n")).join(blocked, "component")
+        hit = spread_join(of, held, "component", "n", of.count()).select("url", F.lit(True).alias("hit"))
         decided = known.join(hit, "url", "left")
         return saved(decided.select("url", "host", "path", "rule", F.when(F.col("action").isNotNull(), F.col("action")).when(F.col("hit"), "block").otherwise("allow").alias("verdict")), "verdicts")
 
