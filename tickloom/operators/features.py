@@ -23,25 +23,28 @@ def features(bars: DataFrame) -> DataFrame:
     return out.withColumns({"session_open": opened, "gap_pct": F.try_divide(opened - before, F.nullif(before, F.lit(0.0))) * 100})
 
 
-def relative_volume(bars: DataFrame, sessions: int = 4) -> DataFrame:
-    """(symbol, session_no, bar_no, rvol): volume of the session so far against the mean of the sessions before up to the same bar.
+def with_relative_volume(bars: DataFrame, sessions: int = 4) -> DataFrame:
+    """Adds rvol: volume of the session so far against the mean of the sessions before up to the same bar.
 
-    A shorter session counts whole and one without volume not at all. Each bar meets the
-    one matching bar of each earlier session by an equi-join.
+    A shorter session counts whole and one without volume not at all; NULL in a symbol's
+    first session. Sessions that have the bar are summed in a window over symbol and bar
+    number; of those that ended before it, a list of at most `sessions` ends tells the
+    volume. All windows share the exchange by symbol, and nothing is joined.
     """
-    w = W.partitionBy("symbol", "session_no").orderBy("bar_no").rowsBetween(W.unboundedPreceding, 0)
-    run = bars.select("symbol", "session_no", "bar_no", F.sum("volume").over(w).alias("so_far"))
-    sizes = bars.groupBy("symbol", F.col("session_no").alias("prior")).agg(F.max("bar_no").alias("bars"))
-    each = run.where("session_no > 1").withColumn("prior", F.explode(F.sequence(F.greatest(F.lit(1), F.col("session_no") - sessions), F.col("session_no") - 1)))
-    each = each.join(sizes, ["symbol", "prior"]).withColumn("at", F.least("bar_no", "bars"))
-    past = run.select("symbol", F.col("session_no").alias("prior"), F.col("bar_no").alias("at"), F.col("so_far").alias("then"))
-    out = each.join(past, ["symbol", "prior", "at"]).groupBy("symbol", "session_no", "bar_no")
-    mean = F.avg(F.when(F.col("then") > 0, F.col("then")))
-    return out.agg(F.when(mean > 0, F.try_divide(F.first("so_far"), mean)).alias("rvol"))
+    session = W.partitionBy("symbol", "session_no")
+    out = bars.withColumns({"__so_far": F.sum("volume").over(session.orderBy("bar_no").rowsBetween(W.unboundedPreceding, 0)), "__bars": F.max("bar_no").over(session)})
+    end = F.when(F.col("bar_no") == F.col("__bars"), F.struct(F.col("__bars").alias("bars"), F.col("__so_far").alias("total")))
+    before, same = W.partitionBy("symbol").orderBy("session_no").rangeBetween(-sessions, -1), W.partitionBy("symbol", "bar_no").orderBy("session_no").rangeBetween(-sessions, -1)
+    traded = F.when(F.col("__so_far") > 0, F.col("__so_far"))
+    out = out.withColumns({"__ends": F.collect_list(end).over(before), "__sum": F.coalesce(F.sum(traded).over(same), F.lit(0.0)), "__n": F.count(traded).over(same)})
+    short = F.transform(F.filter("__ends", lambda x: (x["bars"] < F.col("bar_no")) & (x["total"] > 0)), lambda x: x["total"])
+    mean = F.try_divide(F.col("__sum") + F.aggregate(short, F.lit(0.0), lambda a, x: a + x), F.col("__n") + F.size(short))
+    return out.withColumn("rvol", F.when(mean > 0, F.try_divide(F.col("__so_far"), mean))).drop("__so_far", "__bars", "__ends", "__sum", "__n")
 
 
-def with_relative_volume(bars: DataFrame, sessions: int = 4) -> DataFrame:
-    return bars.join(relative_volume(bars, sessions), ["symbol", "session_no", "bar_no"], "left")
+def relative_volume(bars: DataFrame, sessions: int = 4) -> DataFrame:
+    """(symbol, session_no, bar_no, rvol) of every bar after its symbol's first session."""
+    return with_relative_volume(bars, sessions).where("session_no > 1").select("symbol", "session_no", "bar_no", "rvol")
 
 
 def index_trend(feat: DataFrame) -> DataFrame:
