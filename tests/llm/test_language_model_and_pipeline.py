@@ -119,20 +119,19 @@ def test_pipeline_odd_rows(spark, odd_docs, no_docs, sf, tmp_path):
 
     long = odd_docs.where("doc_id in (0, 1, 2)").withColumn("text", F.concat_ws(" ", "text", F.concat(F.lit("end"), "doc_id")))
     docs = odd_docs.unionByName(long).unionByName(long.where("doc_id = 2"))
-    for named in (docs, docs.withColumnsRenamed({"row": "Counts", "size": "kept", "hub": "f", "key": "__row"})):
-        named.write.parquet(str(tmp_path / f"d{named.columns[-1]}"))
-        rows, sizes = spark.read.parquet(str(tmp_path / f"d{named.columns[-1]}")), []
-        for k, (_, stage) in enumerate(cp.STAGES):
-            out = stage(spark, rows, sf)
-            assert k == 3 or out.columns == rows.columns
-            out.write.parquet(str(tmp_path / f"{named.columns[-1]}{k}"))
-            rows = spark.read.parquet(str(tmp_path / f"{named.columns[-1]}{k}"))
-            sizes.append(sorted(r.doc_id for r in rows.collect()))
-        # Texts of under 50 words and repeated words fail; all others are near copies of document 0, but for the long one.
-        assert sizes[0] == [0, 0, 1, 1, 2, 2, 2, 9] and sizes[1] == [0, 9]
-        assert set(sizes[2]) <= {0, 9} and set(sizes[3]) == set(sizes[2])
-        whole = rows.where("start = 0").count()
-        assert whole == len(sizes[2])
+    named = docs.withColumnsRenamed({"row": "Counts", "size": "kept", "hub": "f", "key": "__row"})
+    named.write.parquet(str(tmp_path / "docs"))
+    rows, ids = spark.read.parquet(str(tmp_path / "docs")), []
+    for k, (_, stage) in enumerate(cp.STAGES):
+        out = stage(spark, rows, sf)
+        assert k == 3 or out.columns == rows.columns
+        out.write.parquet(str(tmp_path / f"out{k}"))
+        rows = spark.read.parquet(str(tmp_path / f"out{k}"))
+        ids.append(sorted(r.doc_id for r in rows.collect()))
+    # Texts of under 50 words and repeated words fail; all others but the long one are near copies of document 0.
+    assert ids[0] == [0, 0, 1, 1, 2, 2, 2, 9] and ids[1] == [0, 9]
+    assert set(ids[2]) <= {0, 9} and set(ids[3]) == set(ids[2])
+    assert rows.where("start = 0").count() == len(ids[2])
     start = no_docs
     for _, stage in cp.STAGES:
         start = stage(spark, start, sf)

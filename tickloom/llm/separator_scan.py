@@ -23,7 +23,8 @@ def write_flat(docs: DataFrame, to: str, path: str | None = None, end_id: int =
 
     Blocks are cut at every block_ids ids wherever that falls in a document. A null text
     is empty. `doc_ids` is the writer's manifest, the documents whose end id lies in the
-    block; a scan does not read it. An end_id of the vocabulary is refused.
+    block; a scan does not read it. Repeated rows and ids are documents each; an empty
+    table writes no ids; other columns do not matter. An end_id of the vocabulary is refused.
     """
     path = path or vocabulary()
     kept = docs.select(F.spark_partition_id().cast("long").alias("file"), F.col("doc_id").cast("long"), "text")
