@@ -150,12 +150,18 @@ def verify(units: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _labels(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, component) of linked classes after three steps towards the smallest node reachable: all that deciding what to compare next needs."""
+    """(node, component) of linked classes: the most linked class within four steps, each to the most linked neighbour.
+
+    Members of a star have their hub, so this is all that deciding what to compare next
+    needs; two labels in one component cost comparisons, never a link.
+    """
     both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    one = scratch.saved(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("component")), "labels")
-    for _ in range(2):
-        up = one.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        one = one.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
+    degrees = both.groupBy("other").agg(F.count("*").alias("n"), F.count("*").alias("degree"))
+    ranked = spread_join(both, degrees, "other", "n", 2 * links.count()).groupBy("node").agg(F.max(F.struct("degree", "other")).alias("top"), F.count("*").alias("own"))
+    up = scratch.saved(ranked.select("node", F.greatest(F.col("top"), F.struct(F.col("own").alias("degree"), F.col("node").alias("other")))["other"].alias("component")), "labels")
+    one = up
+    for _ in range(3):
+        one = one.join(up.select(F.col("node").alias("component"), F.col("component").alias("above")), "component", "left").select("node", F.coalesce("above", "component").alias("component"))
     return one
 
 
