@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import fingerprints, language_model, mixing, near_dedup, packing, quality_rules, rans, separator_scan, sharding, url_filter
+from tickloom.llm import alignment, fingerprints, html_text, language_model, lexical_search, mixing, near_dedup, packing, quality_rules, rans, separator_scan, sharding, url_filter
 from tickloom.llm.common import file_row, new_folder, table
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -63,6 +63,18 @@ def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "judged.*")
 
 
+def op11_presence_mask_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_min_cut_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op13_merge_path_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_corpus(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    dealt = (op1_gated_language_model, op2_rans_files, op3_stratified_shards, op4_pivotal_mix, op5_circulant_minhash, op6_one_permutation_minhash, op7_bin_slack_packing, op8_separator_scan, op9_redirect_equivalence, op10_decision_list, pipeline)
+    dealt = (op1_gated_language_model, op2_rans_files, op3_stratified_shards, op4_pivotal_mix, op5_circulant_minhash, op6_one_permutation_minhash, op7_bin_slack_packing, op8_separator_scan, op9_redirect_equivalence, op10_decision_list, op11_presence_mask_search, op12_min_cut_text, op13_merge_path_alignment, pipeline)
     return {f.__name__: f for f in dealt}
 
 
@@ -89,5 +101,15 @@ SELECT page_id, coalesce(s.host, '') AS host, coalesce(s.path, '') AS path, f.ru
 FROM pages p LEFT JOIN split s ON s.url = p.url LEFT JOIN fit f ON f.url = p.url LEFT JOIN hit h ON h.url = p.url"""
 
 
+OP11_SQL = r"""WITH word AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+ask AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+doc AS (SELECT doc_id, count(*) AS own FROM word GROUP BY doc_id),
+total AS (SELECT count(*) AS docs, CAST(sum(own) AS BIGINT) AS words FROM doc),
+held AS (SELECT doc_id, term, count(*) AS tf FROM word WHERE term IN (SELECT term FROM ask) GROUP BY ALL),
+weight AS (SELECT term, CAST(floor(1000*ln((2*any_value(docs)+2)/(2*count(*)+1))) AS BIGINT) AS w FROM held, total GROUP BY term),
+hit AS (SELECT item_id, doc_id, CAST(sum(times*w*((1000000000*tf)//(1000*tf+12*(75+(25*own*docs)//words)))) AS BIGINT) AS score FROM ask JOIN weight USING (term) JOIN held USING (term) JOIN doc USING (doc_id), total GROUP BY item_id, doc_id)
+SELECT item_id, CAST(place AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM hit WHERE score > 0) WHERE place <= 20"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_redirect_equivalence": OP9_SQL}
+    return {"op9_redirect_equivalence": OP9_SQL, "op11_presence_mask_search": OP11_SQL}
