@@ -106,8 +106,9 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 1, capacity: in
     """One row for each piece of each row of docs (doc_id, text): which ids it holds, and its sequence and offset there.
 
     A null or empty text is its end id alone; rows of equal doc_id are packed each on
-    its own; an empty table gives no rows. Sequences come out the same for the same
-    input files. A group is one task's work of about group_rows remainders, whatever
+    its own; an empty table gives no rows; a text of any length is tokenised whole, with
+    its ids, two bytes each, in memory, and cut into windows. Sequences come out the same
+    for the same input files. A group is one task's work of about group_rows remainders, whatever
     the lengths, so the pad at a group's end is under one window in thousands.
     """
     pieces = saved(token_pieces(docs, path or vocabulary(), end_id, capacity, keep_ids=keep_ids), "pieces")
@@ -121,4 +122,5 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 1, capacity: in
         return pd.DataFrame({"row": rows["row"], "start": rows["start"], "sequence_id": rows["grp"].to_numpy(np.int64) * (1 << 28) + window, "offset": offset})
 
     placed = dealt.groupBy("grp").applyInPandas(pack_group, "row long, start long, sequence_id long, offset long")
-    return pieces.join(placed, ["row", "start"]).drop("row")
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * keep_ids]
+    return pieces.join(placed, ["row", "start"]).select(columns)
