@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import saved
+from tickloom.llm.common import saved, spread_join
 
 #: Rows that one ranking task sorts, on average.
 BUCKET_ROWS = 1024
@@ -46,28 +46,35 @@ def ranked(rows: DataFrame, by: list[str], order: list[str], bucket: Column, int
     return inside.join(bases, on).withColumn(into, F.col("__base") + F.col("__r")).drop("__bucket", "__b", "__base", "__r", *(f"__{c}" for c in by))
 
 
+def known_key(c: Column) -> Column:
+    """c as a struct that is never null and sorts nulls last, so plain joins meet null keys too."""
+    return F.struct(c.isNull().alias("z"), F.coalesce(c.cast("string"), F.lit("")).alias("c"))
+
+
 def interleave(rows: DataFrame, key: list[str], stratum: str = "source", shards: int = 40, seed: int = 17, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Adds shard (0 to shards - 1) and slot (gapless from 0 in each shard) to every row.
 
     Shards' counts are at most one apart, and each holds every stratum in proportion to
     its rows. key orders rows of equal hash; rows equal in all of key are interchangeable.
     A null stratum is a stratum of its own; an empty table gives no rows; with fewer rows
-    than shards some shards are empty. Other columns are kept; one named shard or slot is
-    refused.
+    than shards some shards are empty. All columns are kept, whatever their names; one
+    named shard or slot is refused. Rows equal in all of key are ranked in one task.
     """
     if clash := {"shard", "slot"}.intersection(c.lower() for c in rows.columns):
         raise ValueError(f"columns of the result exist already: {sorted(clash)}")
-    hashed = saved(rows.withColumn("__h", seeded(seed, *key)), "hashed")  # the result rests on it
-    sizes = hashed.groupBy(stratum).agg(F.count("*").alias("__size"))
+    keys = [f"key{i}" for i in range(len(key))]
+    # The caller's columns travel in a struct, so no name of theirs meets one in use here.
+    own = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("kept"), known_key(F.col(stratum)).alias("by"), seeded(seed, *key).alias("h"), *(F.col(c).alias(k) for c, k in zip(key, keys, strict=True)))
+    hashed = saved(own, "hashed")  # the result rests on it
+    sizes = hashed.groupBy("by").agg(F.count("*").alias("size"))
     n = hashed.count()
     buckets = max(1, n // bucket_rows)
-    first = F.floor(F.conv(F.substring("__h", 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(1 << 32)).cast("long")
-    one = ranked(hashed.withColumn("__all", F.col(stratum)), ["__all"], ["__h", *key], first, "__rank").drop("__all")
-    sizes = sizes.withColumnRenamed(stratum, "__stratum")
-    share = one.join(sizes, F.col(stratum).eqNullSafe(F.col("__stratum"))).withColumn("__frac", (2 * F.col("__rank") - 1) / (2 * F.col("__size"))).drop("__stratum")
-    second = F.floor(F.col("__frac") * F.lit(buckets)).cast("long")
-    two = ranked(share.withColumn("__zero", F.lit(0)), ["__zero"], ["__frac", F.col(stratum).asc_nulls_last(), "__h", *key], second, "__at")
-    at, n = F.col("__at") - 1, max(n, 1)
-    shard = F.expr(f"cast(((__at - 1) * {shards}) div {n} as int)")
+    first = F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * F.lit(buckets) / F.lit(1 << 32)).cast("long")
+    one = ranked(hashed, ["by"], ["h", *keys], first, "rank")
+    share = spread_join(one, sizes.withColumn("n", F.col("size")), "by", "n", n).withColumn("frac", (2 * F.col("rank") - 1) / (2 * F.col("size")))
+    second = F.floor(F.col("frac") * F.lit(buckets)).cast("long")
+    two = ranked(share.withColumn("zero", F.lit(0)), ["zero"], ["frac", "by", "h", *keys], second, "at")
+    n = max(n, 1)
+    shard = F.expr(f"cast(((at - 1) * {shards}) div {n} as int)")
     begin = F.expr(f"(shard * {n}L + {shards - 1}) div {shards}")
-    return two.withColumn("shard", shard).withColumn("slot", at - begin).drop("__h", "__rank", "__size", "__frac", "__at", "__zero")
+    return two.withColumn("shard", shard).withColumn("slot", F.col("at") - 1 - begin).select("kept.*", "shard", "slot")
