@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import AT, ROW, Scratch, saved, with_row
+from tickloom.llm.common import AT, ROW, Scratch, saved, spread_join, with_row
+from tickloom.llm.sharding import BUCKET_ROWS, known_key, ranked
 
 #: Fractional documents that one group rounds, on average, and survivors that meet in one node of the tree.
 GROUP_ROWS = 8192
@@ -32,7 +33,7 @@ def n_words(text: str = "text") -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST_COPIES) -> DataFrame:
-    """(source, source_size, target) from (source, source_size): shares of all sizes by weight, none above most * its size.
+    """Adds target to sources (source, source_size): shares of all sizes by weight, none above most * its size.
 
     Weights repeat over sources by code point, null last. Resharing what stopped sources
     leave until none is above its limit ends at one level per unit of weight; that level
@@ -48,7 +49,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     held = held.withColumn("open", F.col("level") * F.col("w") < F.col("cap"))
     held = held.withColumn("common", F.max(F.when(F.col("open"), F.struct((-F.col("cap") / F.col("w")).alias("k"), (-F.col("i")).alias("j"), F.col("level").alias("level")))).over(every)["level"])
     target = F.when(F.col("source_size") == 0, F.lit(0.0)).when(F.col("common").isNull(), F.col("cap")).otherwise(F.least(F.col("cap").cast("double"), F.col("common") * F.col("w")))
-    return held.select("source", "source_size", target.cast("double").alias("target"))
+    return held.select(*sizes.columns, target.cast("double").alias("target"))
 
 
 def _draw(seed: int, a: int, b: int) -> float:
@@ -86,16 +87,18 @@ def pivot(keys: np.ndarray, sizes: np.ndarray, shares: np.ndarray, seed: int) ->
 
 
 def rounded(rows: DataFrame, by: str, seed: int, scratch: Scratch, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(row, extra) with extra 0 or 1 for rows of (row, key, by, size, share) with 0 < share < 1 and size > 0.
+    """(row, extra) with extra 0 or 1 for rows of (row, key, by, size, share) with 0 < share < 1 and size > 0; by is never null.
 
-    row tells rows apart; key, a hash of what a row holds, settles order and draws.
+    row tells rows apart; key, a hash of what a row holds and of its number among equal
+    rows, settles groups, order and draws.
 
     Level 0 rounds groups dealt by hash; each level above rounds the survivors of up to
     group_rows groups, until one group is left in every stratum; the last survivor is
     settled by its own draw. Each level is a table, so that nothing is drawn twice.
     """
-    counts = rows.groupBy(by).agg(F.count("*").alias("__n")).withColumnRenamed(by, "__by")
-    level = rows.join(counts, F.col(by).eqNullSafe(F.col("__by"))).withColumn("groups", F.ceil(F.col("__n") / group_rows)).withColumn("grp", F.pmod(F.xxhash64("key", F.lit(seed)), "groups")).drop("__n", "__by")
+    counts = scratch.saved(rows.groupBy(by).agg(F.count("*").alias("n")).withColumn("groups", F.ceil(F.col("n") / group_rows)), "counts")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    level = spread_join(rows, counts, by, "n", total).withColumn("grp", F.pmod(F.xxhash64("key", F.lit(seed)), "groups"))
     made = None
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
@@ -123,14 +126,18 @@ def rounded(rows: DataFrame, by: str, seed: int, scratch: Scratch, group_rows: i
 def _copies(docs: DataFrame, keep: Column, weights: tuple[int, ...], seed: int, group_rows: int) -> DataFrame:
     """(kept, size, source_size, target, copies) of every row, as a table."""
     with Scratch(docs.sparkSession) as scratch:
-        narrow = docs.select(keep.alias("kept"), "source", n_words().alias("size"), F.xxhash64("doc_id", "source", "text").alias("key"))
+        narrow = docs.select(keep.alias("kept"), "source", known_key(F.col("source")).alias("by"), n_words().alias("size"), F.xxhash64("doc_id", "source", "text").alias("key"))
         narrow = scratch.saved(narrow.withColumn("row", F.monotonically_increasing_id()), "sized")
-        per = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights).withColumnRenamed("source", "__source")
+        # Equal rows are interchangeable, so their numbers may follow the files; with them in the key no group gets all of them.
+        numbers = ranked(narrow.select("row", "key"), ["key"], ["row"], F.floor(F.col("row") / BUCKET_ROWS), "nth")
+        numbers = numbers.where("nth > 1").select("row", F.xxhash64("key", "nth").alias("own"))
+        narrow = narrow.join(numbers, "row", "left").withColumn("key", F.coalesce("own", "key")).drop("own")
+        per = targets(narrow.groupBy("source", "by").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights).drop("source")
         per = scratch.saved(per, "targets")
-        all_ = narrow.join(per, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+        all_ = spread_join(narrow, per, "by", "n", per.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
         mean = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
         all_ = all_.withColumn("whole", F.floor(mean + 1e-12)).withColumn("share", F.greatest(mean - F.floor(mean + 1e-12), F.lit(0.0)))
-        extra = rounded(all_.where("share > 0").select("row", "key", "source", "size", "share"), "source", seed, scratch, group_rows)
+        extra = rounded(all_.where("share > 0").select("row", "key", "by", "size", "share"), "by", seed, scratch, group_rows)
         out = all_.join(extra, "row", "left")
         return saved(out.select("kept", "size", "source_size", "target", (F.col("whole") + F.coalesce("extra", F.lit(0))).alias("copies")), "copies")
 
@@ -139,8 +146,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 29, k
     """`keep` columns of docs (doc_id, source, text) with size, source_size, target and taken (size * copies) of every row.
 
     Size is the number of words, 0 for a null text; a row without words is never taken.
-    Rows of equal doc_id and text are rounded each on their own, by their order. An empty
-    table gives no rows. The draws come from hashes of what a row holds, so reruns agree
+    Rows of equal doc_id and text are rounded each on their own, by their number. An empty
+    table gives no rows; a text of any length is counted whole by an expression. Sources
+    are ranked by one task, a row for each. The draws come from hashes of what a row holds, so reruns agree
     whatever the partitions. A kept column that is named like one of these four is
     refused.
     """
@@ -154,7 +162,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 29, k
 def take(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 29, group_rows: int = GROUP_ROWS, row: Column | None = None) -> DataFrame:
     """The mix itself: each row of docs, with all of its columns whatever their names, as often as it is taken.
 
-    Nulls, repeated rows and empty tables as in mix. Only row keys, sizes and sources are
+    Nulls, repeated rows and empty tables as in mix; columns named __tickloom_row and
+    __tickloom_at are reserved. Only row keys, sizes and sources are
     drawn upon; the documents move once, to their copies. `row` tells rows apart (see
     file_row); without it docs is written first.
     """
