@@ -141,11 +141,15 @@ def write_ids(docs: DataFrame, to: str, path: str | None = None, end_id: int = 2
     """Encodes docs (doc_id, text) in ascending doc_id order and writes the segments to `to`.
 
     A null text is empty and has its end id only; rows of equal doc_id follow each other
-    in order of text; a null doc_id comes first. Range partitions by doc_id make the
-    files, so file and segment numbers ascend with doc_id, and a task holds one segment.
+    in order of a hash of the text; a null doc_id comes first; an empty table writes no
+    segments. Range partitions by doc_id, that hash and a row number make the files, so
+    file and segment numbers ascend with doc_id, rows of one id or of none fill several
+    files, and a task holds one segment and the ids of one text, whatever its length.
     """
     path = path or vocabulary()
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(max(1, 2 * parts(docs.sparkSession)), "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", "hash", "row"]
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    ordered = keyed.repartitionByRange(max(1, 2 * parts(docs.sparkSession)), *order).sortWithinPartitions(*order)
     placed = ordered.select(F.spark_partition_id().cast("long").alias("file"), "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,8 +184,10 @@ def read_ids(spark: SparkSession, folder: str, keep_ids: bool = False) -> DataFr
     number of ids of each segment is gathered, to find where segments start.
     """
     rows = spark.read.schema(SEGMENT_DDL).parquet(folder)
-    before = W.orderBy("file", "segment").rowsBetween(W.unboundedPreceding, -1)
-    begins = rows.select("file", "segment", "n_ids").withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).drop("n_ids")
+    earlier = F.coalesce(F.sum("held").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    files = rows.groupBy("file").agg(F.sum("n_ids").alias("held")).select("file", earlier.alias("first"))  # a row for each file
+    inside = F.coalesce(F.sum("n_ids").over(W.partitionBy("file").orderBy("segment").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    begins = rows.select("file", "segment", inside.alias("inside")).join(files, "file").select("file", "segment", (F.col("first") + F.col("inside")).alias("base"))
     ddl = "file long, segment long, doc_id long, at long, n_tokens long, ids_crc32 long" + ", ids binary" * keep_ids
     names = [x.split()[0] for x in ddl.split(", ")]
 
