@@ -90,8 +90,8 @@ def url_verdicts(urls: DataFrame, edges: DataFrame, rules: DataFrame) -> DataFra
 
     A URL's own rule decides it. One without a rule is blocked if a rule blocks any URL of
     its component, else allowed: a block passes through redirects and canonical links,
-    also across an alias that is allowed, but never overrides an explicit allow. A null
-    URL has an empty host and is allowed.
+    also across an alias that is allowed, but never overrides an explicit allow. Null
+    URLs and ends are left out, repeated ones count once; empty tables give no rows.
     """
     with Scratch(urls.sparkSession) as scratch:
         nodes = urls.select("url").unionByName(edges.select(F.explode(F.array("a", "b")).alias("url"))).where("url is not null").distinct()
@@ -106,11 +106,20 @@ def url_verdicts(urls: DataFrame, edges: DataFrame, rules: DataFrame) -> DataFra
 
 
 def judge_pages(pages: DataFrame, rules: DataFrame, more_edges: DataFrame | None = None) -> DataFrame:
-    """(page_id, host, path, rule, verdict) of every page; more_edges (a, b) adds known redirects to what the pages tell."""
+    """(page_id, host, path, rule, verdict) of every row of pages (page_id, url, html); more_edges (a, b) adds known redirects to what they tell.
+
+    A null URL, and one without ://, has empty host and path and is allowed; a null page
+    tells no edges; repeated rows are judged alike, each in a row of its own; an empty
+    table gives no rows; other columns are not read. A page of any length is searched
+    whole by expressions. Rows of one URL, however many, are joined in pieces.
+    """
     edges = page_edges(pages)
     if more_edges is not None:
         edges = edges.unionByName(with_canonical(more_edges)).distinct()
     with Scratch(pages.sparkSession) as scratch:
         found = url_verdicts(pages.select("url"), scratch.saved(edges, "edges"), rules)
-    out = pages.select("page_id", "url").join(found, "url", "left")
-    return out.select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
+    rows = pages.select("page_id", "url")
+    held = rows.where("url is not null").groupBy("url").agg(F.count("*").alias("n"))
+    out = spread_join(rows.where("url is not null"), found.join(held, "url"), "url", "n", rows.count())
+    blank = rows.where("url is null").select("page_id", F.lit("").alias("host"), F.lit("").alias("path"), F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
+    return out.select("page_id", "host", "path", "rule", "verdict").unionByName(blank)
