@@ -159,10 +159,12 @@ def _labels(links: DataFrame, scratch: Scratch) -> DataFrame:
     degrees = both.groupBy("other").agg(F.count("*").alias("n"), F.count("*").alias("degree"))
     ranked = spread_join(both, degrees, "other", "n", 2 * links.count()).groupBy("node").agg(F.max(F.struct("degree", "other")).alias("top"), F.count("*").alias("own"))
     up = scratch.saved(ranked.select("node", F.greatest(F.col("top"), F.struct(F.col("own").alias("degree"), F.col("node").alias("other")))["other"].alias("component")), "labels")
-    one = up
-    for _ in range(3):
-        one = one.join(up.select(F.col("node").alias("component"), F.col("component").alias("above")), "component", "left").select("node", F.coalesce("above", "component").alias("component"))
-    return one
+    total = up.count()
+    for _ in range(2):  # each label is a node with a label of its own; two steps, then four
+        above = up.select(F.col("node").alias("component"), F.col("component").alias("above"))
+        met = up.groupBy("component").agg(F.count("*").alias("n")).join(above, "component")
+        up = scratch.saved(spread_join(up, met, "component", "n", total).select("node", F.col("above").alias("component")), "labels")
+    return up
 
 
 def _mixed(rows: DataFrame, comps: DataFrame, total: int, scratch: Scratch) -> DataFrame:
@@ -292,7 +294,7 @@ def judged(docs: DataFrame, row: Column | None = None) -> DataFrame:
         sets = scratch.saved(with_bands(docs), "sets")
         best = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row")
         node = F.struct("s", "t").alias("node")
-        classes = scratch.saved(sets.where("n_shingles > 0").groupBy("s", "t").agg(F.min(best).alias("best"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")).select(node, "best", "n", "bands"), "classes")
+        classes = scratch.saved(sets.where("n_shingles > 0").groupBy("s", "t").agg(F.min(best).alias("best"), F.count("*").alias("held"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")).select(node, "best", "held", "n", "bands"), "classes")
         # A bucket's hub is its class of the smallest doc_id: what others were copied from is mostly the oldest.
         rows = classes.select("node", "n", F.col("best.doc_id").alias("d"), F.explode("bands").alias("key"))
         total = classes.count() * BANDS
@@ -312,8 +314,10 @@ def judged(docs: DataFrame, row: Column | None = None) -> DataFrame:
         linked = classes.select("node", "best").join(comps, "node")
         least = linked.groupBy("component").agg(F.min("best").alias("least"), F.count("*").alias("n"))
         of = spread_join(linked.select("node", "component"), least, "component", "n", comps.count()).select("node", "least")
-        of = classes.select("node", "best").join(of, "node", "left").select("node.s", "node.t", F.coalesce("least", "best").alias("least"))
-        out = sets.select("row", "doc_id", "n_shingles", "s", "t").join(of, ["s", "t"], "left").withColumn("least", F.coalesce("least", best))
+        of = classes.select("node", "best", "held").join(of, "node", "left").select("node", "held", F.coalesce("least", "best").alias("least"))
+        known = sets.select("row", "doc_id", "n_shingles", node)
+        met = spread_join(known.where("n_shingles > 0"), of, "node", "held", sets.count()).drop("node")
+        out = met.unionByName(known.where("n_shingles = 0").drop("node").withColumn("least", best))
         component = F.col("least.doc_id").alias("component_id")
         return saved(out.select(F.col("row").alias(ROW), "doc_id", "n_shingles", component, F.col("doc_id").eqNullSafe(F.col("least.doc_id")).alias("kept"), (F.col("row") == F.col("least.row")).alias("first")), "judged")
 
