@@ -252,3 +252,24 @@ def test_crc_of_shards(spark, documents):
 
     got = {r.doc_id: (r.size, r.text_crc32) for r in op3_stratified_shards(spark, "/root/testdata/sf0.001").collect()}
     assert got == {r.doc_id: (len(r.text.encode()) + 16, zlib.crc32(r.text.encode())) for r in documents.collect()}
+
+
+def test_shards_keep_every_column(spark):
+    names = ["doc_id", "source", "__h", "__frac", "__bucket", "__rank", "by", "h", "n", "at", "kept", "rank", "a.b"]
+    rows = spark.createDataFrame([(i, f"s{i % 3}" if i % 7 else None, *[f"{k}-{i}" for k in range(len(names) - 2)]) for i in range(400)], ", ".join(f"`{c}` {'long' if c == 'doc_id' else 'string'}" for c in names))
+    out = sharding.interleave(rows, ["doc_id"], "source", 7, bucket_rows=16)
+    assert out.columns == [*names, "shard", "slot"]
+    assert sorted(map(tuple, out.drop("shard", "slot").collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    counts = [r["count"] for r in out.groupBy("shard").count().collect()]
+    assert max(counts) - min(counts) <= 1
+
+
+def test_equal_rows_are_dealt_to_many_groups(spark, monkeypatch):
+    same = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("s").alias("source"), F.lit("one two three").alias("text"))
+    docs = same.unionByName(spark.range(20_000).select("id", F.lit("t"), F.lit("four")).toDF("doc_id", "source", "text"))
+    keys = []
+    real = mixing.rounded
+    monkeypatch.setattr(mixing, "rounded", lambda rows, *more: keys.append(rows.where("by.c = 's'").groupBy(F.pmod(F.xxhash64("key", F.lit(29)), F.lit(200))).count().collect()) or real(rows, *more))
+    got = [mixing.mix(docs.repartition(n), group_rows=100).where("doc_id = 7").agg(F.sum("taken"), F.first("target")).first() for n in (3, 11)]
+    assert [len(k) for k in keys] == [200, 200] and max(r["count"] for k in keys for r in k) < 200
+    assert got[0] == got[1] and abs(got[0][0] - got[0][1]) <= 3 + 1e-6

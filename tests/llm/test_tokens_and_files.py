@@ -7,7 +7,9 @@ import zlib
 import numpy as np
 import pytest
 
-from tickloom.llm import packing, rans, separator_scan
+from pyspark.sql import functions as F
+
+from tickloom.llm import packing, queries, rans, separator_scan, words
 from tickloom.llm.common import new_folder
 from tickloom.llm.tokens import vocabulary
 
@@ -132,3 +134,39 @@ def test_best_fill_equals_exhaustive_search():
         taken = packing.best_fill(counts, 60, seed)
         assert sum(x * n for x, n in taken) == best
         assert all(n <= counts[x] for x, n in taken)
+
+
+def test_rows_without_ids_fill_many_files(spark, tmp_path):
+    docs = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text")).unionByName(spark.range(2000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("same text").alias("text")))
+    rans.write_ids(docs, str(tmp_path / "f"))
+    held = [len(r.doc_ids) for r in spark.read.parquet(str(tmp_path / "f")).collect()]
+    assert sum(held) == 6000 and max(held) < 2000
+    got = rans.read_ids(spark, str(tmp_path / "f")).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 4000 + [1] * 2000
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(got, got[1:], strict=False))
+
+
+def test_queries_return_the_columns_of_their_contracts_in_order(spark, sf):
+    columns = {
+        "op2_rans_files": ["doc_id", "start", "n_tokens", "ids_crc32"], "op3_stratified_shards": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
+        "op4_pivotal_mix": ["doc_id", "size", "source_size", "target", "taken"], "op7_bin_slack_packing": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+        "op9_redirect_equivalence": ["page_id", "host", "path", "rule", "verdict"], "op10_decision_list": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
+    }
+    for name, want in columns.items():
+        assert queries.queries()[name](spark, sf).columns[: len(want)] == want, name
+
+
+def test_words_of_a_long_text_take_bounded_memory():
+    import tracemalloc
+
+    text = (b"some Words of a long text, again " * 640_000)[:20_000_000]
+    few = words.words_of([text[:3_000_000]], True)
+    tracemalloc.start()
+    many = words.words_of([b"", text, b"x y"], True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * len(text)
+    assert many.count.tolist()[0::2] == [0, 2] and (many.hash[: len(few.hash) - 1] == few.hash[:-1]).all()
+    assert many.joined[many.start[-2] : many.end[-2]].tobytes() == b"x"
+    long = words.words_of([b"a " + b"y" * 5_000_000 + b" b"], False)
+    assert long.count.tolist() == [3] and len(words._powers[0]) == 2 * words.PIECE

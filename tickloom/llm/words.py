@@ -7,6 +7,7 @@ a word.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,17 +20,23 @@ _LOWER[65:91] = _RAW[97:123]
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INVERSE = pow(_P, -1, 1 << 64)
 _Q = np.uint64(0xD6E8FEB86659FD93)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes that are hashed at once; a longer text is cut where a word has just ended, so memory beside the words is bounded, but for a single longer word.
+PIECE = 1 << 20
+_powers: list[np.ndarray] = []
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 21)
-        for k, base in enumerate((_P, _P_INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers[0], _powers[1]
+    """Powers of both bases; those for a piece are kept, those for a longer word are not."""
+    if _powers and n <= len(_powers[0]):
+        return _powers[0], _powers[1]
+    found = []
+    for base in (_P, _P_INVERSE):
+        steps = np.full(max(n, 2 * PIECE), base, np.uint64)
+        steps[0] = 1
+        found.append(np.cumprod(steps))
+    if n <= 2 * PIECE:
+        _powers[:] = found
+    return found[0], found[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -50,19 +57,40 @@ class Words:
     count: np.ndarray  # words of each text
 
 
+def _pieces(joined: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of pieces that end with a separator, as the whole does."""
+    at = 0
+    while at < len(joined):
+        end = at + PIECE
+        while end < len(joined):
+            gap = np.flatnonzero(SPACE[joined[end - 1 : end - 1 + PIECE]])
+            if len(gap):
+                end += int(gap[0])
+                break
+            end += PIECE
+        end = min(end, len(joined))
+        yield at, end
+        at = end
+
+
+def _words(piece: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of each word of a piece."""
+    turns = np.flatnonzero(np.diff(np.concatenate(([True], SPACE[piece])).view(np.int8)))
+    start, end = turns[0::2], turns[1::2]
+    power, inverse = _power_tables(len(piece))
+    sums = np.zeros(len(piece) + 1, np.uint64)
+    np.cumsum(table[piece] * power[: len(piece)], out=sums[1:])
+    return start, end, mix((sums[end] - sums[start]) * inverse[start])
+
+
 def words_of(texts: list[bytes], lower: bool) -> Words:
     joined = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     begins = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
-    space = SPACE[joined]
-    turns = np.flatnonzero(np.diff(np.concatenate(([True], space)).view(np.int8)))
-    start, end = turns[0::2], turns[1::2]
-    power, inverse = _power_tables(len(joined))
-    sums = np.zeros(len(joined) + 1, np.uint64)
-    np.cumsum((_LOWER if lower else _RAW)[joined] * power[: len(joined)], out=sums[1:])
-    hashes = mix((sums[end] - sums[start]) * inverse[start])
+    found = [(a, *_words(joined[a:b], _LOWER if lower else _RAW)) for a, b in _pieces(joined)]
+    start, end = (np.concatenate([a + x[k] for a, *x in found]) for k in (0, 1))
     doc = np.searchsorted(begins, start, "right") - 1
-    return Words(joined, begins, start, end, doc, hashes, np.bincount(doc, minlength=len(texts)))
+    return Words(joined, begins, start, end, doc, np.concatenate([x[3] for x in found]), np.bincount(doc, minlength=len(texts)))
 
 
 def windows(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
