@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,61 +25,123 @@ def status_class(status: Column) -> Column:
     return F.when(status.isin(*PASS), "pass").when(status.isin(*FAIL), "fail").otherwise("neutral")
 
 
-def _first_touch(pairs: DataFrame, alerts: DataFrame, time_stop: str | None, unfinished: Column | None, without_bars: str = "no_data") -> DataFrame:
-    """Outcome of each alert from its pairs with later bars; without_bars is the status of one that has none.
+def _over(bar: Column | None, level: Column) -> Column:
+    """Whether a bar reaches a level in the direction of profit."""
+    high, low = (F.col("high"), F.col("low")) if bar is None else (bar["high"], bar["low"])
+    return F.when(F.col("direction") == "long", high >= level).otherwise(low <= level)
+
+
+def _under(bar: Column | None, level: Column) -> Column:
+    """Whether a bar reaches a level against it."""
+    high, low = (F.col("high"), F.col("low")) if bar is None else (bar["high"], bar["low"])
+    return F.when(F.col("direction") == "long", low <= level).otherwise(high >= level)
 
-    On one bar the stop comes before the first target, the second target before a return
-    to the entry, and a time stop before all. Each touch is a conditional minimum of
-    time, so an alert's bars meet in one aggregate and are never collected.
+
+def _first_event(bars: Column, inside: Callable[[Column], Column], time_stop: str | None) -> Column:
+    """(ts, event, close) of the first of ordered bars that ends a trade or reaches its first target; NULL without one.
+
+    On one bar a time stop comes before the stop, the stop before the first target, and
+    the second target after it.
     """
-    c, long = F.col, F.col("direction") == "long"
-    over = lambda level: F.when(long, c("high") >= c(level)).otherwise(c("low") <= c(level))
-    under = lambda level: F.when(long, c("low") <= c(level)).otherwise(c("high") >= c(level))
-    t1 = F.min(F.when(over("target1"), c("ts"))).over(W.partitionBy("alert_id"))
-    pairs = pairs.withColumn("t_t1", t1)
-    late = F.lit(False) if time_stop is None else c("ts") > c("generated_at") + F.expr(f"interval {time_stop}")
-    first = lambda cond: F.min(F.when(cond, c("ts")))
-    got = pairs.groupBy("alert_id").agg(
-        first(late).alias("t_late"), F.min_by("close", F.when(late, c("ts"))).alias("c_late"), F.first("t_t1").alias("t_t1"), first(under("stop_loss")).alias("t_sl"),
-        first((c("ts") >= c("t_t1")) & over("target2")).alias("t_t2"), first((c("ts") > c("t_t1")) & under("entry")).alias("t_be"), F.max("ts").alias("t_end"), F.max_by("close", "ts").alias("c_end"))
-    before = lambda a, b: c(a).isNotNull() & (c(b).isNull() | (c(a) <= c(b)))
-    out = alerts.join(got, "alert_id", "left")
-    status = F.when(c("t_end").isNull(), without_bars).when(before("t_late", "t_sl") & before("t_late", "t_t1"), "time_stop").when(before("t_sl", "t_t1"), "sl_hit").when(c("t_t1").isNull(), "squareoff_no_t1")
-    status = status.when(before("t_t2", "t_be"), "t2_hit").when(c("t_be").isNotNull(), "t1_then_breakeven").otherwise("t1_then_squareoff")
-    out = out.withColumn("status", status)
-    if unfinished is not None:
-        out = out.withColumn("status", F.when(c("status").isin("squareoff_no_t1", "t1_then_squareoff") & unfinished, "open").otherwise(c("status")))
-    pick = lambda *pairs_: F.coalesce(*(F.when(c("status") == s, v) for s, v in pairs_))
-    exit_ = pick(("time_stop", c("c_late")), ("sl_hit", c("stop_loss")), ("t2_hit", c("target2")), ("t1_then_breakeven", c("entry")), ("squareoff_no_t1", c("c_end")), ("t1_then_squareoff", c("c_end")))
-    when_ = pick(("time_stop", c("t_late")), ("sl_hit", c("t_sl")), ("t2_hit", c("t_t2")), ("t1_then_breakeven", c("t_be")), ("squareoff_no_t1", c("t_end")), ("t1_then_squareoff", c("t_end")))
-    out = out.withColumns({"exit_price": exit_, "exit_time": when_})
-    whole, half = pnl_pct(c("entry"), c("exit_price"), c("direction")), pnl_pct(c("entry"), c("target1"), c("direction"))
-    blended = F.when(c("status").isin(*PASS), (whole + half) / 2).otherwise(whole)
-    return out.withColumn("pnl_pct", blended).drop("t_late", "c_late", "t_t1", "t_sl", "t_t2", "t_be", "t_end", "c_end")
+    late = lambda b: F.lit(False) if time_stop is None else b["ts"] > F.col("generated_at") + F.expr(f"interval {time_stop}")
+    b = F.get(F.filter(bars, lambda b: inside(b) & (late(b) | _under(b, F.col("stop_loss")) | _over(b, F.col("target1")))), F.lit(0))
+    event = F.when(late(b), "time_stop").when(_under(b, F.col("stop_loss")), "sl_hit").when(_over(b, F.col("target2")), "t2_hit").otherwise("t1")
+    return F.when(b.isNotNull(), F.struct(b["ts"].alias("ts"), event.alias("event"), b["close"].alias("close")))
+
+
+def _second_event(bars: Column, inside: Callable[[Column], Column]) -> Column:
+    """(ts, event) of the first bar after the first target's that reaches the second target or comes back to the entry."""
+    b = F.get(F.filter(bars, lambda b: inside(b) & (b["ts"] > F.col("hit.ts")) & (_over(b, F.col("target2")) | _under(b, F.col("entry")))), F.lit(0))
+    return F.when(b.isNotNull(), F.struct(b["ts"].alias("ts"), F.when(_over(b, F.col("target2")), "t2_hit").otherwise("t1_then_breakeven").alias("event")))
+
+
+def _settled(rows: DataFrame, unfinished: Column, without: Column) -> DataFrame:
+    """Adds status, exit_price, exit_time and pnl_pct to alerts with hit, then and end (ts, close); drops these three."""
+    c = F.col
+    status = F.when(c("hit.event") != "t1", c("hit.event")).when(c("then").isNotNull(), c("then.event"))
+    status = status.when(c("hit").isNull() & without.isNotNull(), without).when(unfinished, "open").when(c("hit").isNull(), "squareoff_no_t1").otherwise("t1_then_squareoff")
+    out = rows.withColumn("status", status)
+    last = c("status").isin("squareoff_no_t1", "t1_then_squareoff")
+    price = F.when(c("status") == "time_stop", c("hit.close")).when(c("status") == "sl_hit", c("stop_loss")).when(c("status") == "t2_hit", c("target2")).when(c("status") == "t1_then_breakeven", c("entry")).when(last, c("end.close"))
+    when_ = F.when(last, c("end.ts")).when(c("status").isin("t2_hit", "t1_then_breakeven") & c("then").isNotNull(), c("then.ts")).when(~c("status").isin("open", "no_data"), c("hit.ts"))
+    out = out.withColumns({"exit_price": price, "exit_time": when_})
+    return out.withColumn("pnl_pct", blended_pct()).drop("hit", "then", "end")
+
+
+def blended_pct() -> Column:
+    """Profit of a settled trade; half was taken at the first target where that was reached."""
+    whole, half = (pnl_pct(F.col("entry"), F.col(x), F.col("direction")) for x in ("exit_price", "target1"))
+    return F.when(F.col("status").isin(*PASS), (whole + half) / 2).otherwise(whole)
 
 
 def resolve_intraday(alerts: DataFrame, bars: DataFrame, time_stop: str = "45 minutes", as_of: Column | None = None) -> DataFrame:
     """Outcomes within the alert's session. What is not decided squares off at the session's last bar.
 
     With as_of (a date), alerts of a session that is not over stay open. An alert without
-    later bars has no_data and may be resolved again.
+    later bars has no_data and may be resolved again. A session's bars are one row, an
+    array in order of time, so an alert meets one row, whatever the interval of the bars.
     """
     a = alerts.withColumn("session", F.to_date("generated_at"))
-    pairs = a.join(bars.select("symbol", "session", "ts", "high", "low", "close"), ["symbol", "session"]).where("ts > generated_at")
-    return _first_touch(pairs, a, time_stop, None if as_of is None else F.col("session") >= as_of).drop("session")
+    sessions = bars.groupBy("symbol", "session").agg(F.sort_array(F.collect_list(F.struct("ts", "high", "low", "close"))).alias("__bars"))
+    later = lambda b: b["ts"] > F.col("generated_at")
+    met = a.join(sessions, ["symbol", "session"], "left").withColumn("hit", _first_event(F.col("__bars"), later, time_stop))
+    met = met.withColumn("then", F.when(F.col("hit.event") == "t1", _second_event(F.col("__bars"), later)))
+    last = F.element_at("__bars", -1)
+    met = met.withColumn("end", F.when(later(last), F.struct(last["ts"].alias("ts"), last["close"].alias("close")))).drop("__bars")
+    unfinished = F.lit(False) if as_of is None else F.col("session") >= as_of
+    return _settled(met, unfinished, F.when(F.col("end").isNull(), "no_data")).drop("session")
+
+
+def extremum_blocks(days: DataFrame, period: str = "quarter") -> DataFrame:
+    """(symbol, period, block, first, last, end, top, bottom, bars): runs of about the square root of a period's bars, with their extremes."""
+    b = days.select("symbol", F.trunc("session", period).alias("period"), "session", "ts", "high", "low", "close")
+    w = W.partitionBy("symbol", "period")
+    size = F.ceil(F.sqrt(F.count("*").over(w)))
+    b = b.withColumn("block", F.floor((F.row_number().over(w.orderBy("ts")) - 1) / size))
+    bar = F.sort_array(F.collect_list(F.struct("ts", "session", "high", "low", "close")))
+    return b.groupBy("symbol", "period", "block").agg(F.min("session").alias("first"), F.max("session").alias("last"), F.max("ts").alias("end"), F.max("high").alias("top"), F.min("low").alias("bottom"), bar.alias("bars"))
+
+
+def narrowed(alerts: DataFrame, blocks: DataFrame, horizon: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What alerts meet on the way to their outcomes: periods' lists of blocks, blocks of a first event, blocks of a second one.
+
+    A period's list tells which blocks can hold the event, from their extremes alone. The
+    first such block may begin before the alert, and so hold it only there; the next one
+    holds it for certain, so two blocks' bars are looked into at most.
+    """
+    levels = ["direction", "entry", "stop_loss", "target1", "target2"]
+    span = F.sequence(F.trunc(F.date_add("gen_date", 1), "quarter"), F.date_add("gen_date", horizon), F.expr("interval 3 months"))
+    a = alerts.select("alert_id", "symbol", *levels, F.to_date("generated_at").alias("gen_date")).withColumn("until", F.date_add("gen_date", horizon))
+    index = blocks.groupBy("symbol", "period").agg(F.sort_array(F.collect_list(F.struct("block", "first", "last", "end", F.col("top").alias("high"), F.col("bottom").alias("low")))).alias("index"))
+    inside = lambda x: (x["last"] > F.col("gen_date")) & (x["first"] <= F.col("until"))
+    name = lambda x: F.struct(F.col("period").alias("period"), x["block"].alias("block"), x["end"].alias("end"))
+    one = F.filter("index", lambda x: inside(x) & (_over(x, F.col("target1")) | _under(x, F.col("stop_loss"))))
+    two = F.filter("index", lambda x: inside(x) & (_over(x, F.col("target2")) | _under(x, F.col("entry"))))
+    lists = a.withColumn("period", F.explode(span)).join(index, ["symbol", "period"])
+    lists = lists.select("alert_id", F.struct("symbol", *levels, "gen_date", "until").alias("a"), F.transform(F.slice(one, 1, 2), name).alias("one"), F.transform(two, name).alias("two"))
+    both = lists.groupBy("alert_id").agg(F.first("a").alias("a"), F.slice(F.sort_array(F.flatten(F.collect_list("one"))), 1, 2).alias("one"), F.sort_array(F.flatten(F.collect_list("two"))).alias("two"))
+
+    of = blocks.select("symbol", "period", "block", "bars")
+    during = lambda b: (b["session"] > F.col("gen_date")) & (b["session"] <= F.col("until"))
+    first = both.select("alert_id", "a.*", "two", F.explode("one").alias("at")).select("*", "at.period", "at.block").drop("at").join(of, ["symbol", "period", "block"])
+    first = first.withColumn("hit", _first_event(F.col("bars"), during, None))
+    hits = first.groupBy("alert_id").agg(F.min("hit").alias("hit"), F.first(F.struct("symbol", *levels, "gen_date", "until", "two")).alias("a"))
+    later = F.slice(F.filter("a.two", lambda x: x["end"] > F.col("hit.ts")), 1, 2)
+    second = hits.select("alert_id", "a.*", "hit", F.explode_outer(F.when(F.col("hit.event") == "t1", later)).alias("at")).select("*", "at.period", "at.block").drop("at", "two").join(of, ["symbol", "period", "block"], "left")
+    return lists, first, second.withColumn("then", _second_event(F.col("bars"), during)).drop("bars")
 
 
 def resolve_swing(alerts: DataFrame, days: DataFrame, horizon: int = 60) -> DataFrame:
-    """Outcomes over the daily bars of the `horizon` days after the alert's date; no time stop, and what is not decided, or has no later bars, stays open.
+    """Outcomes over the bars of the `horizon` days after the alert's date; no time stop, and what is not decided, or has no later bars, stays open.
 
-    An alert meets the bars of the calendar months that its horizon touches, by an
-    equi-join on symbol and month, so it never meets a symbol's whole history.
+    days holds daily bars or any shorter ones. An alert meets the lists of blocks of the
+    two quarters that its horizon touches and the bars of the blocks that can decide it,
+    never all bars of the horizon.
     """
-    a = alerts.withColumn("gen_date", F.to_date("generated_at"))
-    months = F.sequence(F.trunc(F.date_add("gen_date", 1), "month"), F.date_add("gen_date", horizon), F.expr("interval 1 month"))
-    b = days.select("symbol", F.trunc("session", "month").alias("month"), "session", "ts", "high", "low", "close")
-    pairs = a.withColumn("month", F.explode(months)).join(b, ["symbol", "month"]).where(f"session > gen_date and session <= date_add(gen_date, {horizon})")
-    return _first_touch(pairs.drop("month"), a, None, F.lit(True), "open").drop("gen_date")
+    _, _, second = narrowed(alerts, extremum_blocks(days), horizon)
+    got = second.groupBy("alert_id").agg(F.first("hit").alias("hit"), F.min("then").alias("then"))
+    out = alerts.join(got, "alert_id", "left").withColumn("end", F.lit(None).cast("struct<ts:timestamp_ntz,close:double>"))
+    return _settled(out, F.lit(True), F.lit(None).cast("string"))
 
 
 def resolve_pending(alerts: DataFrame, outcomes: DataFrame, bars: DataFrame, days: DataFrame, as_of: Column, max_age: int = 60, time_stop: str = "45 minutes") -> DataFrame:
