@@ -61,30 +61,32 @@ def with_rsi(bars: DataFrame, n: int = 14, into: str = "rsi14") -> DataFrame:
     return out.withColumn(into, rsi).drop("__up", "__down")
 
 
-def with_emas(bars: DataFrame, emas: dict[str, tuple[str, int]]) -> DataFrame:
+def with_emas(bars: DataFrame, emas: dict[str, tuple[str, int]], step: str = "rn") -> DataFrame:
     """Exponential means {name: (column, span)} that start at the first bar.
 
     The recursion y = (1 - a) y' + a x becomes sums inside blocks of B bars, scaled by
     powers of q = 1 - a, plus what the block before ended with. B is so long that what
     stood before that block weighs under 1e-17, so a mean is exact to rounding in window
     functions alone: no join, no collected history, the same exchange as other indicators.
+    step numbers a symbol's bars from 1, the one the means start at; bars before it have
+    numbers below 1 and no means.
     """
     decay = [1 - 2 / (span + 1) for _, span in emas.values()]
     size = max(math.ceil(40 / -math.log(q)) for q in decay if q > 0)
     if any(q > 0 and -size * math.log(q) > 690 for q in decay):
         half = sorted(emas, key=lambda k: emas[k][1])
         cut = len(half) // 2
-        first = with_emas(bars, {k: emas[k] for k in half[:cut]})
-        return with_emas(first, {k: emas[k] for k in half[cut:]})
-    row = F.col("rn") - 1
+        first = with_emas(bars, {k: emas[k] for k in half[:cut]}, step)
+        return with_emas(first, {k: emas[k] for k in half[cut:]}, step)
+    row = F.col(step) - 1
     out = bars.withColumn("__blk", F.floor(row / size)).withColumn("__off", (row % size).cast("double"))
-    inside = W.partitionBy("symbol", "__blk").orderBy("rn").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("symbol", "__blk").orderBy(step).rowsBetween(W.unboundedPreceding, 0)
     before = by_symbol().rowsBetween(W.unboundedPreceding, -1)
     for (name, (c, span)), q in zip(emas.items(), decay, strict=True):
         if q <= 0:
             out = out.withColumn(name, F.col(c))
             continue
-        weight = F.when(F.col("rn") == 1, 1.0).otherwise(1 - q)
+        weight = F.when(F.col(step) == 1, 1.0).otherwise(1 - q)
         out = out.withColumn(f"__{name}", F.sum(weight * F.col(c) * F.pow(F.lit(1 / q), F.col("__off"))).over(inside) * F.pow(F.lit(q), F.col("__off")))
     for name, q in zip(emas, decay, strict=True):
         if q > 0:

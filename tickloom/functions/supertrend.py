@@ -1,48 +1,49 @@
-"""Supertrend of every bar: bands carried from bar to bar by a rule that no window function expresses."""
+"""Supertrend of every bar: bands carried from bar to bar, in window functions alone."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickloom.functions.indicators import sma, true_range
+from tickloom.functions.indicators import by_symbol, previous, sma, true_range
+
+
+def _carried(band: str, upper: bool) -> Column:
+    """The band of each bar of a run, from the run's bars up to it (an array column of close before and raw band)."""
+
+    def step(was: Column, bar: Column) -> Column:
+        left = bar["close"] > was if upper else bar["close"] < was
+        kept = F.greatest(bar["band"], was) if upper else F.least(bar["band"], was)
+        return F.when(left & bar["band"].isNotNull(), kept).otherwise(bar["band"])
+
+    return F.aggregate(F.slice(band, F.lit(2), F.size(band)), F.get(band, F.lit(0))["band"], step)
 
 
 def with_supertrend(bars: DataFrame, n: int = 10, k: float = 3.0) -> DataFrame:
     """Adds st_line and st_dir (1 up, -1 down). Direction starts at 1; it turns when a close leaves the previous bar's band.
 
-    Rows stream through each task in order of symbol and time; all that a task holds is
-    the previous bar's close, bands and direction.
+    A bar's rule makes its upper band from the one before: what lies below the close
+    before is carried on (the greater of both), anything else gives the bar's own raw band.
+    A band never lies inside its raw one, so where the close before stayed inside the raw
+    band of its bar, the rule is constant, and a new run begins there. Only inside runs,
+    which last while closes stand outside bands of their own bars, is the rule folded, by
+    an aggregate over the run's bars; ranges would have to grow by a factor a bar for a
+    run to go on. Runs, bands and turns are windows over the same exchange by symbol.
     """
     middle = (F.col("high") + F.col("low")) / 2
-    out = bars.withColumn("__tr", true_range()).withColumn("__atr", sma("__tr", n))
-    out = out.withColumn("__up", middle + k * F.col("__atr")).withColumn("__lo", middle - k * F.col("__atr")).drop("__tr", "__atr")
-    out = out.repartition("symbol").sortWithinPartitions("symbol", "session", "ts")
-    names = [c for c in out.columns if c not in ("__up", "__lo")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if f.name in names), "st_line double", "st_dir int"])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        symbol, state = None, None
-        for frame in frames:
-            lines, turns = [], []
-            for s, close, up, lo in zip(frame["symbol"], frame["close"], frame["__up"], frame["__lo"], strict=True):
-                if state is None or s != symbol:
-                    symbol, state = s, (close, up, lo, 1)
-                    lines.append(None)
-                    turns.append(1)
-                    continue
-                was, high, low, way = state
-                if up == up:  # a band without history is NaN here
-                    up = max(up, high) if was > high else up
-                    lo = min(lo, low) if was < low else lo
-                way = 1 if close > high else -1 if close < low else way
-                state = (close, up, lo, way)
-                line = lo if way == 1 else up
-                lines.append(line if line == line else None)
-                turns.append(way)
-            yield frame[names].assign(st_line=lines, st_dir=turns)
-
-    return out.mapInPandas(run, schema)
+    own = bars.columns
+    out = bars.withColumn("__tr", true_range()).withColumn("__atr", sma("__tr", n)).withColumn("__was", previous("close"))
+    out = out.withColumns({"__up": middle + k * F.col("__atr"), "__lo": middle - k * F.col("__atr")})
+    for band, upper in (("__up", True), ("__lo", False)):
+        before = previous(band)
+        goes_on = F.coalesce((F.col("__was") > before) if upper else (F.col("__was") < before), F.lit(False))
+        out = out.withColumn(f"{band}_new", (~goes_on).cast("int")).withColumn(f"{band}_run", F.sum(f"{band}_new").over(by_symbol().rowsBetween(W.unboundedPreceding, 0)))
+        inside = W.partitionBy("symbol", f"{band}_run").orderBy("session", "ts").rowsBetween(W.unboundedPreceding, 0)
+        out = out.withColumn(f"{band}_bars", F.collect_list(F.struct(F.col("__was").alias("close"), F.col(band).alias("band"))).over(inside))
+        out = out.withColumn(f"{band}_at", _carried(f"{band}_bars", upper))
+    turn = F.when(F.col("close") > previous("__up_at"), 1).when(F.col("close") < previous("__lo_at"), -1)
+    way = F.coalesce(F.last("__turn", ignorenulls=True).over(by_symbol().rowsBetween(W.unboundedPreceding, 0)), F.lit(1))
+    out = out.withColumn("__turn", turn).withColumn("st_dir", way)
+    line = F.when(F.col("__was").isNotNull(), F.when(F.col("st_dir") == 1, F.col("__lo_at")).otherwise(F.col("__up_at")))
+    return out.withColumn("st_line", line).select(*own, "st_line", "st_dir")
