@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 from tickloom.functions import indicators as ind
 
 
-def features(bars: DataFrame) -> DataFrame:
-    """Adds atr14, rsi14, ema9/20/50, vwap, vwap_slope, vol_ratio, swing_low/high, the opening ranges and the gap."""
+def features(bars: DataFrame, carried: bool = False) -> DataFrame:
+    """Adds atr14, rsi14, ema9/20/50, vwap, vwap_slope, vol_ratio, swing_low/high, the opening ranges and the gap.
+
+    carried says that bars have their exponential means already.
+    """
     out = ind.with_rsi(ind.with_atr(bars))
-    out = ind.with_emas(out, {"ema9": ("close", 9), "ema20": ("close", 20), "ema50": ("close", 50)})
+    out = out if carried else ind.with_emas(out, {"ema9": ("close", 9), "ema20": ("close", 20), "ema50": ("close", 50)})
     session = ind.by_session().rowsBetween(W.unboundedPreceding, 0)
     out = out.withColumn("prev_close", ind.previous("close")).withColumn("vwap", ind.vwap())
     out = out.withColumns({"vwap_slope": ind.slope_pct("vwap"), "vol_ratio": ind.volume_ratio(), "swing_low": ind.swing_low(), "swing_high": ind.swing_high()})

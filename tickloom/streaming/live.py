@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tickloom.config import GATES, Gates, interval_of
-from tickloom.operators.alerts import ALERTS, OUTCOMES, append, autoscan
-from tickloom.operators.outcomes import resolve_pending
+from tickloom.operators import score as sc
+from tickloom.operators.alerts import ALERTS, append, autoscan
+from tickloom.operators.features import index_trend
 from tickloom.operators.tips import extract_tips, gate
 from tickloom.sources.files import raw_tips
+from tickloom.streaming.carried import Carried
+from tickloom.streaming.journal import append_new_rows, new_rows
+from tickloom.streaming.settle import settle, use_rocksdb
 
 
 def stream_bars(ticks: DataFrame, name: str = "1h", late: str = "10 minutes") -> DataFrame:
@@ -28,28 +32,59 @@ def once_a_day(signals: DataFrame, keep: str = "2 days") -> DataFrame:
     return signals.withWatermark("ts", keep).dropDuplicatesWithinWatermark(["symbol", "setup", "direction", "session"])
 
 
-def counters(scan_log: DataFrame) -> DataFrame:
-    """Rejections of each session and reason of a scan log stream, for output mode update or complete."""
-    return scan_log.groupBy("session", "reject_code").count()
+def counters(scan_log: DataFrame, keep: str = "1 day") -> DataFrame:
+    """Rejections of each session and reason of a scan log stream (ts timestamp, reject_code), for output mode update.
 
+    Counts are by day of the event time, so a session's counts leave the state when the
+    watermark, `keep` behind the newest row, has passed its end.
+    """
+    per = scan_log.withWatermark("ts", keep).groupBy(F.window("ts", "1 day").alias("w"), "reject_code").agg(F.count("*").alias("n"))
+    return per.select(F.to_date("w.start").alias("session"), "reject_code", "n")
+
+
+def run_counters(scan_log: DataFrame, root: str, checkpoint: str, keep: str = "1 day", trigger: dict | None = None) -> StreamingQuery:
+    """Starts the counters' sink: each batch's changed counts are a folder of its own, replaced if the batch runs again."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/batch={number}")
+
+    writer = counters(scan_log, keep).writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def counted(spark: SparkSession, root: str) -> DataFrame:
+    """(session, reject_code, n): the latest count of each key. Counts only grow, so that is the highest."""
+    rows = spark.read.schema("session date, reject_code string, n long, batch long").parquet(root)
+    return rows.groupBy("session", "reject_code").agg(F.max("n").alias("n"))
 
-def run_scan(spark: SparkSession, bars: DataFrame, score_batch: Callable[[DataFrame], DataFrame], alerts_root: str, checkpoint: str, g: Gates = GATES, trigger: dict | None = None) -> StreamingQuery:
-    """Starts the live scan: each micro-batch of bars is scored, selected and appended to the alert table.
 
-    The keys and the number of alerts of the batch's sessions come from the alert table
-    itself, so a batch that runs again after a failure adds nothing and the daily cap
-    holds across batches.
+def judged(feat: DataFrame, indices: list[str] | None = None, results: DataFrame | None = None) -> DataFrame:
+    """Scores of a batch's features with their gates: the trend of index symbols among them, and the calendar (symbol, results_date) if given."""
+    scored = sc.score(feat)
+    scored = sc.with_regime(scored, index_trend(feat.where(F.col("symbol").isin(indices)))) if indices else scored.withColumn("regime_ok", F.lit(True))
+    return sc.with_events(scored, results) if results is not None else scored.withColumn("event_ok", F.lit(True))
+
+
+def run_scan(spark: SparkSession, bars: DataFrame, alerts_root: str, state_root: str, checkpoint: str, judge: Callable[[DataFrame], DataFrame] = judged, g: Gates = GATES, trigger: dict | None = None) -> StreamingQuery:
+    """Starts the live scan: each micro-batch of raw bars is scored with its symbols' history, selected and appended to the alert table.
+
+    The history is the bounded state in state_root (see Carried), so a batch's features
+    are those of all bars so far. The keys and the number of alerts of the batch's
+    sessions come from the alert table's folders of these days, so a batch that runs again
+    after a failure adds nothing and the daily cap holds across batches.
     """
+    carried = Carried(state_root)
 
-    def each(batch: DataFrame, _: int) -> None:
-        scored = score_batch(batch)
+    def each(batch: DataFrame, number: int) -> None:
+        feat = carried.features(batch, number)
+        days = [r[0] for r in batch.select("session").distinct().collect()]  # the few days of a batch
         stored = _stored(spark, alerts_root, ALERTS)
         fired = already = None
         if stored is not None:
-            days = stored.where("category = 'scan'").join(scored.select(F.col("session").alias("trade_date")).distinct(), "trade_date", "left_semi")
-            fired = days.select("signal_key")
-            already = days.groupBy(F.col("trade_date").alias("session")).agg(F.count("*").alias("fired"))
-        append(autoscan(scored, g, fired, already), alerts_root)
+            held = stored.where("category = 'scan'").where(F.col("trade_date").isin(days))
+            fired = held.select("signal_key")
+            already = held.groupBy(F.col("trade_date").alias("session")).agg(F.count("*").alias("fired"))
+        append(autoscan(judge(feat), g, fired, already), alerts_root)
 
     writer = bars.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "5 minutes"})).start()
@@ -66,37 +101,26 @@ def run_tips(messages: DataFrame, universe: DataFrame, root: str, checkpoint: st
 
     analysis gives, for a batch's tips, our votes (symbol, signal, confidence) and gate
     codes (symbol, direction, code) or None; with it each tip is stored with its outcome
-    at the gate and its agreement with our vote. A message seen before adds nothing.
+    at the gate and its agreement with our vote. A message seen before adds nothing: tips
+    are stored by day and bucket of their keys, and a batch looks into its own only.
     """
+    keys = ["channel", "msg_id"]
 
     def each(batch: DataFrame, _: int) -> None:
-        tips = extract_tips(batch, universe, text_chars=1000)
-        stored = _stored(batch.sparkSession, root, f"channel {batch.schema['channel'].dataType.simpleString()}, msg_id {batch.schema['msg_id'].dataType.simpleString()}")
-        if stored is not None:
-            tips = tips.join(stored.select("channel", "msg_id").distinct(), ["channel", "msg_id"], "left_anti")
+        tips = new_rows(extract_tips(batch, universe, text_chars=1000), keys, "ts", root)
         if analysis is not None:
             voted, rejected = analysis(tips)
             tips = gate(tips, voted, rejected)
-        raw_tips(tips).write.mode("append").parquet(root)
+        append_new_rows(raw_tips(tips), root)
 
     return messages.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def run_resolver(spark: SparkSession, bars: DataFrame, alerts_root: str, outcomes_root: str, history: Callable[[DataFrame], tuple[DataFrame, DataFrame]], checkpoint: str, trigger: dict | None = None, time_stop: str = "45 minutes") -> StreamingQuery:
-    """Starts the resolver: each batch of bars settles the pending alerts of its symbols and appends their outcomes.
+def run_resolver(alerts: DataFrame, bars: DataFrame, outcomes_root: str, checkpoint: str, delay: str = "30 minutes", time_stop: str = "45 minutes", horizon: int = 60, spread: int = 1, trigger: dict | None = None) -> StreamingQuery:
+    """Starts the resolver: outcomes of a stream of alerts by a stream of bars (see settle), appended once each.
 
-    history gives the intraday and daily bars that belong to a batch, itself included.
+    What is pending is the stream's own state; neither alerts nor outcomes are read again.
     """
-
-    def each(batch: DataFrame, _: int) -> None:
-        alerts = _stored(spark, alerts_root, ALERTS)
-        if alerts is None:
-            return
-        known = _stored(spark, outcomes_root, OUTCOMES)
-        known = spark.createDataFrame([], OUTCOMES) if known is None else known
-        intraday, days = history(batch)
-        now = F.lit(batch.agg(F.max(F.to_date("ts"))).first()[0]).cast("date")
-        new = resolve_pending(alerts, known, intraday, days, now, time_stop=time_stop).where("status not in ('open', 'no_data')")
-        new.withColumn("resolved_at", F.current_timestamp()).write.mode("append").parquet(outcomes_root)
-
-    return bars.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    use_rocksdb(bars.sparkSession)
+    out = settle(alerts, bars, delay, time_stop, horizon, spread).withColumn("resolved_at", F.current_timestamp())
+    return out.writeStream.format("parquet").option("path", outcomes_root).option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
