@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 #: Round-trip cost of a trade in per cent. Fixed value.
 COST_PCT = 0.13
+#: Bars that a symbol needs to be replayed. Fixed value.
+REPLAY_BARS = 40
 #: Intervals that bars can have, and days that a period name looks back. Fixed values.
 INTERVALS = {"1m": "1 minute", "3m": "3 minutes", "5m": "5 minutes", "10m": "10 minutes", "15m": "15 minutes", "30m": "30 minutes", "1h": "1 hour", "1d": "1 day"}
 PERIOD_DAYS = {"1d": 1, "5d": 5, "1mo": 30, "3mo": 90, "6mo": 180, "1y": 365, "2y": 730}
@@ -25,6 +27,8 @@ def interval_of(name: str) -> str:
 #: Categories of alerts by how they resolve, and statuses by class. Fixed values.
 INTRADAY_CATEGORIES = ("scan", "manual_intraday")
 SWING_CATEGORIES = ("swing_auto", "manual_swing", "channel_tip", "channel_call")
+#: Sections of the day report, and the categories of each. Fixed values.
+SECTIONS = {"scan": ("scan",), "manual_intraday": ("manual_intraday",), "swing": SWING_CATEGORIES}
 PASS = ("t2_hit", "t1_then_squareoff", "t1_then_breakeven")
 FAIL = ("sl_hit",)
 

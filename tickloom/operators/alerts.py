@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from tickloom.config import GATES, Gates
 from tickloom.operators.score import gate_reason
-from tickloom.operators.sizes import small
 
 KEY = ["category", "user_id", "symbol", "setup", "direction", "generated_at"]
 
@@ -123,24 +122,53 @@ def watchlists(events: DataFrame) -> DataFrame:
 
 def watched_or_default(users: DataFrame, watchlist: DataFrame, universe: DataFrame) -> DataFrame:
     """(user_id, symbol): each user's watchlist, or the whole universe for a user without one."""
-    bare = users.select("user_id").join(watchlist, "user_id", "left_anti").crossJoin(small(universe.select("symbol")))
+    bare = users.select("user_id").join(watchlist, "user_id", "left_anti").crossJoin(universe.select("symbol"))
     own = watchlist.join(users.select("user_id"), "user_id", "left_semi").select("user_id", "symbol")
     return own.unionByName(bare)
 
 
-def swing_shortlist(watched: DataFrame, planned: DataFrame, g: Gates = GATES) -> tuple[DataFrame, DataFrame]:
-    """Each user's best BUY and SELL symbols by confidence, and a summary of how many were scanned, actionable, below and cut."""
-    rows = watched.join(planned, "symbol")
+def watchlist_of(watchlist: DataFrame, user_id: int) -> DataFrame:
+    """A user's symbols in the order in which they were added."""
+    return watchlist.where(F.col("user_id") == user_id).orderBy("added_at", "symbol")
+
+
+def swing_shortlist(users: DataFrame, watchlist: DataFrame, universe: DataFrame, planned: DataFrame, g: Gates = GATES) -> tuple[DataFrame, DataFrame]:
+    """Each user's best BUY and SELL symbols by confidence, and a summary of how many were scanned, actionable, below and cut.
+
+    A user without a watchlist has the universe. It is ranked and summed up once, and
+    only its best rows and one row of counts meet these users.
+    """
     actionable = F.col("signal").isin("BUY", "SELL")
     ok = actionable & (F.col("confidence") >= g.swing_confidence)
-    placed = rows.where(ok).withColumn("place", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("confidence"), "symbol")))
-    summary = rows.groupBy("user_id").agg(F.count("*").alias("scanned"), F.count_if(ok).alias("actionable"), F.count_if(actionable & ~ok).alias("below"), F.greatest(F.count_if(ok) - g.swing_per_user, F.lit(0)).alias("cut"))
-    return placed.where(F.col("place") <= g.swing_per_user), summary
+    counts = [F.count("*").alias("scanned"), F.count_if(ok).alias("actionable"), F.count_if(actionable & ~ok).alias("below"), F.greatest(F.count_if(ok) - g.swing_per_user, F.lit(0)).alias("cut")]
+
+    def best(rows: DataFrame, by: list[str]) -> DataFrame:
+        place = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("confidence"), "symbol"))
+        return rows.where(ok).withColumn("place", place).where(F.col("place") <= g.swing_per_user)
+
+    bare = users.select("user_id").join(watchlist, "user_id", "left_anti")
+    own = watchlist.join(users.select("user_id"), "user_id", "left_semi").select("user_id", "symbol").join(planned, "symbol")
+    rest = universe.select("symbol").join(planned, "symbol")
+    shared = best(rest.withColumn("__all", F.lit(0)), ["__all"]).drop("__all")  # per_user rows
+    total = rest.groupBy().agg(*counts).where("scanned > 0")  # one row
+    shortlist = best(own, ["user_id"]).unionByName(bare.crossJoin(F.broadcast(shared)))
+    return shortlist, own.groupBy("user_id").agg(*counts).unionByName(bare.crossJoin(F.broadcast(total)))
+
+
+def swing_alerts(shortlist: DataFrame, fired: DataFrame | None = None) -> DataFrame:
+    """swing_auto alerts of a shortlist whose rows have a plan (session, ts, entry, stop_loss, target1, target2): one for each user, symbol and day.
+
+    fired (signal_key) holds keys of alerts made before, so a second run of a day adds none.
+    """
+    rows = shortlist.where("entry is not null").withColumns({"direction": F.col("signal"), "setup": F.lit(None).cast("string")})
+    out = as_alerts(rows, "swing_auto", F.col("user_id").cast("long"))
+    out = out.withColumn("signal_key", F.concat_ws(":", F.lit("swing"), F.col("user_id").cast("string"), "symbol", "direction", F.col("trade_date").cast("string")))
+    return out if fired is None else out.join(fired.select("signal_key"), "signal_key", "left_anti")
 
 
 def outbox(alerts: DataFrame, subscribers: DataFrame) -> DataFrame:
     """One row for each alert and subscriber."""
-    return subscribers.select("user_id").crossJoin(small(alerts.select("alert_id", "symbol", "direction")))
+    return subscribers.select("user_id").crossJoin(alerts.select("alert_id", "symbol", "direction"))
 
 
 def completions(pending: DataFrame, record: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickloom.config import COST_PCT, FAIL, PASS
+from tickloom.config import COST_PCT, FAIL, PASS, SECTIONS
 
 
 def net(gross: str = "pnl_pct", cost: float = COST_PCT) -> Column:
@@ -83,6 +83,20 @@ def swing_record(resolved: DataFrame) -> DataFrame:
     return r.groupBy("user_id").agg(wins.alias("wins"), losses.alias("losses"), (n - wins - losses).alias("neutral"), (F.try_divide(wins, n) * 100).alias("win_rate"), F.sum(net()).alias("net"), F.avg("hold").alias("avg_hold"))
 
 
+def section(category: Column) -> Column:
+    """The part of the day report that a category belongs to; NULL for any other."""
+    out = F.lit(None).cast("string")
+    for name, held in SECTIONS.items():
+        out = F.when(category.isin(*held), name).otherwise(out)
+    return out
+
+
+def day_sections(alerts: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """day_report by the three sections: scans, manual intraday alerts, and all swing categories together."""
+    rows = alerts.withColumn("category", section(F.col("category"))).where("category is not null")
+    return day_report(rows, outcomes).withColumnRenamed("category", "section")
+
+
 def day_report(alerts: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Totals of each day and category: alerts, passes, failures, neutrals, profit."""
     rows = alerts.join(outcomes, "alert_id", "left")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.config import GATES, Gates
@@ -83,34 +84,71 @@ def with_events(scored: DataFrame, results: DataFrame, within: int = 2) -> DataF
 
 
 def with_delivery(scored: DataFrame, delivery: DataFrame, days: int = 5) -> DataFrame:
-    """Adds delivery_pct: each symbol's latest percentage (symbol, as_of, delivery_pct) in the days up to the session."""
-    near = scored.select("symbol", "session").distinct().join(delivery, "symbol").where(f"as_of <= session and as_of >= date_sub(session, {days})")
-    near = near.groupBy("symbol", "session").agg(F.max_by("delivery_pct", "as_of").alias("delivery_pct"))
-    return scored.join(near, ["symbol", "session"], "left")
+    """Adds delivery_pct: each symbol's percentage in the newest file (symbol, as_of, delivery_pct) of the days up to the session.
 
+    The newest day with a number of any symbol counts for all, so a symbol that it lacks
+    has NULL, though an older day may have one. Sessions asked for meet days by an
+    equi-join on the dates that each may use.
+    """
+    asked = scored.select("session").distinct().withColumn("as_of", F.explode(F.sequence(F.date_sub("session", days), F.col("session"))))
+    newest = asked.join(delivery.where("delivery_pct is not null").select("as_of").distinct(), "as_of").groupBy("session").agg(F.max("as_of").alias("as_of"))
+    found = newest.join(delivery, "as_of").select("symbol", "session", "delivery_pct")
+    return scored.join(found, ["symbol", "session"], "left")
 
-def near_extremes(days: DataFrame, bars: int = 252, least: int = 30, within: float = 0.03) -> DataFrame:
-    """Adds high_52w, low_52w and near (high, low or NULL) to daily bars with `least` bars of history."""
+
+def extremes(days: DataFrame, bars: int = 252, least: int = 30) -> DataFrame:
+    """high_52w and low_52w added to daily bars with `least` bars of history."""
     w = ind.last(bars)
-    out = days.withColumns({"high_52w": F.max("high").over(w), "low_52w": F.min("low").over(w)}).where(F.col("rn") >= least)
+    return days.withColumns({"high_52w": F.max("high").over(w), "low_52w": F.min("low").over(w)}).where(F.col("rn") >= least)
+
+
+def near(within: float = 0.03) -> Column:
+    """high, low or NULL: the 52-week extreme that close is within this share of."""
     high = (F.col("high_52w") > 0) & (F.try_divide(F.col("high_52w") - F.col("close"), F.nullif("high_52w", F.lit(0.0))) <= within)
     low = (F.col("low_52w") > 0) & (F.try_divide(F.col("close") - F.col("low_52w"), F.nullif("low_52w", F.lit(0.0))) <= within)
-    return out.withColumn("near", F.when(high, "high").when(low, "low"))
+    return F.when(high, "high").when(low, "low")
+
+
+def near_extremes(days: DataFrame, bars: int = 252, least: int = 30, within: float = 0.03) -> DataFrame:
+    """Adds high_52w, low_52w and near (high, low or NULL) to daily bars with `least` bars of history."""
+    return extremes(days, bars, least).withColumn("near", near(within))
+
+
+def of_day_before(rows: DataFrame, days: DataFrame, values: list[str]) -> DataFrame:
+    """Adds the values of the symbol's last row of days (symbol, session) before each row's session.
+
+    Rows of both frequencies stand in one order by symbol, a session's own daily row
+    after its bars, and each bar takes the last daily row before it; nothing is joined.
+    """
+    one = rows.select("symbol", "session", F.lit(0).alias("__daily"), F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("__row"), F.lit(None).cast(days.select(F.struct(*values)).schema[0].dataType).alias("__day"))
+    two = days.select("symbol", "session", F.lit(1).alias("__daily"), F.lit(None).cast(one.schema["__row"].dataType).alias("__row"), F.struct(*values).alias("__day"))
+    w = W.partitionBy("symbol").orderBy("session", "__daily").rowsBetween(W.unboundedPreceding, 0)
+    out = one.unionByName(two).withColumn("__day", F.last("__day", ignorenulls=True).over(w)).where("__daily = 0")
+    return out.select("__row.*", *(F.col(f"__day.{v}").alias(v) for v in values))
+
+
+def with_index_list(scored: DataFrame, trends: DataFrame) -> DataFrame:
+    """Adds index_list, the trends of all indices (symbol, ts, trend) at the bar's time as `name trend` in order of name."""
+    listed = trends.groupBy("ts").agg(F.array_join(F.sort_array(F.collect_set(F.concat_ws(" ", "symbol", "trend"))), ", ").alias("index_list"))
+    return scored.join(listed, "ts", "left")
 
 
 def context_notes(scored: DataFrame) -> DataFrame:
-    """Adds context and notes arrays from st_dir, regime_ok, near, delivery_pct and days_to_results where the table has them."""
+    """Adds context and notes arrays from st_dir, index_list, regime_ok, near, delivery_pct and days_to_results where the table has them."""
     has = set(scored.columns)
     long, c = F.col("direction") == "long", F.col
     context, notes = [], []
     if "st_dir" in has:
         context.append(F.when(c("st_dir") == 1, "supertrend bullish").otherwise("supertrend bearish"))
         notes.append(F.when((c("st_dir") == 1) != long, "supertrend against direction"))
+    if "index_list" in has:
+        context.append(F.when(c("index_list") != "", F.concat(F.lit("index "), c("index_list"))))
     if "regime_ok" in has:
         notes.append(F.when(~c("regime_ok"), "counter-trend"))
     if "near" in has:
         context.append(F.when(c("near").isNotNull(), F.concat(F.lit("near 52-week "), c("near"))))
     if "delivery_pct" in has:
+        context.append(F.concat(F.lit("delivery "), F.bround("delivery_pct").cast("int").cast("string"), F.lit("%")))
         context.append(F.when(c("delivery_pct") >= 60, "strong delivery"))
         notes.append(F.when(c("delivery_pct") < 25, "low delivery"))
     if "days_to_results" in has:

@@ -22,6 +22,7 @@ from tickloom.operators import universe as un
 from tickloom.plans.registry import query, r, rounded, rsql
 from tickloom.sources import bars as br
 from tickloom.sources import files as fi
+from tickloom.sources.shared import saved
 
 KEY = ["symbol", "session", "rn"]
 CATEGORIES = ["scan", "manual_intraday", "swing_auto", "manual_swing", "channel_tip", "channel_call"]
@@ -321,25 +322,51 @@ def next_results(spark, sf):
 def _delivery(spark: SparkSession, sf: str) -> DataFrame:
     p = spark.read.parquet(f"{sf}/part.parquet")
     names = F.array(*map(F.lit, ["view", "signup", "click", "error", "purchase"]))
-    rows = p.select(F.element_at(names, (F.col("p_partkey") % 5 + 1).cast("int")).alias("symbol"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("p_partkey") % 31).cast("int")).alias("as_of"), (F.col("p_size") * 1.5).alias("pct"), "p_partkey")
+    rows = p.select(F.element_at(names, (F.col("p_partkey") % 5 + 1).cast("int")).alias("symbol"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("p_partkey") % 31).cast("int")).alias("as_of"), F.when(F.col("p_size") > 10, F.col("p_size") * 1.5).alias("pct"), "p_partkey")
     return rows.groupBy("symbol", "as_of").agg(F.max_by("pct", "p_partkey").alias("delivery_pct"))
 
 
-DELIVERY = "SELECT symbol, as_of, arg_max(p_size*1.5, p_partkey) AS delivery_pct FROM (SELECT ['view','signup','click','error','purchase'][CAST(p_partkey%5+1 AS BIGINT)] AS symbol, DATE '2024-01-01'+CAST(p_partkey%31 AS INT) AS as_of, p_size, p_partkey FROM part) GROUP BY symbol, as_of"
+#: A symbol lacks its number on some days, on which other symbols have theirs.
+DELIVERY = "SELECT symbol, as_of, CASE WHEN arg_max(p_size, p_partkey) > 10 THEN arg_max(p_size, p_partkey)*1.5 END AS delivery_pct FROM (SELECT ['view','signup','click','error','purchase'][CAST(p_partkey%5+1 AS BIGINT)] AS symbol, DATE '2024-01-01'+CAST(p_partkey%31 AS INT) AS as_of, p_size, p_partkey FROM part) GROUP BY symbol, as_of"
+NEWEST = f"(SELECT b.session, max(as_of) AS best FROM (SELECT DISTINCT session FROM sc) b JOIN (SELECT DISTINCT as_of FROM ({DELIVERY}) WHERE delivery_pct IS NOT NULL) d ON as_of <= b.session AND as_of >= b.session-5 GROUP BY b.session)"
 
 
-@query(f"SELECT s.symbol, s.session, s.rn, d.delivery_pct FROM sc s LEFT JOIN (SELECT b.symbol, b.session, arg_max(delivery_pct, as_of) AS delivery_pct FROM (SELECT DISTINCT symbol, session FROM sc) b JOIN ({DELIVERY}) d ON d.symbol = b.symbol AND as_of <= b.session AND as_of >= b.session-5 GROUP BY b.symbol, b.session) d ON d.symbol = s.symbol AND d.session = s.session")
+@query(f"SELECT s.symbol, s.session, s.rn, d.delivery_pct FROM sc s LEFT JOIN {NEWEST} n ON n.session = s.session LEFT JOIN ({DELIVERY}) d ON d.symbol = s.symbol AND d.as_of = n.best")
 def delivery_lookup(spark, sf):
     return sc.with_delivery(_scored(spark, sf), _delivery(spark, sf)).select(*KEY, "delivery_pct")
 
 
-@query(f"SELECT s.symbol, s.session, s.rn, CASE WHEN d.delivery_pct >= 60 THEN 'strong delivery' ELSE '' END AS context, array_to_string(list_filter([CASE WHEN NOT s.regime_ok THEN 'counter-trend' END, CASE WHEN d.delivery_pct < 25 THEN 'low delivery' END, CASE WHEN NOT s.event_ok THEN 'results near' END], lambda x: x IS NOT NULL), '; ') AS notes FROM ({EVENTS}) s LEFT JOIN (SELECT b.symbol, b.session, arg_max(delivery_pct, as_of) AS delivery_pct FROM (SELECT DISTINCT symbol, session FROM sc) b JOIN ({DELIVERY}) d ON d.symbol = b.symbol AND as_of <= b.session AND as_of >= b.session-5 GROUP BY b.symbol, b.session) d ON d.symbol = s.symbol AND d.session = s.session")
+@query(f"SELECT s.symbol, s.session, s.rn, concat_ws('; ', 'delivery ' || CAST(round_even(d.delivery_pct, 0) AS INT) || '%', CASE WHEN d.delivery_pct >= 60 THEN 'strong delivery' END) AS context, array_to_string(list_filter([CASE WHEN NOT s.regime_ok THEN 'counter-trend' END, CASE WHEN d.delivery_pct < 25 THEN 'low delivery' END, CASE WHEN NOT s.event_ok THEN 'results near' END], lambda x: x IS NOT NULL), '; ') AS notes FROM ({EVENTS}) s LEFT JOIN {NEWEST} n ON n.session = s.session LEFT JOIN ({DELIVERY}) d ON d.symbol = s.symbol AND d.as_of = n.best")
 def context_notes(spark, sf):
     rows = sc.with_delivery(sc.with_events(_regime(spark, sf), _results(spark, sf)), _delivery(spark, sf))
     rows = sc.context_notes(rows)
     return rows.select(*KEY, F.array_join("context", "; ").alias("context"), F.array_join("notes", "; ").alias("notes"))
 
 
+#: Daily rows of the intraday symbols: supertrend and extremes of the days so far.
+DAYS = "SELECT symbol, session, row_number() OVER w AS rn, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close, arg_min(open, ts) AS open FROM bar GROUP BY symbol, session WINDOW w AS (PARTITION BY symbol ORDER BY session)"
+LAST_DAY = f"""(WITH RECURSIVE b AS ({DAYS}), t AS (SELECT *, greatest(high-low, abs(high-lag(close) OVER w), abs(low-lag(close) OVER w)) AS tr FROM b WINDOW w AS (PARTITION BY symbol ORDER BY rn)),
+  raw AS (SELECT symbol, session, rn, close, (high+low)/2+0.6*a AS up, (high+low)/2-0.6*a AS lo, CASE WHEN rn >= 10 THEN max(high) OVER x END AS hi52, CASE WHEN rn >= 10 THEN min(low) OVER x END AS lo52 FROM (SELECT *, CASE WHEN count(*) OVER w = 10 THEN avg(tr) OVER w END AS a FROM t WINDOW w AS (PARTITION BY symbol ORDER BY rn ROWS 9 PRECEDING)) WINDOW x AS (PARTITION BY symbol ORDER BY rn ROWS 251 PRECEDING)),
+  st(symbol, session, rn, close, up, lo, dir, hi52, lo52) AS (SELECT symbol, session, rn, close, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 1, hi52, lo52 FROM raw WHERE rn = 1 UNION ALL
+  SELECT r.symbol, r.session, r.rn, r.close, CASE WHEN r.up IS NOT NULL AND st.close > st.up THEN greatest(r.up, st.up) ELSE r.up END, CASE WHEN r.lo IS NOT NULL AND st.close < st.lo THEN least(r.lo, st.lo) ELSE r.lo END, CASE WHEN r.close > st.up THEN 1 WHEN r.close < st.lo THEN -1 ELSE st.dir END, r.hi52, r.lo52 FROM st JOIN raw r ON r.symbol = st.symbol AND r.rn = st.rn+1)
+  SELECT symbol, session, dir AS st_dir, hi52, lo52 FROM st)"""
+CONTEXT = f"""SELECT e.symbol, e.session, e.rn, concat_ws('; ', CASE WHEN l.st_dir = 1 THEN 'supertrend bullish' WHEN l.st_dir = -1 THEN 'supertrend bearish' END, 'index ' || i.listed, CASE WHEN hi52 > 0 AND (hi52-close)/hi52 <= 0.03 THEN 'near 52-week high' WHEN lo52 > 0 AND (close-lo52)/lo52 <= 0.03 THEN 'near 52-week low' END, 'delivery ' || CAST(round_even(d.delivery_pct, 0) AS INT) || '%', CASE WHEN d.delivery_pct >= 60 THEN 'strong delivery' END) AS context,
+  concat_ws('; ', CASE WHEN (l.st_dir = 1) <> (e.direction = 'long') THEN 'supertrend against direction' END, CASE WHEN NOT e.regime_ok THEN 'counter-trend' END, CASE WHEN d.delivery_pct < 25 THEN 'low delivery' END, CASE WHEN NOT e.event_ok THEN 'results near' END) AS notes
+  FROM ({EVENTS}) e ASOF LEFT JOIN {LAST_DAY} l ON l.symbol = e.symbol AND l.session < e.session LEFT JOIN (SELECT ts, string_agg(symbol || ' ' || CASE WHEN close > vwap AND close > ema20 THEN 'bullish' WHEN close < vwap AND close < ema20 THEN 'bearish' ELSE 'flat' END, ', ' ORDER BY symbol) AS listed FROM feat WHERE symbol IN ('click', 'view') AND bar_no >= 3 GROUP BY ts) i ON i.ts = e.ts
+  LEFT JOIN {NEWEST} n ON n.session = e.session LEFT JOIN ({DELIVERY}) d ON d.symbol = e.symbol AND d.as_of = n.best"""
+
+
+@query(CONTEXT)
+def context_of_the_day_before(spark, sf):
+    days = br.numbered(br.bars_from_ticks(br.event_ticks(spark, sf), "1d"))
+    days = with_supertrend(sc.extremes(days, least=1), 10, 0.6).withColumns({x: F.when(F.col("rn") >= 10, F.col(x)) for x in ("high_52w", "low_52w")})
+    rows = sc.with_delivery(_gated(spark, sf), _delivery(spark, sf))
+    rows = sc.with_index_list(rows, ft.index_trend(_feat(spark, sf).where("symbol in ('click', 'view')")))
+    rows = sc.of_day_before(rows, days, ["st_dir", "high_52w", "low_52w"]).withColumn("near", sc.near())
+    rows = sc.context_notes(rows)
+    return rows.select(*KEY, F.array_join("context", "; ").alias("context"), F.array_join("notes", "; ").alias("notes"))
+
+
 # --- selection, journal ----------------------------------------------------------------------------------------
 
 LOW = Gates(min_score=45)
@@ -400,13 +427,24 @@ def watchlist_fallback(spark, sf):
 
 @query(f"SELECT user_id, symbol, signal, confidence, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY confidence DESC, symbol) AS place FROM ({WATCHED}) w JOIN dl USING (symbol) WHERE signal IN ('BUY','SELL') AND confidence >= 50) WHERE place <= 5")
 def swing_shortlist(spark, sf):
-    best, _ = al.swing_shortlist(al.watched_or_default(*_watch(spark, sf)), ind.latest(_voted(spark, sf)), Gates(swing_confidence=50))
+    best, _ = al.swing_shortlist(*_watch(spark, sf), ind.latest(_voted(spark, sf)), Gates(swing_confidence=50))
     return best.select("user_id", "symbol", "signal", "confidence", "place")
 
 
 @query(f"SELECT user_id, count(*) AS scanned, count(*) FILTER (ok) AS actionable, count(*) FILTER (act AND NOT ok) AS below, greatest(count(*) FILTER (ok)-5, 0) AS cut FROM (SELECT *, signal IN ('BUY','SELL') AS act, signal IN ('BUY','SELL') AND confidence >= 75 AS ok FROM ({WATCHED}) w JOIN dl USING (symbol)) GROUP BY user_id")
 def swing_summary(spark, sf):
-    return al.swing_shortlist(al.watched_or_default(*_watch(spark, sf)), ind.latest(_voted(spark, sf)), Gates(swing_confidence=75))[1]
+    return al.swing_shortlist(*_watch(spark, sf), ind.latest(_voted(spark, sf)), Gates(swing_confidence=75))[1]
+
+
+SHORTLIST = f"SELECT * FROM (SELECT user_id, p.*, row_number() OVER (PARTITION BY user_id ORDER BY confidence DESC, symbol) AS place FROM ({WATCHED}) w JOIN (SELECT * FROM plan QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY rn DESC) = 1) p USING (symbol) WHERE signal IN ('BUY','SELL') AND confidence >= 50) WHERE place <= 5"
+
+
+@query(f"SELECT user_id, CAST(symbol AS VARCHAR) AS symbol, 'swing_auto' AS category, signal AS direction, session AS trade_date, 'swing:' || user_id || ':' || symbol || ':' || signal || ':' || session AS signal_key, {rsql('entry=close', 'stop_loss=stop', 'target1=close+side*risk*1.5', 'target2=close+side*risk*3.0', digits=5)} FROM ({SHORTLIST}) WHERE place > 1")
+def swing_auto_alerts(spark, sf):
+    planned = sg.trade_plan(ind.latest(_voted(spark, sf)))
+    best, _ = al.swing_shortlist(*_watch(spark, sf), planned, Gates(swing_confidence=50))
+    fired = al.swing_alerts(best.where("place = 1"))  # what an earlier run of the day has sent
+    return rounded(al.swing_alerts(best, fired), keep=["user_id", "symbol", "category", "direction", "trade_date", "signal_key"], values=["entry", "stop_loss", "target1", "target2"], digits=5)
 
 
 @query("SELECT c_custkey AS user_id, alert_id, symbol, direction FROM customer CROSS JOIN (SELECT * FROM al WHERE trade_date = DATE '2024-01-10' AND category = 'scan')")
@@ -540,6 +578,11 @@ def day_report(spark, sf):
     return rounded(me.day_report(_alerts(spark, sf), _results_of(spark, sf, "true")), keep=["trade_date", "category", "total", "passed", "failed", "neutral"], values=["pnl_sum", "pnl_avg"], digits=4)
 
 
+@query(f"SELECT trade_date, CASE WHEN category IN ('scan', 'manual_intraday') THEN category ELSE 'swing' END AS section, count(*) AS total, count(*) FILTER ({OK}) AS passed, count(*) FILTER (status='sl_hit') AS failed, count(*) FILTER (NOT {OK} AND status<>'sl_hit') AS neutral, round(coalesce(sum(pnl_pct), 0), 4)+0.0 AS pnl_sum, round(avg(pnl_pct), 4)+0.0 AS pnl_avg FROM oc GROUP BY ALL")
+def day_report_sections(spark, sf):
+    return rounded(me.day_sections(_alerts(spark, sf), _results_of(spark, sf, "true")), keep=["trade_date", "section", "total", "passed", "failed", "neutral"], values=["pnl_sum", "pnl_avg"], digits=4)
+
+
 @query(f"SELECT u.alert_id, u.user_id, round(r.net, 4)+0.0 AS record_net, r.wins AS record_wins FROM oc u LEFT JOIN (SELECT user_id, sum(pnl_pct-0.13) AS net, count(*) FILTER ({OK}) AS wins FROM oc WHERE pnl_pct IS NOT NULL GROUP BY user_id) r ON r.user_id = u.user_id WHERE u.user_id IS NOT NULL AND u.status = 't2_hit'")
 def swing_completions(spark, sf):
     rows = _outcomes(spark, sf)
@@ -610,6 +653,19 @@ def asof_universe(spark, sf):
     return un.as_of(_snapshots(spark, sf), dates)
 
 
+#: A month's snapshot lists what traded in the month before it.
+LISTED = "SELECT DISTINCT CAST(date_trunc('month', session) + INTERVAL 1 MONTH AS DATE) AS as_of, symbol FROM day"
+
+
+@query(f"SELECT v.symbol, v.session, v.rn, v.signal, CASE WHEN a.as_of IS NOT NULL THEN s.symbol IS NOT NULL END AS member, a.as_of IS NULL AS survivorship_biased FROM (SELECT * FROM dv WHERE signal <> 'HOLD') v ASOF LEFT JOIN (SELECT DISTINCT as_of FROM ({LISTED}) WHERE as_of >= (SELECT min(as_of) + 400 FROM ({LISTED}))) a ON a.as_of <= v.session LEFT JOIN ({LISTED}) s ON s.as_of = a.as_of AND s.symbol = v.symbol")
+def signal_membership(spark, sf):
+    days = br.daily(spark, sf)
+    listed = days.select(F.add_months(F.trunc("session", "month"), 1).alias("as_of"), "symbol").distinct()
+    least = listed.agg(F.date_add(F.min("as_of"), 400).alias("least"))
+    listed = listed.crossJoin(F.broadcast(least)).where("as_of >= least").select("as_of", "symbol")
+    return un.with_membership(sg.vote(days).where("signal <> 'HOLD'").select("symbol", "session", "rn", "signal"), listed)
+
+
 @query("SELECT DATE '2024-01-31' AS as_of, symbol FROM (SELECT s_suppkey AS symbol FROM supplier UNION SELECT l_suppkey FROM lineitem)")
 def universe_snapshot(spark, sf):
     a = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("symbol"))
@@ -627,7 +683,7 @@ def _master(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT 'SUP' || s_suppkey AS symbol FROM supplier WHERE s_nationkey % 2 = 0 AND s_acctbal > 2000")
 def fno_universe(spark, sf):
-    return un.tradable(_master(spark, sf))
+    return un.tradable(_master(spark, sf)).select("symbol")
 
 
 @query("SELECT 'SUP' || s_suppkey || CASE WHEN s_suppkey % 3 = 0 THEN '.BO' ELSE '.NS' END AS symbol, CASE WHEN s_suppkey % 3 = 0 THEN 'BSE' ELSE 'NSE' END AS exch, CASE WHEN (s_nationkey % 2 = 0) = (s_suppkey % 3 <> 0) THEN CAST(s_suppkey AS VARCHAR) END AS token FROM supplier")
@@ -680,10 +736,11 @@ def tips_extract(spark, sf):
 
 
 def _gated_tips(spark: SparkSession, sf: str) -> DataFrame:
-    v = ind.latest(_voted(spark, sf)).where("symbol % 4 <> 3").select(F.concat(F.lit("SUP"), F.col("symbol").cast("string")).alias("symbol"), "signal", "confidence", "close", "atr")
-    planned = sg.trade_plan(ind.latest(_voted(spark, sf))).select(F.concat(F.lit("SUP"), F.col("symbol").cast("string")).alias("symbol"), F.col("entry").alias("plan_entry"), F.col("stop_loss").alias("plan_stop"), F.col("target1").alias("plan_target1"), F.col("target2").alias("plan_target2"))
+    name = F.concat(F.lit("SUP"), F.col("symbol").cast("string"))
+    plan = saved(sg.trade_plan(ind.latest(_voted(spark, sf))).select((F.col("symbol") % 4 != 3).alias("known"), name.alias("symbol"), "signal", "confidence", F.col("entry").alias("plan_entry"), F.col("stop_loss").alias("plan_stop"), F.col("target1").alias("plan_target1"), F.col("target2").alias("plan_target2")), "plan")
+    v, planned = plan.where("known").select("symbol", "signal", "confidence"), plan.drop("known", "signal", "confidence")
     codes = _tickers(spark, sf).select("symbol", F.lit("long").alias("direction"), F.when(F.col("symbol").endswith("1"), "atr_low").alias("code")).where("code is not null")
-    return tp.gate(tp.extract_tips(_messages(spark, sf), _tickers(spark, sf)), v.select("symbol", "signal", "confidence"), codes, 50.0).join(planned, "symbol", "left")
+    return tp.gate(tp.extract_tips(_messages(spark, sf), _tickers(spark, sf)), v, codes, 50.0).join(planned, "symbol", "left")
 
 
 GATE = f"SELECT t.*, v.signal, CASE WHEN v.signal IS NULL THEN 'error' WHEN NOT (v.signal IN ('BUY','SELL') AND confidence >= 50) THEN 'low_confidence' WHEN action = 'BUY' AND t.symbol LIKE '%1' THEN 'failed_filter' ELSE 'passed' END AS outcome, CASE WHEN v.signal IS NULL THEN NULL WHEN action = v.signal THEN 'Agreement' WHEN v.signal = 'HOLD' THEN 'Neutral' ELSE 'Conflict' END AS agreement FROM ({TIPS}) t LEFT JOIN (SELECT 'SUP' || symbol AS symbol, signal, confidence FROM dl WHERE symbol % 4 <> 3) v ON v.symbol = t.symbol"

@@ -92,12 +92,12 @@ PARTS: dict[str, str] = {
 
 #: Alerts of the histories: the first signal of each symbol and session (hal: any time of a working day; dal: the usual entry window), of the score, and of each parameter of a grid.
 _FIRST = "SELECT {id} AS alert_id, symbol, session AS trade_date, ts AS generated_at, close AS entry, close-s*unit AS stop_loss, close+2*s*unit AS target1, close+3*s*unit AS target2, direction{more} FROM (SELECT *, CASE WHEN direction = 'long' THEN 1 ELSE -1 END AS s FROM ({rows}) QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY ts) = 1)"
-_GATED = "rn >= 30 AND isodow(ts) < 6 AND coalesce(c_vol, c_slope) IS NULL AND NOT near_long AND NOT (direction = 'short' AND near_short)"
+_GATED = "symbol IN (SELECT symbol FROM bar GROUP BY symbol HAVING count(*) >= 40) AND rn >= 30 AND isodow(ts) < 6 AND coalesce(c_vol, c_slope) IS NULL AND NOT near_long AND NOT (direction = 'short' AND near_short)"
 _USUAL = "hour(ts)*60+minute(ts) BETWEEN 570 AND 869 AND NOT hour(ts)*60+minute(ts) BETWEEN 720 AND 809"
 _MORE = {
     "h": _FIRST.format(id="symbol || ':A:' || rn", more="", rows=f"SELECT * FROM seta WHERE {_GATED} AND c_atr IS NULL", by="symbol, session"),
     "d": _FIRST.format(id="symbol || ':A:' || rn", more="", rows=f"SELECT * FROM seta WHERE {_GATED} AND c_atr IS NULL AND {_USUAL}", by="symbol, session"),
-    "s": _FIRST.format(id="symbol || ':' || rn", more=", score", rows="SELECT sc.* FROM sc JOIN (SELECT symbol, session, max(bar_no) AS n FROM bar GROUP BY ALL) b USING (symbol, session) WHERE score >= 60 AND direction <> 'none' AND bar_no < n AND isodow(ts) < 6", by="symbol, session"),
+    "s": _FIRST.format(id="symbol || ':' || rn", more=", score", rows="SELECT sc.* FROM sc JOIN (SELECT symbol, session, max(bar_no) AS n FROM bar GROUP BY ALL) b USING (symbol, session) WHERE symbol IN (SELECT symbol FROM bar GROUP BY symbol HAVING count(*) >= 40) AND score >= 60 AND direction <> 'none' AND bar_no < n AND isodow(ts) < 6", by="symbol, session"),
     "w": _FIRST.format(id="param || ':' || symbol || ':A:' || rn", more=", param", rows=f"SELECT seta.*, param FROM seta CROSS JOIN (VALUES (0, 0.002, 0.02), (1, 0.004, 0.015), (2, 0.003, 0.012)) g(param, lo, hi) WHERE {_GATED} AND atr_share BETWEEN lo AND hi", by="param, symbol, session"),
 }
 for _k, _alerts in _MORE.items():
