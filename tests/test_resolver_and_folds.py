@@ -7,7 +7,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tickloom import config
 from tickloom.functions import indicators as ind
+from tickloom.functions.supertrend import with_supertrend
 from tickloom.operators import filters, history, metrics, outcomes, tips
 from tickloom.sources import bars as br
 from tickloom.sources import files
@@ -27,20 +29,21 @@ def frame(spark, rows, symbol="TEST", start=START, step=5):
 @pytest.mark.parametrize(
     ("later", "alert", "status", "pnl"),
     [
-        ([(100, 110, 100, 108)], ("long", 98, 106, 109), "t2_hit", 7.5),
-        ([(100, 101, 97, 98)], ("long", 98, 106, 109), "sl_hit", -2.0),
-        ([(100, 106, 100, 105), (105, 105, 99, 100)], ("long", 98, 106, 109), "t1_then_breakeven", 3.0),
-        ([(100, 106, 105, 106), (106, 107, 102, 103)], ("long", 98, 106, 109), "t1_then_squareoff", 4.5),
-        ([(100, 100, 90, 92)], ("short", 102, 94, 91), "t2_hit", 7.5),
-        ([(100, 106, 97, 100)], ("long", 98, 106, 109), "sl_hit", -2.0),
-        ([(100, 101, 99.5, 100.4)] * 10, ("long", 98, 106, 109), "time_stop", 0.4),
-        ([], ("long", 98, 106, 109), "no_data", None),
+        ([(200, 231, 199, 229)], ("long", 190, 220, 230), "t2_hit", 12.5),
+        ([(200, 203, 189, 190)], ("long", 190, 220, 230), "sl_hit", -5.0),
+        ([(200, 221, 201, 215), (215, 216, 198, 199)], ("long", 190, 220, 230), "t1_then_breakeven", 5.0),
+        ([(200, 221, 201, 215), (215, 222, 204, 212)], ("long", 190, 220, 230), "t1_then_squareoff", 8.0),
+        ([(200, 201, 168, 171)], ("short", 210, 180, 170), "t2_hit", 12.5),
+        ([(200, 221, 188, 200)], ("long", 190, 220, 230), "sl_hit", -5.0),
+        ([(200, 204, 197, 203)] * 10, ("long", 190, 220, 230), "time_stop", 1.5),
+        ([(200, 204, 197, 203)] * 3, ("short", 210, 180, 170), "squareoff_no_t1", -1.5),
+        ([], ("long", 190, 220, 230), "no_data", None),
     ],
 )
 def test_first_touch(spark, later, alert, status, pnl):
-    bars = frame(spark, [(100, 100, 100, 100), *later])
+    bars = frame(spark, [(200, 200, 200, 200), *later])
     way, sl, t1, t2 = alert
-    a = spark.createDataFrame([(1, "TEST", way, START, 100.0, float(sl), float(t1), float(t2))], "alert_id long, symbol string, direction string, generated_at timestamp_ntz, entry double, stop_loss double, target1 double, target2 double")
+    a = spark.createDataFrame([(1, "TEST", way, START, 200.0, float(sl), float(t1), float(t2))], "alert_id long, symbol string, direction string, generated_at timestamp_ntz, entry double, stop_loss double, target1 double, target2 double")
     r = outcomes.resolve_intraday(a, bars).first()
     assert r.status == status
     assert r.pnl_pct == pytest.approx(pnl, abs=0.011) if pnl is not None else r.pnl_pct is None
@@ -66,7 +69,7 @@ def test_walk_forward_takes_the_best_parameter_of_the_folds_before(spark, sf):
     nets = {}
     for param, lo, hi in bands:
         for t in history.setup_history(feat, Gates(atr_low=lo, atr_high=hi), ALL_DAY, TIME_STOP).collect():
-            nets.setdefault((fold[t.generated_at.date()], param), []).append(t.pnl_pct - 0.13)
+            nets.setdefault((fold[t.generated_at.date()], param), []).append(t.pnl_pct - config.COST_PCT)
     trades, log = history.walk_forward(feat, spark.createDataFrame(bands, "param int, lo double, hi double"), session=ALL_DAY, time_stop=TIME_STOP)
     got = {r.fold: r for r in log.collect()}
     for test in (2, 3):
@@ -136,7 +139,7 @@ def test_risk_of_equal_returns_is_unknown(spark):
 
 
 def test_drawdown(spark):
-    rows = [(i, "x", START + dt.timedelta(days=i), v + 0.13) for i, v in enumerate((1.0, -2.0, 3.0, -1.0))]
+    rows = [(i, "x", START + dt.timedelta(days=i), v + config.COST_PCT) for i, v in enumerate((1.0, -2.0, 3.0, -1.0))]
     t = spark.createDataFrame(rows, "alert_id long, symbol string, generated_at timestamp_ntz, pnl_pct double")
     assert metrics.max_drawdown(t).first().max_drawdown == pytest.approx(2.0)
 
@@ -150,3 +153,89 @@ def test_files(spark, tmp_path):
     assert [tuple(r) for r in files.results_calendar(spark, str(tmp_path / "f.json")).collect()] == [("B", dt.date(2026, 2, 3))]
     with pytest.raises(ValueError, match="unknown interval"):
         br.read_bars(spark, str(tmp_path), "7m")
+
+
+def plain_swing(alert, bars, horizon):
+    """The first event of an alert and the one after it, bar by bar."""
+    _, _, way, made, entry, sl, t1, t2 = alert
+    up = way == "long"
+    over, under = (lambda b, x: b[4] >= x if up else b[5] <= x), (lambda b, x: b[5] <= x if up else b[4] >= x)
+    reached = False
+    for b in bars:
+        if not made.date() < b[2] <= made.date() + dt.timedelta(days=horizon):
+            continue
+        if not reached:
+            if under(b, sl):
+                return "sl_hit", b[1]
+            reached = over(b, t1)
+            if reached and over(b, t2):
+                return "t2_hit", b[1]
+        elif over(b, t2):
+            return "t2_hit", b[1]
+        elif under(b, entry):
+            return "t1_then_breakeven", b[1]
+    return "open", None
+
+
+@pytest.mark.parametrize(("per_day", "minutes"), [(1, 1440), (40, 1)])
+def test_swing_outcomes_meet_few_blocks_and_equal_a_walk_over_all_bars(spark, per_day, minutes):
+    import random
+
+    rng, rows, price = random.Random(7), [], 100.0
+    for d in range(150):
+        for k in range(per_day):
+            o, price = price, price * (1 + rng.gauss(0, 0.012 / per_day**0.5))
+            ts = dt.datetime(2026, 1, 20) + dt.timedelta(days=d, minutes=minutes * k)
+            rows.append(("T", ts, ts.date(), o, max(o, price) * 1.001, min(o, price) * 0.999, price, 1.0))
+    made = []
+    for i, r in enumerate(rng.choices(rows, k=300)):
+        side, unit = rng.choice([1, -1]), r[6] * rng.choice([0.01, 0.04, 0.15])
+        made.append((i, "T", "long" if side == 1 else "short", r[1] + dt.timedelta(minutes=1), r[6], r[6] - side * unit, r[6] + 2 * side * unit, r[6] + 3 * side * unit))
+    alerts = spark.createDataFrame(made, "alert_id long, symbol string, direction string, generated_at timestamp_ntz, entry double, stop_loss double, target1 double, target2 double")
+    bars = spark.createDataFrame(rows, BARS)
+    got = {r.alert_id: (r.status, r.exit_time) for r in outcomes.resolve_swing(alerts, bars, 45).collect()}
+    want = {a[0]: plain_swing(a, rows, 45) for a in made}
+    assert got == want and {s for s, _ in want.values()} == {"sl_hit", "t2_hit", "t1_then_breakeven", "open"}
+    met = [df.count() for df in outcomes.narrowed(alerts, outcomes.extremum_blocks(bars), 45)]
+    assert sum(met) < 5 * len(made)
+
+
+def test_supertrend_equals_the_bar_by_bar_rule(spark):
+    import random
+
+    rng, rows, price = random.Random(5), [], 100.0
+    for k in range(400):
+        o, price = price, price * (1 + rng.gauss(0, 0.01) * (5 if k % 17 == 0 else 1))
+        rows.append((o, max(o, price), min(o, price), price))
+    out = with_supertrend(frame(spark, rows), 5, 0.4)
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    got = out.orderBy("rn").collect()
+    trs = [r[1] - r[2] if k == 0 else max(r[1] - r[2], abs(r[1] - rows[k - 1][3]), abs(r[2] - rows[k - 1][3])) for k, r in enumerate(rows)]
+    was = up_was = lo_was = None
+    way, carried = 1, 0
+    for k, (r, g) in enumerate(zip(rows, got, strict=True)):
+        atr = sum(trs[k - 4 : k + 1]) / 5 if k >= 4 else None
+        up, lo = (None, None) if atr is None else ((r[1] + r[2]) / 2 + 0.4 * atr, (r[1] + r[2]) / 2 - 0.4 * atr)
+        if k and up_was is not None:
+            carried += was > up_was or was < lo_was
+            up, lo = max(up, up_was) if was > up_was else up, min(lo, lo_was) if was < lo_was else lo
+            way = 1 if r[3] > up_was else -1 if r[3] < lo_was else way
+        line = (lo if way == 1 else up) if k else None
+        assert g.st_dir == way and (g.st_line == pytest.approx(line) if line is not None else g.st_line is None), k
+        was, up_was, lo_was = r[3], up, lo
+    assert carried > 30
+
+
+def test_short_histories_are_not_replayed(spark):
+    rows = frame(spark, [(100, 101, 99, 100)] * 39, "S").unionByName(frame(spark, [(100, 101, 99, 100)] * 40, "L"))
+    assert [r.symbol for r in history.long_enough(rows).select("symbol").distinct().collect()] == ["L"]
+
+
+def test_values_of_the_day_before(spark):
+    from tickloom.operators import score
+
+    d = lambda k: dt.date(2026, 1, k)
+    days = spark.createDataFrame([("A", d(5), 1), ("A", d(6), 2), ("B", d(6), 9), ("A", d(9), None)], "symbol string, session date, v int")
+    rows = spark.createDataFrame([("A", d(5), 0), ("A", d(6), 1), ("A", d(6), 2), ("A", d(8), 3), ("B", d(6), 4), ("C", d(7), 5), ("A", d(12), 6)], "symbol string, session date, `__day` int")
+    got = {r["__day"]: r.v for r in score.of_day_before(rows, days, ["v"]).collect()}
+    assert got == {0: None, 1: 1, 2: 1, 3: 2, 4: None, 5: None, 6: None}

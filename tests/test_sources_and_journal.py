@@ -7,7 +7,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from tickloom.operators import alerts, sizes, universe
+from tickloom.operators import alerts, universe
 from tickloom.sources import bars as br
 from tickloom.sources import files
 
@@ -73,10 +73,49 @@ def test_journal_order_and_defaults(spark):
     assert sorted(r.symbol for r in universe.or_default(found, default, 3).collect()) == ["x", "y", "z"]
 
 
-def test_a_large_side_is_not_broadcast(spark):
-    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
-    left = spark.range(100)
-    few, many = spark.range(5).toDF("b"), spark.range(50).toDF("b")
-    assert "BroadcastNestedLoopJoin" in plan(left.crossJoin(sizes.small(few, 10)))
-    assert sizes.small(many, 10) is many
-    assert left.crossJoin(sizes.small(many, 10)).count() == 5000
+def test_delivery_of_a_folder_and_the_newest_file(spark, tmp_path):
+    from tickloom.operators import score
+
+    (tmp_path / "d").mkdir()
+    for name, lines in {"sec_05012026.csv": "abc, EQ, 55.5\nxyz, EQ, 40", "full-2026-01-08.csv": "xyz, EQ, 41\nq, BE, 3", "sec_09012026.csv": "abc, EQ, -\n", "notes.csv": "abc, EQ, 1"}.items():
+        (tmp_path / "d" / name).write_text("SYMBOL , SERIES, DELIV_PER\n" + lines + "\n")
+    found = files.delivery_files(spark, str(tmp_path / "d"))
+    assert sorted((r.symbol, str(r.as_of), r.delivery_pct) for r in found.collect()) == [("ABC", "2026-01-05", 55.5), ("XYZ", "2026-01-05", 40.0), ("XYZ", "2026-01-08", 41.0)]
+    asked = spark.createDataFrame([(s, dt.date(2026, 1, d)) for s in ("ABC", "XYZ") for d in (4, 6, 9, 14)], "symbol string, session date")
+    got = {(r.symbol, r.session.day): r.delivery_pct for r in score.with_delivery(asked, found).collect()}
+    # On the 9th the file of the 8th counts, which lacks ABC; on the 14th none is new enough.
+    assert got == {("ABC", 4): None, ("ABC", 6): 55.5, ("ABC", 9): None, ("ABC", 14): None, ("XYZ", 4): None, ("XYZ", 6): 40.0, ("XYZ", 9): 41.0, ("XYZ", 14): None}
+
+
+def test_orders_of_lists(spark):
+    master = spark.createDataFrame([(i, e, s, n, k) for i, (e, s, n, k) in enumerate([("NFO", "ZF", "Z", "FUTSTK"), ("NSE", "Z-EQ", "Z", ""), ("NFO", "AF", "A", "FUTSTK"), ("NSE", "A-EQ", "A", ""), ("NSE", "M-EQ", "M", ""), ("NSE", "Z-EQ", "Z", ""), ("NFO", "TEST1", "M TEST", "FUTSTK")])], "pos long, exch_seg string, symbol string, name string, instrumenttype string")
+    assert [r.symbol for r in universe.tradable(master.repartition(3)).collect()] == ["Z", "A"]
+    at = lambda d: dt.datetime(2026, 1, d)
+    seen = spark.createDataFrame([(1, "b", at(3), "add"), (1, "a", at(4), "add"), (1, "c", at(1), "add"), (1, "c", at(2), "remove"), (1, "b", at(9), "add"), (2, "z", at(1), "add")], "user_id long, symbol string, at timestamp_ntz, action string")
+    assert [r.symbol for r in alerts.watchlist_of(alerts.watchlists(seen).repartition(3), 1).collect()] == ["b", "a"]
+
+
+def test_spans_of_membership(spark):
+    day = lambda m, d=1: dt.date(2026, m, d)
+    snaps = spark.createDataFrame([(day(m), s) for m, held in {1: "ab", 2: "ab", 3: "b", 4: "ab"}.items() for s in held] + [(day(1), "a")], "as_of date, symbol string")
+    spans = sorted((r.symbol, r.valid_from, r.valid_to) for r in universe.memberships(snaps).collect())
+    assert spans == [("a", day(1), day(3)), ("a", day(4), None), ("b", day(1), None)]
+    rows = [("a", dt.date(2025, 12, 31)), ("a", day(1)), ("a", day(2, 28)), ("a", day(3)), ("a", day(9)), ("b", day(3)), ("c", day(3)), (None, day(3)), ("a", day(1))]
+    got = universe.with_membership(spark.createDataFrame(rows, "symbol string, session date").withColumn("as_of", F.lit(1)), snaps)
+    want = {("a", rows[0][1]): (None, True), ("a", day(1)): (True, False), ("a", day(2, 28)): (True, False), ("a", day(3)): (False, False), ("a", day(9)): (True, False), ("b", day(3)): (True, False), ("c", day(3)): (False, False), (None, day(3)): (False, False)}
+    assert got.count() == 9 and all((r.member, r.survivorship_biased) == want[r.symbol, r.session] for r in got.collect())
+    empty = universe.with_membership(spark.createDataFrame(rows, "symbol string, session date"), snaps.limit(0))
+    assert all((r.member, r.survivorship_biased) == (None, True) for r in empty.collect())
+
+
+def test_shortlists_of_users_without_a_watchlist_and_their_alerts(spark):
+    users = spark.createDataFrame([(1,), (2,), (3,)], "user_id long")
+    watch = spark.createDataFrame([(1, "s1"), (1, "s9"), (9, "s2")], "user_id long, symbol string")
+    listed = spark.createDataFrame([(f"s{i}",) for i in range(8)], "symbol string")
+    planned = spark.createDataFrame([(f"s{i}", "HOLD" if i == 3 else "BUY", float(100 - i % 4), dt.datetime(2026, 1, 5), 10.0 if i != 4 else None, 9.0, 11.0, 12.0) for i in range(10)], "symbol string, signal string, confidence double, ts timestamp_ntz, entry double, stop_loss double, target1 double, target2 double")
+    best, summary = alerts.swing_shortlist(users, watch, listed, planned, alerts.Gates(swing_confidence=98, swing_per_user=3))
+    assert sorted((r.user_id, r.place, r.symbol) for r in best.collect()) == [(1, 1, "s1"), (1, 2, "s9"), (2, 1, "s0"), (2, 2, "s4"), (2, 3, "s1"), (3, 1, "s0"), (3, 2, "s4"), (3, 3, "s1")]
+    assert {r.user_id: (r.scanned, r.actionable, r.below, r.cut) for r in summary.collect()} == {1: (2, 2, 0, 0), 2: (8, 6, 1, 3), 3: (8, 6, 1, 3)}
+    first = alerts.swing_alerts(best)
+    assert sorted((r.user_id, r.symbol) for r in first.collect()) == [(1, "s1"), (1, "s9"), (2, "s0"), (2, "s1"), (3, "s0"), (3, "s1")]  # s4 has no plan
+    assert alerts.swing_alerts(best, first).count() == 0
