@@ -25,11 +25,11 @@ def delivery(spark: SparkSession, path: str, as_of: str) -> DataFrame:
 
 
 def delivery_files(spark: SparkSession, root: str) -> DataFrame:
-    """delivery() of a folder of such files of one layout, each with its day as yyyy-mm-dd or ddmmyyyy in its name; others are left out."""
+    """delivery() of a folder of such files of one layout, each with its day as yyyy-mm-dd in its name or its folder's, or as ddmmyyyy in its name; others are left out."""
     raw = spark.read.option("header", True).csv(root).select("*", F.col("_metadata.file_path").alias("__path"), F.monotonically_increasing_id().alias("__i"))
     raw = raw.toDF(*(c.strip() for c in raw.columns))
-    name = F.element_at(F.split("__path", "/"), -1)
-    day = F.coalesce(F.try_to_date(F.regexp_extract(name, "([0-9]{4}-[0-9]{2}-[0-9]{2})", 1), "yyyy-MM-dd"), F.try_to_date(F.regexp_extract(name, "([0-9]{8})", 1), "ddMMyyyy"))
+    name, place = F.element_at(F.split("__path", "/"), -1), F.substring_index("__path", "/", -2)
+    day = F.coalesce(F.try_to_date(F.regexp_extract(place, "([0-9]{4}-[0-9]{2}-[0-9]{2})", 1), "yyyy-MM-dd"), F.try_to_date(F.regexp_extract(name, "([0-9]{8})", 1), "ddMMyyyy"))
     series = F.trim("SERIES") if "SERIES" in raw.columns else F.lit("EQ")
     rows = raw.where(series == "EQ").select(F.upper(F.trim("SYMBOL")).alias("symbol"), day.alias("as_of"), F.trim("DELIV_PER").try_cast("double").alias("pct"), "__i")
     return rows.where("pct is not null and as_of is not null").groupBy("symbol", "as_of").agg(F.max_by("pct", "__i").alias("delivery_pct"))

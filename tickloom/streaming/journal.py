@@ -78,31 +78,29 @@ class Versions:
 BUCKETS = 16
 
 
-def with_bucket(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """Adds day and bucket, under which a row's keys are stored."""
-    return rows.withColumns({"day": F.to_date(at), "bucket": F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")})
+def with_bucket(rows: DataFrame, keys: list[str], at: str, period: str = "day") -> DataFrame:
+    """Adds day, that of the row's time or the first of its period (week, month), and bucket, under which a row's keys are stored."""
+    return rows.withColumns({"day": F.to_date(at) if period == "day" else F.trunc(at, period), "bucket": F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")})
 
 
 def stored_near(spark: SparkSession, rows: DataFrame, root: str, schema: str) -> DataFrame:
     """What is stored in the days and buckets of rows (day, bucket), by a filter on partitions: other folders are not read."""
     if not [x for x in names(spark, root) if x.startswith("day=")]:
         return spark.createDataFrame([], f"{schema}, day date, bucket int")
-    wanted: dict[object, list[int]] = {}
-    for r in rows.select("day", "bucket").distinct().collect():  # BUCKETS for each day of a batch at most
-        wanted.setdefault(r["day"], []).append(r["bucket"])
-    there = F.lit(False)
-    for day, buckets in wanted.items():
-        there = there | ((F.col("day") == F.lit(day)) & F.col("bucket").isin(buckets)) if day is not None else there | (F.col("day").isNull() & F.col("bucket").isin(buckets))
+    wanted = rows.select("day", "bucket").distinct().collect()  # BUCKETS for each day of a batch at most
+    days = {r["day"] for r in wanted}
+    there = F.col("day").isin(sorted(days - {None})) & F.col("bucket").isin(sorted({r["bucket"] for r in wanted}))
+    there = there | F.col("day").isNull() if None in days else there
     return spark.read.schema(f"{schema}, day date, bucket int").parquet(root).where(there)
 
 
-def new_rows(rows: DataFrame, keys: list[str], at: str, root: str) -> DataFrame:
+def new_rows(rows: DataFrame, keys: list[str], at: str, root: str, period: str = "day") -> DataFrame:
     """Rows with day and bucket whose keys are not stored under root yet; of repeated keys one.
 
     A key's time decides its day, so a message that comes again, however late, is looked
-    for where it was stored.
+    for where it was stored. A longer period than a day makes fewer folders of sparse keys.
     """
-    placed = with_bucket(rows.dropDuplicates(keys), keys, at)
+    placed = with_bucket(rows.dropDuplicates(keys), keys, at, period)
     schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
     known = stored_near(rows.sparkSession, placed, root, schema).select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("day").alias("__day"), F.col("bucket").alias("__bucket"))
     on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col("bucket") == F.col("__bucket"), F.col("day").eqNullSafe(F.col("__day"))]
@@ -110,4 +108,5 @@ def new_rows(rows: DataFrame, keys: list[str], at: str, root: str) -> DataFrame:
 
 
 def append_new_rows(rows: DataFrame, root: str) -> None:
-    rows.write.mode("append").partitionBy("day", "bucket").parquet(root)
+    """Appends rows of new_rows(), a folder's rows of a batch as one file."""
+    rows.repartition("day", "bucket").write.mode("append").partitionBy("day", "bucket").parquet(root)

@@ -96,18 +96,19 @@ def _stored(spark: SparkSession, root: str, schema: str) -> DataFrame | None:
     return spark.read.schema(schema).parquet(root) if there else None
 
 
-def run_tips(messages: DataFrame, universe: DataFrame, root: str, checkpoint: str, analysis: Callable[[DataFrame], tuple[DataFrame, DataFrame | None]] | None = None, trigger: dict | None = None) -> StreamingQuery:
+def run_tips(messages: DataFrame, universe: DataFrame, root: str, checkpoint: str, analysis: Callable[[DataFrame], tuple[DataFrame, DataFrame | None]] | None = None, trigger: dict | None = None, period: str = "day") -> StreamingQuery:
     """Starts the tip audit: every message batch's tips are appended with their time of arrival and text cut to 1000 characters.
 
     analysis gives, for a batch's tips, our votes (symbol, signal, confidence) and gate
     codes (symbol, direction, code) or None; with it each tip is stored with its outcome
     at the gate and its agreement with our vote. A message seen before adds nothing: tips
-    are stored by day and bucket of their keys, and a batch looks into its own only.
+    are stored by day (or another period) and bucket of their keys, and a batch looks
+    into its own only.
     """
     keys = ["channel", "msg_id"]
 
     def each(batch: DataFrame, _: int) -> None:
-        tips = new_rows(extract_tips(batch, universe, text_chars=1000), keys, "ts", root)
+        tips = new_rows(extract_tips(batch, universe, text_chars=1000), keys, "ts", root, period)
         if analysis is not None:
             voted, rejected = analysis(tips)
             tips = gate(tips, voted, rejected)
