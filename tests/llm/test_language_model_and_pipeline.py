@@ -136,3 +136,54 @@ def test_pipeline_odd_rows(spark, odd_docs, no_docs, sf, tmp_path):
     for _, stage in cp.STAGES:
         start = stage(spark, start, sf)
     assert start.count() == 0
+
+
+def scalar_log10(symbols, p):
+    """log10 probability of a document's symbols by a forward pass of plain numbers, one token after another."""
+    n, h, was, total = gated.HIDDEN, [0.0] * gated.HIDDEN, 0, 0.0
+    w = {k: v.astype(float).tolist() for k, v in p.items()}
+
+    def log_softmax(rows, weights, at):
+        scores = [weights[-1][j] + sum(rows[i] * weights[i][j] for i in range(n)) for j in range(len(weights[0]))]
+        most = max(scores)
+        return scores[at] - most - math.log(sum(math.exp(s - most) for s in scores))
+
+    for symbol in symbols:
+        own = [sum(w["U"][i][j] * h[j] for j in range(n)) for i in range(3 * n)]
+        into = [w["Wx"][i][was] + w["b"][i] for i in range(3 * n)]
+        gate = [1 / (1 + math.exp(into[i] + own[i])) for i in range(2 * n)]
+        new = [math.tanh(into[2 * n + i] + gate[n + i] * own[2 * n + i]) for i in range(n)]
+        h = [gate[i] * h[i] + (1 - gate[i]) * new[i] for i in range(n)]
+        head = symbol < gated.HEAD
+        cls = symbol // gated.CLASS_WORDS if head else symbol - gated.HEAD + gated.HEAD_CLASSES
+        total += log_softmax(h, w["Wc"], cls)
+        if head:
+            total += log_softmax(h, w["Wo"][cls], symbol % gated.CLASS_WORDS)
+        was = symbol
+    return total / math.log(10)
+
+
+def test_scores_equal_a_scalar_forward_pass_of_the_trained_network(spark, documents, monkeypatch):
+    monkeypatch.setattr(language_model, "LISTED", 3000)
+    trained, real = [], language_model.network_scores
+    monkeypatch.setattr(language_model, "network_scores", lambda rows, params: trained.append(params.value) or real(rows, params))
+    got = {r.doc_id: r.score for r in language_model.score(documents).collect()}
+    rows = documents.collect()
+    counts = Counter(w for r in rows if zlib.crc32(str(r.doc_id).encode()) % 10 for w in tokens(r.text))
+    ranked = sorted((w for w in counts if w is not None), key=lambda w: (-counts[w], w))
+    # Only words of the listing may be head words; those of the least listed count are all in or all out.
+    head = {w: i for i, w in enumerate(ranked[: gated.HEAD - 1], 1)}
+    cls = lambda w: int(language_model.shape_classes([w.encode()])[0])
+    masses = [0.1] * gated.TAIL_CLASSES
+    for w in ranked[gated.HEAD - 1 :]:
+        masses[cls(w)] += counts[w] + 0.1
+    p = gated.unflat(trained[0])
+    for r in sorted(rows, key=lambda r: len(r.text or ""))[20:160:28]:
+        symbols, inside = [], 0.0
+        for w in tokens(r.text):
+            if w is None or w in head:
+                symbols.append(0 if w is None else head[w])
+            else:
+                symbols.append(gated.HEAD + cls(w))
+                inside += math.log10((counts[w] + 0.1) / masses[cls(w)])
+        assert abs(scalar_log10(symbols, p) + inside - got[r.doc_id]) < 2e-4 * abs(got[r.doc_id]), r.doc_id
