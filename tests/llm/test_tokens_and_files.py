@@ -170,3 +170,22 @@ def test_words_of_a_long_text_take_bounded_memory():
     assert many.joined[many.start[-2] : many.end[-2]].tobytes() == b"x"
     long = words.words_of([b"a " + b"y" * 5_000_000 + b" b"], False)
     assert long.count.tolist() == [3] and len(words._powers[0]) == 2 * words.PIECE
+
+
+def test_plain_files_of_anything_are_scanned(spark, tmp_path):
+    rng, want, end = np.random.default_rng(4), {}, separator_scan.END_ID
+    (tmp_path / "plain").mkdir()
+    for name in "abc":
+        sizes = [int(x) for x in rng.integers(1, 90, 40)] + [1, 1, 3000, 1]
+        docs = [np.append(rng.integers(0, 49_000, n - 1), end) for n in sizes]
+        tail = rng.integers(0, 49_000, 17 if name == "b" else 0)  # ids after the last end are no document
+        np.concatenate([*docs, tail]).astype("<u2").tofile(tmp_path / "plain" / name)
+        want[name] = [(k, sum(sizes[:k]), n) for k, n in enumerate(sizes)]
+    (tmp_path / "plain" / "empty").write_bytes(b"")
+    for block in (64, 1000, 1 << 18):
+        found = separator_scan.stitched(separator_scan.scan_plain(spark, str(tmp_path / "plain"), block_ids=block)).collect()
+        got = {name: sorted((r.ordinal, r.start, r.n_tokens) for r in found if r.file.endswith("/" + name)) for name in want}
+        assert got == want and len(found) == sum(map(len, want.values()))
+    (tmp_path / "plain" / "odd").write_bytes(b"abc")
+    with pytest.raises(Exception, match="16-bit"):
+        separator_scan.scan_plain(spark, str(tmp_path / "plain")).count()
