@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tickloom.config import GATES, Gates
 from tickloom.operators.score import gate_reason
+from tickloom.sources.shared import saved
 
 KEY = ["category", "user_id", "symbol", "setup", "direction", "generated_at"]
 
@@ -136,8 +137,10 @@ def swing_shortlist(users: DataFrame, watchlist: DataFrame, universe: DataFrame,
     """Each user's best BUY and SELL symbols by confidence, and a summary of how many were scanned, actionable, below and cut.
 
     A user without a watchlist has the universe. It is ranked and summed up once, and
-    only its best rows and one row of counts meet these users.
+    only its best rows and one row of counts meet these users. planned, a row for each
+    symbol, is written first, since both kinds of users need it.
     """
+    planned = saved(planned, "planned")
     actionable = F.col("signal").isin("BUY", "SELL")
     ok = actionable & (F.col("confidence") >= g.swing_confidence)
     counts = [F.count("*").alias("scanned"), F.count_if(ok).alias("actionable"), F.count_if(actionable & ~ok).alias("below"), F.greatest(F.count_if(ok) - g.swing_per_user, F.lit(0)).alias("cut")]

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.config import FAIL, INTRADAY_CATEGORIES, PASS, SWING_CATEGORIES
+from tickloom.sources.shared import saved
 
 
 def normal_direction(c: Column) -> Column:
@@ -138,7 +139,7 @@ def resolve_swing(alerts: DataFrame, days: DataFrame, horizon: int = 60) -> Data
     two quarters that its horizon touches and the bars of the blocks that can decide it,
     never all bars of the horizon.
     """
-    _, _, second = narrowed(alerts, extremum_blocks(days), horizon)
+    _, _, second = narrowed(alerts, saved(extremum_blocks(days), "blocks"), horizon)  # the blocks are read three times
     got = second.groupBy("alert_id").agg(F.first("hit").alias("hit"), F.min("then").alias("then"))
     out = alerts.join(got, "alert_id", "left").withColumn("end", F.lit(None).cast("struct<ts:timestamp_ntz,close:double>"))
     return _settled(out, F.lit(True), F.lit(None).cast("string"))

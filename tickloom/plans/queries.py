@@ -504,10 +504,13 @@ def resolve_intraday(spark, sf):
 
 
 SWING_AL = "SELECT symbol || ':' || rn AS alert_id, symbol, session AS gen, close AS entry, close*0.99 AS sl, close*1.02 AS t1, close*1.03 AS t2 FROM day WHERE rn > 60"
-SWING_OC = f"""SELECT alert_id, status, CAST(exit_time AS TIMESTAMP) AS exit_time, round(exit_price, 4)+0.0 AS exit_price, round(CASE WHEN status IN ('t2_hit','t1_then_breakeven') THEN ((exit_price-entry)/entry*100+(t1-entry)/entry*100)/2 ELSE (exit_price-entry)/entry*100 END, 4)+0.0 AS pnl_pct FROM (
+#: An alert meets bars by symbol and calendar month, three of which its 60 days touch at most.
+SWING_OC = f"""WITH sw_alert AS MATERIALIZED ({SWING_AL}), sw_day AS MATERIALIZED (SELECT symbol, session, high, low, CAST(date_trunc('month', session) AS DATE) AS month FROM day),
+  sw_met AS MATERIALIZED (SELECT a.*, d.session, d.high, d.low FROM (SELECT *, CAST(date_trunc('month', gen+1) + to_months(CAST(k AS INT)) AS DATE) AS month FROM sw_alert CROSS JOIN (VALUES (0), (1), (2)) m(k)) a JOIN sw_day d ON d.symbol = a.symbol AND d.month = a.month WHERE d.session > a.gen AND d.session <= a.gen+60)
+  SELECT alert_id, status, CAST(exit_time AS TIMESTAMP) AS exit_time, round(exit_price, 4)+0.0 AS exit_price, round(CASE WHEN status IN ('t2_hit','t1_then_breakeven') THEN ((exit_price-entry)/entry*100+(t1-entry)/entry*100)/2 ELSE (exit_price-entry)/entry*100 END, 4)+0.0 AS pnl_pct FROM (
   SELECT *, CASE status WHEN 'sl_hit' THEN sl WHEN 't2_hit' THEN t2 WHEN 't1_then_breakeven' THEN entry END AS exit_price, CASE status WHEN 'sl_hit' THEN tsl WHEN 't2_hit' THEN tt2 WHEN 't1_then_breakeven' THEN tbe END AS exit_time FROM (
-  SELECT a.*, g.* EXCLUDE (alert_id), CASE WHEN tsl <= coalesce(tt1, tsl) THEN 'sl_hit' WHEN tt1 IS NULL THEN 'open' WHEN tt2 <= coalesce(tbe, tt2) THEN 't2_hit' WHEN tbe IS NOT NULL THEN 't1_then_breakeven' ELSE 'open' END AS status FROM ({SWING_AL}) a LEFT JOIN
-  (SELECT alert_id, any_value(tt1) AS tt1, min(session) FILTER (low <= sl) AS tsl, min(session) FILTER (session >= tt1 AND high >= t2) AS tt2, min(session) FILTER (session > tt1 AND low <= entry) AS tbe FROM (SELECT a.*, d.session, d.high, d.low, min(CASE WHEN d.high >= a.t1 THEN d.session END) OVER (PARTITION BY alert_id) AS tt1 FROM ({SWING_AL}) a JOIN day d ON d.symbol = a.symbol AND d.session > a.gen AND d.session <= a.gen+60) GROUP BY alert_id) g USING (alert_id)))"""
+  SELECT a.*, g.* EXCLUDE (alert_id), CASE WHEN tsl <= coalesce(tt1, tsl) THEN 'sl_hit' WHEN tt1 IS NULL THEN 'open' WHEN tt2 <= coalesce(tbe, tt2) THEN 't2_hit' WHEN tbe IS NOT NULL THEN 't1_then_breakeven' ELSE 'open' END AS status FROM sw_alert a LEFT JOIN
+  (SELECT alert_id, any_value(tt1) AS tt1, min(session) FILTER (low <= sl) AS tsl, min(session) FILTER (session >= tt1 AND high >= t2) AS tt2, min(session) FILTER (session > tt1 AND low <= entry) AS tbe FROM (SELECT *, min(CASE WHEN high >= t1 THEN session END) OVER (PARTITION BY alert_id) AS tt1 FROM sw_met) GROUP BY alert_id) g USING (alert_id)))"""
 
 
 def _swing_alerts(days: DataFrame) -> DataFrame:
@@ -568,6 +571,18 @@ def symbol_summary(spark, sf):
     return rounded(out, keep=["symbol", "is_total", "n", "wins", "losses", "break_even"], values=["hit_rate", "gross_total", "gross_avg", "net_total", "net_avg", "avg_win", "avg_loss"], digits=4).orderBy(F.desc("net_total"))
 
 
+@query("SELECT symbol, row_number() OVER (ORDER BY net_total DESC, symbol) AS place FROM (SELECT symbol, round(sum(pnl_pct)-0.13*count(pnl_pct), 4) AS net_total FROM oc GROUP BY symbol)")
+def symbols_by_net(spark, sf):
+    rows = me.symbol_summary(_outcomes(spark, sf)).where("is_total = 0").select("symbol", F.round("net_total", 4).alias("net_total"))
+    return rows.select("symbol", F.row_number().over(W.orderBy(F.desc("net_total"), "symbol")).alias("place"))  # a row for each symbol
+
+
+@query("SELECT alert_id, trade_date, row_number() OVER (PARTITION BY trade_date ORDER BY generated_at, alert_id) AS place FROM al")
+def journal_places(spark, sf):
+    kept = al.journal_order(_alerts(spark, sf).repartition(5)).withColumn("i", F.monotonically_increasing_id())
+    return kept.select("alert_id", "trade_date", F.row_number().over(W.partitionBy("trade_date").orderBy("i")).alias("place"))
+
+
 @query(f"SELECT user_id, count(*) FILTER ({OK}) AS wins, count(*) FILTER (status='sl_hit') AS losses, count(*) FILTER (NOT {OK} AND status<>'sl_hit') AS neutral, round(count(*) FILTER ({OK})*100.0/count(*), 4)+0.0 AS win_rate, round(sum(pnl_pct-0.13), 4)+0.0 AS net, round(avg(date_diff('day', CAST(generated_at AS DATE), CAST(exit_time AS DATE))), 4)+0.0 AS avg_hold FROM oc WHERE pnl_pct IS NOT NULL GROUP BY user_id")
 def swing_record(spark, sf):
     return rounded(me.swing_record(_outcomes(spark, sf)), keep=["user_id", "wins", "losses", "neutral"], values=["win_rate", "net", "avg_hold"], digits=4)

@@ -122,7 +122,9 @@ def sql(select: str) -> str:
                 add(PARTS[names[word]])
 
     add(select)
-    parts = ",\n".join(f"{names[n]} AS ({PARTS[names[n]]})" for n in names if n in need)
+    parts = ",\n".join(f"{names[n]} AS {'' if '(' in names[n] else 'MATERIALIZED '}({PARTS[names[n]]})" for n in names if n in need)
+    if parts and select.startswith("WITH "):  # the select's own parts come last
+        return f"WITH RECURSIVE {parts},\n{select.removeprefix('WITH ')}"
     return f"WITH RECURSIVE {parts}\n{select}" if parts else select
 
 
