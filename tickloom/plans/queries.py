@@ -402,7 +402,11 @@ def dedup_first_per_session(spark, sf):
 
 
 def _watch(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Users, their watchlists and the universe, from customers, the suppliers of their orders, and rich suppliers; many users watch nothing."""
+    """Users, their watchlists and the universe: stand-ins made of customers, of the suppliers of their orders, and of a list of rich suppliers.
+
+    An urgent order adds its suppliers, a low one removes them, and others tell nothing of
+    what a customer watches, so many users watch nothing.
+    """
     users = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("user_id"))
     o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("at"), F.when(F.col("o_orderpriority") == "5-LOW", "remove").when(F.col("o_orderpriority") == "1-URGENT", "add").alias("action"))
     ev = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", F.col("l_suppkey").alias("symbol")).join(o.where("action is not null"), "l_orderkey").drop("l_orderkey")
@@ -732,7 +736,7 @@ def _messages(spark: SparkSession, sf: str) -> DataFrame:
     o = spark.read.parquet(f"{sf}/orders.parquet")
     k, price = F.col("o_orderkey"), F.floor("o_totalprice").cast("long") % 9000 + 1000
     words = F.when(k % 7 == 0, "BUY or SELL").when(k % 2 == 0, "buy").otherwise("Go short")
-    text = F.concat(words, F.lit(" SUP"), (k % 12).cast("string"), F.lit(" @ "), price.cast("string"), F.when(k % 3 != 0, F.concat(F.lit(", SL "), (price - 12).cast("string"))).otherwise(""), F.lit(" TGT "), (price + 13).cast("string"))
+    text = F.concat(words, F.lit(" SUP"), (k % 90).cast("string"), F.lit(" @ "), price.cast("string"), F.when(k % 3 != 0, F.concat(F.lit(", SL "), (price - 12).cast("string"))).otherwise(""), F.lit(" TGT "), (price + 13).cast("string"))
     tips = o.select(F.concat(F.lit("ch"), (k % 4).cast("string")).alias("channel"), k.alias("msg_id"), F.col("o_orderdate").alias("ts"), text.alias("text"))
     d = spark.read.parquet(f"{sf}/documents.parquet").select(F.lit("docs").alias("channel"), F.col("doc_id").alias("msg_id"), F.lit("1999-01-01 00:00:00").cast("timestamp_ntz").alias("ts"), "text")
     return tips.unionByName(d)
@@ -742,7 +746,7 @@ def _tickers(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/supplier.parquet").select(F.concat(F.lit("SUP"), F.col("s_suppkey").cast("string")).alias("symbol"))
 
 
-TIPS = "SELECT 'ch' || (o_orderkey % 4) AS channel, o_orderkey AS msg_id, o_orderdate AS ts, 'SUP' || (o_orderkey % 12) AS symbol, CASE WHEN o_orderkey % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS action, p AS entry, p+13 AS target, CAST(NULL AS DOUBLE) AS target2, CASE WHEN o_orderkey % 3 <> 0 THEN p-12 END AS stop_loss FROM (SELECT *, CAST(CAST(floor(o_totalprice) AS BIGINT) % 9000 + 1000 AS DOUBLE) AS p FROM orders) WHERE o_orderkey % 7 <> 0 AND (o_orderkey % 12) IN (SELECT s_suppkey FROM supplier)"
+TIPS = "SELECT 'ch' || (o_orderkey % 4) AS channel, o_orderkey AS msg_id, o_orderdate AS ts, 'SUP' || (o_orderkey % 90) AS symbol, CASE WHEN o_orderkey % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS action, p AS entry, p+13 AS target, CAST(NULL AS DOUBLE) AS target2, CASE WHEN o_orderkey % 3 <> 0 THEN p-12 END AS stop_loss FROM (SELECT *, CAST(CAST(floor(o_totalprice) AS BIGINT) % 9000 + 1000 AS DOUBLE) AS p FROM orders) WHERE o_orderkey % 7 <> 0 AND (o_orderkey % 90) IN (SELECT s_suppkey FROM supplier)"
 
 
 @query(f"SELECT channel, msg_id, symbol, action, entry, target, target2, stop_loss FROM ({TIPS})")
@@ -752,13 +756,15 @@ def tips_extract(spark, sf):
 
 def _gated_tips(spark: SparkSession, sf: str) -> DataFrame:
     name = F.concat(F.lit("SUP"), F.col("symbol").cast("string"))
-    plan = saved(sg.trade_plan(ind.latest(_voted(spark, sf))).select((F.col("symbol") % 4 != 3).alias("known"), name.alias("symbol"), "signal", "confidence", F.col("entry").alias("plan_entry"), F.col("stop_loss").alias("plan_stop"), F.col("target1").alias("plan_target1"), F.col("target2").alias("plan_target2")), "plan")
+    latest = ind.latest(_voted(spark, sf))
+    ends = latest.agg(F.max("session").alias("end"))  # a symbol whose bars ended a week before can't be analysed
+    plan = saved(sg.trade_plan(latest).crossJoin(F.broadcast(ends)).select((F.col("session") >= F.date_sub("end", 7)).alias("known"), name.alias("symbol"), "signal", "confidence", F.col("entry").alias("plan_entry"), F.col("stop_loss").alias("plan_stop"), F.col("target1").alias("plan_target1"), F.col("target2").alias("plan_target2")), "plan")
     v, planned = plan.where("known").select("symbol", "signal", "confidence"), plan.drop("known", "signal", "confidence")
-    codes = _tickers(spark, sf).select("symbol", F.lit("long").alias("direction"), F.when(F.col("symbol").endswith("1"), "atr_low").alias("code")).where("code is not null")
+    codes = _tickers(spark, sf).select("symbol", F.lit("long").alias("direction"), F.when(F.col("symbol").endswith("4"), "atr_low").alias("code")).where("code is not null")
     return tp.gate(tp.extract_tips(_messages(spark, sf), _tickers(spark, sf)), v, codes, 50.0).join(planned, "symbol", "left")
 
 
-GATE = f"SELECT t.*, v.signal, CASE WHEN v.signal IS NULL THEN 'error' WHEN NOT (v.signal IN ('BUY','SELL') AND confidence >= 50) THEN 'low_confidence' WHEN action = 'BUY' AND t.symbol LIKE '%1' THEN 'failed_filter' ELSE 'passed' END AS outcome, CASE WHEN v.signal IS NULL THEN NULL WHEN action = v.signal THEN 'Agreement' WHEN v.signal = 'HOLD' THEN 'Neutral' ELSE 'Conflict' END AS agreement FROM ({TIPS}) t LEFT JOIN (SELECT 'SUP' || symbol AS symbol, signal, confidence FROM dl WHERE symbol % 4 <> 3) v ON v.symbol = t.symbol"
+GATE = f"SELECT t.*, v.signal, CASE WHEN v.signal IS NULL THEN 'error' WHEN NOT (v.signal IN ('BUY','SELL') AND confidence >= 50) THEN 'low_confidence' WHEN action = 'BUY' AND t.symbol LIKE '%4' THEN 'failed_filter' ELSE 'passed' END AS outcome, CASE WHEN v.signal IS NULL THEN NULL WHEN action = v.signal THEN 'Agreement' WHEN v.signal = 'HOLD' THEN 'Neutral' ELSE 'Conflict' END AS agreement FROM ({TIPS}) t LEFT JOIN (SELECT 'SUP' || symbol AS symbol, signal, confidence FROM dl WHERE session >= (SELECT max(session) - 7 FROM dl)) v ON v.symbol = t.symbol"
 
 
 @query(f"SELECT channel, msg_id, signal, outcome, agreement FROM ({GATE})")
