@@ -331,7 +331,11 @@ def near_duplicates(docs: DataFrame, row: Column | None = None) -> DataFrame:
     reachable, and kept says that it is the row's own. Rows of equal doc_id are judged
     each by its own text. A row of null doc_id is linked like any other; component_id is
     null only where all rows of a component have none. An empty table gives no rows.
-    `row` tells rows apart (see file_row); without it docs is written first.
+    A text of any length is hashed in pieces of a megabyte; its shingles, eight bytes
+    each, are in memory. Sets are equal where two 64-bit hashes of theirs are, and links
+    compare sets of 64-bit shingle hashes: any two of 10^10 different sets share both
+    hashes with odds under 1e-18, and a pair of 1,000 shingles each holds two different
+    ones of equal hash with odds under 1e-13. `row` tells rows apart (see file_row); without it docs is written first.
     """
     return judged(docs, row).drop(ROW, "first")
 
