@@ -7,7 +7,7 @@ import os
 import numpy as np
 
 #: Words, and parts of words, kept with their ids by each task; the rest are encoded anew.
-MEMO_WORDS, MEMO_PARTS = 200_000, 200_000
+MEMO_WORDS, MEMO_PARTS = 300_000, 300_000
 #: Signs whose run at a word's end is one piece of the pre-tokenizer: all of ASCII but the apostrophe.
 SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _memo: dict[str, WordTokenizer] = {}
