@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tickloom.config import Gates
 from tickloom.operators import filters as fl
@@ -25,6 +27,17 @@ BARS = ["symbol", "ts", "session", "open", "high", "low", "close", "volume"]
 NAMES = ["view", "signup", "click", "error", "purchase"]
 
 
+def _run(spark: SparkSession, start: Callable[[], StreamingQuery]) -> None:
+    """Runs a stream to its end. Each shuffle partition keeps a state store, so there are no more of them than the cluster has cores."""
+    key = "spark.sql.shuffle.partitions"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(was), max(8, spark.sparkContext.defaultParallelism))))
+    try:
+        start().awaitTermination()
+    finally:
+        spark.conf.set(key, was)
+
+
 def _land(df: DataFrame, to: str) -> None:
     df.write.mode("append").parquet(to)
 
@@ -41,7 +54,8 @@ def stream_bars_1h(spark, sf):
     end = end.select(F.col("symbol"), F.col("ts").cast("timestamp").alias("ts"), *(F.col(c).cast(ticks.schema[c].dataType).alias(c) for c in ("event_id", "px", "volume")))
     for part in (ticks.where(f"ts < '{CUT}'"), ticks.where(f"ts >= '{CUT}'"), end):  # the last closes all windows before it
         _land(part, at)
-        live.stream_bars(_stream(spark, ticks, at)).writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+        bars = live.stream_bars(_stream(spark, ticks, at)).writeStream.format("parquet").option("path", out).option("checkpointLocation", mark)
+        _run(spark, bars.trigger(availableNow=True).start)
     got = spark.read.parquet(out).where("symbol <> 'end'")
     return got.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
@@ -69,7 +83,7 @@ def stream_scan_alerts(spark, sf):
     at, out, state, mark = (folder(spark, x) for x in ("bars", "alerts", "state", "mark"))
     for part in (bars.where(f"session < date'{CUT}'"), bars.where(f"session >= date'{CUT}'")):
         _land(part, at)
-        live.run_scan(spark, _stream(spark, bars, at), out, state, mark, lambda f: live.judged(f, indices=["view"]), Gates(min_score=45, per_day=3), {"availableNow": True}).awaitTermination()
+        _run(spark, lambda: live.run_scan(spark, _stream(spark, bars, at), out, state, mark, lambda f: live.judged(f, indices=["view"]), Gates(min_score=45, per_day=3), {"availableNow": True}))
     return rounded(spark.read.parquet(out), keep=["symbol", "trade_date", "setup", "direction"], values=["entry", "stop_loss"], digits=4)
 
 
@@ -86,7 +100,7 @@ def stream_outcomes(spark, sf):
     _land(alerts, a)
     for part in (bars.where(f"session < date'{CUT}'"), bars.where(f"session >= date'{CUT}'"), end):
         _land(part, b)
-        live.run_resolver(_stream(spark, alerts, a), _stream(spark, bars, b), out, mark, time_stop=q.TIME_STOP, spread=2).awaitTermination()
+        _run(spark, lambda: live.run_resolver(_stream(spark, alerts, a), _stream(spark, bars, b), out, mark, time_stop=q.TIME_STOP, spread=2))
     return rounded(spark.read.parquet(out), keep=["alert_id", "status", "exit_time"], values=["exit_price", "pnl_pct"], digits=4)
 
 
@@ -96,7 +110,7 @@ def stream_counters(spark, sf):
     at, out, mark = (folder(spark, x) for x in ("log", "counts", "mark"))
     for part in (log.where(f"ts < '{CUT}'"), log.where(f"ts >= '{CUT}'")):
         _land(part, at)
-        live.run_counters(_stream(spark, log, at), out, mark).awaitTermination()
+        _run(spark, lambda: live.run_counters(_stream(spark, log, at), out, mark))
     return live.counted(spark, out)
 
 
@@ -107,7 +121,8 @@ def stream_once_a_day(spark, sf):
     for part in (found.where(f"session < date'{CUT}'"), found.where(f"session >= date'{CUT}'")):
         _land(part, at)
         _land(part, at)  # all of them come twice
-        live.once_a_day(_stream(spark, found, at)).writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+        fired = live.once_a_day(_stream(spark, found, at)).writeStream.format("parquet").option("path", out).option("checkpointLocation", mark)
+        _run(spark, fired.trigger(availableNow=True).start)
     return spark.read.parquet(out).select("symbol", "direction", "session")
 
 
@@ -116,7 +131,7 @@ def stream_tips(spark, sf):
     at, out = folder(spark, "messages"), folder(spark, "tips")
     q._messages(spark, sf).write.json(at)
     for k in range(2):  # a second stream sees the same messages again
-        live.run_tips(fi.messages(spark, at, stream=True), q._tickers(spark, sf), out, folder(spark, "mark"), period="month").awaitTermination()
+        _run(spark, lambda: live.run_tips(fi.messages(spark, at, stream=True), q._tickers(spark, sf), out, folder(spark, "mark"), period="month"))
     return spark.read.parquet(out).select("channel", "msg_id", "symbol", "action", "entry")
 
 
