@@ -26,16 +26,14 @@ def status_class(status: Column) -> Column:
     return F.when(status.isin(*PASS), "pass").when(status.isin(*FAIL), "fail").otherwise("neutral")
 
 
-def _over(bar: Column | None, level: Column) -> Column:
+def _over(bar: Column, level: Column) -> Column:
     """Whether a bar reaches a level in the direction of profit."""
-    high, low = (F.col("high"), F.col("low")) if bar is None else (bar["high"], bar["low"])
-    return F.when(F.col("direction") == "long", high >= level).otherwise(low <= level)
+    return F.when(F.col("direction") == "long", bar["high"] >= level).otherwise(bar["low"] <= level)
 
 
-def _under(bar: Column | None, level: Column) -> Column:
+def _under(bar: Column, level: Column) -> Column:
     """Whether a bar reaches a level against it."""
-    high, low = (F.col("high"), F.col("low")) if bar is None else (bar["high"], bar["low"])
-    return F.when(F.col("direction") == "long", low <= level).otherwise(high >= level)
+    return F.when(F.col("direction") == "long", bar["low"] <= level).otherwise(bar["high"] >= level)
 
 
 def _first_event(bars: Column, inside: Callable[[Column], Column], time_stop: str | None) -> Column:
