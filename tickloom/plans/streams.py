@@ -131,7 +131,7 @@ def stream_tips(spark, sf):
     at, out = folder(spark, "messages"), folder(spark, "tips")
     q._messages(spark, sf).write.json(at)
     for k in range(2):  # a second stream sees the same messages again
-        _run(spark, lambda: live.run_tips(fi.messages(spark, at, stream=True), q._tickers(spark, sf), out, folder(spark, "mark"), period="month"))
+        _run(spark, lambda: live.run_tips(fi.messages(spark, at, stream=True), q._tickers(spark, sf), out, folder(spark, "mark"), period="year"))
     return spark.read.parquet(out).select("channel", "msg_id", "symbol", "action", "entry")
 
 
@@ -179,11 +179,14 @@ def results_of_a_folder(spark, sf):
     return fi.results_calendar(spark, root)
 
 
-@query("SELECT 'docs' AS channel, doc_id AS msg_id, substring(text, 1, 1000) AS raw_text FROM documents WHERE trim(text) <> '' UNION ALL SELECT 'ch' || (o_orderkey % 4), o_orderkey, '' FROM orders WHERE o_orderkey % 7 = 0")
+STATED = "CASE WHEN o_orderkey % 7 = 0 THEN 'BUY or SELL' WHEN o_orderkey % 2 = 0 THEN 'buy' ELSE 'Go short' END || ' SUP' || (o_orderkey % 90) || ' @ ' || p || CASE WHEN o_orderkey % 3 <> 0 THEN ', SL ' || (p-12) ELSE '' END || ' TGT ' || (p+13)"
+
+
+@query(f"SELECT 'docs' AS channel, doc_id AS msg_id, substring(text, 1, 1000) AS raw_text FROM documents WHERE trim(text) <> '' UNION ALL SELECT 'ch' || (o_orderkey % 4), o_orderkey, {STATED} FROM (SELECT *, CAST(floor(o_totalprice) AS BIGINT) % 9000 + 1000 AS p FROM orders)")
 def messages_and_raw_tips(spark, sf):
     at, out = folder(spark, "messages"), folder(spark, "raw")
-    q._messages(spark, sf).where("channel = 'docs' or msg_id % 7 = 0").write.json(at)
-    rows = fi.messages(spark, at).withColumn("raw_text", F.when(F.col("channel") == "docs", F.col("text")).otherwise(""))
+    q._messages(spark, sf).write.json(at)
+    rows = fi.messages(spark, at).withColumn("raw_text", F.col("text"))
     for _ in range(2):  # what is stored already is not stored again
-        append_new_rows(new_rows(fi.raw_tips(rows), ["channel", "msg_id"], "ts", out, "month"), out)
+        append_new_rows(new_rows(fi.raw_tips(rows), ["channel", "msg_id"], "ts", out, "year"), out)
     return spark.read.parquet(out).select("channel", "msg_id", "raw_text")

@@ -79,7 +79,7 @@ BUCKETS = 16
 
 
 def with_bucket(rows: DataFrame, keys: list[str], at: str, period: str = "day") -> DataFrame:
-    """Adds day, that of the row's time or the first of its period (week, month), and bucket, under which a row's keys are stored."""
+    """Adds day, that of the row's time or the first of its period (week, month, year), and bucket, under which a row's keys are stored."""
     return rows.withColumns({"day": F.to_date(at) if period == "day" else F.trunc(at, period), "bucket": F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")})
 
 
