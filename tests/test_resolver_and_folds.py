@@ -49,6 +49,15 @@ def test_first_touch(spark, later, alert, status, pnl):
     assert r.pnl_pct == pytest.approx(pnl, abs=0.011) if pnl is not None else r.pnl_pct is None
 
 
+def test_filters_on_outcomes_do_not_search_bars(spark):
+    bars = frame(spark, [(200, 200, 200, 200), (200, 231, 199, 229)])
+    a = spark.createDataFrame([(1, "TEST", "long", START, 200.0, 190.0, 220.0, 230.0)], "alert_id long, symbol string, direction string, generated_at timestamp_ntz, entry double, stop_loss double, target1 double, target2 double")
+    kept = outcomes.resolve_intraday(a, bars).where("pnl_pct is not null and status = 't2_hit'")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not [x for x in plan if x.lstrip(" :+-").startswith("Filter") and "lambda" in x]
+    assert [r.alert_id for r in kept.collect()] == [1]
+
+
 @pytest.mark.parametrize(("later", "status"), [([], "open"), ([(100, 101, 99, 100)], "open"), ([(100, 101, 97, 98)], "sl_hit"), ([(100, 107, 99, 106), (106, 110, 104, 109)], "t2_hit"), ([(100, 107, 99, 106), (106, 106, 99, 100)], "t1_then_breakeven")])
 def test_swing_outcomes(spark, later, status):
     days = frame(spark, [(100, 100, 100, 100), *later], start=dt.datetime(2026, 1, 30), step=24 * 60)

@@ -86,7 +86,10 @@ def resolve_intraday(alerts: DataFrame, bars: DataFrame, time_stop: str = "45 mi
     met = a.join(sessions, ["symbol", "session"], "left").withColumn("hit", _first_event(F.col("__bars"), later, time_stop))
     met = met.withColumn("then", F.when(F.col("hit.event") == "t1", _second_event(F.col("__bars"), later)))
     last = F.element_at("__bars", -1)
-    met = met.withColumn("end", F.when(later(last), F.struct(last["ts"].alias("ts"), last["close"].alias("close")))).drop("__bars")
+    met = met.withColumn("end", F.when(later(last), F.struct(last["ts"].alias("ts"), last["close"].alias("close"))))
+    # Through a generator, so that a filter on the outcome stays above it and does not look for the events again in every term.
+    events = F.inline(F.array(F.struct("hit", "then", "end"))).alias("__hit", "__then", "__end")
+    met = met.select("*", events).drop("hit", "then", "end", "__bars").withColumnsRenamed({"__hit": "hit", "__then": "then", "__end": "end"})
     unfinished = F.lit(False) if as_of is None else F.col("session") >= as_of
     return _settled(met, unfinished, F.when(F.col("end").isNull(), "no_data")).drop("session")
 
