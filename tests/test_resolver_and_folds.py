@@ -248,3 +248,25 @@ def test_values_of_the_day_before(spark):
     rows = spark.createDataFrame([("A", d(5), 0), ("A", d(6), 1), ("A", d(6), 2), ("A", d(8), 3), ("B", d(6), 4), ("C", d(7), 5), ("A", d(12), 6)], "symbol string, session date, `__day` int")
     got = {r["__day"]: r.v for r in score.of_day_before(rows, days, ["v"]).collect()}
     assert got == {0: None, 1: 1, 2: 1, 3: 2, 4: None, 5: None, 6: None}
+
+
+def test_alerts_on_daily_bars_move_once_to_arrays_of_quarters(spark, monkeypatch):
+    import random
+
+    def refuse(*_):
+        raise AssertionError("blocks are not needed for daily bars")
+
+    monkeypatch.setattr(outcomes, "narrowed", refuse)
+    rng, rows, price = random.Random(3), [], 100.0
+    for d in range(200):
+        o, price = price, price * (1 + rng.gauss(0, 0.012))
+        ts = dt.datetime(2025, 10, 20) + dt.timedelta(days=d)
+        rows.append(("T", ts, ts.date(), o, max(o, price) * 1.001, min(o, price) * 0.999, price, 1.0))
+    for horizon in (60, 95):
+        made = []
+        for i, r in enumerate(rng.choices(rows, k=200)):
+            side, unit = rng.choice([1, -1]), r[6] * rng.choice([0.01, 0.04, 0.15])
+            made.append((i, "T", "long" if side == 1 else "short", r[1], r[6], r[6] - side * unit, r[6] + 2 * side * unit, r[6] + 3 * side * unit))
+        alerts = spark.createDataFrame([*made, (999, "none", *made[0][2:])], "alert_id long, symbol string, direction string, generated_at timestamp_ntz, entry double, stop_loss double, target1 double, target2 double")
+        got = {r.alert_id: (r.status, r.exit_time) for r in outcomes.resolve_swing(alerts, spark.createDataFrame(rows, BARS), horizon).collect()}
+        assert got == {a[0]: plain_swing(a, rows, horizon) for a in made} | {999: ("open", None)}
