@@ -119,3 +119,17 @@ def test_shortlists_of_users_without_a_watchlist_and_their_alerts(spark):
     first = alerts.swing_alerts(best)
     assert sorted((r.user_id, r.symbol) for r in first.collect()) == [(1, "s1"), (1, "s9"), (2, "s0"), (2, "s1"), (3, "s0"), (3, "s1")]  # s4 has no plan
     assert alerts.swing_alerts(best, first).count() == 0
+
+
+def test_tasks_of_a_large_table_hold_a_bounded_number_of_rows(spark):
+    from tickloom.functions import indicators
+    from tickloom.sources import bars
+
+    rows = spark.range(4000).selectExpr("id % 1000 as symbol", "date'2026-01-01' as session", "timestamp_ntz'2026-01-01' + make_interval(0, 0, 0, 0, 0, id, 0) as ts", "id as rn")
+    dealt = bars.by_key(rows, "symbol", 100)
+    assert dealt.groupBy("symbol").agg({"rn": "count"}).count() == 1000 and dealt.rdd.getNumPartitions() >= 40
+    assert bars.by_key(rows, "symbol", 4000) is rows
+    last = indicators.latest(dealt)
+    plan = last._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Exchange") == 1
+    assert sorted(r.rn for r in last.collect()) == list(range(3000, 4000))
