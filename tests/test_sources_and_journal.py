@@ -133,3 +133,12 @@ def test_tasks_of_a_large_table_hold_a_bounded_number_of_rows(spark):
     plan = last._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan and plan.count("Exchange") == 1
     assert sorted(r.rn for r in last.collect()) == list(range(3000, 4000))
+
+
+def test_the_gate_of_tips_votes_once(spark, sf, monkeypatch):
+    from tickloom.plans import queries
+
+    written = []
+    monkeypatch.setattr(queries, "saved", lambda df, what: written.append(df) or df.limit(0))
+    queries._gated_tips(spark, sf)
+    assert [df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") for df in written] == [1]

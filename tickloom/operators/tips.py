@@ -37,10 +37,10 @@ def extract_tips(messages: DataFrame, universe: DataFrame, text_chars: int = 500
     tokens are taken apart, and go along with them.
     """
     text = F.col("text")
-    side = F.when(text.rlike(f"(?i)\\b(?:{BUY_WORDS})\\b"), 1).otherwise(0) + F.when(text.rlike(f"(?i)\\b(?:{SELL_WORDS})\\b"), 2).otherwise(0)
+    buy, sell = (text.rlike(f"(?i)\\b(?:{words})\\b") for words in (BUY_WORDS, SELL_WORDS))
     prices = {"entry": ENTRY_LABELS, "target": TARGET_LABELS, "target2": TARGET2_LABELS, "stop_loss": STOP_LABELS}
     named = F.array_except(F.regexp_extract_all("text", F.lit("\\b[A-Z][A-Z0-9-]{1,14}\\b"), F.lit(0)), F.array(*map(F.lit, NO_TICKERS)))
-    rows = messages.withColumn("action", F.when(side == 1, "BUY").when(side == 2, "SELL")).where("action is not null")
+    rows = messages.where(buy != sell).withColumn("action", F.when(buy, "BUY").otherwise("SELL"))
     rows = rows.select("channel", "msg_id", F.struct("ts", "action", *(price_after(text, v).alias(k) for k, v in prices.items()), F.substring(F.trim("text"), 1, text_chars).alias("raw_text")).alias("tip"), F.posexplode(named).alias("pos", "symbol"))
     first = rows.join(universe.select("symbol").distinct(), "symbol").groupBy("channel", "msg_id").agg(F.min_by(F.struct("symbol", "tip"), "pos").alias("x"))
     return first.select("channel", "msg_id", "x.tip.ts", "x.symbol", "x.tip.action", *(f"x.tip.{k}" for k in prices), "x.tip.raw_text")
