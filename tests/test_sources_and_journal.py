@@ -95,6 +95,20 @@ def test_orders_of_lists(spark):
     assert [r.symbol for r in alerts.watchlist_of(alerts.watchlists(seen).repartition(3), 1).collect()] == ["b", "a"]
 
 
+def test_default_watchlists_take_little_room(spark, tmp_path):
+    users = spark.range(40).select(F.when(F.col("id") < 39, F.col("id")).alias("user_id"))  # one has no id
+    symbols = spark.range(70_000).select(F.when(F.col("id") > 0, F.col("id")).alias("symbol"))  # more than a compressor looks back on, and one NULL
+    own = spark.createDataFrame([(3, 1), (3, 7), (9999, 5)], "user_id long, symbol long")
+    got = alerts.watched_or_default(users, own, F.broadcast(symbols))
+    got.write.parquet(str(tmp_path / "w"))
+    rows = spark.read.parquet(str(tmp_path / "w"))
+    assert got.columns == ["user_id", "symbol"] and rows.count() == 39 * 70_000 + 2
+    per = rows.groupBy("user_id").agg(F.count("*").alias("n"), F.countDistinct("symbol").alias("d"))
+    assert sorted((r.user_id is None, r.n, r.d) for r in per.collect()) == sorted([(False, 2, 2)] + [(False, 70_000, 69_999)] * 38 + [(True, 70_000, 69_999)])
+    stored = sum(f.stat().st_size for f in (tmp_path / "w").glob("*.parquet"))
+    assert stored < 0.5 * 39 * 70_000  # bytes
+
+
 def test_spans_of_membership(spark):
     day = lambda m, d=1: dt.date(2026, m, d)
     snaps = spark.createDataFrame([(day(m), s) for m, held in {1: "ab", 2: "ab", 3: "b", 4: "ab"}.items() for s in held] + [(day(1), "a")], "as_of date, symbol string")
