@@ -185,6 +185,19 @@ def test_a_message_of_an_earlier_day_is_looked_for_in_its_folder_only(spark, tmp
     assert journal.new_rows(again, keys, "ts", root).count() == 0
 
 
+def test_rows_move_once_to_the_stored_keys(spark, tmp_path):
+    at = lambda d: dt.datetime(2026, 1, d, 9)
+    schema, keys, root = "channel string, msg_id long, ts timestamp_ntz, text string", ["channel", "msg_id"], str(tmp_path / "t")
+    first = spark.createDataFrame([("c", 1, at(1), "a"), (None, 2, at(2), "b"), ("c", None, None, "c")], schema)
+    journal.append_new_rows(journal.new_rows(first, keys, "ts", root), root)
+    more = [("c", 3, at(1), "d"), ("d", 1, at(1), "e"), ("c", 1, at(5), "another day"), (None, 2, at(3), "another day")]
+    fresh = journal.new_rows(first.unionByName(spark.createDataFrame(more * 2, schema)), keys, "ts", root)
+    assert sorted((r.text, r.day.day) for r in fresh.collect()) == [("another day", 3), ("another day", 5), ("d", 1), ("e", 1)]
+    assert fresh.columns == [*first.columns, "day", "bucket"]
+    plan = fresh._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_versions_are_compacted_under_readers_and_after_failures(spark, tmp_path):
     schema = "alert_id long, status string, resolved_at timestamp"
     table = journal.Versions(spark, str(tmp_path / "v"), schema)

@@ -126,10 +126,14 @@ def stream_once_a_day(spark, sf):
     return spark.read.parquet(out).select("symbol", "direction", "session")
 
 
+def _land_messages(spark: SparkSession, sf: str, to: str) -> None:
+    q._messages(spark, sf).write.option("compression", "gzip").json(to)
+
+
 @query(f"SELECT channel, msg_id, symbol, action, entry FROM ({q.TIPS})")
 def stream_tips(spark, sf):
     at, out = folder(spark, "messages"), folder(spark, "tips")
-    q._messages(spark, sf).write.json(at)
+    _land_messages(spark, sf, at)
     for k in range(2):  # a second stream sees the same messages again
         _run(spark, lambda: live.run_tips(fi.messages(spark, at, stream=True), q._tickers(spark, sf), out, folder(spark, "mark"), period="year"))
     return spark.read.parquet(out).select("channel", "msg_id", "symbol", "action", "entry")
@@ -185,8 +189,8 @@ STATED = "CASE WHEN o_orderkey % 7 = 0 THEN 'BUY or SELL' WHEN o_orderkey % 2 =
 @query(f"SELECT 'docs' AS channel, doc_id AS msg_id, substring(text, 1, 1000) AS raw_text FROM documents WHERE trim(text) <> '' UNION ALL SELECT 'ch' || (o_orderkey % 4), o_orderkey, {STATED} FROM (SELECT *, CAST(floor(o_totalprice) AS BIGINT) % 9000 + 1000 AS p FROM orders)")
 def messages_and_raw_tips(spark, sf):
     at, out = folder(spark, "messages"), folder(spark, "raw")
-    q._messages(spark, sf).write.json(at)
-    rows = fi.messages(spark, at).withColumn("raw_text", F.col("text"))
+    _land_messages(spark, sf, at)
+    rows = fi.messages(spark, at).withColumnRenamed("text", "raw_text")
     for _ in range(2):  # what is stored already is not stored again
         append_new_rows(new_rows(fi.raw_tips(rows), ["channel", "msg_id"], "ts", out, "year"), out)
     return spark.read.parquet(out).select("channel", "msg_id", "raw_text")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.operators.alerts import latest_versions
@@ -99,12 +100,15 @@ def new_rows(rows: DataFrame, keys: list[str], at: str, root: str, period: str =
 
     A key's time decides its day, so a message that comes again, however late, is looked
     for where it was stored. A longer period than a day makes fewer folders of sparse keys.
+    Rows meet the stored keys by a union and move once, with whatever they carry.
     """
-    placed = with_bucket(rows.dropDuplicates(keys), keys, at, period)
+    placed = with_bucket(rows, keys, at, period)
     schema = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-    known = stored_near(rows.sparkSession, placed, root, schema).select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("day").alias("__day"), F.col("bucket").alias("__bucket"))
-    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col("bucket") == F.col("__bucket"), F.col("day").eqNullSafe(F.col("__day"))]
-    return placed.join(known, on, "left_anti")
+    known = stored_near(rows.sparkSession, placed, root, schema).select(*keys, "day", "bucket", F.lit(True).alias("__known"))
+    both = placed.withColumn("__known", F.lit(False)).unionByName(known, allowMissingColumns=True).repartition(*keys)
+    fresh = both.withColumn("__known", F.max("__known").over(W.partitionBy(*keys, "day"))).where("not __known")
+    nth = F.row_number().over(W.partitionBy(*keys).orderBy("day"))
+    return fresh.withColumn("__nth", nth).where("__nth = 1").drop("__known", "__nth")
 
 
 def append_new_rows(rows: DataFrame, root: str) -> None:
