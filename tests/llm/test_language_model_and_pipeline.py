@@ -187,3 +187,29 @@ def test_scores_equal_a_scalar_forward_pass_of_the_trained_network(spark, docume
                 symbols.append(gated.HEAD + cls(w))
                 inside += math.log10((counts[w] + 0.1) / masses[cls(w)])
         assert abs(scalar_log10(symbols, p) + inside - got[r.doc_id]) < 2e-4 * abs(got[r.doc_id]), r.doc_id
+
+
+def test_words_of_pieces_and_slices_of_a_column(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["  Ab\tcÉ  x\n", None, "", " ", "one", *(f"A{chr(i)}B {i % 7} ÉcolE{i}" for i in range(1, 300)), "y " * 500]
+    plain = [[w.encode() for w in tokens(t)[:-1]] for t in texts]
+    vocabulary = language_model.Vocabulary(language_model.Listing(pa.array(["one", "y", "3"]), np.array([3, 2, 1]), 1, 9, 4, np.ones(gated.TAIL_CLASSES)))
+    for size, skip in ((1 << 20, 0), (200, 0), (200, 60)):
+        monkeypatch.setattr(language_model, "CHUNK", size)
+        seen = skip
+        for begin, words, n in language_model.split_words(pa.array(texts).slice(skip)):
+            assert begin == seen - skip
+            _, numbers, _, rare = vocabulary.read(words, n)
+            own = plain[seen : seen + len(n)]
+            assert words.cast(pa.binary()).to_pylist() == [w for t in own for w in t] and n.tolist() == [len(t) for t in own]
+            assert numbers.tolist() == [k for t in own for k in [*({b"one": 1, b"y": 2, b"3": 3}.get(w, -1) for w in t), 0]]
+            assert [{x["word"].encode(): x["times"] for x in r} for r in rare.to_pylist()] == [Counter(w for w in t if w not in (b"one", b"y", b"3")) for t in own]
+            seen += len(n)
+        assert seen == len(texts)
+
+
+def test_a_long_text_leaves_many_lanes():
+    docs = [(k, np.zeros(20_000 if k == 0 else 1000, np.int32)) for k in range(3300)]
+    (stream,) = language_model._streams(iter(docs))
+    assert gated.Lanes([d for _, d in stream], gated.LANES).target.shape[1] >= 160

@@ -102,32 +102,33 @@ class Network:
     def _run(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray, learn: bool) -> dict[str, np.ndarray]:
         """States h after each step of a window of inputs x (steps, lanes) from the state h, as (step, feature, lane); what backpropagation needs too if asked."""
         p, (steps, lanes), n = self.p, x.shape, HIDDEN
-        inputs = self._buffer("inputs", 3 * n, steps * lanes)
-        np.take(p["Wx"] + p["b"][:, None], x.ravel(), axis=1, out=inputs, mode="clip")
+        table = p["Wx"] + p["b"][:, None]
         out, kept = self._steps("h", steps, n, lanes), steps if learn else 1
         s = {"h": out, "gates": self._steps("gates", kept, 2 * n, lanes), **{k: self._steps(k, kept, n, lanes) for k in ("hp", "c")}, "g": self._steps("g", kept, 3 * n, lanes)}
-        u, whole = p["U"], keep.min(1) == 1
-        for t in range(steps):
-            i, here = t if learn else 0, slice(t * lanes, (t + 1) * lanes)
-            hp, gates, c, g = s["hp"][i], s["gates"][i], s["c"][i], s["g"][i]
-            if not whole[t]:
-                h = np.multiply(h, keep[t], out=hp)
-            elif learn:
-                hp[...] = h
-            np.matmul(u, h, out=g)
-            np.add(inputs[: 2 * n, here], g[: 2 * n], out=gates)
-            with np.errstate(over="ignore"):  # a closed gate
+        own, u, whole = self._steps("input", 1, 3 * n, lanes)[0], p["U"], (keep.min(1) == 1).tolist()
+        first, candidate = own[: 2 * n], own[2 * n :]
+        with np.errstate(over="ignore"):  # a closed gate
+            for t, new in enumerate(out):
+                if t < kept:
+                    hp, gates, c, g = s["hp"][t], s["gates"][t], s["c"][t], s["g"][t]
+                    z, r, opened, pulled = gates[:n], gates[n:], g[: 2 * n], g[2 * n :]
+                if not whole[t]:
+                    h = np.multiply(h, keep[t], out=hp)
+                elif learn:
+                    hp[...] = h
+                np.take(table, x[t], axis=1, out=own, mode="clip")
+                np.matmul(u, h, out=g)
+                np.add(first, opened, out=gates)
                 np.exp(gates, out=gates)
-            gates += 1
-            np.reciprocal(gates, out=gates)
-            np.multiply(gates[n:], g[2 * n :], out=c)
-            c += inputs[2 * n :, here]
-            np.tanh(c, out=c)
-            new = out[t]
-            np.subtract(h, c, out=new)
-            new *= gates[:n]
-            new += c
-            h = new
+                np.add(gates, 1, out=gates)
+                np.reciprocal(gates, out=gates)
+                np.multiply(r, pulled, out=c)
+                np.add(c, candidate, out=c)
+                np.tanh(c, out=c)
+                np.subtract(h, c, out=new)
+                np.multiply(new, z, out=new)
+                np.add(new, c, out=new)
+                h = new
         return s
 
     @staticmethod
@@ -197,23 +198,29 @@ class Network:
         to_r = np.subtract(r, 1, out=self._steps("to_r", steps, n, lanes))
         to_r *= r
         to_r *= q
-        dh, d, whole = np.zeros((n, lanes), dx.dtype), np.empty((3 * n, lanes), dx.dtype), keep.min(1) == 1
-        ut, gu = np.ascontiguousarray(p["U"].T), grads["U"]
-        gu[:] = 0
+        dh, d, whole = np.zeros((n, lanes), dx.dtype), np.empty((3 * n, lanes), dx.dtype), (keep.min(1) == 1).tolist()
+        ut, more, (d_z, d_r, d_c) = np.ascontiguousarray(p["U"].T), np.empty_like(dh), (d[:n], d[n : 2 * n], d[2 * n :])
         for t in range(steps - 1, -1, -1):
             at = slice(t * lanes, (t + 1) * lanes)
-            dh += dh_all[:, at]
-            dc = np.multiply(dh, to_c[t], out=d[2 * n :])
-            np.multiply(dh, to_z[t], out=d[:n])
-            np.multiply(dc, to_r[t], out=d[n : 2 * n])
+            np.add(dh, dh_all[:, at], out=dh)
+            np.multiply(dh, to_c[t], out=d_c)
+            np.multiply(dh, to_z[t], out=d_z)
+            np.multiply(d_c, to_r[t], out=d_r)
             dx[:, at] = d
-            dc *= r[t]
-            gu += d @ hp[t].T
+            np.multiply(d_c, r[t], out=d_c)
+            dq[t] = d_c
             if t:
-                dh *= z[t]
-                dh += ut @ d
+                np.multiply(dh, z[t], out=dh)
+                np.add(dh, np.matmul(ut, d, out=more), out=dh)
                 if not whole[t]:
-                    dh *= keep[t]
+                    np.multiply(dh, keep[t], out=dh)
+        # What the gates' and the candidate's rows of U are multiplied with lies in hp; the candidate's part went through the reset gate.
+        before = self._buffer("states", n, steps * lanes)
+        before[...] = hp.transpose(1, 0, 2).reshape(n, -1)
+        np.matmul(dx[: 2 * n], before.T, out=grads["U"][: 2 * n])
+        inner = self._buffer("own", n, steps * lanes)
+        inner[...] = dq.transpose(1, 0, 2).reshape(n, -1)
+        np.matmul(inner, before.T, out=grads["U"][2 * n :])
         dx.sum(1, out=grads["b"])
         ids = x.ravel().astype(np.uint16)
         order = np.argsort(ids, kind="stable")

@@ -10,26 +10,26 @@ their counts by a join, so no task holds all words.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
-from itertools import repeat
-from operator import itemgetter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm import gated
-from tickloom.llm.common import Scratch, as_bytes, chunked, map_batches, saved
+from tickloom.llm.common import Scratch, map_batches, saved
 
 #: Words whose counts every task holds, at most: the most frequent ones.
 LISTED = 200_000
-#: Distinct words that a counting task holds before it hands on its counts, and tokens that a task streams at once.
-HELD_WORDS, STREAM_TOKENS = 300_000, 2_000_000
+#: Counts of words that a task holds before it adds them up, and bytes of text that are split into words at once.
+HELD_WORDS, CHUNK = 1_000_000, 1 << 23
+#: Tokens that a task streams at once; longer streams have more lanes beside a long text.
+STREAM_TOKENS = 4_000_000
 RATES = (0.01, 0.006, 0.003)
 SLICES, FANS = 32, 64
 _KIND = np.full(256, 3)  # of a last byte: letter 0, mark 1, digit 2, other 3
@@ -37,15 +37,34 @@ _KIND[128:], _KIND[97:123], _KIND[48:58], _KIND[list(b",.;:!?")] = 0, 0, 2, 1
 _vocabularies: dict[int, Vocabulary] = {}
 
 
-def shape_classes(words: Sequence[bytes]) -> np.ndarray:
+def shape_classes(words: pa.Array | Sequence[bytes]) -> np.ndarray:
     """The tail class of each word: kind of its last byte, length, and whether it is all ASCII."""
-    n = len(words)
-    last = np.fromiter(map(itemgetter(-1), words), np.uint8, n)
-    size = np.fromiter(map(len, words), np.int64, n)
-    ascii_ = np.fromiter(map(bytes.isascii, words), bool, n)
+    words = words if isinstance(words, pa.Array) else pa.array(words, pa.binary()).cast(pa.string())
+    if not len(words):
+        return np.zeros(0, np.int32)
+    _, ends, data = words.buffers()
+    last = np.frombuffer(data, np.uint8)[np.frombuffer(ends, np.int32)[words.offset + 1 : words.offset + len(words) + 1] - 1]
+    size = pc.binary_length(words).to_numpy()
+    ascii_ = pc.string_is_ascii(words).to_numpy(zero_copy_only=False)
     return ((_KIND[last] * 4 + np.searchsorted([4, 7, 10], size)) * 2 + ~ascii_).astype(np.int32)
 
 
+def split_words(texts: pa.Array) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """Runs of neighbouring texts of about CHUNK bytes (one text at least): number of the first, all words, A-Z lower-cased, and how many each text has."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    held = np.cumsum(pc.binary_length(texts).to_numpy())
+    begin = 0
+    while begin < len(texts):
+        end = max(begin + 1, int(np.searchsorted(held, (held[begin - 1] if begin else 0) + CHUNK, side="right")))
+        own = texts.take(pa.array(np.arange(begin, end))).cast(pa.string())  # a copy: ascii_lower misreads slices
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(own))
+        words, n = lists.flatten(), pc.list_value_length(lists).to_numpy()
+        real = pc.greater(pc.binary_length(words), 0)  # white space at either end of a text leaves an empty word there
+        n = np.bincount(np.repeat(np.arange(len(n)), n), real.to_numpy(zero_copy_only=False), len(n)).astype(np.int64)
+        yield begin, words.filter(real), n
+        begin = end
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")), F.lit(0)) % 10 == 0
 
@@ -54,20 +73,25 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """(word, cls, n) of every word of texts (text), A-Z lower-cased."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        held: list[pa.Table] = []
+
+        def merged() -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
-        def rows() -> pa.RecordBatch:
-            words = list(counts)
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(shape_classes(words)), pa.array(counts.values(), pa.int64())], ["word", "cls", "n"])
+        def rows(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            for b in table.to_batches():
+                yield pa.RecordBatch.from_arrays([b["word"], pa.array(shape_classes(b["word"])), b["n"]], ["word", "cls", "n"])
 
         for batch in batches:
-            for text in as_bytes(batch.column(0)):
-                counts.update(text.lower().split())
-                if len(counts) > HELD_WORDS:
-                    yield rows()
-                    counts.clear()
-        if counts:
-            yield rows()
+            for _, words, _ in split_words(batch.column(0)):
+                counts = words.value_counts()
+                held.append(pa.table({"word": counts.field("values"), "n": counts.field("counts")}))
+                if sum(map(len, held)) > HELD_WORDS:
+                    held = [merged()]
+                    if len(held[0]) > HELD_WORDS // 2:
+                        yield from rows(held.pop())
+        if held:
+            yield from rows(merged())
 
     return texts.select("text").mapInArrow(run, "word string, cls int, n long").groupBy("word", "cls").agg(F.sum("n").alias("n"))
 
@@ -76,7 +100,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 class Listing:
     """What every task knows: the listed words in descending count, their counts, and sums over all words."""
 
-    words: list[bytes]
+    words: pa.Array
     counts: np.ndarray
     ends: int
     tokens: int
@@ -88,25 +112,32 @@ class Vocabulary:
     """Numbers of words: head words have a place in a head class, all others a tail class. The end symbol is place 0."""
 
     def __init__(self, listing: Listing) -> None:
-        self.listing, head = listing, listing.words[: gated.HEAD - 1]
-        self.index = {w: i + 1 for i, w in enumerate(listing.words)}
-        n = len(listing.words)
-        self.symbol = np.zeros(n + 1, np.int32)
-        self.symbol[1 : len(head) + 1] = np.arange(1, len(head) + 1)
-        self.symbol[len(head) + 1 :] = gated.HEAD + shape_classes(listing.words[len(head) :])
+        self.listing, head = listing, min(len(listing.words), gated.HEAD - 1)
+        self.symbol = np.arange(len(listing.words) + 1, dtype=np.int32)
+        self.symbol[head + 1 :] = gated.HEAD + shape_classes(listing.words[head:])
         self.log_count = np.log10(np.concatenate(([listing.ends], listing.counts)) + 0.1)
         self.log_tail = np.log10(listing.tail_masses)
         self.log_base = float(np.log10(listing.tokens + 0.1 * (listing.distinct + 1)))
 
-    def read(self, text: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Listed numbers (-1: none), symbols, and the unlisted words of a text with its end symbol."""
-        words = text.lower().split()
-        numbers = np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
-        numbers = np.append(numbers, np.int32(0))
+    def read(self, words: pa.Array, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.ListArray]:
+        """Of texts of n words each: every token's text, listed number (-1: none) and symbol, end symbols included, and each text's unlisted words, each once with its number there."""
+        doc = np.repeat(np.arange(len(n)), n + 1)
+        word = np.ones(len(doc), bool)
+        word[np.cumsum(n + 1) - 1] = False
+        found = pc.index_in(words, value_set=self.listing.words).fill_null(-2).to_numpy()
+        numbers = np.zeros(len(doc), np.int32)
+        numbers[word] = np.maximum(found + 1, -1)
         symbols, at = self.symbol[numbers], np.flatnonzero(numbers < 0)
-        rare = [words[i] for i in at.tolist()]
-        symbols[at] = gated.HEAD + shape_classes(rare)
-        return numbers, symbols, rare
+        unlisted = words.filter(pa.array(found < 0))
+        symbols[at] = gated.HEAD + shape_classes(unlisted)
+        rare = pa.table({"doc": doc[at], "word": unlisted}).group_by(["doc", "word"], use_threads=False).aggregate([([], "count_all")]).sort_by("doc")
+        starts = np.searchsorted(rare["doc"].to_numpy(), np.arange(len(n) + 1)).astype(np.int32)
+        pairs = pa.StructArray.from_arrays([_one(rare["word"]), _one(rare["count_all"])], ["word", "times"])
+        return doc, numbers, symbols, pa.ListArray.from_arrays(pa.array(starts), pairs)
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
 def vocabulary(listing: Broadcast) -> Vocabulary:
@@ -128,7 +159,7 @@ def list_words(counts: DataFrame, ends: int) -> Listing:
             break
         least, held = row.n, held + row.words
     top = counts.where(F.col("n") >= least).toPandas().sort_values(["n", "word"], ascending=[False, True], kind="stable")
-    words = [w.encode() for w in top["word"]]
+    words = pa.array(top["word"], pa.string())
     masses = np.full(gated.TAIL_CLASSES, 0.1)
     for row in counts.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         masses[row.cls] += row.n + 0.1 * row.v
@@ -192,26 +223,22 @@ def encoded(docs: DataFrame, listing: Broadcast) -> DataFrame:
     """
     ddl = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, inside double, symbols binary, rare array<struct<word string, times long>>"
     names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "inside", "symbols", "rare"]
-    pairs = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())]))
 
     def make() -> Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]:
         words = vocabulary(listing)
 
         def each(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-            for begin, some in chunked(as_bytes(batch.column(3))):
-                items = [words.read(t) for t in some]
-                n = np.array([len(x[0]) for x in items])
-                numbers, symbols = np.concatenate([x[0] for x in items]), np.concatenate([x[1] for x in items])
-                doc = np.repeat(np.arange(len(items)), n)
+            for begin, split, n in split_words(batch.column(3)):
+                doc, numbers, symbols, rare = words.read(split, n)
                 listed, tail = numbers >= 0, symbols >= gated.HEAD
                 log_count = np.where(listed, words.log_count[numbers], 0.0)
                 known = listed & ((numbers > 0) | (words.listing.ends > 0))
-                base = np.bincount(doc, log_count, len(items)) - n * words.log_base
-                inside = np.bincount(doc, np.where(tail, log_count - words.log_tail[np.where(tail, symbols - gated.HEAD, 0)], 0.0), len(items))
-                own = [batch.column(k).slice(begin, len(some)) for k in range(3)]
-                rare = pa.array([[{"word": w.decode(), "times": k} for w, k in Counter(x[2]).items()] for x in items], pairs)
-                held = pa.array([x[1].astype("<u2").tobytes() for x in items], pa.binary())
-                yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array(np.bincount(doc, known, len(items)).astype(np.int64)), pa.array(base), pa.array(inside), held, rare], names)
+                base = np.bincount(doc, log_count, len(n)) - (n + 1) * words.log_base
+                inside = np.bincount(doc, np.where(tail, log_count - words.log_tail[np.where(tail, symbols - gated.HEAD, 0)], 0.0), len(n))
+                own = [batch.column(k).slice(begin, len(n)) for k in range(3)]
+                ends = np.concatenate(([0], np.cumsum(n + 1))).astype(np.int32) * 2
+                held = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(symbols.astype("<u2"))])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n + 1), pa.array(np.bincount(doc, known, len(n)).astype(np.int64)), pa.array(base), pa.array(inside), held, rare], names)
 
         return each
 
